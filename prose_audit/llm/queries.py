@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, token_files
+from . import bpe, simhash, token_files
 
 #: Files of public vocabularies; only their paths are kept here.
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -27,6 +27,11 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest, ids=False)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints of 3-word shingles and components of fingerprints 2 bits apart at most."""
+    return simhash.simhash_components(table(spark, sf_dir, "documents"), words=3, budget=2)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of all documents, and the bytes that decoding gives."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -35,6 +40,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
+    "op6_simhash": op6_simhash,
     "op8_byte_bpe": op8_byte_bpe,
 }
 
