@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 Each pre-token is merged by a queue with one bucket per merge rank. A bucket holds linked-list
-positions; a bitmap of 64-bit words over the ranks, with two summary levels above it, gives the next
-rank by find-first-set. Entries that a later merge made stale are skipped when they come up, so even
+positions; a bitmap over the ranks, in words with a summary of the words above them, gives the next rank
+by find-first-set. Entries that a later merge made stale are skipped when they come up, so even
 a pre-token of a whole document takes near-linear time.
 
 Defined cases: a null text is the empty text, which has no ids and decodes to no bytes; repeated rows
@@ -37,103 +37,78 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-class RankQueue:
-    """Positions by merge rank; ``pop`` gives the smallest rank's leftmost position."""
-
-    def __init__(self, n_ranks: int) -> None:
-        self.levels = []
-        n = n_ranks
-        while True:
-            n = (n + 63) >> 6
-            self.levels.append([0] * n)
-            if n == 1:
-                break
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            for words in self.levels:
-                word, bit = rank >> 6, 1 << (rank & 63)
-                if words[word] & bit:
-                    break
-                words[word] |= bit
-                rank = word
-        else:
-            heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int] | None:
-        at = 0
-        for words in reversed(self.levels):
-            word = words[at]
-            if not word:
-                return None
-            at = (at << 6) | ((word & -word).bit_length() - 1)
-        bucket = self.buckets[at]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[at]
-            rank = at
-            for words in self.levels:
-                word = rank >> 6
-                words[word] &= ~(1 << (rank & 63))
-                if words[word]:
-                    break
-                rank = word
-        return at, position
+#: Ranks in one word of the bitmap; the summary word has a bit for each word that isn't zero.
+WORD_BITS = 8
 
 
 class Merger:
-    """Merges pre-tokens by the ranks of one vocabulary."""
+    """Merges pre-tokens by the ranks of one vocabulary.
+
+    The queue's bitmap, ``words``, and its buckets are empty between two pre-tokens, so they are kept.
+    """
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
-        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
+        self.words = [0] * ((max(ranks.values(), default=0) >> WORD_BITS) + 1)
+        self.buckets: dict[int, list[int]] = {}
+        self.single = [ranks.get(bytes([b])) for b in range(256)]
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token. Every merge joins the pair of smallest rank, the leftmost of equals."""
-        ranks, n = self.ranks, len(piece)
-        whole = ranks.get(piece)
+        get, n = self.ranks.get, len(piece)
+        whole = get(piece)
         if whole is not None:
             return [whole]
-        # a part starts at each position that is alive and ends where the next one starts
+        # a part begins at each position with an id that is no None, and ends where the next one begins
+        ids = [self.single[b] for b in piece]
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        pair: list[int | None] = [None] * (n + 1)
-        queue, get = self.queue, ranks.get
-        for i in range(n - 1):
-            rank = get(piece[i : i + 2])
-            if rank is not None:
+        pair = [None] * (n + 1)
+        words, buckets, summary, mask = self.words, self.buckets, 0, (1 << WORD_BITS) - 1
+        new = [(get(piece[i : i + 2]), i) for i in range(n - 1)]
+        while True:
+            for rank, i in new:
                 pair[i] = rank
-                queue.push(rank, i)
-        while (top := queue.pop()) is not None:
-            rank, i = top
+                if rank is None:
+                    continue
+                bucket = buckets.get(rank)
+                if bucket:
+                    heappush(bucket, i)
+                    continue
+                buckets[rank] = [i]
+                word = rank >> WORD_BITS
+                words[word] |= 1 << (rank & mask)
+                summary |= 1 << word
+            if not summary:
+                return [x for x in ids if x is not None]
+            # find-first-set in the summary, then in the word
+            word = (summary & -summary).bit_length() - 1
+            bits = words[word]
+            first = bits & -bits
+            rank = word << WORD_BITS | first.bit_length() - 1
+            bucket = buckets[rank]
+            i = heappop(bucket)
+            if not bucket:
+                del buckets[rank]
+                words[word] = bits = bits ^ first
+                if not bits:
+                    summary ^= 1 << word
+            new = []
             if pair[i] != rank:
                 continue  # stale
             gone = after[i]
             end = after[gone]
+            ids[i], ids[gone] = rank, None
             pair[gone] = None
             after[i] = end
             if end < n:
                 before[end] = i
-                rank = get(piece[i : after[end]])
-                pair[i] = rank
-                if rank is not None:
-                    queue.push(rank, i)
+                new.append((get(piece[i : after[end]]), i))
             else:
                 pair[i] = None
             left = before[i]
             if left >= 0:
-                rank = get(piece[left:end])
-                pair[left] = rank
-                if rank is not None:
-                    queue.push(rank, left)
-        ids, i = [], 0
-        while i < n:
-            ids.append(ranks[piece[i : after[i]]])
-            i = after[i]
-        return ids
+                new.append((get(piece[left:end]), left))
 
 
 class Codec:
@@ -144,12 +119,36 @@ class Codec:
         self.merger = Merger(self.ranks)
         self.split = regex.compile(pattern).findall
         self.memo: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}  # by what follows a space, the ids of both
         self.pieces = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for piece, rank in self.ranks.items():
             self.pieces[rank] = piece
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
+        """Ids as little-endian unsigned 32-bit integers.
+
+        A match never reaches over a single space between two characters that are no white space: it ends
+        before the space or begins with it. So a text is cut there, and what follows a space is looked up
+        whole; texts with other spaces are split by the pattern alone.
+        """
+        first, *rest = text.split(" ")
+        spaced = self.spaced
+        try:
+            return self._pieces(first) + b"".join([spaced[part] for part in rest])
+        except KeyError:
+            pass
+        if not first or first[-1].isspace():
+            return self._pieces(text)
+        if len(spaced) > MEMO:
+            spaced.clear()
+        for part in rest:
+            if part not in spaced:
+                if not part or part[0].isspace() or part[-1].isspace():
+                    return self._pieces(text)
+                spaced[part] = self._pieces(" " + part)
+        return self._pieces(first) + b"".join([spaced[part] for part in rest])
+
+    def _pieces(self, text: str) -> bytes:
         parts = self.split(text)
         memo = self.memo
         try:

@@ -33,13 +33,25 @@ def test_merges_equal_tiktoken(oracle):
         assert own.decode(got) == text.encode()
 
 
-def test_rank_queue_orders_like_sorting():
-    rng, queue = random.Random(1), bpe.RankQueue(50_000)
-    pairs = [(rng.randrange(50_000), rng.randrange(1000)) for _ in range(3000)]
-    for p in pairs:
-        queue.push(*p)
-    assert [queue.pop() for _ in pairs] == sorted(pairs)
-    assert queue.pop() is None
+def test_merges_equal_a_plain_loop():
+    rng = random.Random(1)
+    ranks = {bytes([b]): b for b in b"abc"}
+    for size in (2, 3, 4, 5):  # any strings at all, not only those that merges can reach in order
+        for _ in range(25):
+            ranks.setdefault(bytes(rng.choices(b"abc", k=size)), 1000 - len(ranks) * rng.choice((1, 7)) % 997)
+    ranks = {k: i for i, k in enumerate(sorted(ranks, key=lambda k: (len(k) > 1, ranks[k], k)))}
+    merger = bpe.Merger(ranks)
+    for _ in range(500):
+        piece = bytes(rng.choices(b"abc", k=rng.randrange(1, 40)))
+        parts = [piece[i : i + 1] for i in range(len(piece))] if piece not in ranks else [piece]
+        while True:
+            near = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+            if not near:
+                break
+            _, i = min(near)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        assert merger.merge(piece) == [ranks[x] for x in parts]
+        assert not merger.buckets and not any(merger.words)
 
 
 def test_encode_texts(spark, oracle):
