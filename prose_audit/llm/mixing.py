@@ -61,34 +61,57 @@ def position(share: Column, begin: Column) -> Column:
     return F.when(bend == 0, share).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), root)))
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text, source)`` → doc_id, size, source_size, target, taken, takes, position.
-
-    ``taken`` is the words taken in all, whole takes and a part of one document at the end of a source's
-    demand; ``takes`` is the number of takes begun, ``position`` the training position of the first.
-    """
+def demand(docs: DataFrame) -> DataFrame:
+    """``docs(row, doc_id, text, source)`` with where each row lies in its source's demand: row, doc_id, rank,
+    size, source_size, target, before (words of the source's rows that come first), whole (takes of every
+    row), rest (words of the target beyond those), extra (of these the row's), begin (of the schedule)."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")), "sizes")
+    sized = stored(docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")), "sizes")
     targets = source_targets(sized)
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    keyed = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).select("doc_id", "size", "rank", "source_size", "target", order.alias("key"))
+    keyed = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).select("row", "doc_id", "size", "rank", "source_size", "target", order.alias("key"))
     keyed = keyed.withColumn("range", F.conv(F.substring("key", 1, 3), 16, 10).cast("int"))
     ranges = keyed.groupBy("rank", "range").agg(F.sum("size").alias("n"))
     running = Window.partitionBy("rank").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     bases = ranges.select("rank", "range", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("rank", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("rank", "range").orderBy("key", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(bases, ["rank", "range"])
-    before = F.col("base") + F.col("inner")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.floor(F.col("target") - F.col("whole") * F.col("source_size") + 0.5).cast("long")
-    rows = placed.withColumn("before", before).withColumn("whole", whole).withColumn("rest", rest)
-    extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
-    rows = rows.withColumn("taken", F.col("whole") * F.col("size") + extra)
-    takes = F.when(F.col("size") > 0, F.col("whole") + (extra > 0).cast("long")).otherwise(0)
-    begin = of_rank(BEGIN, F.col("rank"))
-    first = F.when(F.col("taken") > 0, position(F.col("before") / F.col("target"), begin))
+    rows = placed.withColumn("before", F.col("base") + F.col("inner")).withColumn("whole", whole).withColumn("rest", rest)
+    return rows.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))).withColumn("begin", of_rank(BEGIN, F.col("rank")))
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text, source)`` → doc_id, size, source_size, target, taken, takes, position.
+
+    ``taken`` is the words taken in all, whole takes and a part of one document at the end of a source's
+    demand; ``takes`` is the number of takes begun, ``position`` the training position of the first.
+    """
+    rows = demand(docs.select(F.lit(0).cast("long").alias("row"), "doc_id", "text", "source")).withColumn("taken", F.col("whole") * F.col("size") + F.col("extra"))
+    takes = F.when(F.col("size") > 0, F.col("whole") + (F.col("extra") > 0).cast("long")).otherwise(0)
+    first = F.when(F.col("taken") > 0, position(F.col("before") / F.col("target"), F.col("begin")))
     out = rows.select("doc_id", "size", "source_size", "target", "taken", takes.alias("takes"), first.alias("position"))
-    return out.repartitionByRange(F.col("position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
+    order = F.col("position").asc_nulls_last()
+    return out.repartitionByRange(order, "doc_id").sortWithinPartitions(order, "doc_id")
+
+
+def mix_rows(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, once for each take and in the order of training positions.
+
+    Rows are whole: the take at the end of a source's demand comes up if half of it or more is within.
+    """
+    whole_row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document")
+    numbered = stored(docs.select(whole_row, F.monotonically_increasing_id().alias("row")), "mix-rows")
+    rows = demand(numbered.select("row", "document.doc_id", "document.text", "document.source"))
+    copies = F.col("whole") + F.when((F.col("extra") > 0) & (2 * F.col("extra") >= F.col("size")), 1).otherwise(0)
+    take = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    share = ((F.col("take") - 1) * F.col("source_size") + F.col("before")) / F.col("target")
+    # the rounding at the end may go over the demand by half a document
+    placed = rows.withColumn("copies", copies).filter("copies > 0 and size > 0").withColumn("take", take)
+    placed = placed.withColumn("position", position(F.least(F.lit(1.0), share), F.col("begin"))).select("row", "take", "position")
+    order = F.col("position").asc_nulls_last()
+    return numbered.join(placed, "row").repartitionByRange(order, "row").sortWithinPartitions(order, "row").select("document.*")
 
 
 #: The same as SQL over the table ``documents``.

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, imatch, language_id, media, mixing, simhash, token_files, url_filter, warc
+from . import bpe, html_extract, imatch, language_id, media, mixing, simhash, token_files, url_filter, warc
 
 #: Files of public vocabularies; only their paths are kept here.
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -72,6 +72,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.main_texts(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_media_jpeg": op2_media_jpeg,
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_imatch": op7_imatch,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_mixing": op9_mixing,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.MIX_SQL}

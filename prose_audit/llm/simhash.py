@@ -18,10 +18,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, arrow_schema, map_arrow, stored
+from .common import arrow_schema, map_arrow, stored
 from .components import connected_components
 
 SEED = 42
@@ -399,7 +399,6 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
     are linked; groups are what links reach. Texts without words are copies of each other. The columns of
     ``docs`` are returned; rows that agree in all columns are one document.
     """
-    columns = docs.columns
     schema = "row long, doc_id long, text string, node long, fp binary"
 
     def step(c: dict[str, list]) -> dict[str, list]:
@@ -411,16 +410,17 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
             fp.append(wide_fingerprint(np.unique(hashes)))
         return {"row": c["row"], "doc_id": c["doc_id"], "text": c["text"], "node": np.array(node, np.uint64).view(np.int64), "fp": fp}
 
-    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "dedup-rows")
-    base = numbered.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    whole_row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document")
+    numbered = stored(docs.select(whole_row, F.monotonically_increasing_id().alias("row")), "dedup-rows")
+    base = numbered.select("row", F.col("document.doc_id").cast("long").alias("doc_id"), "document.text")
     marked = stored(map_arrow(base, step, schema).drop("text"), "dedup-marks")
     distinct = marked.groupBy("node").agg(F.min("row").alias("row"), F.first("fp").alias("fp"))
     candidates = stored(similar_candidates(distinct, similarity), "dedup-candidates")
     ends = candidates.select(F.col("u").alias("node")).union(candidates.select("v")).distinct()
-    involved = ends.join(distinct.select("node", "row"), "node").join(numbered.select(F.col("__row").alias("row"), "text"), "row")
+    involved = ends.join(distinct.select("node", "row"), "node").join(numbered.select("row", "document.text"), "row")
     roots = connected_components(similar_links(involved.select("node", F.coalesce("text", F.lit("")).alias("text")), candidates, words, similarity))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     least = marked.groupBy("node").agg(F.min(order).alias("first"))
     rooted = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    stay = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
-    return numbered.join(stay, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in columns])
+    stay = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    return numbered.join(stay, "row", "left_semi").select("document.*")
