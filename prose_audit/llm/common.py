@@ -10,7 +10,9 @@ from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 from pyarrow import fs as pafs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch that goes to a Python worker: texts can be long, so a batch stays small.
 ARROW_ROWS = 1000
@@ -46,6 +48,19 @@ def stored(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def numbered_rows(docs: DataFrame) -> DataFrame:
+    """``row`` (a struct<file, index> that stays the same whenever the rows are read) and ``document``, the row.
+
+    Rows of files have their place in the file; other rows are first stored with numbers.
+    """
+    document = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document")
+    try:
+        return docs.select(F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("index")).alias("row"), document)
+    except AnalysisException:  # no scan of files
+        number = F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("index")).alias("row")
+        return stored(docs.select(number, document), "rows")
+
+
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     """pyarrow's file system for a URI and the path in it; usable in tasks."""
     if uri.startswith("file:") or "://" not in uri:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, numbered_rows, stored
 
 #: Weights by rank of the source, repeating; words to take as a share of all; most takes of a document.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
@@ -88,7 +88,7 @@ def mix(docs: DataFrame) -> DataFrame:
     ``taken`` is the words taken in all, whole takes and a part of one document at the end of a source's
     demand; ``takes`` is the number of takes begun, ``position`` the training position of the first.
     """
-    rows = demand(docs.select(F.lit(0).cast("long").alias("row"), "doc_id", "text", "source")).withColumn("taken", F.col("whole") * F.col("size") + F.col("extra"))
+    rows = demand(docs.select(F.lit(0).alias("row"), "doc_id", "text", "source")).withColumn("taken", F.col("whole") * F.col("size") + F.col("extra"))
     takes = F.when(F.col("size") > 0, F.col("whole") + (F.col("extra") > 0).cast("long")).otherwise(0)
     first = F.when(F.col("taken") > 0, position(F.col("before") / F.col("target"), F.col("begin")))
     out = rows.select("doc_id", "size", "source_size", "target", "taken", takes.alias("takes"), first.alias("position"))
@@ -101,8 +101,7 @@ def mix_rows(docs: DataFrame) -> DataFrame:
 
     Rows are whole: the take at the end of a source's demand comes up if half of it or more is within.
     """
-    whole_row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document")
-    numbered = stored(docs.select(whole_row, F.monotonically_increasing_id().alias("row")), "mix-rows")
+    numbered = numbered_rows(docs)
     rows = demand(numbered.select("row", "document.doc_id", "document.text", "document.source"))
     copies = F.col("whole") + F.when((F.col("extra") > 0) & (2 * F.col("extra") >= F.col("size")), 1).otherwise(0)
     take = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, map_arrow, stored
+from .common import arrow_schema, map_arrow, numbered_rows, stored
 from .components import connected_components
 
 SEED = 42
@@ -399,7 +399,7 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
     are linked; groups are what links reach. Texts without words are copies of each other. The columns of
     ``docs`` are returned; rows that agree in all columns are one document.
     """
-    schema = "row long, doc_id long, text string, node long, fp binary"
+    schema = "row struct<file:bigint,index:bigint>, doc_id long, text string, node long, fp binary"
 
     def step(c: dict[str, list]) -> dict[str, list]:
         node, fp = [], []
@@ -410,8 +410,7 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
             fp.append(wide_fingerprint(np.unique(hashes)))
         return {"row": c["row"], "doc_id": c["doc_id"], "text": c["text"], "node": np.array(node, np.uint64).view(np.int64), "fp": fp}
 
-    whole_row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document")
-    numbered = stored(docs.select(whole_row, F.monotonically_increasing_id().alias("row")), "dedup-rows")
+    numbered = numbered_rows(docs)
     base = numbered.select("row", F.col("document.doc_id").cast("long").alias("doc_id"), "document.text")
     marked = stored(map_arrow(base, step, schema).drop("text"), "dedup-marks")
     distinct = marked.groupBy("node").agg(F.min("row").alias("row"), F.first("fp").alias("fp"))
