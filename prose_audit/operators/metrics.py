@@ -40,7 +40,7 @@ def sentence_metrics(lengths: Column) -> Column:
         mean = total / n
 
         def spread(m: Column) -> Column:
-            var = F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / n
+            var = F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)), n)
             steps = F.zip_with(F.slice(a, 2, F.greatest(n - 1, F.lit(0))), F.slice(a, 1, F.greatest(n - 1, F.lit(0))), lambda x, y: F.abs(x - y))
             step = F.when(n > 1, F.aggregate(steps, F.lit(0.0), lambda s, x: s + x) / (n - 1)).otherwise(0.0)
             return F.struct(

@@ -105,11 +105,11 @@ class Splitter:
             out += found
         return out
 
-    def _candidate(self, text: str, kind: str, tier: int, span: tuple[int, int], to: str, upper: bool, start: int, end: int, reason: str) -> tuple:
+    def _candidate(self, text: str, kind: str, tier: int, span: tuple[int, int], start: int, end: int, reason: str) -> tuple:
+        """A full stop in the place of ``span``, in the sentence from ``start`` to ``end``."""
         a, b = span
-        right = text[b:end]
-        preview = text[start:a] + to + (right[:1].upper() + right[1:] if upper else right)
-        return kind, tier, a, b, text[a:b], to, b if upper else None, text[start:a], right, reason, preview
+        left, right = text[start:a], text[b:end]
+        return kind, tier, a, b, text[a:b], ". ", b, left, right, reason, f"{left}. {right[:1].upper()}{right[1:]}"
 
     def _semicolon(self, text: str, sentence: str, start: int, end: int, kept: list) -> list[tuple]:
         free = [m for m in _SEMICOLON.finditer(text, start, end) if not overlaps(kept, *m.span())]
@@ -119,7 +119,7 @@ class Splitter:
         left, right = text[start:a], text[b:end]
         if ":" in left or not self._long_enough(left, right) or not right[:1].isalpha() or not is_independent(left, opens=True) or not is_independent(right):
             return []
-        return [self._candidate(text, "SPLIT-A", 1, (a, b), ". ", True, start, end, "Compound sentence joined by a semicolon")]
+        return [self._candidate(text, "SPLIT-A", 1, (a, b), start, end, "Compound sentence joined by a semicolon")]
 
     def _joints(self, text: str, sentence: str, start: int, end: int, kept: list) -> list[tuple]:
         if sentence.count(";") >= 2 and ":" in sentence[: sentence.index(";")]:
@@ -131,22 +131,19 @@ class Splitter:
             if overlaps(kept, a, b) or "," in left or not self._long_enough(left, right) or not right[:1].isalpha():
                 continue
             stays = KEEPS[word]
-            span, to = ((a, m.start(1)), ". ") if stays else ((a, b), ". ")
+            span = (a, m.start(1)) if stays else (a, b)
             if is_independent(left, opens=True) and is_independent(right):
                 if self.tier >= 2:
-                    return [self._kept(text, "SPLIT-B", 2, span, stays, start, end, f'Two clauses joined by a comma and "{word}"')]
+                    return [self._candidate(text, "SPLIT-B", 2, span, start, end, f'Two clauses joined by a comma and "{word}"')]
             elif self.tier >= 3 and not stays and is_imperative(left) and is_imperative(right):
-                return [self._candidate(text, "SPLIT-C", 3, span, to, True, start, end, "Two instructions; a suggestion of lower confidence")]
+                return [self._candidate(text, "SPLIT-C", 3, span, start, end, "Two instructions; a suggestion of lower confidence")]
         return []
 
-    def _kept(self, text: str, kind: str, tier: int, span: tuple[int, int], stays: bool, start: int, end: int, reason: str) -> tuple:
-        return self._candidate(text, kind, tier, span, ". ", True, start, end, reason)
-
 
 def is_imperative(clause: str) -> bool:
     """Whether a clause opens with the base form of a verb, as far as its shape shows."""
     words = [w.lower() for w in _WORD.findall(clause)]
-    if len(words) < 2 or words[0].endswith(("s", "ed", "ing", "ly")):
+    if len(words) < 2 or words[0].endswith(("ed", "ing", "ly")) or words[0].endswith("s") and not words[0].endswith("ss"):
         return False
     openers = PRONOUNS | DETERMINERS | AUXILIARIES | SUBORDINATORS | RELATIVES | PREPOSITIONS
     return words[0] not in openers and words[1] in DETERMINERS | PRONOUNS

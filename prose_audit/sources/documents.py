@@ -41,7 +41,7 @@ def read_documents(spark: SparkSession, path: str, format: str = "text") -> Data
     return spark.read.format(format).load(path)
 
 
-_PARAGRAPH, _STYLE, _PIECE = re.compile(r"<w:p[ >/].*?(?:</w:p>|/>)", re.S), re.compile(r'<w:pStyle w:val="[Hh]eading ?(\d)"'), re.compile(r"<w:t(?: [^>]*)?>(.*?)</w:t>|<w:(tab)\b[^>]*/>|<w:(br)\b[^>]*/>", re.S)
+_PARAGRAPH, _STYLE, _PIECE = re.compile(r"<w:p(?:\s[^>]*)?(?<!/)>.*?</w:p>", re.S), re.compile(r'<w:pStyle w:val="[Hh]eading ?(\d)"'), re.compile(r"<w:t(?: [^>]*)?>(.*?)</w:t>|<w:(tab)\b[^>]*/>|<w:(br)\b[^>]*/>", re.S)
 _PROPERTIES = {
     "total_time": ("docProps/app.xml", "TotalTime"), "words": ("docProps/app.xml", "Words"), "application": ("docProps/app.xml", "Application"), "company": ("docProps/app.xml", "Company"),
     "creator": ("docProps/core.xml", "dc:creator"), "last_modified_by": ("docProps/core.xml", "cp:lastModifiedBy"), "created": ("docProps/core.xml", "dcterms:created"),
