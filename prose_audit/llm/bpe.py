@@ -26,8 +26,9 @@ from pyspark.sql.types import StructType
 
 from .common import ARROW_ROWS, arrow_schema
 
-#: Distinct pre-tokens whose ids a worker remembers; the memory starts anew when it is full.
-MEMO = 500_000
+#: Distinct pre-tokens, and words with the space before them, whose ids a worker remembers; a memory that is
+#: full starts anew.
+MEMO, SPACED_MEMO = 1_000_000, 500_000
 
 
 @lru_cache(maxsize=2)
@@ -52,6 +53,7 @@ class Merger:
         self.words = [0] * ((max(ranks.values(), default=0) >> WORD_BITS) + 1)
         self.buckets: dict[int, list[int]] = {}
         self.single = [ranks.get(bytes([b])) for b in range(256)]
+        self.two = [[ranks.get(bytes([a, b])) for b in range(256)] for a in range(256)]
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token. Every merge joins the pair of smallest rank, the leftmost of equals."""
@@ -65,7 +67,8 @@ class Merger:
         before = list(range(-1, n - 1))
         pair = [None] * (n + 1)
         words, buckets, summary, mask = self.words, self.buckets, 0, (1 << WORD_BITS) - 1
-        new = [(get(piece[i : i + 2]), i) for i in range(n - 1)]
+        two = self.two
+        new = [(two[a][b], i) for i, (a, b) in enumerate(zip(piece, piece[1:]))]
         while True:
             for rank, i in new:
                 pair[i] = rank
@@ -139,7 +142,7 @@ class Codec:
             pass
         if not first or first[-1].isspace():
             return self._pieces(text)
-        if len(spaced) > MEMO:
+        if len(spaced) > SPACED_MEMO:
             spaced.clear()
         for part in rest:
             if part not in spaced:
