@@ -216,3 +216,41 @@ def irregularities(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
     comma = F.col("text").rlike(r"\w+, \w+, and \w+") & F.col("text").rlike(r"\w+, \w+ and \w+")
     base = docs.select("doc_id", F.coalesce(comma, F.lit(False)).alias("serial_comma"))
     return base.join(unknown, "doc_id", "left").join(mixed, "doc_id", "left").fillna(0, ["unknown", "hyphenation"]).select("doc_id", "unknown", "hyphenation", "serial_comma")
+
+
+def stock_hits(text: Column, phrases: list[str] = STOCK) -> Column:
+    """array<struct<phrase, count, offsets>> of the phrases that a text has, in the order of the list."""
+    patterns = [(p, re.compile(rf"\b{re.escape(p)}\b", re.I | re.A)) for p in phrases]
+
+    @F.pandas_udf("array<struct<phrase:string,count:int,offsets:array<int>>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            out = []
+            for t in batch:
+                low = (t or "").lower()
+                found = [(p, [m.start() for m in pattern.finditer(t)]) for p, pattern in patterns if p.lower() in low]
+                out.append([{"phrase": p, "count": len(o), "offsets": o} for p, o in found if o])
+            yield pd.Series(out)
+
+    return run(text)
+
+
+def rule_counts(docs: DataFrame, phrases: list[str], text: str = "text") -> DataFrame:
+    """doc_id, phrase, n: how often each phrase stands in each document, those that do. The phrases are an array in
+    the plan, so documents and rules meet without a join."""
+    named = F.array(*[F.struct(F.lit(p).alias("phrase"), F.lit("(?i)" + alternatives([p])).alias("pattern")) for p in phrases])
+    counts = F.transform(named, lambda r: F.struct(r["phrase"].alias("phrase"), F.regexp_count(F.coalesce(text, F.lit("")), r["pattern"]).alias("n")))
+    return docs.select("doc_id", F.explode(F.filter(counts, lambda c: c["n"] > 0)).alias("c")).select("doc_id", "c.*")
+
+
+def genres(docs: DataFrame, lexicon: DataFrame, least: float = 5.0) -> DataFrame:
+    """doc_id, genre: that of ``lexicon(genre, word)`` with the most words per 1,000, if there are ``least`` or more.
+
+    Words are counted per document before they meet the lexicon."""
+    words = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    counts = words.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    total = docs.select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(TOKEN)).alias("words"))
+    hits = counts.join(lexicon.select("genre", F.lower("word").alias("word")).distinct(), "word").groupBy("doc_id", "genre").agg(F.sum("n").alias("n"))
+    rated = hits.join(total, "doc_id").withColumn("rate", per(F.col("n"), F.col("words"), 1000)).filter(F.col("rate") >= least)
+    best = rated.groupBy("doc_id").agg(F.max_by("genre", F.struct("rate", "genre")).alias("genre"))
+    return docs.select("doc_id").join(best, "doc_id", "left")

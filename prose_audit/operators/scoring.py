@@ -133,6 +133,21 @@ def guards(rows: DataFrame) -> DataFrame:
     return rows.withColumn("guards", F.filter(found, lambda g: g.isNotNull()))
 
 
+def genre_guard(rows: DataFrame, genres: DataFrame, formal: tuple[str, ...] = ("legal", "academic", "medical", "regulatory", "compliance")) -> DataFrame:
+    """``rows`` with guards, plus G-2 for documents of a genre with conventions of its own."""
+    fired = F.when(F.col("genre").isin(*formal), F.array(F.struct(F.lit("G-2").alias("id"), F.concat(F.lit("Conventions of the genre: "), "genre").alias("reason"))))
+    empty = F.array().cast("array<struct<id:string,reason:string>>")
+    return rows.join(genres, "doc_id", "left").withColumn("guards", F.concat("guards", F.coalesce(fired, empty))).drop("genre")
+
+
+def baseline_guard(rows: DataFrame, deltas: DataFrame, normal: float = 1.0) -> DataFrame:
+    """``rows`` with guards, plus G-7 for documents within ``normal`` of the nearest author's own style."""
+    nearest = deltas.groupBy("doc_id").agg(F.min_by("author_id", F.struct("delta", "author_id")).alias("author"), F.min("delta").alias("nearest"))
+    fired = F.when(F.col("nearest") <= normal, F.array(F.struct(F.lit("G-7").alias("id"), F.concat(F.lit("Reads like earlier texts of "), "author").alias("reason"))))
+    empty = F.array().cast("array<struct<id:string,reason:string>>")
+    return rows.join(nearest, "doc_id", "left").withColumn("guards", F.concat("guards", F.coalesce(fired, empty))).drop("author", "nearest")
+
+
 def confidence(n_words: Column, n_guards: Column, strong_dimensions: Column, single: Column) -> Column:
     """low, moderate or high: moderate, less for short texts, guards and evidence of one kind, more for long
     texts and many kinds."""

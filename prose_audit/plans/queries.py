@@ -152,6 +152,29 @@ def document_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.document_metrics(docs, sep=SEP).join(extra, "doc_id")
 
 
+def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often frequent words and phrases stand in every document."""
+    return metrics.rule_counts(table(spark, sf_dir, "documents"), ["of the", "with", "est", "und", "de la"])
+
+
+def stock_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First offset and number of a few phrases in every document that has them."""
+    found = metrics.stock_hits(F.col("text"), ["of the", "with"])
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("h"))
+    return rows.select("doc_id", "h.phrase", F.col("h.count").alias("n"), F.get("h.offsets", F.lit(0)).alias("first"))
+
+
+def guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Guards and confidence of every document, authors being the languages of labelled good documents."""
+    docs = table(spark, sf_dir, "documents")
+    own = metrics.document_metrics(docs, sep=SEP).select("doc_id", F.col("words").alias("n_words"), "section_len_cv", "sections", F.lit(0.0).alias("marketing_share"))
+    lexicon = spark.createDataFrame([("academic", "of"), ("legal", "herein")], "genre string, word string")
+    out = scoring.genre_guard(scoring.guards(own), metrics.genres(docs, lexicon, 40.0))
+    out = scoring.baseline_guard(out, style_distance(spark, sf_dir), 0.8)
+    level = scoring.confidence(F.col("n_words"), F.size("guards"), F.lit(0), F.lit(False))
+    return out.select("doc_id", F.array_join(F.transform("guards", lambda g: g["id"]), ",").alias("guards"), level.alias("confidence"))
+
+
 def rhythm_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rhythm rules that fire for every document."""
     out = scoring.rhythm_rules(metrics.document_metrics(table(spark, sf_dir, "documents"), sep=SEP))
@@ -240,7 +263,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         rewrite_categories, readability_documents, readability_by_group, rewrite_outputs, rewrite_stats, rule_usage, flag_types, flags_by_source, density_scores, audit_scores,
         review_work_list, replay_edits, sentence_metrics, document_metrics, rhythm_rules, section_windows, class_rates, class_thresholds, hardest_documents, gates, plain_text,
-        paragraph_diffs, split_candidates, split_report, style_distance, letter_language,
+        rule_counts, stock_hits, guards, paragraph_diffs, split_candidates, split_report, style_distance, letter_language,
     )
 }
 
@@ -356,6 +379,12 @@ SELECT * FROM k WHERE rank <= 5""",
     "gates": f"""SELECT doc_id, CASE WHEN lang = 'en' THEN NULL ELSE 'Language is ' || coalesce(lang, 'unknown') || ', not en' END AS reason, CAST(n AS INT) AS n_words,
   CASE WHEN n < 150 THEN 'insufficient' WHEN n < 400 THEN 'short' END AS length_guard, coalesce(length(text) > 5000, false) AS truncated, CAST(length(text[:5000]) AS INT) AS n_kept
 FROM (SELECT *, len({words_sql("coalesce(text, '')")}) AS n FROM documents)""",
+    "rule_counts": r"""WITH p AS (SELECT unnest(['of the', 'with', 'est', 'und', 'de la']) AS phrase),
+c AS (SELECT doc_id, phrase, CAST(len(regexp_extract_all(coalesce(text, ''), '(?i)\b' || phrase || '\b')) AS INT) AS n FROM documents, p)
+SELECT doc_id, phrase, n FROM c WHERE n > 0""",
+    "stock_hits": r"""WITH p AS (SELECT unnest(['of the', 'with']) AS phrase),
+c AS (SELECT doc_id, phrase, CAST(len(regexp_extract_all(text, '(?i)\b' || phrase || '\b')) AS INT) AS n, regexp_extract(text, '(?i)(?s)^(.*?)\b' || phrase || '\b', 1) AS before FROM documents, p)
+SELECT doc_id, phrase, n, CAST(length(before) AS INT) AS first FROM c WHERE n > 0""",
     "plain_text": r"""WITH b AS (SELECT conv_id, turn, list_filter(list_transform(string_split_regex(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), '\n\s*\n'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '') AS p FROM conversations)
 SELECT conv_id, turn, CAST(len(p) AS INT) AS n_blocks, md5(array_to_string(list_transform(p, lambda x: regexp_replace(replace(regexp_replace(x, '^#{1,6}\s+', ''), chr(10), ' '), '\*\*([^*]+)\*\*', '\1', 'g')), chr(10) || chr(10))) AS plain_md5 FROM b""",
 }
