@@ -25,6 +25,11 @@ SEEDS = [
     ("Pages 3–5 count — all of them.", "Pages 3 to 5 count, all of them.", {"Dash cleanup": 2}),
     ("Nothing to do here.", "Nothing to do here.", {}),
 ]
+#: The rules behind those changes: seed, list, phrase.
+SEED_RULES = [
+    (0, "simpleSwaps", "utilize"), (0, "fillerPhrases", "in order to"), (1, "hypeSwaps", "seamless"), (1, "midSentenceDeletes", "needless to say"),
+    (2, "sentenceStartDeletes", "Basically,"), (2, "contractions", "don't"), (2, "simpleSwaps", "leverage"),
+]
 #: Flag words that do occur in the documents.
 OWN_FLAGS = [("of", "Marketing hype", "Cut", None, None), ("is", "Vague connective", "Cut", None, None)]
 
@@ -329,6 +334,27 @@ done AS (SELECT *, list_append(list_transform(parts, lambda p: {tidied}), {_SEED
 _FLAGS = f"""masked AS (SELECT doc_id, {_MASKED} AS m, text FROM documents),
 parts AS (SELECT *, {sentences_sql('m')} AS s, list_transform(string_split(m, chr(10)), lambda p: {sentences_sql('p')}) AS ps FROM masked)"""
 
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _rule_values() -> str:
+    rules = default_rules()
+    rows = [(k, f) for k, swaps in rules.swaps.items() for f, _, _ in swaps] + [(k, p) for k, phrases in rules.deletes.items() for p in phrases]
+    return ", ".join(f"({_quoted(k)}, {_quoted(f)})" for k, f in rows)
+
+
+def _gram_sql(source: str) -> str:
+    """Letter sequences of the rows of ``source(key, text)``, one row each."""
+    padded = r"regexp_replace('_' || regexp_replace(lower(coalesce(text, '')), '[^\p{L}]+', '_', 'g') || '_', '_+', '_', 'g')"
+    return f"SELECT key, unnest(list_transform(range(1, length(p) - 1), lambda i: p[i:i + 2])) AS gram FROM (SELECT key, {padded} AS p FROM {source})"
+
+
+_FUNCTION_WORDS = ", ".join(map(_quoted, corpus.FUNCTION_WORDS))
+_GOOD = "SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)"
+
 ORACLE_SQL: dict[str, str] = {
     "readability_documents": f"WITH {readability_sql('documents')} SELECT doc_id, score, grade, words, sentences, avg_sentence FROM r",
     "readability_by_group": f"""WITH {readability_sql('documents')}
@@ -351,10 +377,28 @@ SELECT doc_id, CAST(len(regexp_extract_all(m, '(?i)\bof\b')) + len(regexp_extrac
   CAST(coalesce(list_sum(list_transform(ps, lambda p: len(list_filter(map_values(list_histogram(list_transform(list_filter(list_transform(p, lambda x: {words_sql('x')}), lambda w: len(w) >= 2), lambda w: lower(w[1] || ' ' || w[2])))), lambda n: n >= 3)))), 0)
     + CASE WHEN len(regexp_extract_all(m, '(?:^|[.!?]\s+)(?:Also|However|So),?\s')) >= 3 THEN 1 ELSE 0 END AS INT) AS repetitive_rhythm
 FROM parts""",
+    "flags_by_source": "",
     "density_scores": rf"""WITH masked AS (SELECT doc_id, {_MASKED} AS m, len({words_sql("coalesce(text, '')")}) AS n FROM documents), f AS (
   SELECT *, len(regexp_extract_all(m, '(?i)\bof\b')) AS a, len(regexp_extract_all(m, '(?i)\bis\b')) AS b FROM masked)
 SELECT doc_id, CAST(n AS INT) AS n_words, least(4.0::DOUBLE, floor(CASE WHEN n > 0 THEN a * 1000.0::DOUBLE / n ELSE 0 END / 9 * 4 * 2 + 0.5::DOUBLE) / 2) AS d1,
   least(4.0::DOUBLE, floor(CASE WHEN n > 0 THEN b * 1000.0::DOUBLE / n ELSE 0 END / 9 * 4 * 2 + 0.5::DOUBLE) / 2) AS d3 FROM f""",
+    "rule_usage": f"""WITH rules(list, find) AS (VALUES {_rule_values()}), fired(seed, list, find) AS (VALUES {", ".join(f"({i}, {_quoted(k)}, {_quoted(f)})" for i, k, f in SEED_RULES)}),
+hits AS (SELECT list, find, count(*) AS n FROM documents JOIN fired ON doc_id % {_N} = seed GROUP BY ALL)
+SELECT list, find, coalesce(n, 0) AS hits, coalesce(n, 0) AS docs FROM rules LEFT JOIN hits USING (list, find)""",
+    "letter_language": f"""WITH good AS (SELECT lang AS key, text FROM ({_GOOD}) WHERE lang IS NOT NULL), own AS (SELECT doc_id AS key, text FROM documents),
+p AS (SELECT key AS lang, gram, row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, gram) AS rank FROM ({_gram_sql("good")}) GROUP BY key, gram),
+d AS (SELECT key AS doc_id, gram, row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, gram) AS own_rank FROM ({_gram_sql("own")}) GROUP BY key, gram),
+g AS (SELECT doc_id, lang, sum(abs(own_rank - rank) - 300) AS gain FROM d JOIN p USING (gram) WHERE rank <= 300 AND own_rank <= 300 GROUP BY doc_id, lang),
+b AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY doc_id ORDER BY gain, lang) AS k FROM g)
+SELECT doc_id, b.lang AS lang_pred FROM documents LEFT JOIN b USING (doc_id) WHERE coalesce(k, 1) = 1""",
+    "style_distance": f"""WITH w AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)*') AS w FROM documents), total AS (SELECT count(*) AS n FROM documents),
+r AS (SELECT doc_id, word, count(*) / size AS rate FROM (SELECT doc_id, len(w) AS size, unnest(w) AS word FROM w) WHERE word IN ({_FUNCTION_WORDS}) GROUP BY doc_id, word, size),
+s AS (SELECT word, sqrt(greatest(0, sum(rate * rate) / n - (sum(rate) / n) * (sum(rate) / n))) AS dev FROM r, total GROUP BY word, n),
+good AS ({_GOOD}), samples AS (SELECT lang, count(*) AS n FROM good GROUP BY lang),
+a AS (SELECT lang, word, sum(rate) / n AS author_rate FROM r JOIN good USING (doc_id) JOIN samples USING (lang) GROUP BY lang, word, n),
+grid AS (SELECT doc_id, samples.lang AS author_id, word, dev FROM documents, samples, s WHERE dev > 0)
+SELECT doc_id, author_id, round(avg(abs(coalesce(rate, 0) - coalesce(author_rate, 0)) / dev), 6) AS delta
+FROM grid LEFT JOIN r USING (doc_id, word) LEFT JOIN a ON a.lang = author_id AND a.word = grid.word GROUP BY doc_id, author_id""",
     "replay_edits": f"""WITH d AS (SELECT doc_id, {_PARTS.replace('{n}', _NORMAL.replace('{t}', "coalesce(text, '')"))} AS parts FROM documents),
 p AS (SELECT doc_id, CAST(unnest(range(len(parts))) AS INT) AS para_idx, unnest(parts) AS t FROM d)
 SELECT doc_id, para_idx, md5(CASE WHEN para_idx = 0 AND instr(t, 'the') > 0 THEN t[:instr(t, 'the') - 1] || 'THE' || t[instr(t, 'the') + 3:] ELSE t END) AS output_md5,
@@ -388,3 +432,9 @@ SELECT doc_id, phrase, n, CAST(length(before) AS INT) AS first FROM c WHERE n >
     "plain_text": r"""WITH b AS (SELECT conv_id, turn, list_filter(list_transform(string_split_regex(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), '\n\s*\n'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '') AS p FROM conversations)
 SELECT conv_id, turn, CAST(len(p) AS INT) AS n_blocks, md5(array_to_string(list_transform(p, lambda x: regexp_replace(replace(regexp_replace(x, '^#{1,6}\s+', ''), chr(10), ' '), '\*\*([^*]+)\*\*', '\1', 'g')), chr(10) || chr(10))) AS plain_md5 FROM b""",
 }
+#: Flags by type out of the numbers per document; no default flag word occurs.
+ORACLE_SQL["flags_by_source"] = f"""WITH t AS ({ORACLE_SQL["flag_types"]}), u AS (
+  SELECT source, unnest(['Long sentence', 'Passive voice', 'Semicolon', 'Long paragraph', 'Repetitive rhythm']) AS type,
+    unnest([long_sentence, passive_voice, semicolon, long_paragraph, repetitive_rhythm]) AS n FROM t JOIN documents USING (doc_id)),
+fine AS (SELECT source, type, CAST(sum(n) AS BIGINT) AS n, count(*) AS docs FROM u WHERE n > 0 GROUP BY source, type)
+SELECT source, type, n, docs FROM fine UNION ALL SELECT NULL, type, CAST(sum(n) AS BIGINT), CAST(sum(docs) AS BIGINT) FROM fine GROUP BY type"""
