@@ -174,7 +174,8 @@ def held_out(doc_id: str = "doc_id", folds: int = 5) -> F.Column:
 
 
 def training_sample(labelled: DataFrame, texts: int = SAMPLE_TEXTS) -> DataFrame:
-    """``texts`` rows of each label at most, those with the smallest hash of the text.
+    """lang and pieces (SAMPLE_WINDOWS windows of bytes, spread over the text) of ``texts`` rows of each label at
+    most, those with the smallest hash of the text. So the driver gets a few hundred bytes a row.
 
     A first pass counts the labels; only rows below a hash bound that leaves about twice as many as needed
     are ranked, so no label is gathered whole.
@@ -185,22 +186,27 @@ def training_sample(labelled: DataFrame, texts: int = SAMPLE_TEXTS) -> DataFrame
     share = F.least(F.lit(1.0), F.lit(2.0 * texts + 100) / F.col("n"))
     few = own.join(F.broadcast(counts), "lang").filter((F.col("h") / F.lit(2.0**64) + 0.5) <= share)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    # a window of bytes lies anywhere in the text; more than this is never used
-    return few.withColumn("rank", rank).filter(F.col("rank") <= texts).select("text", "lang", "h")
+    data = F.col("text").cast("binary")
+    last = F.greatest(F.lit(1), F.ceil(F.octet_length("text") / WINDOW)) - 1
+
+    def piece(i: int) -> F.Column:
+        at = F.floor(last * i / max(1, SAMPLE_WINDOWS - 1)).cast("int") * WINDOW
+        return F.substring(data, at + 1, F.lit(WINDOW))
+
+    pieces = F.array_distinct(F.array(*map(piece, range(SAMPLE_WINDOWS))))
+    return few.withColumn("rank", rank).filter(F.col("rank") <= texts).select("lang", "h", "rank", pieces.alias("pieces"))
 
 
 def train(labelled: DataFrame, texts: int = SAMPLE_TEXTS) -> dict:
     """Tables of a network trained on a bounded sample of ``labelled(text, lang)``."""
-    sample = sorted(training_sample(labelled, texts).collect(), key=lambda r: (r.lang, r.h, r.text))
+    sample = sorted(training_sample(labelled, texts).collect(), key=lambda r: (r.lang, r.rank))
     labels = sorted({r.lang for r in sample})
     if not labels:
         return {"labels": []}
     x, y = [], []
     for r in sample:
-        rows = windows(r.text.encode())
-        # spread over the text; the last, partly empty window counts too
-        for k in sorted({(len(rows) - 1) * i // max(1, SAMPLE_WINDOWS - 1) for i in range(SAMPLE_WINDOWS)}):
-            x.append(rows[k])
+        for piece in r.pieces:
+            x.append(windows(bytes(piece))[0])
             y.append(labels.index(r.lang))
     net = Network(labels)
     net.train(np.stack(x), np.array(y))
