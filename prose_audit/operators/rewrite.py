@@ -1,8 +1,7 @@
 """Rewriting by a style: every rule as a pass over the text, with a log of every change.
 
 The passes depend on each other (what one rule writes the next one reads), so a paragraph is rewritten by a
-helper in Python, in Arrow batches; rules whose words don't occur in the text are skipped by a substring
-test. Documents are split, rewritten and logged within their row, so nothing is shuffled.
+helper in Python, in Arrow batches; rules whose first word doesn't occur in the text are skipped. Documents are split, rewritten and logged within their row, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -121,20 +120,25 @@ class Rewriter:
     def __init__(self, rules: Rules) -> None:
         self.settings = rules.settings
         self.vault, self.is_verb = Vault(rules.protected), VerbGuard()
-        self.openers = [(p, re.compile(rf"((?:^|[.!?:]{WS}+|\n{WS}*))" + re.escape(p).replace("'", "['’]") + rf"{WS}+([a-zA-Z\0])", re.M)) for p in rules.deletes.get("sentenceStartDeletes", []) if p]
-        self.fillers = [(self._key(p), re.compile(rf"(,{WS}*)?" + literal(p) + rf"({WS}*,)?", AI)) for p in rules.deletes.get("midSentenceDeletes", []) if p]
+        self.openers = [(p, self._first(p), re.compile(rf"((?:^|[.!?:]{WS}+|\n{WS}*))" + re.escape(p).replace("'", "['’]") + rf"{WS}+([a-zA-Z\0])", re.M)) for p in rules.deletes.get("sentenceStartDeletes", []) if p]
+        self.fillers = [(self._first(p), re.compile(rf"(,{WS}*)?" + literal(p) + rf"({WS}*,)?", AI)) for p in rules.deletes.get("midSentenceDeletes", []) if p]
         self.swaps = []
         for name, category in CATEGORIES.items():
             if name == "contractions" and not rules.settings.get("expandContractions"):
                 continue
             # longest first: phrases before the words in them
             ordered = sorted((r for r in rules.swaps.get(name, []) if r[0]), key=lambda r: -len(r[0]))
-            self.swaps += [(category, self._key(find), re.compile(literal(find), AI), to, verb) for find, to, verb in ordered]
+            self.swaps += [(category, self._first(find), re.compile(literal(find), AI), to, verb) for find, to, verb in ordered]
 
     @staticmethod
-    def _key(phrase: str) -> str:
-        """What a text must hold, in lower case and with straight apostrophes, for the phrase to match."""
-        return phrase.lower().replace("’", "'")
+    def _first(phrase: str) -> str:
+        """The phrase's first run of word characters: a text without it among its own can't hold the phrase."""
+        m = re.match("[a-z0-9_]+", phrase.lower())
+        return m[0] if m else ""
+
+    @staticmethod
+    def _runs(text: str) -> set[str]:
+        return {"", *re.findall("[a-z0-9_]+", text.lower())}
 
     def rewrite(self, text: str) -> tuple[str, list[Change]]:
         """Output and changes of one text."""
@@ -144,21 +148,22 @@ class Rewriter:
             text = self._emojis(text, log)
         if self.settings.get("fixDashes"):
             text = self._dashes(text, log)
-        for phrase, pattern in self.openers:
-            text = self._pass(text, pattern, log, lambda m: (OPENER, f"{phrase} …", "(removed)", m[1] + m[2].upper()))
-        low = self._key(text)
-        for key, pattern in self.fillers:
-            if key in low:
+        runs = self._runs(text)
+        for phrase, first, pattern in self.openers:
+            if first in runs:
+                text = self._pass(text, pattern, log, lambda m: (OPENER, f"{phrase} …", "(removed)", m[1] + m[2].upper()))
+        for first, pattern in self.fillers:
+            if first in runs:
                 text = self._pass(text, pattern, log, lambda m: (FILLER, m[0].strip(), "(removed)", ", " if m[1] and m[2] else " "))
         text = re.sub(rf",{WS}*,", ",", re.sub(" ([.,;:!?])", r"\1", re.sub(" {2,}", " ", text)))
-        low = self._key(text)
-        for category, key, pattern, to, verb in self.swaps:
-            if key not in low:
+        runs = self._runs(text)
+        for category, first, pattern, to, verb in self.swaps:
+            if first not in runs:
                 continue
             n = len(log)
             text = self._pass(text, pattern, log, lambda m: None if verb and not self.is_verb(m.string, m.start(), m.end()) else (category, m[0], match_case(m[0], to), match_case(m[0], to)))
             if len(log) > n:
-                low = self._key(text)
+                runs = self._runs(text)
         text = re.sub(" +\n", "\n", re.sub(" {2,}", " ", text))
         return self.vault.give_back(text, kept), [(c, b, a, self.vault.give_back(x, kept)) for c, b, a, x in log]
 
