@@ -68,6 +68,17 @@ def test_encode_texts(spark, oracle):
     assert bpe.encode_texts(df.limit(0), RANKS, P.PATTERN).count() == 0
 
 
+def test_words_equal_the_library():
+    tok = Tokenizer.from_file(WORDS)
+    tok.encode_special_tokens = True
+    own, rng = token_files.encoder(WORDS), random.Random(6)
+    latin = [chr(i) for i in range(256)]
+    texts = [t or "" for t in TEXTS] + latin + ["a" + c + "b" for c in latin] + ["".join(rng.choices(latin, k=rng.randrange(40))) for _ in range(2000)]
+    texts += ["".join(rng.choices("aZé'sStT1½ \xa0.,-\"", k=30)) for _ in range(2000)] + ["".join(rng.choices("aΣσİiı́è é\x1c", k=12)) for _ in range(500)]
+    for text in texts:
+        assert np.frombuffer(own.encode(text), own.dtype).tolist() == tok.encode(text, add_special_tokens=False).ids, text
+
+
 def test_token_files(spark):
     tok = Tokenizer.from_file(WORDS)
     tok.encode_special_tokens = True
