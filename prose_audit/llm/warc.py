@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, file_system, new_folder, write_file
+from .common import arrow_schema, file_system, new_folder, stored, write_file
 
 #: A new archive begins when one has this many bytes.
 ARCHIVE_BYTES = 128 << 20
@@ -193,7 +193,10 @@ def read_warc(manifest: DataFrame, *, with_payload: bool = False) -> DataFrame:
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One row per response or revisit: page_id, url, and the nested request, response and metadata."""
+    """One row per response or revisit: page_id, url, and the nested request, response and metadata.
+
+    The joins are merge joins by hint: records read from archives have no size that a planner could know.
+    """
     main = records.filter(F.col("type").isin("response", "revisit")).select(
         "record_id",
         F.col("target").alias("url"),
@@ -202,7 +205,7 @@ def assemble(records: DataFrame) -> DataFrame:
 
     def joined(kind: str, *columns: str) -> DataFrame:
         own = records.filter((F.col("type") == kind) & F.col("concurrent_to").isNotNull())
-        return own.groupBy(F.col("concurrent_to").alias("record_id")).agg(F.min(F.struct("record_id", *columns)).alias(kind))
+        return own.groupBy(F.col("concurrent_to").alias("record_id")).agg(F.min(F.struct("record_id", *columns)).alias(kind)).hint("merge")
 
     both = main.join(joined("request", "target"), "record_id", "left").join(joined("metadata", "page_id", "refers_to"), "record_id", "left")
     return both.select(F.col("metadata.page_id").alias("page_id"), "url", "request", "response", "metadata")
@@ -211,7 +214,7 @@ def assemble(records: DataFrame) -> DataFrame:
 def captures(pages: DataFrame, *, min_revisit_bytes: int = 0) -> DataFrame:
     """Pages written as archives and read back: page_id, payload_bytes, payload_digest, record_type,
     refers_to, url and the ids of the transaction's records."""
-    rows = assemble(read_warc(write_warc(pages, min_revisit_bytes=min_revisit_bytes)))
+    rows = assemble(stored(read_warc(write_warc(pages, min_revisit_bytes=min_revisit_bytes)), "warc-records"))
     return rows.select(
         "page_id",
         F.coalesce("response.payload_bytes", "response.http_length").alias("payload_bytes"),
