@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, map_arrow, numbered_rows, stored
@@ -31,8 +31,9 @@ BLOCKS, AGREED = (11, 11, 11, 11, 10, 10), 4
 #: Rows, and node pairs, that are worked on at once in a task.
 CHUNK_ROWS, CHUNK_PAIRS = 100_000, 1_000_000
 
-# Near-duplicates by similarity: 256-bit fingerprints, in tables of sampled bits.
-WIDE_WORDS, TABLES, PREFIX_BITS, REST_BITS, REST_BUDGET = 4, 24, 10, 22, 4
+# Near-duplicates by similarity: one in SAMPLED texts tells frequent shingles. Rows of a shingle meet one of
+# them only, for STAR_ROUNDS at most, while all pairs would be over MANY_PAIRS times the rows.
+SAMPLED, HOT_SHINGLES, STAR_ROUNDS, MANY_PAIRS = 8, 50_000, 6, 4
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -58,14 +59,6 @@ def majority(hashes: np.ndarray) -> np.ndarray:
     return 2 * count > len(hashes)
 
 
-def mixed(hashes: np.ndarray, salt: int) -> np.ndarray:
-    """Other hashes of the same shingles: a finaliser over the hash plus a salt."""
-    x = hashes + np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def fingerprint(text: str | None, words: int) -> int:
     """The 64-bit fingerprint."""
     return int.from_bytes(np.packbits(majority(shingle_hashes(text, words))).tobytes(), "big")
@@ -237,131 +230,106 @@ def simhash_components(docs: DataFrame, words: int = 5, budget: int = 2) -> Data
 # near-duplicates by similarity of shingle sets
 
 
-def wide_fingerprint(hashes: np.ndarray) -> bytes:
-    """WIDE_WORDS times 64 bits of distinct shingles."""
-    if not len(hashes):
-        return bytes(8 * WIDE_WORDS)
-    return np.packbits(np.concatenate([majority(mixed(hashes, s)) for s in range(1, WIDE_WORDS + 1)])).tobytes()
-
-
-def bits_at(similarity: float) -> float:
-    """Share of differing bits to expect between sets of this Jaccard similarity (equal sizes)."""
-    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-
-
-def max_bits(similarity: float) -> int:
-    """Differing bits up to which a pair is a candidate: the expected ones and 2.3 standard deviations."""
-    n, p = 64 * WIDE_WORDS, bits_at(similarity)
-    return int(np.ceil(n * p + 2.3 * np.sqrt(n * p * (1 - p))))
-
-
-def _spanning(links: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A forest of the closest links."""
-    i, j, d = (np.concatenate(x) for x in zip(*links))
-    order = np.argsort(d, kind="stable")
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (p := parent.get(x, x)) != x:
-            parent[x] = x = parent.get(p, p)
-        return x
-
-    keep = []
-    for k, a, b in zip(order.tolist(), i[order].tolist(), j[order].tolist()):
-        a, b = find(a), find(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            keep.append(k)
-    return i[keep], j[keep], d[keep]
-
-
-def _row_pairs(starts: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of equal values ``i`` against rows of ``j``. Where both are many, each row meets the first of
-    the other value and the first of its own, so that pairs grow with rows."""
-    few = sizes[i] * sizes[j] <= 4096
-    out_a, out_b = [], []
-    a, b = i[few], j[few]
-    count = sizes[a] * sizes[b]
-    if len(a):
-        k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        wide = np.repeat(sizes[b], count)
-        out_a.append(np.repeat(starts[a], count) + k // wide)
-        out_b.append(np.repeat(starts[b], count) + k % wide)
-    for x, y in ((i[~few], j[~few]), (j[~few], i[~few])):
-        if len(x):
-            k = np.arange(sizes[x].sum()) - np.repeat(np.cumsum(sizes[x]) - sizes[x], sizes[x])
-            out_a.append(np.repeat(starts[x], sizes[x]) + k)
-            out_b.append(np.repeat(starts[y], sizes[x]))
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
-    ordered = a < b
-    return a[ordered], b[ordered]
-
-
-def similar_candidates(distinct: DataFrame, similarity: float) -> DataFrame:
-    """``distinct(node, fp)`` → links (u, v) whose wide fingerprints differ in ``max_bits`` at most.
-
-    TABLES times, PREFIX_BITS sampled bits name a part of the trie and the next REST_BITS are its levels,
-    with REST_BUDGET differing bits allowed; at similarity 0.8 a pair meets in one table at least with
-    probability 0.98. Within a part the links that stay are a forest of the closest ones.
+def least_overlap(size: int, similarity: float) -> int:
+    """Shingles that a set of ``size`` shares at least with any set that is this similar."""
+    return int(np.ceil(similarity * size - 1e-6))
+
+
+def prefix(hashes: np.ndarray, similarity: float, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of a set, in an order that is the same for all sets: two sets that are this similar
+    share one of these. ``hot`` is sorted hashes and their ranks; they come last, so that a prefix is seldom
+    made of shingles of many texts."""
+    token, rank = hot
+    order = hashes
+    if len(token) and len(hashes):
+        at = np.minimum(np.searchsorted(token, hashes), len(token) - 1)
+        order = hashes[np.lexsort((hashes, np.where(token[at] == hashes, rank[at] + 1, 0)))]
+    return order[: len(hashes) - least_overlap(len(hashes), similarity) + 1 if len(hashes) else 0]
+
+
+def hot_shingles(texts: DataFrame, words: int, share: int = SAMPLED) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles of every ``share``-th text, HOT_SHINGLES at most: sorted hashes, and ranks by frequency.
+
+    They only shape the order of shingles; any choice gives the same links.
     """
-    spark = distinct.sparkSession
-    n_bits = 64 * WIDE_WORDS
-    sample = np.random.default_rng(SEED)
-    chosen = np.stack([sample.permutation(n_bits)[: PREFIX_BITS + REST_BITS] for _ in range(TABLES)])
-    weight_key, weight_rest = (1 << np.arange(PREFIX_BITS)[::-1]), (1 << np.arange(REST_BITS)[::-1])
-    limit = max_bits(similarity)
-    schema = "t int, key int, rest int, node long, fp binary"
-    out = arrow_schema(spark, schema)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            node, fp = batch.column(0), batch.column(1)
-            bits = np.unpackbits(np.frombuffer(b"".join(fp.to_pylist()), np.uint8)).reshape(-1, n_bits)
-            for t in range(TABLES):
-                own = bits[:, chosen[t]].astype(np.int64)
-                key, rest = own[:, :PREFIX_BITS] @ weight_key, own[:, PREFIX_BITS:] @ weight_rest
-                columns = [np.full(len(key), t, np.int32), key.astype(np.int32), rest.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), node, fp.cast(pa.binary())], schema=out)
-
-    pairs = arrow_schema(spark, "u long, v long")
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, key, rest, node, fp in _whole_groups(batches, 2):
-            words = np.frombuffer(b"".join(fp.tolist()), np.uint64).reshape(-1, WIDE_WORDS)
-            group = _group_ids([t, key])
-            order = np.lexsort((node, rest, group))
-            group, rest, node, words = group[order], rest[order], node[order], words[order]
-            value = _group_ids([group, rest])
-            starts = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
-            sizes = np.diff(np.concatenate([starts, [len(value)]]))
-            many = np.flatnonzero(sizes > 1)
-            links: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            held = 0
-
-            def met(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-                yield many, many
-                yield from found
-
-            for i, j in met(trie_pairs(group[starts], rest[starts], REST_BITS, REST_BUDGET)):
-                a, b = _row_pairs(starts, sizes, i, j)
-                d = np.bitwise_count(words[a] ^ words[b]).sum(1, dtype=np.int64)
-                near = d <= limit
-                if near.any():
-                    links.append((a[near], b[near], d[near]))
-                    held += int(near.sum())
-                    if held > CHUNK_PAIRS:
-                        links = [_spanning(links)]
-                        held = len(links[0][0])
-            if links:
-                a, b, _ = _spanning(links)
-                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], schema=pairs)
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5000")
-    rows = distinct.select("node", "fp").mapInArrow(deal, schema)
-    found = rows.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(link, "u long, v long")
-    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+    def step(c: dict[str, list]) -> dict[str, list]:
+        found = [np.unique(shingle_hashes(t, words)) for t in c["text"]]
+        return {"token": np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)}
+
+    some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text")
+    counts = map_arrow(some, step, "token long").groupBy("token").agg(F.count("*").alias("n")).filter("n > 2")
+    rows = counts.orderBy(F.desc("n"), "token").limit(HOT_SHINGLES).select("token").collect()
+    token = np.array([r.token for r in reversed(rows)], np.int64).view(np.uint64)
+    order = np.argsort(token)
+    return token[order], np.arange(len(token))[order]
+
+
+def shared_postings(distinct: DataFrame) -> DataFrame:
+    """``distinct(node, size, prefix)`` → token, node, size, pos: of the prefixes what two nodes have at least."""
+    rows = distinct.select("node", "size", F.posexplode("prefix").alias("pos", "token"))
+    several = rows.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
+    return rows.join(several, "token").select("token", "node", "size", "pos")
+
+
+def _may_link(similarity: float) -> Column:
+    """Whether rows a and b of a token can belong to similar sets, if it is the first that the sets share."""
+    least = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("a.size") + F.col("b.size")) - 1e-6)
+    after = F.least(F.col("a.size") - F.col("a.pos"), F.col("b.size") - F.col("b.pos"))
+    return after >= least
+
+
+def _pairs(joined: DataFrame, similarity: float) -> DataFrame:
+    found = joined.filter((F.col("a.root") != F.col("b.root")) & _may_link(similarity))
+    return found.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+
+
+def _star_pairs(rows: DataFrame, salt: int, similarity: float) -> DataFrame:
+    """Each row of a token with one row of the token, another one for each salt."""
+    pick = F.struct(F.xxhash64("node", F.lit(salt)).alias("h"), "node", "root", "size", "pos")
+    center = rows.groupBy("token").agg(F.min(pick).alias("c")).select("token", "c.node", "c.root", "c.size", "c.pos")
+    return _pairs(rows.alias("a").join(center.alias("b"), F.col("a.token") == F.col("b.token")), similarity)
+
+
+def _cross_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of rows of a token that are in different groups."""
+    open_tokens = rows.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("token")
+    left = rows.join(open_tokens, "token")
+    return _pairs(left.alias("a").join(left.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.root") < F.col("b.root"))), similarity)
+
+
+def _cross_count(rows: DataFrame) -> int:
+    """How many rows _cross_pairs joins."""
+    by_root = rows.groupBy("token", "root").agg(F.count("*").cast("double").alias("n"))
+    by_token = by_root.groupBy("token").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("n"))
+    return int(by_token.agg(F.sum("n")).first()[0] or 0) // 2
+
+
+def similar_roots(shared: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``shared_postings`` and ``texts(node, text)`` → (node, root) of the groups that links of this Jaccard similarity reach.
+
+    Every candidate is checked exactly before it counts. Rows of a token meet one of its rows first, so that
+    groups of many near-copies grow together without all their pairs; at the end all pairs of rows that are
+    still in different groups meet, so no link between groups is left out.
+    """
+    size, rooted, links, checked = shared.count(), shared.withColumn("root", F.col("node")), None, None
+    left = _cross_count(rooted)
+    salt = 0
+    while left:
+        last = left <= MANY_PAIRS * size or salt == STAR_ROUNDS
+        pairs = _cross_pairs(rooted, similarity) if last else _star_pairs(rooted, salt, similarity)
+        if checked is not None:
+            pairs = pairs.join(checked, ["u", "v"], "left_anti")
+        pairs = stored(pairs, "dedup-candidates")
+        found = stored(similar_links(texts, pairs, words, similarity), "dedup-links")
+        links = found if links is None else links.union(found)
+        if last:
+            break
+        checked = pairs if checked is None else checked.union(pairs)
+        roots = stored(connected_components(links), "dedup-roots").withColumnRenamed("node", "n")
+        rooted = shared.join(roots, F.col("node") == F.col("n"), "left").select(*shared.columns, F.coalesce("root", "node").alias("root"))
+        left, salt = _cross_count(rooted), salt + 1
+    return connected_components(links if links is not None else shared.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0))
 
 
 def similar_links(distinct: DataFrame, candidates: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -399,25 +367,27 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
     are linked; groups are what links reach. Texts without words are copies of each other. The columns of
     ``docs`` are returned; rows that agree in all columns are one document.
     """
-    schema = "row struct<file:bigint,index:bigint>, doc_id long, text string, node long, fp binary"
+    schema = "row struct<file:bigint,index:bigint>, doc_id long, node long, size int, prefix array<long>"
+    numbered = numbered_rows(docs)
+    base = numbered.select("row", F.col("document.doc_id").cast("long").alias("doc_id"), "document.text")
+    hot = hot_shingles(base.select("text"), words)
 
     def step(c: dict[str, list]) -> dict[str, list]:
-        node, fp = [], []
+        node, size, first = [], [], []
         for text in c["text"]:
-            hashes = shingle_hashes(text, words)
+            hashes = np.unique(shingle_hashes(text, words))
             joined = b" ".join((text or "").encode().lower().split())
             node.append(xxhash.xxh64_intdigest(joined, 7))
-            fp.append(wide_fingerprint(np.unique(hashes)))
-        return {"row": c["row"], "doc_id": c["doc_id"], "text": c["text"], "node": np.array(node, np.uint64).view(np.int64), "fp": fp}
-
-    numbered = numbered_rows(docs)
-    base = numbered.select("row", F.col("document.doc_id").cast("long").alias("doc_id"), "document.text")
-    marked = stored(map_arrow(base, step, schema).drop("text"), "dedup-marks")
-    distinct = marked.groupBy("node").agg(F.min("row").alias("row"), F.first("fp").alias("fp"))
-    candidates = stored(similar_candidates(distinct, similarity), "dedup-candidates")
-    ends = candidates.select(F.col("u").alias("node")).union(candidates.select("v")).distinct()
-    involved = ends.join(distinct.select("node", "row"), "node").join(numbered.select("row", "document.text"), "row")
-    roots = connected_components(similar_links(involved.select("node", F.coalesce("text", F.lit("")).alias("text")), candidates, words, similarity))
+            size.append(len(hashes))
+            first.append(prefix(hashes, similarity, hot).view(np.int64))
+        return {"row": c["row"], "doc_id": c["doc_id"], "node": np.array(node, np.uint64).view(np.int64), "size": size, "prefix": first}
+
+    marked = stored(map_arrow(base, step, schema), "dedup-marks")
+    distinct = marked.groupBy("node").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    shared = stored(shared_postings(distinct), "dedup-postings")
+    rows = shared.select("node").distinct().join(marked.groupBy("node").agg(F.min("row").alias("row")), "node")
+    texts = rows.join(numbered.select("row", "document.text"), "row").select("node", F.coalesce("text", F.lit("")).alias("text"))
+    roots = similar_roots(shared, stored(texts, "dedup-texts"), words, similarity)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     least = marked.groupBy("node").agg(F.min(order).alias("first"))
     rooted = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -113,3 +113,36 @@ def test_keep_one(spark):
     kept = sorted(r.doc_id for r in got.collect())
     assert kept == want
     assert simhash.keep_one(df.limit(0)).count() == 0
+
+
+def word_sets(texts):
+    out = []
+    for t in texts:
+        w = t.lower().split()
+        out.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    return out
+
+
+def check_kept(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    s = word_sets(texts)
+    root = brute_components(range(len(texts)), lambda a, b: 5 * len(s[a] & s[b]) >= 4 * len(s[a] | s[b]))
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == sorted(set(root.values()))
+    return len(set(root.values()))
+
+
+def variants(seed, n, length, least, most):
+    rng = random.Random(seed)
+    base = [f"v{rng.randrange(3000)}" for _ in range(length)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for at in rng.sample(range(length), rng.randrange(least, most + 1)):
+            w[at] = f"r{rng.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_keep_one_family_near_the_threshold(spark):
+    assert check_kept(spark, variants(42, 100, 250, 3, 5)) > 1
+    assert check_kept(spark, variants(42, 200, 400, 3, 8)) > 1
