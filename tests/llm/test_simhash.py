@@ -131,6 +131,15 @@ def check_kept(spark, texts):
     return len(set(root.values()))
 
 
+def test_keep_one_short_texts(spark):
+    rng = random.Random(11)
+    texts = []
+    for k in range(60):  # 5 shingles and 4 of them, 15 and 12
+        w = [f"k{k}x{i}{rng.randrange(1000)}" for i in range(19)]
+        texts += [" ".join(w[:9]), " ".join(w[:8])] if k % 2 else [" ".join(w), " ".join(w[:16])]
+    assert check_kept(spark, texts) == 60
+
+
 def variants(seed, n, length, least, most):
     rng = random.Random(seed)
     base = [f"v{rng.randrange(3000)}" for _ in range(length)]
