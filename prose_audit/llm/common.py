@@ -10,9 +10,9 @@ from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows in one Arrow batch that goes to a Python worker: texts can be long, so a batch stays small.
 ARROW_ROWS = 1000
@@ -49,16 +49,9 @@ def stored(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
 
 
 def numbered_rows(docs: DataFrame) -> DataFrame:
-    """``row`` (a struct<file, index> that stays the same whenever the rows are read) and ``document``, the row.
-
-    Rows of files have their place in the file; other rows are first stored with numbers.
-    """
+    """``row`` (a long that no other row has) and ``document``, the row, stored so that numbers stay the same."""
     document = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document")
-    try:
-        return docs.select(F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("index")).alias("row"), document)
-    except AnalysisException:  # no scan of files
-        number = F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("index")).alias("row")
-        return stored(docs.select(number, document), "rows")
+    return stored(docs.select(F.monotonically_increasing_id().alias("row"), document), "rows")
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -82,22 +75,38 @@ def write_file(uri: str, chunks: Iterator[bytes] | list[bytes], attempt: str) ->
     return size
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, rows: int = ARROW_ROWS) -> DataFrame:
+    """``mapInArrow`` whose batches have ``rows`` rows or a few more, whatever the session's batch size."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                held.append(batch.slice(at, rows))
+                n += held[-1].num_rows
+                if n >= rows:
+                    yield held[0] if len(held) == 1 else pa.concat_batches(held)
+                    held, n = [], 0
+        if held:
+            yield held[0] if len(held) == 1 else pa.concat_batches(held)
+
+    return df.mapInArrow(lambda batches: run(cut(batches)), schema)
+
+
 def map_arrow(df: DataFrame, step: Callable[[dict[str, list]], dict[str, list]], schema: str, rows: int = ARROW_ROWS) -> DataFrame:
     """Each Arrow batch as a dict of lists through ``step``, which returns the columns of ``schema``."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    out = arrow_schema(spark, schema)
+    out = arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = step({name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)})
             yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in out], schema=out)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema, rows)
 
 
 def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
     return to_arrow_schema(StructType.fromDDL(ddl))

@@ -1,8 +1,9 @@
 """Connected components of a table of links, by alternating star steps.
 
-Every step is a group-by with a minimum (combined before the shuffle) and an equi-join, so a node with a
-third of all links is spread by adaptive skew handling and never gathered as a list. Each round is cut
-with checkpoint() in the shared folder.
+Every step is a group-by with a minimum (combined before the shuffle) and an equi-join. A node with over
+1 of HOT_SHARE links is joined by broadcast, and there are at most 2 * HOT_SHARE such nodes whatever the
+input; so the join of a node with a third of all links is dealt over all tasks. Each round is cut with
+checkpoint() in the shared folder.
 """
 
 from __future__ import annotations
@@ -13,18 +14,29 @@ from pyspark.sql import functions as F
 from .common import shared_root
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+HOT_SHARE = 500
+
+
+def _with_least(rows: DataFrame, least: DataFrame, links: int) -> DataFrame:
+    """``rows(u, v)`` with m of ``least(u, m, n)``, where n is the number of the node's rows."""
+    hot = least.filter(F.col("n") > links / HOT_SHARE).select("u", F.col("m").alias("hot"))
+    marked = rows.join(F.broadcast(hot), "u", "left")
+    rest = marked.filter("hot is null").select("u", "v").join(least.select("u", "m"), "u")
+    return marked.filter("hot is not null").select("u", "v", F.col("hot").alias("m")).union(rest.select("u", "v", "m"))
+
+
+def _large_star(edges: DataFrame, links: int) -> DataFrame:
     """Links each neighbour above a node to the smallest node around it."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+    return _with_least(both.filter("v > u"), least, links).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, links: int) -> DataFrame:
     """Links the smaller neighbours of a node, and the node, to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    linked = down.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    linked = _with_least(down, least, links).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return linked.union(least.select("u", F.col("m").alias("v")))
 
 
@@ -36,11 +48,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     shared_root(edges.sparkSession)
     edges = edges.select("u", "v").filter("u != v").distinct().checkpoint()
-    before = None
+    before, links = None, edges.count()
     for _ in range(max_rounds):
-        edges = _small_star(_large_star(edges)).distinct().checkpoint()
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        edges = _small_star(_large_star(edges, links), links).distinct().checkpoint()
+        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
-        before = state
+        before, links = state, state.n
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, map_arrow, numbered_rows, stored
+from .common import arrow_schema, map_arrow, map_batches, numbered_rows, stored
 from .components import connected_components
 
 SEED = 42
@@ -31,9 +31,11 @@ BLOCKS, AGREED = (11, 11, 11, 11, 10, 10), 4
 #: Rows, and node pairs, that are worked on at once in a task.
 CHUNK_ROWS, CHUNK_PAIRS = 100_000, 1_000_000
 
-# Near-duplicates by similarity: one in SAMPLED texts tells frequent shingles. Rows of a shingle meet one of
-# them only, for STAR_ROUNDS at most, while all pairs would be over MANY_PAIRS times the rows.
-SAMPLED, HOT_SHINGLES, STAR_ROUNDS, MANY_PAIRS = 8, 50_000, 6, 4
+# Near-duplicates by similarity: one in SAMPLED texts tells frequent shingles. Rows of a shingle are searched in
+# blocks of BLOCK_ROWS; of a block with over THIN_PAIRS pairs a row, ROUNDS rounds check a forest only before all
+# pairs that are still between two groups are checked.
+SAMPLED, HOT_SHINGLES, BLOCK_ROWS, THIN_PAIRS, ROUNDS = 8, 50_000, 2048, 8, 2
+SKETCH_WORDS, LEAF_PAIRS = 4, 256
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -193,7 +195,6 @@ def hamming_links(fps: DataFrame, budget: int = 2) -> DataFrame:
     signed = [m - (1 << 64) if m >> 63 else m for m, _ in masks]
     parts = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("c", "key")
     rows = fps.select("fp", parts).select("c", "key", "fp").repartition("c", "key").sortWithinPartitions("c", "key")
-    fps.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     out = arrow_schema(fps.sparkSession, "u long, v long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +213,7 @@ def hamming_links(fps: DataFrame, budget: int = 2) -> DataFrame:
                 linked = np.flatnonzero(root != np.arange(len(fp)))
                 yield pa.RecordBatch.from_arrays([pa.array(fp[linked]), pa.array(fp[root[linked]])], schema=out)
 
-    return rows.mapInArrow(run, "u long, v long")
+    return map_batches(rows, run, "u long, v long", rows=20_000)
 
 
 def simhash_components(docs: DataFrame, words: int = 5, budget: int = 2) -> DataFrame:
@@ -265,71 +266,206 @@ def hot_shingles(texts: DataFrame, words: int, share: int = SAMPLED) -> tuple[np
     return token[order], np.arange(len(token))[order]
 
 
-def shared_postings(distinct: DataFrame) -> DataFrame:
-    """``distinct(node, size, prefix)`` → token, node, size, pos: of the prefixes what two nodes have at least."""
-    rows = distinct.select("node", "size", F.posexplode("prefix").alias("pos", "token"))
-    several = rows.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token")
-    return rows.join(several, "token").select("token", "node", "size", "pos")
+def parity_sketch(hashes: np.ndarray) -> np.ndarray:
+    """256 bits, as signed longs: a bit is the parity of the shingles that fall on it. So the sketches of two sets
+    differ in no more bits than the sets have shingles that only one of them has."""
+    odd = np.bincount((hashes & np.uint64(64 * SKETCH_WORDS - 1)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _may_link(similarity: float) -> Column:
-    """Whether rows a and b of a token can belong to similar sets, if it is the first that the sets share."""
-    least = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("a.size") + F.col("b.size")) - 1e-6)
-    after = F.least(F.col("a.size") - F.col("a.pos"), F.col("b.size") - F.col("b.pos"))
-    return after >= least
+def shared_postings(distinct: DataFrame) -> DataFrame:
+    """``distinct(node, size, prefix, sketch)`` → token, node, size, pos, sketch and n, the rows of the token: of the
+    prefixes what two nodes have at least."""
+    rows = distinct.select("node", "size", "sketch", F.posexplode("prefix").alias("pos", "token"))
+    several = rows.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
+    return rows.join(several, "token").select("token", "node", "size", "pos", "sketch", "n")
+
+
+def _ranges(alo: np.ndarray, ahi: np.ndarray, blo: np.ndarray, bhi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs i < j of pairs of ranges, about CHUNK_PAIRS at once."""
+    width = bhi - blo
+    n = (ahi - alo) * width
+    ends = np.cumsum(n)
+    cuts = np.searchsorted(ends, np.arange(0, int(ends[-1]), CHUNK_PAIRS))
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(n)]):
+        if a == b:
+            continue
+        own = np.repeat(np.arange(a, b), n[a:b])
+        off = np.arange(len(own)) - np.repeat(ends[a:b] - n[a:b] - (ends[a] - n[a]), n[a:b])
+        i, j = alo[own] + off // width[own], blo[own] + off % width[own]
+        up = i < j
+        yield i[up], j[up]
 
 
-def _pairs(joined: DataFrame, similarity: float) -> DataFrame:
-    found = joined.filter((F.col("a.root") != F.col("b.root")) & _may_link(similarity))
-    return found.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+def sketch_pairs(group: np.ndarray, sketch: np.ndarray, size: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i < j of one group that may be this similar by size and sketch; none that is gets lost.
 
+    Sets of sizes a and b with Jaccard similarity s differ in (a + b)(1 - s)/(1 + s) shingles at most, which bounds
+    the differing bits of their sketches. Rows are sorted by group and first sketch word; pairs of nodes of the trie
+    over that word are traversed together and pruned when the bits that differ so far are over the budget of
+    the group's largest set. Pairs of small nodes, and those below the last bit, are compared row by row.
+    """
+    spread = (1 - similarity) / (1 + similarity)
+    n = len(group)
+    start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    end = np.concatenate([start[1:], [n]])
+    most = np.floor(2 * np.maximum.reduceat(size, start) * spread + 1e-6).astype(np.int64)
+    word = sketch[:, 0]
+    ones = [np.concatenate([[0], np.cumsum((word >> np.uint64(b)) & np.uint64(1))]).astype(np.int32) for b in range(64)]
+    several = end - start > 1
+    stack = [(63, (start[several], end[several], start[several], end[several], np.zeros(int(several.sum()), np.int64), most[several]))]
+    while stack:
+        level, nodes = stack.pop()
+        if len(nodes[0]) > CHUNK_PAIRS:
+            half = len(nodes[0]) // 2
+            stack += [(level, tuple(x[half:] for x in nodes)), (level, tuple(x[:half] for x in nodes))]
+            continue
+        alo, ahi, blo, bhi, diff, most = nodes
+        leaf = (ahi - alo) * (bhi - blo) <= LEAF_PAIRS if level >= 0 else np.ones(len(alo), bool)
+        if leaf.any():
+            for i, j in _ranges(alo[leaf], ahi[leaf], blo[leaf], bhi[leaf]):
+                both = size[i] + size[j]
+                ok = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-6
+                i, j, both = i[ok], j[ok], both[ok]
+                ok = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64) <= np.floor(both * spread + 1e-6)
+                if ok.any():
+                    yield i[ok], j[ok]
+        alo, ahi, blo, bhi, diff, most = (x[~leaf] for x in nodes)
+        if not len(alo):
+            continue
+        one = ones[level]
+        amid, bmid = ahi - (one[ahi] - one[alo]), bhi - (one[bhi] - one[blo])
+        cross = (alo != blo) | (ahi != bhi)
+        parts = [
+            (alo, amid, blo, bmid, diff, most),
+            (amid, ahi, bmid, bhi, diff, most),
+            (alo, amid, bmid, bhi, diff + 1, most),
+            (amid[cross], ahi[cross], blo[cross], bmid[cross], diff[cross] + 1, most[cross]),
+        ]
+        nodes = [np.concatenate(x) for x in zip(*parts)]
+        keep = (nodes[1] > nodes[0]) & (nodes[3] > nodes[2]) & (nodes[4] <= nodes[5])
+        stack.append((level - 1, tuple(x[keep] for x in nodes)))
 
-def _star_pairs(rows: DataFrame, salt: int, similarity: float) -> DataFrame:
-    """Each row of a token with one row of the token, another one for each salt."""
-    pick = F.struct(F.xxhash64("node", F.lit(salt)).alias("h"), "node", "root", "size", "pos")
-    center = rows.groupBy("token").agg(F.min(pick).alias("c")).select("token", "c.node", "c.root", "c.size", "c.pos")
-    return _pairs(rows.alias("a").join(center.alias("b"), F.col("a.token") == F.col("b.token")), similarity)
 
+def spanning(i: np.ndarray, j: np.ndarray, weight: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Indices of a forest of the links (i, j), light ones first, that joins whatever groups ``of`` rows the links
+    join: every group picks its lightest link to another one, and groups so joined are one."""
+    of = np.unique(of, return_inverse=True)[1]
+    rank = np.empty(len(i), np.int64)
+    rank[np.argsort(weight, kind="stable")] = np.arange(len(i))
+    link = np.argsort(rank)
+    chosen: list[np.ndarray] = []
+    while True:
+        a, b = of[i], of[j]
+        live = a != b
+        if not live.any():
+            return np.unique(np.concatenate(chosen)) if chosen else np.zeros(0, np.int64)
+        best = np.full(int(of.max()) + 1, len(i))
+        np.minimum.at(best, a[live], rank[live])
+        np.minimum.at(best, b[live], rank[live])
+        picked = link[best[best < len(i)]]
+        chosen.append(picked)
+        of = local_roots(len(best), of[i[picked]], of[j[picked]])[of]
+
+
+def _blocks(rows: DataFrame, salt: int) -> DataFrame:
+    """``rows(token, node, n, ...)`` with the block that each is in: token, x, y, side (0 everywhere)."""
+    x = F.pmod(F.xxhash64("node", F.lit(salt)), F.ceil(F.col("n") / BLOCK_ROWS)).cast("int")
+    return rows.select("token", x.alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side"), *[c for c in rows.columns if c != "token"])
+
+
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """``rows(token, node, root, n, ...)`` once for each pair (x, y) of blocks of its token that its block, ``side``,
+    is in. Rows of the token's largest group meet those of the others only, so that they are repeated but as many
+    times as the others have blocks. Tokens of one group are left out."""
+    per_root = rows.groupBy("token", "root").agg(F.count("*").alias("m"))
+    big = per_root.groupBy("token").agg(F.max_by("root", F.struct("m", "root")).alias("big"), F.max("m").alias("of_big"), F.count("*").alias("roots"))
+    own = rows.join(big.filter("roots > 1").drop("roots"), "token")
+    small, large = (F.ceil(x / BLOCK_ROWS).cast("int") for x in (F.col("n") - F.col("of_big"), F.col("of_big")))
+    hashed = F.xxhash64("node", F.lit(99))
+    side = F.when(F.col("n") <= BLOCK_ROWS, 0).when(F.col("root") == F.col("big"), small + F.pmod(hashed, large)).otherwise(F.pmod(hashed, small)).cast("int")
+    last = F.when(F.col("n") <= BLOCK_ROWS, 0).when(F.col("root") == F.col("big"), small - 1).otherwise(small + large - 1).cast("int")
+    placed = own.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    pair = [F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y")]
+    return placed.select("token", *pair, "side", *[c for c in rows.columns if c != "token"])
+
+
+def candidate_pairs(placed: DataFrame, similarity: float, thin: bool) -> DataFrame:
+    """Of blocks by (token, x, y) the pairs (u, v) of nodes in different groups that may be similar; for a token of
+    which more are left, because it was cut into blocks or ``thin`` kept a forest only, a row (null, null, token)."""
+    columns = ["token", "x", "y", "node", "root", "side", "size", "pos", "n"] + [F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH_WORDS)]
+    rows = placed.select(*columns).repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
+    out = arrow_schema(placed.sparkSession, "u long, v long, token long")
+    spread = (1 - similarity) / (1 + similarity)
 
-def _cross_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """All pairs of rows of a token that are in different groups."""
-    open_tokens = rows.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("token")
-    left = rows.join(open_tokens, "token")
-    return _pairs(left.alias("a").join(left.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.root") < F.col("b.root"))), similarity)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _whole_groups(batches, 3):
+            group = _group_ids(held[:3])
+            order = np.lexsort((held[9].view(np.uint64), group))
+            token, x, y, node, root, side, size, pos, n = (c[order] for c in held[:9])
+            group, sketch, size, pos = group[order], np.stack([c[order].view(np.uint64) for c in held[9:]], 1), size.astype(np.int64), pos.astype(np.int64)
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            held_pairs = 0
+            for i, j in sketch_pairs(group, sketch, size, similarity):
+                # if this is the first token that the sets share, so many are left to share at most
+                after = np.minimum(size[i] - pos[i], size[j] - pos[j])
+                least = np.ceil((size[i] + size[j]) * (similarity / (1 + similarity)) - 1e-6)
+                ok = (root[i] != root[j]) & (after >= least) & ((side[i] != side[j]) | (x[i] == y[i]) | thin)
+                found.append((i[ok], j[ok]))
+                held_pairs += int(ok.sum())
+                if not thin and held_pairs > CHUNK_PAIRS:
+                    yield _links(node, found, out)
+                    found, held_pairs = [], 0
+            more = np.zeros(0, np.int64)
+            if thin:
+                more = token[n > BLOCK_ROWS]
+                if found:
+                    i, j = (np.concatenate(c) for c in zip(*found))
+                    rows_of, pairs_of = np.bincount(group), np.bincount(group[i], minlength=int(group.max()) + 1)
+                    dense = pairs_of > THIN_PAIRS * rows_of
+                    more = np.concatenate([more, token[dense[group]]])
+                    much = dense[group[i]]
+                    a, b = i[much], j[much]
+                    weight = np.bitwise_count(sketch[a] ^ sketch[b]).sum(1, dtype=np.int64) / np.maximum(1, (size[a] + size[b]) * spread)
+                    # groups of rows apart for each token
+                    few = spanning(a, b, weight, np.unique(np.stack([group, root]), axis=1, return_inverse=True)[1].reshape(-1))
+                    found = [(i[~much], j[~much]), (a[few], b[few])]
+            if found:
+                yield _links(node, found, out)
+            more = np.unique(more)
+            if len(more):
+                none = pa.nulls(len(more), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(more)], schema=out)
 
+    return map_batches(rows, run, "u long, v long, token long", rows=20_000)
 
-def _cross_count(rows: DataFrame) -> int:
-    """How many rows _cross_pairs joins."""
-    by_root = rows.groupBy("token", "root").agg(F.count("*").cast("double").alias("n"))
-    by_token = by_root.groupBy("token").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("n"))
-    return int(by_token.agg(F.sum("n")).first()[0] or 0) // 2
+
+def _links(node: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], out: pa.Schema) -> pa.RecordBatch:
+    i, j = (np.concatenate(c) for c in zip(*found))
+    both = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.nulls(both.shape[1], pa.int64())], schema=out)
 
 
 def similar_roots(shared: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """``shared_postings`` and ``texts(node, text)`` → (node, root) of the groups that links of this Jaccard similarity reach.
 
-    Every candidate is checked exactly before it counts. Rows of a token meet one of its rows first, so that
-    groups of many near-copies grow together without all their pairs; at the end all pairs of rows that are
-    still in different groups meet, so no link between groups is left out.
+    Every candidate is checked exactly before it counts. Of dense blocks a forest is checked first, so that
+    groups of many near-copies grow together without all their pairs; in the last round all pairs of rows of the
+    tokens still open that are in different groups meet, so no link between groups is left out.
     """
-    size, rooted, links, checked = shared.count(), shared.withColumn("root", F.col("node")), None, None
-    left = _cross_count(rooted)
-    salt = 0
-    while left:
-        last = left <= MANY_PAIRS * size or salt == STAR_ROUNDS
-        pairs = _cross_pairs(rooted, similarity) if last else _star_pairs(rooted, salt, similarity)
-        if checked is not None:
-            pairs = pairs.join(checked, ["u", "v"], "left_anti")
-        pairs = stored(pairs, "dedup-candidates")
-        found = stored(similar_links(texts, pairs, words, similarity), "dedup-links")
-        links = found if links is None else links.union(found)
-        if last:
+    links, rooted = None, shared.withColumn("root", F.col("node"))
+    for k in range(ROUNDS + 1):
+        thin = k < ROUNDS
+        found = stored(candidate_pairs(_blocks(rooted, k) if thin else _block_pairs(rooted), similarity, thin), "dedup-candidates")
+        checked = stored(similar_links(texts, found.filter("token is null").select("u", "v").distinct(), words, similarity), "dedup-links")
+        links = checked if links is None else links.union(checked)
+        still = found.filter("token is not null").select("token").distinct()
+        if not thin or still.isEmpty():
             break
-        checked = pairs if checked is None else checked.union(pairs)
-        roots = stored(connected_components(links), "dedup-roots").withColumnRenamed("node", "n")
-        rooted = shared.join(roots, F.col("node") == F.col("n"), "left").select(*shared.columns, F.coalesce("root", "node").alias("root"))
-        left, salt = _cross_count(rooted), salt + 1
-    return connected_components(links if links is not None else shared.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0))
+        roots = stored(connected_components(links), "dedup-roots").withColumnRenamed("node", "n_")
+        left = shared.join(still, "token", "left_semi")
+        rooted = left.join(roots, F.col("node") == F.col("n_"), "left").select(*shared.columns, F.coalesce("root", "node").alias("root"))
+    return connected_components(links)
 
 
 def similar_links(distinct: DataFrame, candidates: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -363,27 +499,33 @@ def similar_links(distinct: DataFrame, candidates: DataFrame, words: int, simila
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that with the smallest doc_id (nulls last).
 
-    Texts with equal sequences of words are copies; texts whose sets of shingles have the Jaccard similarity
-    are linked; groups are what links reach. Texts without words are copies of each other. The columns of
-    ``docs`` are returned; rows that agree in all columns are one document.
+    Texts with equal sets of shingles are copies; texts whose sets of shingles have the Jaccard similarity are
+    linked; groups are what links reach. Candidates come from a join of prefixes (sets this similar share one of
+    the first shingles of any common order) and, within a shingle, from the trie self-join over parity sketches;
+    both lose no link, up to collisions of 64-bit hashes.
+
+    Defined cases: a null text is the empty text; texts without words are copies of each other; a text with fewer
+    words than a shingle is one shingle; repeated rows are copies, of which one stays; of equal smallest doc_ids
+    either row stays; an empty table gives no rows. The columns of ``docs`` are returned, whatever their names.
     """
-    schema = "row struct<file:bigint,index:bigint>, doc_id long, node long, size int, prefix array<long>"
+    schema = "row long, doc_id long, node long, size int, prefix array<long>, sketch array<long>"
     numbered = numbered_rows(docs)
     base = numbered.select("row", F.col("document.doc_id").cast("long").alias("doc_id"), "document.text")
     hot = hot_shingles(base.select("text"), words)
 
     def step(c: dict[str, list]) -> dict[str, list]:
-        node, size, first = [], [], []
+        node, size, first, sketch = [], [], [], []
         for text in c["text"]:
             hashes = np.unique(shingle_hashes(text, words))
-            joined = b" ".join((text or "").encode().lower().split())
-            node.append(xxhash.xxh64_intdigest(joined, 7))
+            node.append(xxhash.xxh64_intdigest(hashes.tobytes(), 7))
             size.append(len(hashes))
             first.append(prefix(hashes, similarity, hot).view(np.int64))
-        return {"row": c["row"], "doc_id": c["doc_id"], "node": np.array(node, np.uint64).view(np.int64), "size": size, "prefix": first}
+            sketch.append(parity_sketch(hashes))
+        return {"row": c["row"], "doc_id": c["doc_id"], "node": np.array(node, np.uint64).view(np.int64), "size": size, "prefix": first, "sketch": sketch}
 
     marked = stored(map_arrow(base, step, schema), "dedup-marks")
-    distinct = marked.groupBy("node").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    same = ["size", "prefix", "sketch"]
+    distinct = marked.groupBy("node").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in same])
     shared = stored(shared_postings(distinct), "dedup-postings")
     rows = shared.select("node").distinct().join(marked.groupBy("node").agg(F.min("row").alias("row")), "node")
     texts = rows.join(numbered.select("row", "document.text"), "row").select("node", F.coalesce("text", F.lit("")).alias("text"))

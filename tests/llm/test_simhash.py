@@ -155,3 +155,48 @@ def variants(seed, n, length, least, most):
 def test_keep_one_family_near_the_threshold(spark):
     assert check_kept(spark, variants(42, 100, 250, 3, 5)) > 1
     assert check_kept(spark, variants(42, 200, 400, 3, 8)) > 1
+
+
+def test_keep_one_large_groups(spark):
+    # texts that repeat one sentence: equal sets of shingles
+    assert check_kept(spark, [" ".join(["one two three four five six seven"] * k) for k in range(3, 103)]) == 1
+    many = variants(5, 1000, 300, 1, 2)
+    assert check_kept(spark, many) == 1
+    df = spark.createDataFrame(list(enumerate(variants(6, 20_000, 120, 0, 1))), "doc_id long, text string").repartition(8)
+    assert [r.doc_id for r in simhash.keep_one(df).collect()] == [0]
+
+
+def test_sketch_pairs_lose_none():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    sets = []
+    for _ in range(400):
+        own = np.where(rng.random(60) < 0.08, rng.integers(0, 2**63, 60, dtype=np.uint64), base)
+        sets.append(np.unique(own[: rng.integers(40, 61)]))
+    sketch = np.stack([simhash.parity_sketch(s) for s in sets]).view(np.uint64)
+    group, size = np.repeat([0, 1], 200), np.array([len(s) for s in sets])
+    order = np.lexsort((sketch[:, 0], group))
+    found = set()
+    for i, j in simhash.sketch_pairs(group, sketch[order], size[order], 0.8):
+        found |= {(min(a, b), max(a, b)) for a, b in zip(order[i].tolist(), order[j].tolist())}
+    for a, b in combinations(range(400), 2):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        if group[a] == group[b] and both >= 0.8 * (size[a] + size[b] - both):
+            assert (a, b) in found
+        if group[a] != group[b]:
+            assert (a, b) not in found
+    assert len(found) < 0.8 * 2 * 200 * 199 / 2
+
+
+def test_blocks_of_a_frequent_shingle(spark, monkeypatch):
+    """Tokens cut into blocks, forests before all pairs: the groups are those of a plain comparison."""
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(simhash, "THIN_PAIRS", 1)
+    assert check_kept(spark, variants(3, 150, 100, 1, 5)) > 1
+
+
+def test_spanning_keeps_what_links_join():
+    rng = np.random.default_rng(5)
+    i, j = rng.integers(0, 80, 120), rng.integers(0, 80, 120)
+    few = simhash.spanning(i, j, rng.random(120), np.arange(80))
+    assert (simhash.local_roots(80, i, j) == simhash.local_roots(80, i[few], j[few])).all() and len(few) < 80
