@@ -6,7 +6,7 @@ texts. To apply it, embeddings and filters are multiplied out into tables by byt
 that a filter's response is a sum of table rows; windows are stacked in batches. A text's prediction is
 that of the summed log-probabilities of its windows, which cover all of it.
 
-Defined cases: a null text, or one without a letter, is ``und`` with score 0; a language is any label in
+Defined cases: a null text, or one without a letter, is ``und`` with score and odds 0; a language is any label in
 the training rows; without training rows every text is ``und``; equal texts get equal predictions; null
 labels are never learned from. Other columns pass through unless their names clash with the result's.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import arrow_schema
+from .common import arrow_schema, map_batches
 
 #: Texts of each language to learn from: the bound of the training sample. Of each, so many windows.
 SAMPLE_TEXTS, SAMPLE_WINDOWS = 400, 3
@@ -136,11 +136,11 @@ def log_probabilities(tables: dict, x: np.ndarray) -> np.ndarray:
     return logits - np.log(np.exp(logits).sum(1, keepdims=True))
 
 
-def predict(tables: dict, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    """Label and score of each text. The score is the geometric mean of its windows' probabilities,
-    scaled to sum to 1 over the labels."""
+def predict(tables: dict, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+    """Label, score and odds of each text. The score is the geometric mean of its windows' probabilities,
+    scaled to sum to 1 over the labels; the odds are the best label's score over the second best one's."""
     labels = [NO_LANGUAGE] * len(texts)
-    scores = [0.0] * len(texts)
+    scores, odds = [0.0] * len(texts), [0.0] * len(texts)
     own = [i for i, t in enumerate(texts) if t is not None and tables["labels"] and any(map(str.isalpha, t))]
     held, rows, n = [], [], 0
 
@@ -154,8 +154,10 @@ def predict(tables: dict, texts: list[str | None]) -> tuple[list[str], list[floa
         mean = np.add.reduceat(each, np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
         prob = np.exp(mean - mean.max(1, keepdims=True))
         prob /= prob.sum(1, keepdims=True)
-        for i, k, p in zip(rows, prob.argmax(1).tolist(), prob.max(1).tolist()):
-            labels[i], scores[i] = tables["labels"][k], min(1.0, float(p))
+        second = np.sort(mean, axis=1)[:, -2] if mean.shape[1] > 1 else np.full(len(mean), -np.inf)
+        ahead = np.exp(np.minimum(mean.max(1) - second, 700))
+        for i, k, p, o in zip(rows, prob.argmax(1).tolist(), prob.max(1).tolist(), ahead.tolist()):
+            labels[i], scores[i], odds[i] = tables["labels"][k], min(1.0, float(p)), o
         held, rows, n = [], [], 0
 
     for i in own:
@@ -165,7 +167,7 @@ def predict(tables: dict, texts: list[str | None]) -> tuple[list[str], list[floa
         if n >= BATCH_WINDOWS:
             flush()
     flush()
-    return labels, scores
+    return labels, scores, odds
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5) -> F.Column:
@@ -174,18 +176,19 @@ def held_out(doc_id: str = "doc_id", folds: int = 5) -> F.Column:
 
 
 def training_sample(labelled: DataFrame, texts: int = SAMPLE_TEXTS) -> DataFrame:
-    """lang and pieces (SAMPLE_WINDOWS windows of bytes, spread over the text) of ``texts`` rows of each label at
-    most, those with the smallest hash of the text. So the driver gets a few hundred bytes a row.
+    """lang and pieces (SAMPLE_WINDOWS windows of bytes, spread over the text) of ``texts`` different texts of each
+    label at most, those with the smallest hash of the text. So the driver gets a few hundred bytes a row.
 
-    A first pass counts the labels; only rows below a hash bound that leaves about twice as many as needed
-    are ranked, so no label is gathered whole.
+    A first pass counts each label's different texts; only those below a hash bound that leaves about twice as
+    many as needed are ranked. Copies are one text and are combined before the shuffle, so no label and no group
+    of copies is gathered whole.
     """
     own = labelled.select("text", F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null")
     own = own.withColumn("h", F.xxhash64("text", F.lit(11)))
-    counts = own.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = own.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n"))
     share = F.least(F.lit(1.0), F.lit(2.0 * texts + 100) / F.col("n"))
     few = own.join(F.broadcast(counts), "lang").filter((F.col("h") / F.lit(2.0**64) + 0.5) <= share)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     data = F.col("text").cast("binary")
     last = F.greatest(F.lit(1), F.ceil(F.octet_length("text") / WINDOW)) - 1
 
@@ -194,7 +197,8 @@ def training_sample(labelled: DataFrame, texts: int = SAMPLE_TEXTS) -> DataFrame
         return F.substring(data, at + 1, F.lit(WINDOW))
 
     pieces = F.array_distinct(F.array(*map(piece, range(SAMPLE_WINDOWS))))
-    return few.withColumn("rank", rank).filter(F.col("rank") <= texts).select("lang", "h", "rank", pieces.alias("pieces"))
+    one = few.select("lang", "h", pieces.alias("pieces")).groupBy("lang", "h").agg(F.min("pieces").alias("pieces"))
+    return one.withColumn("rank", rank).filter(F.col("rank") <= texts).select("lang", "h", "rank", "pieces")
 
 
 def train(labelled: DataFrame, texts: int = SAMPLE_TEXTS) -> dict:
@@ -214,20 +218,19 @@ def train(labelled: DataFrame, texts: int = SAMPLE_TEXTS) -> dict:
 
 
 def identify(docs: DataFrame, tables: dict) -> DataFrame:
-    """``docs`` with lang_pred and score of each whole text. The model (16 filters, three widths) is 8 MB,
+    """``docs`` with lang_pred, score and odds of each whole text. The model (16 filters, three widths) is 8 MB,
     whatever the input."""
     spark = docs.sparkSession
-    keep = docs.drop("lang_pred", "score")
-    ddl = "lang_pred string, score double"
+    keep = docs.drop("lang_pred", "score", "odds")
+    ddl = "lang_pred string, score double, odds double"
     schema = StructType([*keep.schema.fields, *StructType.fromDDL(ddl).fields])
     added = arrow_schema(spark, ddl)
     at = keep.columns.index("text")
     model = spark.sparkContext.broadcast(tables)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
     def run(batches):
         for batch in batches:
             got = predict(model.value, batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, f.type) for v, f in zip(got, added))], names=[*batch.schema.names, *added.names])
 
-    return keep.mapInArrow(run, schema)
+    return map_batches(keep, run, schema)
