@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, file_system, new_folder, stored, write_file
+from .common import arrow_schema, file_system, map_batches, new_folder, stored, write_file
 
 #: A new archive begins when one has this many bytes.
 ARCHIVE_BYTES = 128 << 20
@@ -75,10 +75,13 @@ def transaction(row: dict, name: str) -> bytes:
 
 
 def write_warc(pages: DataFrame, *, min_revisit_bytes: int = 0, folder: str | None = None) -> DataFrame:
-    """Archives of ``pages(page_id, url, html)``; returns the stored manifest (path, n_pages)."""
+    """Archives of ``pages(page_id, url, html)``; returns the stored manifest (path, n_pages).
+
+    Rows come to a task in another order when it runs again, so every attempt writes archives of its own
+    names; the manifest, which Spark commits once for each task, names those that count.
+    """
     spark = pages.sparkSession
     folder = folder or new_folder(spark, "warc")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     text = F.coalesce("html", F.lit(""))
     own = own.withColumn("digest", F.sha1(text.cast("binary"))).withColumn("big", F.octet_length(text) >= min_revisit_bytes)
@@ -107,13 +110,13 @@ def write_warc(pages: DataFrame, *, min_revisit_bytes: int = 0, folder: str | No
 
         k = 0
         while (row := next(source, None)) is not None:
-            path, before = f"{folder}/part-{part:05d}-{k:04d}.warc.gz", n
+            path, before = f"{folder}/part-{part:05d}-{k:04d}-{attempt}.warc.gz", n
             write_file(path, archive(row), attempt)
             k += 1
             yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([n - before], pa.int64())], schema=out)
 
     manifest = f"{folder}/manifest"
-    rows.mapInArrow(run, "path string, n_pages long").write.parquet(manifest)
+    map_batches(rows, run, "path string, n_pages long", rows=500).write.parquet(manifest)
     return spark.read.schema("path string, n_pages long").parquet(manifest)
 
 

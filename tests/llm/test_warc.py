@@ -2,6 +2,9 @@ import base64
 import hashlib
 import io
 
+from pyspark.sql import DataFrameWriter
+from pyspark.sql import functions as F
+
 from prose_audit.llm import warc
 
 PAGES = [
@@ -52,3 +55,25 @@ def test_orphans_and_rolls(spark, monkeypatch):
     assert row.response.record_id == "r" and row.request is None and row.metadata is None
     data = b"".join(warc.record("response", f"<{i}>", {}, b"x" * i) for i in range(40))
     assert len(list(warc.members(io.BytesIO(data), 7))) == 40
+
+
+def test_a_task_that_runs_twice_keeps_the_committed_archives(spark, tmp_path, monkeypatch):
+    """The second attempt has the rows in another order and other cuts; the first one's manifest still reads whole."""
+    df = spark.createDataFrame([(i, "u", f"page {i} " * 50) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)
+    first = warc.write_warc(df, folder=f"file://{tmp_path}/w")
+    kept = first.collect()
+    back = df.orderBy(F.desc("page_id")).coalesce(1)
+    names = warc.NAMES
+    other = [r for r in warc.write_warc(back, folder=f"file://{tmp_path}/w2").collect()]
+    assert names == warc.NAMES and len(kept) > 3 and len({r.path for r in kept}) == len(kept)
+    assert all(r.path.rsplit("-", 2)[1].isdigit() and r.path.endswith(".warc.gz") for r in kept + other)
+    # the same folder and partition again: nothing of the first attempt is overwritten
+    again = df.sparkSession.createDataFrame(back.rdd, back.schema).coalesce(1)
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, **k: self.format("noop").mode("overwrite").save())
+    try:
+        warc.write_warc(again, folder=f"file://{tmp_path}/w")
+    except Exception:  # its manifest isn't written, as for an attempt that isn't committed
+        pass
+    monkeypatch.undo()
+    assert sorted(r.page_id for r in warc.assemble(warc.read_warc(first)).collect()) == list(range(40))
