@@ -7,7 +7,7 @@ a pre-token of a whole document takes near-linear time.
 
 Defined cases: a null text is the empty text, which has no ids and decodes to no bytes; repeated rows
 are encoded alike; other columns of the input pass through untouched unless their names clash with the
-result's, which then win.
+result's, which then win; an empty table gives no rows; a worker's memory doesn't grow with long texts.
 """
 
 from __future__ import annotations
@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import ARROW_ROWS, arrow_schema
+from .common import arrow_schema, map_batches
 
-#: Distinct pre-tokens, and words with the space before them, whose ids a worker remembers; a memory that is
-#: full starts anew.
-MEMO, SPACED_MEMO = 1_000_000, 500_000
+#: Bytes, about, in which a worker remembers ids of pre-tokens and of words with the space before them; a full
+#: memory starts anew. What is longer than LONGEST characters is merged each time.
+MEMO_BYTES, ENTRY_BYTES, LONGEST = 256 << 20, 200, 200
 
 
 @lru_cache(maxsize=2)
@@ -123,6 +123,7 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.memo: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}  # by what follows a space, the ids of both
+        self.held = 0
         self.pieces = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for piece, rank in self.ranks.items():
             self.pieces[rank] = piece
@@ -142,14 +143,28 @@ class Codec:
             pass
         if not first or first[-1].isspace():
             return self._pieces(text)
-        if len(spaced) > SPACED_MEMO:
-            spaced.clear()
+        self._make_room()
+        out = [self._pieces(first)]
         for part in rest:
-            if part not in spaced:
+            ids = spaced.get(part)
+            if ids is None:
                 if not part or part[0].isspace() or part[-1].isspace():
                     return self._pieces(text)
-                spaced[part] = self._pieces(" " + part)
-        return self._pieces(first) + b"".join([spaced[part] for part in rest])
+                ids = self._pieces(" " + part)
+                self._remember(spaced, part, ids)
+            out.append(ids)
+        return b"".join(out)
+
+    def _make_room(self) -> None:
+        if self.held > MEMO_BYTES:
+            self.memo.clear()
+            self.spaced.clear()
+            self.held = 0
+
+    def _remember(self, memo: dict[str, bytes], part: str, ids: bytes) -> None:
+        if len(part) <= LONGEST:
+            memo[part] = ids
+            self.held += ENTRY_BYTES + 2 * len(part) + len(ids)
 
     def _pieces(self, text: str) -> bytes:
         parts = self.split(text)
@@ -158,12 +173,14 @@ class Codec:
             return b"".join([memo[part] for part in parts])
         except KeyError:
             pass
-        if len(memo) > MEMO:
-            memo.clear()
+        out = []
         for part in parts:
-            if part not in memo:
-                memo[part] = np.array(self.merger.merge(part.encode()), "<u4").tobytes()
-        return b"".join([memo[part] for part in parts])
+            ids = memo.get(part)
+            if ids is None:
+                ids = np.array(self.merger.merge(part.encode()), "<u4").tobytes()
+                self._remember(memo, part, ids)
+            out.append(ids)
+        return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -183,7 +200,6 @@ def encode_texts(df: DataFrame, path: str, pattern: str, *, text_col: str = "tex
     """
     new = ["token_ids"] * ids + ["n_tokens", "ids_sha256", "decoded_sha256"]
     keep = df.drop(*(c for c in new if c != text_col))
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     types = {"token_ids": "array<int>", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
     ddl = ", ".join(f"{c} {types[c]}" for c in new)
     added = arrow_schema(df.sparkSession, ddl)
@@ -206,7 +222,7 @@ def encode_texts(df: DataFrame, path: str, pattern: str, *, text_col: str = "tex
                 names=[*batch.schema.names, *added.names],
             )
 
-    return keep.mapInArrow(run, schema)
+    return map_batches(keep, run, schema)
 
 
 def decode_ids(df: DataFrame, path: str, pattern: str, *, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:

@@ -7,14 +7,15 @@ each). The token counts of the parts, one row per part, give the bases of the pa
 Readers memory-map the files.
 
 Defined cases: a null text is the empty text and has the end id alone; a null doc_id comes first; rows
-with equal doc_ids are ordered by text; an empty table gives no documents. Other columns are dropped.
+with equal doc_ids are ordered by a hash of the text, then by the text, and need not lie in one part; strings of
+special tokens in a text are those tokens, as in the library; an empty table gives no documents. Other columns
+are dropped.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import tempfile
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,10 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, arrow_schema, file_system, new_folder, write_file
+from .common import ARROW_ROWS, arrow_schema, file_system, map_batches, new_folder, write_file
 
-#: Distinct words whose ids a worker remembers; the memory starts anew when it is full.
-MEMO = 1_000_000
+#: Bytes, about, in which a worker remembers ids of words; a full memory starts anew. Words longer than LONGEST
+#: characters are encoded each time.
+MEMO_BYTES, ENTRY_BYTES, LONGEST = 256 << 20, 200, 200
 #: Separators that Python's split() takes for white space and the tokenizer doesn't.
 ODD_SPACES = "\x1c\x1d\x1e\x1f"
 #: The tokenizer's own cut into pre-tokens, for lower-cased texts of Latin-1 characters (which are in NFC).
@@ -43,7 +45,7 @@ class WordEncoder:
     The vocabulary lower-cases, drops white space and merges nothing across pre-tokens, so a text's ids are
     those of its pre-tokens; what comes up again isn't encoded again. Texts of Latin-1 characters are cut into
     pre-tokens here, others at white space; one with a character that Python and the tokenizer take for
-    different kinds is encoded whole.
+    different kinds, or with the string of a special token, is encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -51,14 +53,18 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added)), re.I).search if added else lambda text: None
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.memo: dict[str, bytes] = {}
+        self.held = 0
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _cut(self, text: str) -> list[str]:
+        if self.special(text):
+            return [text]
         try:
             text.encode("latin-1")
             return PRE_TOKENS.findall(text.lower())
@@ -68,12 +74,20 @@ class WordEncoder:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text. What is new in any of them goes to the library in one call."""
         memo = self.memo
-        if len(memo) > MEMO:
+        if self.held > MEMO_BYTES:
             memo.clear()
+            self.held = 0
         cut = [self._cut(t) for t in texts]
         new = list(dict.fromkeys(filterfalse(memo.__contains__, chain.from_iterable(cut))))
-        if new:
-            memo.update(zip(new, self._encode(new)))
+        long: dict[str, bytes] = {}
+        for word, ids in zip(new, self._encode(new) if new else []):
+            if len(word) > LONGEST:
+                long[word] = ids
+            else:
+                memo[word] = ids
+                self.held += ENTRY_BYTES + 2 * len(word) + len(ids)
+        if long:
+            return [b"".join([long[w] if w in long else memo[w] for w in words]) for words in cut]
         return [b"".join(map(memo.__getitem__, words)) for words in cut]
 
     def encode(self, text: str) -> bytes:
@@ -94,7 +108,6 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, *, fold
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "tokens")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     schema = "part int, path string, n_docs long, n_tokens long, width int"
     out = arrow_schema(spark, schema)
 
@@ -123,23 +136,31 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, *, fold
         row = [part, path, len(lengths), int(offsets[-1]), np.dtype(own.dtype).itemsize]
         yield pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(row, out)], schema=out)
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    parts = sorted(ordered.mapInArrow(run, schema).collect(), key=lambda r: r.part)
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(*order).sortWithinPartitions(*order, "text")
+    parts = sorted(map_batches(ordered, run, schema).collect(), key=lambda r: r.part)
     base = np.concatenate([[0], np.cumsum([r.n_tokens for r in parts], dtype=np.int64)]).tolist()
     rows = [(r.part, r.path, base[i], r.n_docs, r.n_tokens, r.width) for i, r in enumerate(parts)]
     return spark.createDataFrame(rows, "part int, path string, base long, n_docs long, n_tokens long, width int")
 
 
-def mapped(uri: str, dtype: str) -> np.ndarray:
-    """A file's integers: memory-mapped where it lies, or from a copy if it isn't on a mounted file system."""
-    system, path = file_system(uri)
-    if system.type_name != "local":
-        with system.open_input_stream(path, compression=None) as source, tempfile.NamedTemporaryFile() as copy:
-            while chunk := source.read(1 << 22):
-                copy.write(chunk)
-            copy.flush()
-            return np.memmap(copy.name, dtype, "r") if os.path.getsize(copy.name) else np.zeros(0, dtype)
-    return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
+class Integers:
+    """A file's integers by ranges: memory-mapped where it lies, or read by range if it isn't on a mounted file
+    system."""
+
+    def __init__(self, uri: str, dtype: str) -> None:
+        system, path = file_system(uri)
+        self.dtype = np.dtype(dtype)
+        self.local = system.type_name == "local"
+        if self.local:
+            self.data = np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
+        else:
+            self.file = system.open_input_file(path)
+
+    def range(self, start: int, end: int) -> np.ndarray:
+        if self.local:
+            return self.data[start:end]
+        return np.frombuffer(self.file.read_at((end - start) * self.dtype.itemsize, start * self.dtype.itemsize), self.dtype)
 
 
 def read_token_files(manifest: DataFrame, *, ids: bool = True) -> DataFrame:
@@ -155,18 +176,17 @@ def read_token_files(manifest: DataFrame, *, ids: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                offsets = mapped(f"{row['path']}.off", "<i8")
-                doc = mapped(f"{row['path']}.doc", "u1")
+                offset_file, doc, tokens = (Integers(f"{row['path']}.{end}", kind) for end, kind in (("off", "<i8"), ("doc", "u1"), ("bin", f"<u{row['width']}")))
                 n = row["n_docs"]
-                doc_ids, valid = doc[: 8 * n].view("<i8"), doc[8 * n :].astype(bool)
-                tokens = mapped(f"{row['path']}.bin", f"<u{row['width']}")
                 for at in range(0, n, ARROW_ROWS):
                     to = min(n, at + ARROW_ROWS)
-                    spans = [tokens[a:b].astype("<u4") for a, b in zip(offsets[at:to].tolist(), offsets[at + 1 : to + 1].tolist())]
+                    doc_ids, valid = doc.range(8 * at, 8 * to).view("<i8"), doc.range(8 * n + at, 8 * n + to).astype(bool)
+                    offsets = np.asarray(offset_file.range(at, to + 1))
+                    spans = [np.asarray(tokens.range(a, b)).astype("<u4") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
                     columns = [
-                        pa.array(np.asarray(doc_ids[at:to]), mask=~valid[at:to]),
-                        pa.array(row["base"] + np.asarray(offsets[at:to])),
-                        pa.array(np.diff(offsets[at : to + 1])),
+                        pa.array(np.asarray(doc_ids), mask=~valid),
+                        pa.array(row["base"] + offsets[:-1]),
+                        pa.array(np.diff(offsets)),
                         pa.array([zlib.crc32(x.tobytes()) for x in spans], pa.int64()),
                     ]
                     if ids:

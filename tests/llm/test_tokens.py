@@ -7,6 +7,8 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyarrow import fs as pafs
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from prose_audit.llm import bpe, token_files
@@ -70,26 +72,62 @@ def test_encode_texts(spark, oracle):
 
 def test_words_equal_the_library():
     tok = Tokenizer.from_file(WORDS)
-    tok.encode_special_tokens = True
     own, rng = token_files.encoder(WORDS), random.Random(6)
     latin = [chr(i) for i in range(256)]
     texts = [t or "" for t in TEXTS] + latin + ["a" + c + "b" for c in latin] + ["".join(rng.choices(latin, k=rng.randrange(40))) for _ in range(2000)]
     texts += ["".join(rng.choices("aZé'sStT1½ \xa0.,-\"", k=30)) for _ in range(2000)] + ["".join(rng.choices("aΣσİiı́è é\x1c", k=12)) for _ in range(500)]
+    texts += ["<|endoftext|> hi", "a<|ENDOFTEXT|>b é <|startoftext|>", "日本<|endoftext|>語 x", "<|endof text|>", "<| endoftext|>"]
     for text in texts:
         assert np.frombuffer(own.encode(text), own.dtype).tolist() == tok.encode(text, add_special_tokens=False).ids, text
 
 
 def test_token_files(spark):
     tok = Tokenizer.from_file(WORDS)
-    tok.encode_special_tokens = True
-    rows = [(i * 7 % 31, t) for i, t in enumerate(TEXTS)] + [(None, "no id"), (3, "again"), (3, "again")]
+    rows = [(i * 7 % 31, t) for i, t in enumerate(TEXTS)] + [(None, "no id"), (3, "again"), (3, "again"), (40, "<|endoftext|> hi")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = token_files.read_token_files(token_files.write_token_files(df, WORDS, 2)).collect()
     at = 0
-    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    hashes = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]], r[1] or ""))
     for r, (doc_id, text) in zip(sorted(got, key=lambda r: r.start), want, strict=True):
         ids = tok.encode(text or "", add_special_tokens=False).ids + [2]
         assert (r.doc_id, r.start, r.n_tokens, r.token_ids) == (doc_id, at, len(ids), ids)
         assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
         at += len(ids)
     assert token_files.read_token_files(token_files.write_token_files(df.limit(0), WORDS, 2)).count() == 0
+
+
+def test_memories_stay_small():
+    rng = random.Random(8)
+    words, codec = token_files.WordEncoder(WORDS), bpe.Codec(RANKS, P.PATTERN)
+    for k in range(60):
+        text = "".join(rng.choices("日本語中文字本文", k=30_000))
+        words.encode(text)
+        codec.encode(text)
+        assert words.held < 1000 and codec.held < 1000 and not words.memo and not codec.memo and not codec.spaced
+    few = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(200)) for _ in range(30)]
+    for module, own, encode in ((token_files, words, words.encode), (bpe, codec, codec.encode)):
+        before, module.MEMO_BYTES = module.MEMO_BYTES, 50_000
+        try:
+            for text in few:
+                encode(text)
+                assert own.held < 150_000
+        finally:
+            module.MEMO_BYTES = before
+    assert [codec.encode(t) for t in few] == [bpe.Codec(RANKS, P.PATTERN).encode(t) for t in few]
+
+
+def test_ranges_of_a_store_equal_the_mapped_file(tmp_path, monkeypatch):
+    path = tmp_path / "ids"
+    np.arange(1000, dtype="<u2").tofile(path)
+    mapped = token_files.Integers(f"file://{path}", "<u2")
+    assert mapped.local and mapped.range(10, 20).tolist() == list(range(10, 20))
+
+    class Store:
+        type_name = "store"
+
+        def open_input_file(self, name):
+            return pafs.LocalFileSystem().open_input_file(name)
+
+    monkeypatch.setattr(token_files, "file_system", lambda uri: (Store(), str(path)))
+    assert token_files.Integers("x://ids", "<u2").range(10, 20).tolist() == list(range(10, 20))
