@@ -7,7 +7,8 @@ needs, take their places in that cumulative demand; inverting the integral gives
 position. Documents are range-sorted by the position of their first take.
 
 Running sums within a source are taken in two steps, over 4,096 hash ranges and inside them, so a source
-with a third of all rows is no single group. Sources are few: one row each is ordered in one task.
+with a third of all rows is no single group, and rows without doc_ids are spread by their sizes. One row for
+each source is ordered in one task: 10,000 sources, say, are under 1 MB.
 
 Defined cases: a null text has size 0; a null source is a source of its own and comes last; documents of
 size 0 are taken 0 words and have no position; repeated rows are documents of their own; an empty table
@@ -68,7 +69,7 @@ def demand(docs: DataFrame) -> DataFrame:
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     sized = stored(docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")), "sizes")
     targets = source_targets(sized)
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    order = F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string")).cast("binary"))
     keyed = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).select("row", "doc_id", "size", "rank", "source_size", "target", order.alias("key"))
     keyed = keyed.withColumn("range", F.conv(F.substring("key", 1, 3), 16, 10).cast("int"))
     ranges = keyed.groupBy("rank", "range").agg(F.sum("size").alias("n"))
@@ -128,7 +129,7 @@ targets AS (
   SELECT source, rank, source_size, coalesce(least(lim, max(CASE WHEN level <= lim / weight THEN level END) OVER () * weight), lim) AS target FROM leveled),
 placed AS (
   SELECT s.doc_id, s.size, t.rank, t.source_size, t.target,
-    coalesce(CAST(sum(s.size) OVER (PARTITION BY t.rank ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS before,
+    coalesce(CAST(sum(s.size) OVER (PARTITION BY t.rank ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || CAST(s.size AS VARCHAR)), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS before,
     CAST(CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS BIGINT) AS whole
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
 amounts AS (
