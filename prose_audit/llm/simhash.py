@@ -276,9 +276,9 @@ def parity_sketch(hashes: np.ndarray) -> np.ndarray:
 def shared_postings(distinct: DataFrame) -> DataFrame:
     """``distinct(node, size, prefix, sketch)`` → token, node, size, pos, sketch and n, the rows of the token: of the
     prefixes what two nodes have at least."""
-    rows = distinct.select("node", "size", "sketch", F.posexplode("prefix").alias("pos", "token"))
+    rows = distinct.select("node", F.posexplode("prefix").alias("pos", "token"))
     several = rows.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
-    return rows.join(several, "token").select("token", "node", "size", "pos", "sketch", "n")
+    return rows.join(several, "token").join(distinct.select("node", "size", "sketch"), "node").select("token", "node", "size", "pos", "sketch", "n")
 
 
 def _ranges(alo: np.ndarray, ahi: np.ndarray, blo: np.ndarray, bhi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
