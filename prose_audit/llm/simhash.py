@@ -453,19 +453,20 @@ def similar_roots(shared: DataFrame, texts: DataFrame, words: int, similarity: f
     groups of many near-copies grow together without all their pairs; in the last round all pairs of rows of the
     tokens still open that are in different groups meet, so no link between groups is left out.
     """
-    links, rooted = None, shared.withColumn("root", F.col("node"))
+    links, roots, rooted = None, None, shared.withColumn("root", F.col("node"))
     for k in range(ROUNDS + 1):
         thin = k < ROUNDS
         found = stored(candidate_pairs(_blocks(rooted, k) if thin else _block_pairs(rooted), similarity, thin), "dedup-candidates")
         checked = stored(similar_links(texts, found.filter("token is null").select("u", "v").distinct(), words, similarity), "dedup-links")
         links = checked if links is None else links.union(checked)
         still = found.filter("token is not null").select("token").distinct()
+        if roots is None or not checked.isEmpty():
+            roots = stored(connected_components(links), "dedup-roots")
         if not thin or still.isEmpty():
             break
-        roots = stored(connected_components(links), "dedup-roots").withColumnRenamed("node", "n_")
         left = shared.join(still, "token", "left_semi")
-        rooted = left.join(roots, F.col("node") == F.col("n_"), "left").select(*shared.columns, F.coalesce("root", "node").alias("root"))
-    return connected_components(links)
+        rooted = left.join(roots, "node", "left").select(*shared.columns, F.coalesce("root", "node").alias("root"))
+    return roots
 
 
 def similar_links(distinct: DataFrame, candidates: DataFrame, words: int, similarity: float) -> DataFrame:
