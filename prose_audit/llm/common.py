@@ -10,6 +10,7 @@ from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 from pyarrow import fs as pafs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -49,9 +50,21 @@ def stored(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
 
 
 def numbered_rows(docs: DataFrame) -> DataFrame:
-    """``row`` (a long that no other row has) and ``document``, the row, stored so that numbers stay the same."""
+    """``row``, a struct<file, index> that no other row has and that stays the same, and ``document``, the row.
+
+    Rows of a scan of files have their place in the file. Where that isn't known or isn't different for each
+    row (in a join over a scan, say), rows are first stored with numbers.
+    """
     document = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document")
-    return stored(docs.select(F.monotonically_increasing_id().alias("row"), document), "rows")
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("index")).alias("row")
+    try:
+        placed = docs.select(place, document)
+        if placed.groupBy("row").count().filter("count > 1").isEmpty():
+            return placed
+    except AnalysisException:  # no scan of files
+        pass
+    number = F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("index")).alias("row")
+    return stored(docs.select(number, document), "rows")
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:

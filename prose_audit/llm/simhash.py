@@ -12,13 +12,13 @@ an empty table gives no rows. Other columns of the input are dropped or, by ``ke
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, map_arrow, map_batches, numbered_rows, stored
@@ -236,16 +236,18 @@ def least_overlap(size: int, similarity: float) -> int:
     return int(np.ceil(similarity * size - 1e-6))
 
 
-def prefix(hashes: np.ndarray, similarity: float, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def prefix(hashes: np.ndarray, similarity: float, hot: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, int]:
     """The first shingles of a set, in an order that is the same for all sets: two sets that are this similar
     share one of these. ``hot`` is sorted hashes and their ranks; they come last, so that a prefix is seldom
-    made of shingles of many texts."""
+    made of shingles of many texts. Also how many of the first shingles aren't hot."""
     token, rank = hot
-    order = hashes
+    order, cold = hashes, len(hashes)
     if len(token) and len(hashes):
         at = np.minimum(np.searchsorted(token, hashes), len(token) - 1)
-        order = hashes[np.lexsort((hashes, np.where(token[at] == hashes, rank[at] + 1, 0)))]
-    return order[: len(hashes) - least_overlap(len(hashes), similarity) + 1 if len(hashes) else 0]
+        last = np.where(token[at] == hashes, rank[at] + 1, 0)
+        order, cold = hashes[np.lexsort((hashes, last))], int((last == 0).sum())
+    n = len(hashes) - least_overlap(len(hashes), similarity) + 1 if len(hashes) else 0
+    return order[:n], min(n, cold)
 
 
 def hot_shingles(texts: DataFrame, words: int, share: int = SAMPLED) -> tuple[np.ndarray, np.ndarray]:
@@ -274,11 +276,18 @@ def parity_sketch(hashes: np.ndarray) -> np.ndarray:
 
 
 def shared_postings(distinct: DataFrame) -> DataFrame:
-    """``distinct(node, size, prefix, sketch)`` → token, node, size, pos, sketch and n, the rows of the token: of the
-    prefixes what two nodes have at least."""
-    rows = distinct.select("node", F.posexplode("prefix").alias("pos", "token"))
-    several = rows.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
-    return rows.join(several, "token").join(distinct.select("node", "size", "sketch"), "node").select("token", "node", "size", "pos", "sketch", "n")
+    """``distinct(node, size, prefix, cold, sketch)`` → token, node, size, pos, sketch and n, the rows of the token: of
+    the prefixes what two nodes have at least.
+
+    The HOT_SHINGLES, whose counts are broadcast, aren't moved for that. A shingle that isn't one of them is
+    rarer than each of those, in the sample at least, so its rows are counted in a window.
+    """
+    rows = distinct.select("node", "cold", F.posexplode("prefix").alias("pos", "token"))
+    rare = rows.filter("pos < cold").select("token", "node", "pos", F.count("*").over(Window.partitionBy("token")).alias("n")).filter("n > 1")
+    hot = rows.filter("pos >= cold").select("token", "node", "pos")
+    counts = hot.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
+    both = rare.union(hot.join(F.broadcast(counts), "token").select("token", "node", "pos", "n"))
+    return both.join(distinct.select("node", "size", "sketch"), "node").select("token", "node", "size", "pos", "sketch", "n")
 
 
 def _ranges(alo: np.ndarray, ahi: np.ndarray, blo: np.ndarray, bhi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -446,8 +455,9 @@ def _links(node: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], out: pa
     return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.nulls(both.shape[1], pa.int64())], schema=out)
 
 
-def similar_roots(shared: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """``shared_postings`` and ``texts(node, text)`` → (node, root) of the groups that links of this Jaccard similarity reach.
+def similar_roots(shared: DataFrame, texts: Callable[[DataFrame], DataFrame], words: int, similarity: float) -> DataFrame:
+    """``shared_postings`` and ``texts``, which gives (node, text) of some nodes, → (node, root) of the groups that links
+    of this Jaccard similarity reach.
 
     Every candidate is checked exactly before it counts. Of dense blocks a forest is checked first, so that
     groups of many near-copies grow together without all their pairs; in the last round all pairs of rows of the
@@ -457,7 +467,9 @@ def similar_roots(shared: DataFrame, texts: DataFrame, words: int, similarity: f
     for k in range(ROUNDS + 1):
         thin = k < ROUNDS
         found = stored(candidate_pairs(_blocks(rooted, k) if thin else _block_pairs(rooted), similarity, thin), "dedup-candidates")
-        checked = stored(similar_links(texts, found.filter("token is null").select("u", "v").distinct(), words, similarity), "dedup-links")
+        pairs = found.filter("token is null").select("u", "v").distinct()
+        few = texts(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+        checked = stored(similar_links(few, pairs, words, similarity), "dedup-links")
         links = checked if links is None else links.union(checked)
         still = found.filter("token is not null").select("token").distinct()
         if roots is None or not checked.isEmpty():
@@ -509,28 +521,32 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
     words than a shingle is one shingle; repeated rows are copies, of which one stays; of equal smallest doc_ids
     either row stays; an empty table gives no rows. The columns of ``docs`` are returned, whatever their names.
     """
-    schema = "row long, doc_id long, node long, size int, prefix array<long>, sketch array<long>"
+    schema = "row struct<file:bigint,index:bigint>, doc_id long, node long, size int, prefix array<long>, cold int, sketch array<long>"
     numbered = numbered_rows(docs)
     base = numbered.select("row", F.col("document.doc_id").cast("long").alias("doc_id"), "document.text")
     hot = hot_shingles(base.select("text"), words)
 
     def step(c: dict[str, list]) -> dict[str, list]:
-        node, size, first, sketch = [], [], [], []
+        node, size, first, cold, sketch = [], [], [], [], []
         for text in c["text"]:
             hashes = np.unique(shingle_hashes(text, words))
             node.append(xxhash.xxh64_intdigest(hashes.tobytes(), 7))
             size.append(len(hashes))
-            first.append(prefix(hashes, similarity, hot).view(np.int64))
+            own, n = prefix(hashes, similarity, hot)
+            first.append(own.view(np.int64))
+            cold.append(n)
             sketch.append(parity_sketch(hashes))
-        return {"row": c["row"], "doc_id": c["doc_id"], "node": np.array(node, np.uint64).view(np.int64), "size": size, "prefix": first, "sketch": sketch}
+        return {"row": c["row"], "doc_id": c["doc_id"], "node": np.array(node, np.uint64).view(np.int64), "size": size, "prefix": first, "cold": cold, "sketch": sketch}
 
     marked = stored(map_arrow(base, step, schema), "dedup-marks")
-    same = ["size", "prefix", "sketch"]
-    distinct = marked.groupBy("node").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in same])
+    distinct = marked.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "prefix", "cold", "sketch")])
     shared = stored(shared_postings(distinct), "dedup-postings")
-    rows = shared.select("node").distinct().join(marked.groupBy("node").agg(F.min("row").alias("row")), "node")
-    texts = rows.join(numbered.select("row", "document.text"), "row").select("node", F.coalesce("text", F.lit("")).alias("text"))
-    roots = similar_roots(shared, stored(texts, "dedup-texts"), words, similarity)
+
+    def texts(nodes: DataFrame) -> DataFrame:
+        rows = marked.select("node", "row").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
+        return rows.join(numbered.select("row", "document.text"), "row").select("node", F.coalesce("text", F.lit("")).alias("text"))
+
+    roots = similar_roots(shared, texts, words, similarity)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     least = marked.groupBy("node").agg(F.min(order).alias("first"))
     rooted = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
