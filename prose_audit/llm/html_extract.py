@@ -1,47 +1,51 @@
-"""Main text of web pages: blocks by markup, boilerplate by a suffix array over the pages of a host.
+"""Main text of web pages: blocks by markup, boilerplate by suffix arrays over the pages of a host.
 
 A tolerant tokenizer turns a page into blocks, each in a zone: article, main part, or neither. Blocks in
 menus, headers, footers, sidebars, notices, adverts, forms, comments and the like are left out by their
 markup. The blocks of the best zone of a page remain.
 
-The token streams of a host's pages are concatenated and their suffixes ordered by the first RUN tokens
-(prefix doubling). Runs of RUN tokens or more on enough distinct pages of the host cover boilerplate; blocks
-that are covered for the most part go, others stay whole. Where markup names no article, a few pages are
-enough; an article's own blocks go only if most pages of the host have them. Pages with equal blocks count as
-one page, so copies of a page don't make its text boilerplate.
+The token streams of a host's pages, with a mark at each end of a block, are concatenated and their suffixes
+sorted (prefix doubling), with the lengths of common prefixes of neighbours. Where they are RUN tokens or
+longer, neighbours are one run; a run on enough distinct pages of the host is boilerplate. Every token that
+such runs cover goes, inside of blocks too, and unique runs stay. Where markup names no article, a few pages
+are enough; from an article only what most pages of the host have goes. Pages with equal blocks count as one
+page, so copies of a page don't make its text boilerplate.
 
-Hosts with many pages are compared in shares of about SHARE_BYTES, drawn by a hash of the page, so that
-no host is one group. Hosts that are divided are those with over a 100,000th of all bytes: fewer than
-100,000, so their table can be broadcast.
+Pages of a host with over SHARE_BYTES (or a 1,000,000th of all bytes) lie in several suffix arrays, drawn by a
+hash of the blocks. Their runs' pages add up to those of the host, since equal pages lie in one share; so the
+result is that of one array over the whole host. Within a task, copies of a page are sent once.
 
 Defined cases: a null html is the empty page, with empty text; a null url, or one without a host, belongs to
-the empty host; repeated rows get equal texts; unclosed elements end with the page; an empty table gives no
-rows. Other columns of the input are dropped.
+the empty host; repeated rows get equal texts; unclosed elements end with the page; very long pages are parsed
+and compared whole; an empty table gives no rows. Other columns of the input are dropped.
 """
 
 from __future__ import annotations
 
 import html as entities
-import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, map_arrow
+from .common import arrow_schema, map_arrow, map_batches
 from .url_filter import split_url
 
-#: Tokens of a run, and the share of a block's tokens in runs from which on it goes.
-RUN, COVERED = 6, 0.7
-#: Distinct pages that make a run boilerplate, at least and as a share of the pages compared: for blocks
-#: outside any article, and for an article's own.
+#: Tokens of a run; common prefixes are measured up to DEPTH tokens.
+RUN, DEPTH = 8, 16
+#: Distinct pages that make a run boilerplate, at least and as a share of the host's: for pages without an
+#: article, and for an article's own text.
 FEW, MOST = (3, 0.02), (10, 0.6)
-SHARE_BYTES = 4 << 20
-HEAVY_HOSTS = 100_000
+#: Html bytes of one suffix array; at most so many hosts have several; kinds of pages that a task remembers.
+SHARE_BYTES, HEAVY_HOSTS, SEEN = 4 << 20, 1_000_000, 200_000
+#: The token between blocks, which no word can be.
+MARK = "\n"
 
 OTHER, MAIN, ARTICLE, HEADING_ONLY, DROPPED = 0, 1, 2, 3, 4
 
@@ -66,7 +70,7 @@ ARTICLE_WORDS = {"articlebody", "article-body", "article-content", "post-content
 MAIN_WORDS = {"main", "content", "main-content", "page-content"}
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|([^<]+)|<", re.S
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|([^<]+)|<", re.S
 )
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 WORDS = re.compile(r"[a-z0-9]+")
@@ -106,6 +110,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
     articles, those that are links for the most part."""
     out: list[tuple[int, str]] = []
     open_: list[tuple[str, int]] = []
+    names: Counter[str] = Counter()  # of open elements
     zone, heading, linked = OTHER, False, 0
     parts: list[str] = []
     link_chars = chars = 0
@@ -155,15 +160,18 @@ def blocks(page: str) -> list[tuple[int, str]]:
                 if own != zone:
                     flush()
                     open_.append((name, zone))
+                    names[name] += 1
                     zone = own
                 continue
             flush()
             heading = name in HEADINGS
             if name == "p" and open_ and open_[-1][0] == "p":
                 zone = open_.pop()[1]
+                names["p"] -= 1
                 own = zone_of(name, attributes.strip(), zone)
             if not attributes.rstrip().endswith("/") or name not in ("path", "g"):
                 open_.append((name, zone))
+                names[name] += 1
                 zone = own
         else:
             if name == "a":
@@ -171,13 +179,13 @@ def blocks(page: str) -> list[tuple[int, str]]:
             if name not in INLINE:
                 flush()
                 heading = False
-            for k in range(len(open_) - 1, -1, -1):
-                if open_[k][0] == name:
-                    if name in INLINE:
-                        flush()
-                    zone = open_[k][1]
-                    del open_[k:]
-                    break
+            if names[name]:
+                if name in INLINE:
+                    flush()
+                closed = ""
+                while closed != name:
+                    closed, zone = open_.pop()
+                    names[closed] -= 1
     flush()
     return out
 
@@ -187,115 +195,165 @@ def best_zone(found: list[tuple[int, str]]) -> int:
     return max((z for z, _ in found), default=OTHER)
 
 
-def coverage(tokens: np.ndarray, page: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """Which tokens lie in runs of RUN tokens that stand on ``least`` distinct pages or more.
+def main_blocks(page: str) -> tuple[int, list[str]]:
+    """The best zone of a page and the texts of its blocks."""
+    found = blocks(page)
+    best = best_zone(found)
+    return best, [text for zone, text in found if zone == best]
+
+
+def stream(texts: list[str]) -> list[str]:
+    """The words of blocks with a mark before the first, between them and after the last one."""
+    out = [MARK]
+    for text in texts:
+        out += text.split(" ")
+        out.append(MARK)
+    return out
 
-    ``tokens`` are numbers of words, with a number of its own after each block; ``page`` and ``least`` are
-    per token. Suffixes are ranked by their first 1, 2, 4 and RUN tokens.
-    """
-    n = len(tokens)
-    if n < RUN:
-        return np.zeros(n, bool)
 
-    def pair(a: np.ndarray, b: np.ndarray, shift: int) -> np.ndarray:
-        moved = np.full(n, -1, np.int64)
-        moved[: n - shift] = b[shift:]
-        key = a * np.int64(int(b.max()) + 2) + moved + 1
+def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of ``tokens`` in the order of their first 2 * DEPTH - 1 tokens or more, and for each the length of
+    the prefix that it shares with the one before (0 for the first; longer ones count as 2 * DEPTH - 1)."""
+    n = len(tokens)
+    rank, step, ranks = np.unique(tokens, return_inverse=True)[1].astype(np.int64), 1, []
+    while True:
+        ranks.append(rank.astype(np.int32))
+        if step > DEPTH:
+            break
+        moved = np.zeros(n, np.int64)
+        moved[: max(0, n - step)] = rank[step:] + 1
+        key = rank * np.int64(n + 1) + moved
         order = np.argsort(key, kind="stable")
         ranked = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
-        return rank
-
-    two = pair(tokens, tokens, 1)
-    rank = pair(pair(two, two, 2), two, 4)
-    kinds = np.unique(rank * np.int64(int(page.max()) + 1) + page)
-    pages = np.bincount(kinds // np.int64(int(page.max()) + 1), minlength=int(rank.max()) + 1)[rank]
-    begins = np.flatnonzero(pages >= least)
-    begins = begins[begins <= n - RUN]
-    change = np.zeros(n + 1, np.int64)
-    np.add.at(change, begins, 1)
-    np.add.at(change, begins + RUN, -1)
-    return np.cumsum(change[:n]) > 0
-
-
-def clean_host(pages: list[list[tuple[int, str]]]) -> list[str]:
-    """Main texts of pages of one host, given as blocks with zones."""
-    chosen = []
-    for found in pages:
-        best = best_zone(found)
-        chosen.append([text for z, text in found if z == best] if found else [])
-    kinds: dict[tuple[str, ...], int] = {}
-    page_kind = [kinds.setdefault(tuple(c), len(kinds)) for c in chosen]
+        step *= 2
+    shared = np.zeros(n, np.int64)
+    a, b = order[:-1].copy(), order[1:].copy()
+    for k in range(len(ranks) - 2, -1, -1):
+        inside = (a < n) & (b < n)
+        same = np.zeros(n - 1, bool)
+        same[inside] = ranks[k][a[inside]] == ranks[k][b[inside]]
+        same &= (a + (1 << k) <= n) & (b + (1 << k) <= n)
+        shared[1:] += same << k
+        a += same << k
+        b += same << k
+    return order, shared
+
+
+def run_pages(streams: list[list[str]], least: int = 1) -> tuple[list[str], list[int]]:
+    """The runs of RUN tokens of some pages' streams, and on how many of the pages each stands, where those are
+    ``least`` or more."""
     numbers: dict[str, int] = {}
-    words: list[int] = []
-    sizes: list[int] = []
-    owner: list[int] = []
-    # equal pages are compared once
-    for texts in kinds:
-        for text in texts:
-            own = text.split()
-            words.extend([numbers.setdefault(w, len(numbers)) for w in own])
-            words.append(-1)
-            sizes.append(len(own) + 1)
-        owner.append(sum(len(t.split()) + 1 for t in texts))
-    if not words:
-        return [""] * len(pages)
-    tokens = np.array(words, np.int64)
-    ends = tokens < 0
-    tokens[ends] = len(numbers) + np.arange(int(ends.sum()))
-    page = np.repeat(np.arange(len(kinds)), owner)
-    zones = np.zeros(len(kinds), np.int64)
-    for k, found in zip(page_kind, pages):
-        zones[k] = max(zones[k], best_zone(found))
-    floors = [max(least, int(np.ceil(share * len(kinds)))) for least, share in (FEW, MOST)]
-    least = np.where(zones == OTHER, floors[0], floors[1])[page]
-    covered = coverage(tokens, page, least)
-    covered[ends] = False
-    starts = np.cumsum(sizes) - np.array(sizes)
-    share = np.add.reduceat(covered.astype(np.int64), starts) / np.maximum(np.array(sizes) - 1, 1)
-    keep = iter((share < COVERED).tolist())
-    text_of = ["\n".join([t for t in texts if next(keep)]) for texts in kinds]
-    return [text_of[k] for k in page_kind]
-
-
-def main_texts(pages: DataFrame) -> DataFrame:
-    """``pages(page_id, url, html)`` → page_id, url, text, n_chars."""
+    tokens = np.array([numbers.setdefault(w, len(numbers)) for words in streams for w in [*words, None]], np.int64)
+    page = np.repeat(np.arange(len(streams)), [len(words) + 1 for words in streams])
+    ends = np.flatnonzero(np.concatenate([page[1:] != page[:-1], [True]]))
+    tokens[ends] = len(numbers) + np.arange(len(ends))  # no run goes over the end of a page
+    order, shared = suffix_array(tokens)
+    run = np.cumsum(shared < RUN)
+    fits = order + RUN <= ends[page[order]]
+    order, run = order[fits], run[fits]
+    kinds = np.unique(run * np.int64(len(streams)) + page[order]) // len(streams)
+    of, counts = np.unique(kinds, return_counts=True)
+    first = order[np.unique(run, return_index=True)[1]]
+    enough = counts >= least
+    words = [w for own in streams for w in [*own, ""]]
+    return [" ".join(words[i : i + RUN]) for i in first[enough].tolist()], counts[enough].tolist()
+
+
+def unique_text(texts: list[str], boilerplate: set[int]) -> str:
+    """Blocks without the tokens that runs of ``boilerplate`` cover; empty blocks go."""
+    words = stream(texts)
+    covered = np.zeros(len(words) + 1, np.int64)
+    for i in range(len(words) - RUN + 1):
+        if xxhash.xxh64_intdigest(" ".join(words[i : i + RUN])) in boilerplate:
+            covered[i] += 1
+            covered[i + RUN] -= 1
+    stays = (np.cumsum(covered[:-1]) == 0).tolist()
+    kept = [w if w == MARK or own else "" for w, own in zip(words, stays)]
+    return "\n".join(x for x in (" ".join(filter(None, block.split(" "))) for block in " ".join(kept).split(MARK)) if x)
+
+
+def boilerplate_runs(pages: DataFrame) -> DataFrame:
+    """``pages(host, html)`` → host, few, most: hashes of the runs on enough distinct pages of the host, for pages
+    without and with an article. Hosts without such runs have no row.
+
+    A run counts for a host if 2 % of its distinct pages have it, so a host's runs are at most 50 times the tokens
+    of its mean page (or 1/3 of all tokens of a small host).
+    """
     spark = pages.sparkSession
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), split_url()[0].alias("host"))
-    sizes = own.groupBy("host").agg(F.sum(F.octet_length("html").cast("long")).alias("bytes"))
+    sizes = pages.groupBy("host").agg(F.sum(F.octet_length("html").cast("long")).alias("bytes"))
     total = sizes.agg(F.sum("bytes")).first()[0] or 0
-    heavy = sizes.filter(F.col("bytes") > max(SHARE_BYTES, total / HEAVY_HOSTS)).select("host", F.ceil(F.col("bytes") / SHARE_BYTES).alias("shares"))
-    drawn = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("shares", F.lit(1))).cast("int")
-
-    def parse(c: dict[str, list]) -> dict[str, list]:
-        packed = [zlib.compress(json.dumps(blocks(h), ensure_ascii=False).encode(), 1) for h in c["html"]]
-        return {"page_id": c["page_id"], "url": c["url"], "host": c["host"], "blocks": packed}
-
-    parsed = map_arrow(own, parse, "page_id long, url string, host string, blocks binary", rows=500)
-    dealt = parsed.join(F.broadcast(heavy), "host", "left").withColumn("share", drawn).select("host", "share", "page_id", "url", "blocks")
-    rows = dealt.repartition("host", "share").sortWithinPartitions("host", "share", "page_id", "url")
-    schema = "page_id long, url string, text string, n_chars long"
-    out = arrow_schema(spark, schema)
+    share_bytes = max(SHARE_BYTES, total / HEAVY_HOSTS)
+    # hosts over a 1,000,000th of all bytes are fewer than 1,000,000
+    heavy = sizes.filter(F.col("bytes") > share_bytes).select("host", F.ceil(F.col("bytes") / share_bytes).cast("int").alias("shares"))
+    parsed_schema = arrow_schema(spark, "host string, kind long, blocks binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held, size = None, [], 0
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()
+        for batch in batches:
+            out: dict[str, list] = {"host": [], "kind": [], "blocks": []}
+            for host, html in zip(*(c.to_pylist() for c in batch.columns)):
+                data = MARK.join(main_blocks(html)[1]).encode()
+                kind = xxhash.xxh64_intdigest(data) - (1 << 63)
+                if not data or (host, kind) in seen:
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add((host, kind))
+                out["host"].append(host)
+                out["kind"].append(kind)
+                out["blocks"].append(zlib.compress(data, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in parsed_schema], schema=parsed_schema)
+
+    parsed = map_batches(pages.select("host", "html"), parse, "host string, kind long, blocks binary", rows=500)
+    dealt = parsed.join(F.broadcast(heavy), "host", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
+    dealt = dealt.withColumn("share", F.pmod("kind", "shares").cast("int")).select("host", "share", "kind", "shares", "blocks")
+    rows = dealt.repartition("host", "share").sortWithinPartitions("host", "share", "kind")
+    out_schema = arrow_schema(spark, "host string, run long, n long")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, shares, last, held = None, 1, None, []
 
         def done() -> pa.RecordBatch:
-            texts = clean_host([x[2] for x in held])
-            columns = [[x[0] for x in held], [x[1] for x in held], texts, [len(t) for t in texts]]
-            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, out)], schema=out)
+            # runs on fewer pages can reach the least number only together with other shares
+            texts, counts = run_pages(held, 1 if shares > 1 else FEW[0])
+            hashes = np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64).view(np.int64)
+            columns = [pa.array([group[0]] * (len(texts) + 1), pa.string()), pa.array([None, *hashes.tolist()], pa.int64()), pa.array([len(held), *counts], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, schema=out_schema)
 
         for batch in batches:
-            for host, share, page_id, url, packed in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and ((host, share) != group or size > 2 * SHARE_BYTES):
+            for host, share, kind, of, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                if group is not None and (host, share) != group:
                     yield done()
-                    held, size = [], 0
-                group = host, share
-                raw = zlib.decompress(packed)
-                held.append((page_id, url, [tuple(b) for b in json.loads(raw)]))
-                size += len(raw)
+                    held, last = [], None
+                group, shares = (host, share), of
+                if kind != last:
+                    held.append(stream(zlib.decompress(packed).decode().split(MARK)))
+                last = kind
         if held:
             yield done()
 
-    return rows.mapInArrow(run, schema)
+    # a row without a run holds the number of distinct pages
+    counted = map_batches(rows, count, "host string, run long, n long", rows=500).groupBy("host", "run").agg(F.sum("n").alias("n"))
+    of_host = counted.filter("run is null").select("host", F.col("n").alias("pages"))
+    few, most = (F.greatest(F.lit(least), F.ceil(F.lit(share) * F.col("pages") - 1e-9)) for least, share in (FEW, MOST))
+    common = counted.filter(f"run is not null and n >= {FEW[0]}").join(of_host, "host").filter(F.col("n") >= few)
+    return common.groupBy("host").agg(F.collect_list("run").alias("few"), F.collect_list(F.when(F.col("n") >= most, F.col("run"))).alias("most"))
+
+
+def main_texts(pages: DataFrame) -> DataFrame:
+    """``pages(page_id, url, html)`` → page_id, url, text, n_chars."""
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), F.coalesce(split_url()[0], F.lit("")).alias("host"))
+    both = own.join(boilerplate_runs(own), "host", "left").select("page_id", "url", "html", "few", "most")
+    mask = (1 << 64) - 1
+
+    def clean(c: dict[str, list]) -> dict[str, list]:
+        texts = []
+        for html, few, most in zip(c["html"], c["few"], c["most"]):
+            zone, own = main_blocks(html)
+            runs = most if zone == ARTICLE else few
+            texts.append(unique_text(own, {r & mask for r in runs}) if runs else MARK.join(own))
+        return {"page_id": c["page_id"], "url": c["url"], "text": texts, "n_chars": [len(t) for t in texts]}
+
+    return map_arrow(both, clean, "page_id long, url string, text string, n_chars long", rows=500)

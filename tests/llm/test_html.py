@@ -1,6 +1,8 @@
+import math
 import random
 import re
-from itertools import combinations
+import time
+from collections import Counter
 
 import numpy as np
 
@@ -39,39 +41,85 @@ def test_markup():
     assert text_of("<p>" + "x " * 200_000 + "</p><a href='unclosed><p>y") .startswith("x x")
 
 
-def test_runs_against_plain_search():
+def plain_runs(pages):
+    """On how many of the pages each run of RUN tokens stands."""
+    count = Counter()
+    for words in pages:
+        count.update({" ".join(words[i : i + he.RUN]) for i in range(len(words) - he.RUN + 1)})
+    return count
+
+
+def test_suffix_arrays_against_plain_search():
     rng = random.Random(3)
-    for _ in range(20):
-        sizes = [rng.randrange(1, 30) for _ in range(12)]
-        n = sum(sizes) + len(sizes)
-        tokens, page, at = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
-        for k, s in enumerate(sizes):
-            tokens[at : at + s] = rng.choices(range(2), k=s)
-            tokens[at + s] = 100 + k
-            page[at : at + s + 1] = k // 2
-            at += s + 1
-        want = np.zeros(n, bool)
-        runs = [tuple(tokens[i : i + he.RUN]) for i in range(n - he.RUN + 1)]
-        for i, r in enumerate(runs):
-            if len({page[j] for j, x in enumerate(runs) if x == r}) >= 3:
-                want[i : i + he.RUN] = True
-        assert (he.coverage(tokens, page, np.full(n, 3)) == want).all()
-
-
-def test_host_boilerplate():
-    rng = random.Random(1)
+    for _ in range(30):
+        tokens = np.array(rng.choices(range(3), k=rng.randrange(2, 300)))
+        order, shared = he.suffix_array(tokens)
+        most = 2 * he.DEPTH - 1
+        keys = [tuple(tokens[i : i + most].tolist()) for i in range(len(tokens))]
+        assert sorted(order.tolist()) == list(range(len(tokens))) and [keys[i] for i in order] == sorted(keys)
+        for k in range(1, len(tokens)):
+            a, b = keys[order[k - 1]], keys[order[k]]
+            assert shared[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        pages = [rng.choices("ab", k=rng.randrange(1, 40)) for _ in range(12)]
+        for least in (1, 3):
+            assert dict(zip(*he.run_pages(pages, least))) == {r: n for r, n in plain_runs(pages).items() if n >= least}
+
+
+def plain_host(pages):
+    """Main texts of a host's pages, by counting the runs of all distinct pages."""
+    mains = [he.main_blocks(p) for p in pages]
+    kinds = {tuple(t) for _, t in mains if t}
+    count = plain_runs([he.stream(list(k)) for k in kinds])
+    out = []
+    for zone, texts in mains:
+        least, share = he.MOST if zone == he.ARTICLE else he.FEW
+        enough = max(least, math.ceil(share * len(kinds) - 1e-9))
+        words, gone = he.stream(texts), set()
+        for i in range(len(words) - he.RUN + 1):
+            if count[" ".join(words[i : i + he.RUN])] >= enough:
+                gone |= set(range(i, i + he.RUN))
+        left = " ".join("" if i in gone and w != he.MARK else w for i, w in enumerate(words))
+        out.append("\n".join(x for x in (" ".join(block.split()) for block in left.split(he.MARK)) if x))
+    return out
+
+
+def hosts(seed):
+    rng = random.Random(seed)
     words = ["w%d" % i for i in range(500)]
-    own = [" ".join(rng.choices(words, k=40)) for _ in range(30)]
-    notice = "this site is run by volunteers and needs your help today"
-    outside = [he.blocks(f"<div>{notice}</div><div><p>{t}</p></div>") for t in own]
-    assert he.clean_host(outside) == own
-    assert he.clean_host(outside[:1]) == [f"{notice}\n{own[0]}"]
-    assert he.clean_host(outside[:1] * 5 + outside[1:2]) == [f"{notice}\n{own[0]}"] * 5 + [f"{notice}\n{own[1]}"]  # copies are one page
-    inside = [he.blocks(f"<article><p>{t}</p><p>{notice}</p></article>") for t in own]
-    assert he.clean_host(inside) == own
-    some = [he.blocks(f"<article><p>{t}</p>" + f"<p>{notice}</p>" * (i < 10) + "</article>") for i, t in enumerate(own)]
-    assert he.clean_host(some) == [t + f"\n{notice}" * (i < 10) for i, t in enumerate(own)]
-    assert he.clean_host([[], []]) == ["", ""]
+    notices = ["this site is run by volunteers and needs your help today %d" % k for k in range(4)]
+    rows = []
+    for host in range(5):
+        for i in range(rng.choice([2, 8, 40])):
+            text = " ".join(rng.choices(words, k=40))
+            if rng.random() < 0.7:
+                at = rng.randrange(len(text.split()))
+                text = " ".join([*text.split()[:at], notices[host % 4], *text.split()[at:]])
+            inner = f"<p>{text}</p>" + f"<div>Home</div><div>About us</div><div>Contact</div><div>Imprint {host}</div>" * (rng.random() < 0.8)
+            html = rng.choice(["<article>%s</article>", "<div>%s</div>", "<main>%s</main>"][: 1 + 2 * (host % 2)]) % inner
+            rows += [(len(rows) + k, f"http://h{host}.example/{i}", html) for k in range(rng.choice([1, 1, 3]))]
+    return rows
+
+
+def test_host_boilerplate(spark, monkeypatch):
+    """Whatever the size of the shares, texts are those of a plain comparison over the whole host."""
+    rows = hosts(1)
+    want = {}
+    for host in {u.split("/")[2] for _, u, _ in rows}:
+        own = [r for r in rows if r[1].split("/")[2] == host]
+        want |= dict(zip([r[0] for r in own], plain_host([r[2] for r in own])))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    for share in (4 << 20, 2000):
+        monkeypatch.setattr(he, "SHARE_BYTES", share)
+        assert {r.page_id: r.text for r in he.main_texts(df).collect()} == want
+    changed = [p for p, _, html in rows if want[p] != he.MARK.join(he.main_blocks(html)[1])]
+    assert len(changed) > 0.3 * len(rows)  # what no markup names is found by the runs alone
+
+
+def test_hostile_pages_take_linear_time():
+    for page in ("<!" * 500_000, "<div>" * 100_000 + "</p>" * 100_000, "<a '" * 250_000, "<p " * 300_000, "<b>" * 200_000 + "</i>" * 200_000, '<a ">' * 200_000, "<!--" * 250_000, "&" * 1_000_000):
+        start = time.perf_counter()
+        he.blocks(page)
+        assert time.perf_counter() - start < 3
 
 
 def test_tables_pages(spark):
