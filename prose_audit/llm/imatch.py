@@ -1,9 +1,10 @@
 """I-Match document fingerprints, in DataFrame functions only.
 
 Terms within a band of inverse document frequency are kept, sorted and made distinct; hashes of several
-randomised subsets of the lexicon are the fingerprint. The lexicon is the set of terms by 18-bit hash, so
-the table of document frequencies and the bitmap of the band (32 KB) have the same size for any corpus.
-Subsets come in LEVELS levels of 8: those of a level are disjoint eighths of the lexicon, thinned to
+randomised subsets of the lexicon are the fingerprint. Document frequencies are counted for each term (by its
+64-bit hash) over all documents. The band is relative to the number of documents, so that the lexicon has
+1 / MIN_SHARE times the distinct terms of a mean document at most, however large the corpus or its vocabulary;
+it goes to the tasks as two literal arrays, hashes by slot and where the slots begin. Subsets come in LEVELS levels of 8: those of a level are disjoint eighths of the lexicon, thinned to
 half at each further level, so that texts of any length have subsets with a few of their terms.
 
 Defined cases: a null text is the empty text; a text without terms in the band has a fingerprint of zeros,
@@ -22,9 +23,11 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS
 
-LEXICON_BITS = 18
-#: The band: terms in MIN_DOCS documents at least and in MAX_SHARE of them at most (or MIN_DOCS).
-MIN_DOCS, MAX_SHARE = 2, 0.08
+#: The band: terms in MIN_DOCS documents and in MIN_SHARE of them at least, and in MAX_SHARE of them (or MIN_DOCS) at
+#: most.
+MIN_DOCS, MIN_SHARE, MAX_SHARE = 2, 0.0005, 0.08
+#: Bits of a term's hash from which on they draw its subset. Bytes of text of a range of doc_ids.
+DRAW_BITS, RANGE_BYTES = 18, 16 << 20
 GROUPS, LEVELS = 8, 8
 
 
@@ -40,31 +43,35 @@ def term_hashes(text: Column) -> Column:
 
 
 def band(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Bitmap, in 64-bit words, of the term hashes within the band. Counts cover all documents."""
-    n_words = 1 << (LEXICON_BITS - 6)
-    slot = F.explode(F.array_distinct(F.transform(term_hashes(F.coalesce(text, F.lit(""))), lambda t: t.bitwiseAND((1 << LEXICON_BITS) - 1).cast("int"))))
-    frequency = docs.select(slot.alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
+    """Sorted hashes of the terms within the band. Counts cover all documents."""
+    frequency = docs.select(F.explode(term_hashes(F.coalesce(text, F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     total = docs.count()
-    kept = frequency.filter((F.col("n") >= MIN_DOCS) & (F.col("n") <= max(MIN_DOCS, MAX_SHARE * total)))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(63))
-    words = kept.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).collect()  # 4,096 rows at most
-    out = np.zeros(n_words, np.int64)
-    for r in words:
-        out[r.word] = r.bits
-    return out
+    kept = frequency.filter((F.col("n") >= max(MIN_DOCS, MIN_SHARE * total)) & (F.col("n") <= max(MIN_DOCS, MAX_SHARE * total)))
+    return np.sort(np.array([r.term for r in kept.select("term").collect()], np.int64))  # bounded, see above
 
 
-def fingerprint(text: Column, bitmap: np.ndarray) -> Column:
+def long_array(values: np.ndarray) -> Column:
+    """A literal array<long>, made of one string so that the plan stays small; Spark folds it once."""
+    if not len(values):
+        return F.array().cast("array<long>")
+    return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<long>")
+
+
+def fingerprint(text: Column, lexicon: np.ndarray) -> Column:
     """array<int> of 64 values, by level and group: of a subset's terms in the text a hash from 1 to 65,535,
     or 0 if there is none."""
-    words = F.lit(bitmap)
-    mask = len(bitmap) - 1
+    slots = 1 << max(4, len(lexicon).bit_length())
+    slot = lexicon & (slots - 1)
+    hashes = long_array(lexicon[np.argsort(slot, kind="stable")])
+    begin = long_array(np.concatenate([[0], np.cumsum(np.bincount(slot, minlength=slots))]))
 
     def in_band(t: Column) -> Column:
-        return F.call_function("shiftright", F.get(words, F.shiftright(t, 6).bitwiseAND(mask).cast("int")), t.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+        at = t.bitwiseAND(slots - 1).cast("int")
+        first, end = F.get(begin, at), F.get(begin, at + 1)
+        return (end > first) & F.array_contains(F.slice(hashes, (first + 1).cast("int"), (end - first).cast("int")), t)
 
     def subset(terms: Column, group: int) -> Column:
-        own = F.filter(terms, lambda t: F.shiftright(t, LEXICON_BITS).bitwiseAND(GROUPS - 1) == group)
+        own = F.filter(terms, lambda t: F.shiftright(t, DRAW_BITS).bitwiseAND(GROUPS - 1) == group)
         return let(own, lambda x: F.when(F.size(x) > 0, 1 + F.pmod(F.xxhash64(x), F.lit(65535))).otherwise(0).cast("int"))
 
     def level(k: int) -> Callable[[Column], Column]:
@@ -72,7 +79,7 @@ def fingerprint(text: Column, bitmap: np.ndarray) -> Column:
             own = F.array(*[subset(terms, g) for g in range(GROUPS)])
             if k + 1 == LEVELS:
                 return own
-            thinner = F.filter(terms, lambda t: F.shiftright(t, LEXICON_BITS + 3 + k).bitwiseAND(1) == 0)
+            thinner = F.filter(terms, lambda t: F.shiftright(t, DRAW_BITS + 3 + k).bitwiseAND(1) == 0)
             return F.concat(own, let(thinner, level(k + 1)))
 
         return values
@@ -101,7 +108,8 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     value per range.
     """
     spark = docs.sparkSession
-    n = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     bounds = sorted(set(docs.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n)))
     if bounds:
         edges = F.array(*[F.lit(int(b)) for b in bounds])
@@ -119,7 +127,7 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     own = F.struct(F.col("range").alias("range"), F.lit(0).alias("sentinel"))
     other = F.struct(target.alias("range"), F.lit(1).alias("sentinel"))
     to = F.explode(F.when(F.col("doc_id").eqNullSafe(first), F.array(own, other)).otherwise(F.array(own)))
-    rows = dealt.withColumn("to", to).withColumn("range", F.col("to.range")).withColumn("sentinel", F.col("to.sentinel"))
+    rows = dealt.withColumn("to", to).withColumn("range", F.col("to.range")).withColumn("sentinel", F.col("to.sentinel")).repartition(n // 2, "range")
     window = Window.partitionBy("range").orderBy("sentinel", F.col("doc_id").desc_nulls_last(), "text")
     for c in columns:
         rows = rows.withColumn(f"next_{c}", F.lead(c).over(window))
@@ -129,12 +137,12 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
 def compare_with_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of ``docs(doc_id, text)`` and of edited texts, whose last third comes from the next document."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    bitmap = band(own)
-    both = with_next(own.withColumn("fp", fingerprint(F.col("text"), bitmap)), ["text", "fp"])
+    lexicon = band(own)
+    both = with_next(own.withColumn("fp", fingerprint(F.col("text"), lexicon)), ["text", "fp"])
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third))
-    rows = both.withColumn("edited", edited).withColumn("edited_fp", fingerprint(F.col("edited"), bitmap))
+    rows = both.withColumn("edited", edited).withColumn("edited_fp", fingerprint(F.col("edited"), lexicon))
     return rows.select(
         "doc_id",
         n.cast("long").alias("n_chars"),
