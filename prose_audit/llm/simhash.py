@@ -34,7 +34,7 @@ CHUNK_ROWS, CHUNK_PAIRS = 100_000, 1_000_000
 # Near-duplicates by similarity: one in SAMPLED texts tells frequent shingles. Rows of a shingle are searched in
 # blocks of BLOCK_ROWS; of a block with over THIN_PAIRS pairs a row, ROUNDS rounds check a forest only before all
 # pairs that are still between two groups are checked.
-SAMPLED, HOT_SHINGLES, BLOCK_ROWS, THIN_PAIRS, ROUNDS = 8, 50_000, 2048, 8, 2
+SAMPLED, HOT_SHINGLES, BLOCK_ROWS, THIN_PAIRS, ROUNDS = 8, 50_000, 2048, 8, 1
 SKETCH_WORDS, LEAF_PAIRS = 4, 256
 
 
