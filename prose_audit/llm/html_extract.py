@@ -12,8 +12,9 @@ are enough; from an article only what most pages of the host have goes. Pages wi
 page, so copies of a page don't make its text boilerplate.
 
 Pages of a host with over SHARE_BYTES (or a 1,000,000th of all bytes) lie in several suffix arrays, drawn by a
-hash of the blocks. Their runs' pages add up to those of the host, since equal pages lie in one share; so the
-result is that of one array over the whole host. Within a task, copies of a page are sent once.
+hash of the blocks. A run that is on enough pages of the host is so in one of them at least; what one of them
+finds is then counted on all pages of the host, so the result is that of one array over the whole host. Within
+a task, copies of a page are sent once.
 
 Defined cases: a null html is the empty page, with empty text; a null url, or one without a host, belongs to
 the empty host; repeated rows get equal texts; unclosed elements end with the page; very long pages are parsed
@@ -23,6 +24,7 @@ and compared whole; an empty table gives no rows. Other columns of the input are
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 import zlib
 from collections import Counter
@@ -34,11 +36,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, map_arrow, map_batches
+from .common import arrow_schema, map_arrow, map_batches, stored
 from .url_filter import split_url
 
 #: Tokens of a run; common prefixes are measured up to DEPTH tokens.
-RUN, DEPTH = 8, 16
+RUN, DEPTH = 8, 8
 #: Distinct pages that make a run boilerplate, at least and as a share of the host's: for pages without an
 #: article, and for an article's own text.
 FEW, MOST = (3, 0.02), (10, 0.6)
@@ -215,15 +217,16 @@ def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of ``tokens`` in the order of their first 2 * DEPTH - 1 tokens or more, and for each the length of
     the prefix that it shares with the one before (0 for the first; longer ones count as 2 * DEPTH - 1)."""
     n = len(tokens)
-    rank, step, ranks = np.unique(tokens, return_inverse=True)[1].astype(np.int64), 1, []
+    base = np.int64(max(n, int(tokens.max())) + 2)
+    rank, step, ranks = tokens.astype(np.int64), 1, []
     while True:
         ranks.append(rank.astype(np.int32))
         if step > DEPTH:
             break
         moved = np.zeros(n, np.int64)
         moved[: max(0, n - step)] = rank[step:] + 1
-        key = rank * np.int64(n + 1) + moved
-        order = np.argsort(key, kind="stable")
+        key = rank * base + moved
+        order = np.argsort(key)
         ranked = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
@@ -310,16 +313,17 @@ def boilerplate_runs(pages: DataFrame) -> DataFrame:
     dealt = parsed.join(F.broadcast(heavy), "host", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
     dealt = dealt.withColumn("share", F.pmod("kind", "shares").cast("int")).select("host", "share", "kind", "shares", "blocks")
     rows = dealt.repartition("host", "share").sortWithinPartitions("host", "share", "kind")
-    out_schema = arrow_schema(spark, "host string, run long, n long")
+    schema = "host string, run long, n long, shares int"
+    out_schema = arrow_schema(spark, schema)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, shares, last, held = None, 1, None, []
 
         def done() -> pa.RecordBatch:
-            # runs on fewer pages can reach the least number only together with other shares
-            texts, counts = run_pages(held, 1 if shares > 1 else FEW[0])
+            # what is on fewer than this share of the pages of each array is so of the host's
+            texts, counts = run_pages(held, max(FEW[0] if shares == 1 else 1, math.ceil(FEW[1] * len(held) - 1e-9)))
             hashes = np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64).view(np.int64)
-            columns = [pa.array([group[0]] * (len(texts) + 1), pa.string()), pa.array([None, *hashes.tolist()], pa.int64()), pa.array([len(held), *counts], pa.int64())]
+            columns = [pa.array([group[0]] * (len(texts) + 1), pa.string()), pa.array([None, *hashes.tolist()], pa.int64()), pa.array([len(held), *counts], pa.int64()), pa.array([shares] * (len(texts) + 1), pa.int32())]
             return pa.RecordBatch.from_arrays(columns, schema=out_schema)
 
         for batch in batches:
@@ -335,13 +339,36 @@ def boilerplate_runs(pages: DataFrame) -> DataFrame:
             yield done()
 
     # a row without a run holds the number of distinct pages
-    counted = map_batches(rows, count, "host string, run long, n long", rows=500).groupBy("host", "run").agg(F.sum("n").alias("n"))
-    of_host = counted.filter("run is null").select("host", F.col("n").alias("pages"))
+    counted = stored(map_batches(rows, count, schema, rows=500), "html-runs")
+    of_host = counted.filter("run is null").groupBy("host").agg(F.sum("n").alias("pages"))
+    several = counted.filter("run is not null and shares > 1").groupBy("host").agg(F.collect_set("run").alias("runs"))
+    once = counted.filter("run is not null and shares = 1").select("host", "run", "n")
+    counts = once.union(_pages_of_runs(pages.join(several, "host")))
     few, most = (F.greatest(F.lit(least), F.ceil(F.lit(share) * F.col("pages") - 1e-9)) for least, share in (FEW, MOST))
-    common = counted.filter(f"run is not null and n >= {FEW[0]}").join(of_host, "host").filter(F.col("n") >= few)
+    common = counts.join(of_host, "host").filter(F.col("n") >= few)
     return common.groupBy("host").agg(F.collect_list("run").alias("few"), F.collect_list(F.when(F.col("n") >= most, F.col("run"))).alias("most"))
 
 
+def _pages_of_runs(pages: DataFrame) -> DataFrame:
+    """``pages(host, html, runs)`` → host, run, n: on how many distinct pages of the host each of ``runs`` stands."""
+
+    def step(c: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {"host": [], "run": [], "kind": []}
+        for host, html, runs in zip(c["host"], c["html"], c["runs"]):
+            texts = main_blocks(html)[1]
+            words, wanted = stream(texts), set(runs)
+            here = {xxhash.xxh64_intdigest(" ".join(words[i : i + RUN])) for i in range(len(words) - RUN + 1)}
+            found = wanted & {h - (1 << 64) if h >> 63 else h for h in here}
+            kind = xxhash.xxh64_intdigest(MARK.join(texts)) - (1 << 63)
+            out["host"] += [host] * len(found)
+            out["run"] += found
+            out["kind"] += [kind] * len(found)
+        return out
+
+    found = map_arrow(pages.select("host", "html", "runs"), step, "host string, run long, kind long", rows=500)
+    return found.distinct().groupBy("host", "run").agg(F.count("*").alias("n"))
+
+
 def main_texts(pages: DataFrame) -> DataFrame:
     """``pages(page_id, url, html)`` → page_id, url, text, n_chars."""
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), F.coalesce(split_url()[0], F.lit("")).alias("host"))
