@@ -31,6 +31,7 @@ PROTECTED = [
 #: Any of these in a text means that it may hold something protected.
 PROTECTED_HINT = "`|https?://|@"
 
+#: What a heading, a passive and a vague connective look like.
 HEADING = rf"^#{{1,6}}{WS}"
 HEADING_LINE = rf"(?m)^#{{1,6}}{WS}+.*$"
 PASSIVE = rf"\b(am|is|are|was|were|been|being|be){WS}+(\w+(?:ed|wn|en))\b({WS}+by\b)?"

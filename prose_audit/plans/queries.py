@@ -30,6 +30,16 @@ SEED_RULES = [
     (0, "simpleSwaps", "utilize"), (0, "fillerPhrases", "in order to"), (1, "hypeSwaps", "seamless"), (1, "midSentenceDeletes", "needless to say"),
     (2, "sentenceStartDeletes", "Basically,"), (2, "contractions", "don't"), (2, "simpleSwaps", "leverage"),
 ]
+#: Last paragraphs for the queries on splits: text, and where it is split: kind, tier, end of the first sentence.
+SPLIT_SEEDS = [
+    ("The engine applies swaps first; the audit runs afterwards.", ("SPLIT-A", 1, 30)),
+    ("The score dropped to eleven, but the long sentences were still flagged.", ("SPLIT-B", 2, 27)),
+    ("We shipped the module, and the tests passed on the first run.", ("SPLIT-B", 2, 21)),
+    ("The corpus is missing, so every threshold stays provisional here.", ("SPLIT-B", 2, 21)),
+    ("The engine reads the rules and applies them in order.", None),
+    ("Although the tests passed, the release waits.", None),
+    ("We ran `a; b` once, which took an hour.", None),
+]
 #: Flag words that do occur in the documents.
 OWN_FLAGS = [("of", "Marketing hype", "Cut", None, None), ("is", "Vague connective", "Cut", None, None)]
 
@@ -38,9 +48,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = F.array(*[F.lit(s) for s, _, _ in SEEDS])
-    last = F.element_at(seeds, (F.pmod("doc_id", F.lit(len(SEEDS))) + 1).cast("int"))
+def seeded(spark: SparkSession, sf_dir: str, texts: list[str] | None = None) -> DataFrame:
+    texts = texts or [s for s, _, _ in SEEDS]
+    last = F.element_at(F.array(*map(F.lit, texts)), (F.pmod("doc_id", F.lit(len(texts))) + 1).cast("int"))
     return table(spark, sf_dir, "documents").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(SEP), last))
 
 
@@ -237,14 +247,14 @@ def paragraph_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def split_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Splits on offer in all documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs = seeded(spark, sf_dir, [s for s, _ in SPLIT_SEEDS])
     paragraphs = docs.select("doc_id", F.posexplode(X.paragraphs(F.col("text"), SEP)).alias("para_idx", "output"))
     return splits.suggest_splits(paragraphs, default_rules()).select("doc_id", "para_idx", "kind", "tier", "start", "end", "left", "right")
 
 
 def split_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every long sentence with its split, or why it has none."""
-    docs = table(spark, sf_dir, "documents")
+    docs = seeded(spark, sf_dir, [s for s, _ in SPLIT_SEEDS])
     paragraphs = docs.select("doc_id", F.posexplode(X.paragraphs(F.col("text"), SEP)).alias("para_idx", "output"))
     return splits.split_report(paragraphs, default_rules())
 

@@ -44,3 +44,16 @@ def test_query(spark, con, name):
 
 def test_sql_is_of_queries():
     assert set(Q.ORACLE_SQL) <= set(Q.QUERIES)
+
+
+def test_splits_of_seeds(spark, con):
+    """Every document's last paragraph is split as its seed says."""
+    got = {}
+    for r in Q.split_candidates(spark, SMALL).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for (doc_id,) in con.execute("SELECT doc_id FROM documents").fetchall():
+        text, split = Q.SPLIT_SEEDS[doc_id % len(Q.SPLIT_SEEDS)]
+        own = [r for r in got.get(doc_id, []) if text.startswith(r.left)]
+        assert [(r.kind, r.tier, r.start) for r in own] == ([split] if split else [])
+        for r in own:
+            assert text[: r.start] == r.left and text[r.end :] == r.right
