@@ -378,8 +378,9 @@ def spanning(i: np.ndarray, j: np.ndarray, weight: np.ndarray, of: np.ndarray) -
 
 
 def _blocks(rows: DataFrame, salt: int) -> DataFrame:
-    """``rows(token, node, n, ...)`` with the block that each is in: token, x, y, side (0 everywhere)."""
-    x = F.pmod(F.xxhash64("node", F.lit(salt)), F.ceil(F.col("n") / BLOCK_ROWS)).cast("int")
+    """``rows(token, node, n, ...)`` with the block that each is in: token, x, y, side (0 everywhere). Each token has
+    blocks of its own, so what one of them keeps apart meets in another."""
+    x = F.pmod(F.xxhash64("node", "token", F.lit(salt)), F.ceil(F.col("n") / BLOCK_ROWS)).cast("int")
     return rows.select("token", x.alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side"), *[c for c in rows.columns if c != "token"])
 
 
