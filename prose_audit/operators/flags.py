@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ..functions import text as X
 from ..functions.patterns import BENIGN, CONNECTIVE, HEADING, HEADING_LINE, PASSIVE, WS, java, literal
 from ..sources.rules import Rules
-from .rewrite import Vault, snippet
+from .rewrite import Vault, change_count, output_text, snippet
 from .spans import find_protected, find_sentences, overlaps
 
 # Kinds of flags, what they say and advise.
@@ -190,6 +190,29 @@ def flags_by_type(flagged: DataFrame, by: str) -> DataFrame:
     return fine.groupBy("type").agg(F.lit(None).cast("string").alias(by), F.sum("n").alias("n"), F.sum("docs").alias("docs")).select(by, "type", "n", "docs").union(fine)
 
 
+def flags_by_dimension(flags: DataFrame, docs: DataFrame, by: str) -> DataFrame:
+    """``flags(doc_id, dim)`` and ``docs(doc_id, by)`` → by, dim, n, docs and whether a row is over all values of
+    ``by`` or of dim. Flags are counted per document before they meet the documents."""
+    own = flags.groupBy("doc_id", "dim").agg(F.count("*").alias("n")).join(docs.select("doc_id", by), "doc_id")
+    out = own.cube(by, "dim").agg(F.sum("n").alias("n"), F.count_distinct("doc_id").alias("docs"), F.grouping(by).alias("all_groups"), F.grouping("dim").alias("all_dims"))
+    return out.select(by, "dim", "n", "docs", F.col("all_groups").cast("int").alias("all_groups"), F.col("all_dims").cast("int").alias("all_dims"))
+
+
+def flag_rule_usage(flagged: DataFrame, rules_table: DataFrame) -> DataFrame:
+    """Of every flag word: find, hits, docs; 0 where it never fired. Hits are counted in the row of a document first."""
+    keys = F.transform(F.filter("flags", lambda f: f["type"] == WORD_CHOICE), lambda f: F.lower(F.translate(f["found"], "’", "'")))
+    own = flagged.select(F.explode(_repeated(keys, 1)).alias("k")).groupBy(F.col("k.key").alias("key")).agg(F.sum("k.n").alias("hits"), F.count("*").alias("docs"))
+    rules = rules_table.filter(F.col("list") == "flagWords").select("find", F.lower(F.translate("find", "’", "'")).alias("key"))
+    return rules.join(own, "key", "left").select("find", F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("docs", F.lit(0)).alias("docs"))
+
+
+def document_statistics(rewritten: DataFrame, rules: Rules, *, sep: str = "\n\n", para_sep: str = rf"\n{WS}*\n") -> DataFrame:
+    """doc_id, before and after (readability), change_count, flag_count (flags left in the output), words_saved."""
+    flagged = flag_documents(rewritten.withColumn("__output", output_text(sep)), rules, text="__output", para_sep=para_sep)
+    both = flagged.select("doc_id", X.flesch(output_text(sep, "original")).alias("before"), X.flesch(F.col("__output")).alias("after"), change_count().alias("change_count"), F.size("flags").alias("flag_count"))
+    return both.withColumn("words_saved", F.col("before.words") - F.col("after.words"))
+
+
 # ---------------------------------------------------------------------------------------------------
 # review: flags of a paragraph with offsets
 
@@ -266,6 +289,20 @@ def review_paragraph(text: Column, rules: Rules) -> Column:
     return run(text)
 
 
+def dimension_counts(paragraphs: Column, rules: Rules) -> Column:
+    """struct<d1, d2, d3, d4>: flags of each dimension in the paragraphs (array<string>) of a document, in its row."""
+    dims = ("d1", "d2", "d3", "d4")
+
+    @F.pandas_udf(T.StructType([T.StructField(d, T.IntegerType()) for d in dims]))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = Reviewer(rules)
+        for batch in batches:
+            found = [[f[3] for p in ([] if texts is None else texts) for f in own.review(p or "")] for texts in batch]
+            yield pd.DataFrame({d: [x.count(d) for x in found] for d in dims}, dtype="int32")
+
+    return run(paragraphs)
+
+
 def review_flags(paragraphs: DataFrame, rules: Rules, *, documents: DataFrame | None = None) -> DataFrame:
     """Flags of ``paragraphs(doc_id, para_idx, output)`` with offsets into the paragraph; with ``documents(doc_id,
     text)`` also those of whole documents, whose para_idx, start and end are null."""

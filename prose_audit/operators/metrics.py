@@ -80,10 +80,13 @@ def opener_repetition(sentences: Column) -> Column:
     return X.let(F.transform(F.filter(heads, lambda w: F.size(w) == 3), lambda w: F.array_join(w, " ")), share)
 
 
-def document_metrics(docs: DataFrame, *, sep: str = "\n\n", stock: list[str] = STOCK, transitions: list[str] = TRANSITIONS, hedges: list[str] = HEDGES) -> DataFrame:
-    """``docs(doc_id, text)`` → one row of metrics per document; an empty or null text has zeros."""
+def document_metrics(
+    docs: DataFrame, *, sep: str = "\n\n", stock: list[str] = STOCK, transitions: list[str] = TRANSITIONS, hedges: list[str] = HEDGES, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """``docs(doc_id, text)`` → one row of metrics per document, after the columns ``keep``; an empty or null text has
+    zeros. The two metrics of helpers, mattr and authority_claims, cost nothing unless they are selected."""
     t = F.coalesce("text", F.lit(""))
-    base = docs.select("doc_id", t.alias("t"), X.sentences(t).alias("s"), X.paragraphs(t, sep).alias("p"))
+    base = docs.select("doc_id", *keep, t.alias("t"), X.sentences(t).alias("s"), X.paragraphs(t, sep).alias("p"))
     base = base.withColumn("n", F.regexp_count("t", F.lit(TOKEN))).withColumn("len", F.transform("s", lambda s: F.regexp_count(s, F.lit(TOKEN))))
     c = F.col
 
@@ -100,6 +103,7 @@ def document_metrics(docs: DataFrame, *, sep: str = "\n\n", stock: list[str] = S
     rows = base.withColumn("m", sentence_metrics(c("len"))).withColumn("w", section_words)
     return rows.select(
         "doc_id",
+        *keep,
         c("n").alias("words"),
         F.size("s").alias("sentences"),
         F.size("p").alias("paragraphs"),
@@ -111,14 +115,14 @@ def document_metrics(docs: DataFrame, *, sep: str = "\n\n", stock: list[str] = S
         F.size("w").alias("sections"),
         per(count("(?i)" + alternatives(stock)), c("n"), 1000).alias("stock_density"),
         F.when(F.size("p") > 0, F.size(F.filter(openers, lambda o: o.isin(transitions))) / F.size("p")).otherwise(0.0).alias("transition_open_rate"),
-        per(count(r"(?i)\b[a-z]+, [a-z]+,? and [a-z]+\b"), c("n"), 1000).alias("tricolon_density"),
+        per(count(rf"(?i){BEFORE_WORD}[a-z]+, [a-z]+,? and [a-z]+{AFTER_WORD}"), c("n"), 1000).alias("tricolon_density"),
         per(count("—"), c("n"), 1000).alias("em_dash_rate"),
         per(count("—[^—.!?\n]+—"), c("n"), 1000).alias("paired_em_dash_rate"),
         per(count("(?i)" + alternatives(hedges)), c("n"), 100).alias("hedge_density"),
         per(count("(?i)" + alternatives(["i", "me", "my", "mine", "we", "us", "our", "ours"])), c("n"), 1000).alias("first_person_rate"),
         per(count("(?i)" + alternatives(["you", "your", "yours"])), c("n"), 1000).alias("second_person_rate"),
         count(rf"(?i){BEFORE_WORD}not (?:just|only|merely)\s[^.!?;]{{1,80}}?[,;]?\s(?:but|it's|it is){AFTER_WORD}").alias("not_just_count"),
-        F.when(F.size("s") > 0, F.size(F.filter("s", lambda s: s.rlike(r"\A(?:While|Although|Though|Not only|Whereas)\b|, yet ,?"))) / F.size("s")).otherwise(0.0).alias("balanced_clause_rate"),
+        F.when(F.size("s") > 0, F.size(F.filter("s", lambda s: s.rlike(rf"\A(?:While|Although|Though|Not only|Whereas){AFTER_WORD}|, yet ,?"))) / F.size("s")).otherwise(0.0).alias("balanced_clause_rate"),
         closing_restatement(c("p")).alias("closing_restatement"),
         F.when(F.size(lines) > 0, F.size(bold) / F.size(lines)).otherwise(0.0).alias("bold_lead_bullet_rate"),
         X.flesch(c("t"))["grade"].alias("flesch_kincaid"),
@@ -128,6 +132,8 @@ def document_metrics(docs: DataFrame, *, sep: str = "\n\n", stock: list[str] = S
         per(F.size(rounded), c("n"), 1000).alias("round_numeral_density"),
         per(count(dates), c("n"), 1000).alias("date_density"),
         per(count(r"(?<=[a-z0-9,;:)] )[A-Z][A-Za-z'-]*"), c("n"), 1000).alias("capitalized_density"),
+        mattr(c("t")).alias("mattr"),
+        authority_claims(c("t")).alias("authority_claims"),
     )
 
 

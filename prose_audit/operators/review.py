@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.rules import Rules
+from .scoring import score_in_row
+
 EDIT = "struct<seq:int,from:string,to:string,nth:int>"
 REPLAYED = T.StructType([T.StructField("text", T.StringType()), T.StructField("missing", T.ArrayType(T.IntegerType()))])
 
@@ -86,6 +89,14 @@ def touched_documents(docs: DataFrame, edits: DataFrame) -> DataFrame:
     return docs.join(edits.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
+def recompute(paragraphs: DataFrame, edits: DataFrame, rules: Rules, *, sep: str = "\n\n", weights: dict[str, float] | None = None) -> DataFrame:
+    """doc_id, n_edits and the scores of the replayed text, of documents with an edit; no other is read on."""
+    replayed = replay_edits(touched_documents(paragraphs, edits), edits)
+    own = F.array_sort(F.collect_list(F.struct("para_idx", "output")))
+    docs = replayed.groupBy("doc_id").agg(F.transform(own, lambda p: p["output"]).alias("p"), F.sum("n_edits").alias("n_edits"))
+    return docs.select("doc_id", "n_edits", score_in_row(F.array_join("p", sep), F.col("p"), rules, weights).alias("s")).select("doc_id", "n_edits", "s.*")
+
+
 def with_nth(flags: DataFrame) -> DataFrame:
     """``flags(doc_id, para_idx, found, start)`` with ``nth``: which occurrence of the same words it is, from 0."""
     return flags.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "para_idx", "found").orderBy("start")) - 1)

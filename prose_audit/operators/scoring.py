@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.patterns import WS, java
+from ..functions.patterns import java
+from ..sources.rules import Rules
+from .flags import WORD_CHOICE, dimension_counts, document_flags
+from .rewrite import output_text
 
 # Keys, names and default weights of the dimensions; bands of both models.
 DIMENSIONS = [("d1", "Stock wording", 1.0), ("d2", "Sentence rhythm", 1.0), ("d3", "Fence-sitting", 1.0), ("d4", "Missing specifics", 1.0), ("d5", "No personal voice", 1.0)]
@@ -76,6 +79,35 @@ def score_documents(docs: DataFrame, flags: DataFrame, weights: dict[str, float]
     return out.withColumn("verdict", verdict(F.col("total")))
 
 
+def score_in_row(text: Column, paragraphs: Column, rules: Rules, weights: dict[str, float] | None = None) -> Column:
+    """struct<n_words, d1 to d5, total, verdict> of a text and its paragraphs (array<string>): what score_documents
+    gives, with no table of flags, join or shuffle."""
+    own = F.struct(X.word_count(text).alias("n"), dimension_counts(paragraphs, rules).alias("c"), F.size(document_flags(text)).alias("whole"), authorial_presence(text)["score"].alias("d5"))
+    w = [float((weights or {}).get(k, d)) for k, _, d in DIMENSIONS]
+
+    def scored(x: Column) -> Column:
+        flags = {k: x["c"][k] + x["whole"] if k == "d2" else x["c"][k] for k in ("d1", "d2", "d3", "d4")}
+        dims = {k: density_score(n, x["n"]) for k, n in flags.items()} | {"d5": x["d5"]}
+        return F.struct(x["n"].alias("n_words"), *[v.alias(k) for k, v in dims.items()], total(list(dims.values()), w).alias("total"))
+
+    return X.let(X.let(own, scored), lambda s: F.struct(*[s[k].alias(k) for k in ("n_words", "d1", "d2", "d3", "d4", "d5", "total")], verdict(s["total"]).alias("verdict")))
+
+
+def score_before_after(rewritten: DataFrame, rules: Rules, *, sep: str = "\n\n", weights: dict[str, float] | None = None) -> DataFrame:
+    """doc_id, before and after: scores of the originals and of what the rewrite made of them."""
+
+    def side(name: str) -> Column:
+        return score_in_row(output_text(sep, name), F.transform("paragraphs", lambda p: p[name]), rules, weights)
+
+    return rewritten.select("doc_id", side("original").alias("before"), side("output").alias("after"))
+
+
+def marketing_share(flags: Column) -> Column:
+    """Of a document's flags for stock wording the share whose reason is marketing; 0 if there are none."""
+    stock = F.filter(flags, lambda f: (f["type"] == WORD_CHOICE) & ~F.lower(f["reason"]).rlike("connective|legalese|abstract|complex construction|vague"))
+    return X.let(stock, lambda x: F.when(F.size(x) > 0, F.size(F.filter(x, lambda f: F.contains(F.lower(f["reason"]), F.lit("marketing")))) / F.size(x)).otherwise(0.0))
+
+
 def weighted_band(scores: DataFrame) -> DataFrame:
     """``scores`` with the weighted model's total and band."""
     value = total([F.col(k) for k, _, _ in DIMENSIONS], [WEIGHTED[k] for k, _, _ in DIMENSIONS])

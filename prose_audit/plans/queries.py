@@ -145,6 +145,49 @@ def review_work_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.work_list(review.with_nth(found)).select("doc_id", "para_idx", "start", "end", "type", "dim", "found", "kind", "nth", "position", "n")
 
 
+def flags_by_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review flags by source and dimension, with totals."""
+    docs, found = _review(spark, sf_dir)
+    return flags.flags_by_dimension(found, docs, "source")
+
+
+def flag_rule_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of flag words of our own, one that never fires included."""
+    from ..sources.rules import rule_table
+
+    rules = default_rules()
+    rules.flags = [*OWN_FLAGS, ("zzyzx", "Marketing hype", "Cut", None, None)]
+    out = flags.flag_documents(table(spark, sf_dir, "documents"), rules, para_sep="\n")
+    return flags.flag_rule_usage(out, rule_table(spark, rules))
+
+
+def document_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readability before and after the rewrite, changes, and flags that are left."""
+    rules = default_rules()
+    rules.flags = OWN_FLAGS
+    done = rewrite.rewrite_documents(seeded(spark, sf_dir), rules, sep=SEP)
+    return flags.document_statistics(done, rules, sep=SEP, para_sep="\n").select("doc_id", F.col("before.grade").alias("grade_before"), F.col("after.grade").alias("grade_after"), "change_count", "flag_count", "words_saved")
+
+
+def score_before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the originals and of the rewritten texts."""
+    rules = default_rules()
+    rules.flags = [*OWN_FLAGS, ("utilize", "Marketing hype", "Cut", None, None)]
+    done = scoring.score_before_after(rewrite.rewrite_documents(seeded(spark, sf_dir), rules, sep=SEP), rules, sep=SEP)
+    return done.select("doc_id", *[F.col(f"{side}.{k}").alias(f"{k}_{side}") for side in ("before", "after") for k in ("d1", "d2", "d3", "d4", "d5", "total", "verdict")])
+
+
+def recompute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the documents whose first " of " is edited, after the edit."""
+    rules = default_rules()
+    rules.flags = OWN_FLAGS
+    docs = table(spark, sf_dir, "documents")
+    paragraphs = docs.select("doc_id", F.posexplode(X.paragraphs(F.col("text"), SEP)).alias("para_idx", "output"))
+    first = paragraphs.filter((F.col("para_idx") == 0) & F.contains("output", F.lit(" of ")))
+    edits = first.select("doc_id", "para_idx", F.lit(1).alias("seq"), F.lit(" of ").alias("from"), F.lit(" by ").alias("to"), F.lit(0).alias("nth"))
+    return review.recompute(paragraphs, edits, rules, sep=SEP)
+
+
 def replay_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One edit in each first paragraph: the first "the" in capitals."""
     docs = table(spark, sf_dir, "documents")
@@ -162,9 +205,8 @@ def sentence_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All metrics of every document."""
-    docs = table(spark, sf_dir, "documents")
-    extra = docs.select("doc_id", metrics.mattr(F.col("text")).alias("mattr"), metrics.authority_claims(F.col("text")).alias("authority_claims"))
-    return metrics.document_metrics(docs, sep=SEP).join(extra, "doc_id")
+    out = metrics.document_metrics(table(spark, sf_dir, "documents"), sep=SEP)
+    return out.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in out.dtypes])
 
 
 def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +224,10 @@ def stock_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Guards and confidence of every document, authors being the languages of labelled good documents."""
     docs = table(spark, sf_dir, "documents")
-    own = metrics.document_metrics(docs, sep=SEP).select("doc_id", F.col("words").alias("n_words"), "section_len_cv", "sections", F.lit(0.0).alias("marketing_share"))
+    rules = default_rules()
+    rules.flags = [("of", "Marketing hype", "Cut", None, None), ("the", "Filler", "Cut", None, None)]
+    flagged = flags.flag_documents(docs, rules, para_sep="\n").withColumn("marketing_share", scoring.marketing_share(F.col("flags")))
+    own = metrics.document_metrics(flagged, sep=SEP, keep=("marketing_share",)).select("doc_id", F.col("words").alias("n_words"), "section_len_cv", "sections", "marketing_share")
     lexicon = spark.createDataFrame([("academic", "of"), ("legal", "herein")], "genre string, word string")
     out = scoring.genre_guard(scoring.guards(own), metrics.genres(docs, lexicon, 40.0))
     out = scoring.baseline_guard(out, style_distance(spark, sf_dir), 0.8)
@@ -278,7 +323,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         rewrite_categories, readability_documents, readability_by_group, rewrite_outputs, rewrite_stats, rule_usage, flag_types, flags_by_source, density_scores, audit_scores,
         review_work_list, replay_edits, sentence_metrics, document_metrics, rhythm_rules, section_windows, class_rates, class_thresholds, hardest_documents, gates, plain_text,
-        rule_counts, stock_hits, guards, paragraph_diffs, split_candidates, split_report, style_distance, letter_language,
+        flags_by_dimension, flag_rule_usage, document_statistics, score_before_after, recompute, rule_counts, stock_hits, guards, paragraph_diffs, split_candidates, split_report, style_distance, letter_language,
     )
 }
 
@@ -448,3 +493,184 @@ ORACLE_SQL["flags_by_source"] = f"""WITH t AS ({ORACLE_SQL["flag_types"]}), u AS
     unnest([long_sentence, passive_voice, semicolon, long_paragraph, repetitive_rhythm]) AS n FROM t JOIN documents USING (doc_id)),
 fine AS (SELECT source, type, CAST(sum(n) AS BIGINT) AS n, count(*) AS docs FROM u WHERE n > 0 GROUP BY source, type)
 SELECT source, type, n, docs FROM fine UNION ALL SELECT NULL, type, CAST(sum(n) AS BIGINT), CAST(sum(docs) AS BIGINT) FROM fine GROUP BY type"""
+
+# Flags of review, with offsets. Places of matches come from what lies between them.
+_PERCENT = r"(?:^|[^\w.])\d+(?:\.\d+)?(?:%| percent\b)"
+_EMAIL = r"\b[\w.+-]+@[\w-]+\.[\w.]+\b"
+
+
+def _spans_sql(text: str, pattern: str) -> str:
+    """List of {a, b, f}: where a pattern's matches in ``text`` begin and end, and what they are."""
+    parts, found = f"string_split_regex({text}, '{pattern}')", f"regexp_extract_all({text}, '{pattern}')"
+    start = f"CAST(list_sum(list_transform({parts}[:i], lambda y: length(y))) + coalesce(list_sum(list_transform({found}[:i - 1], lambda y: length(y))), 0) AS INT)"
+    return f"list_transform(range(1, len({found}) + 1), lambda i: {{'a': {start}, 'b': CAST({start} + length({found}[i]) AS INT), 'f': {found}[i]}})"
+
+
+def _found_sql(source: str, words: dict[str, str], name: str = "found") -> str:
+    """CTE ``name`` (and some before it): review flags of the texts of ``source(doc_id, text)``; ``words`` are flag
+    words with their dimensions."""
+    free = "len(list_filter(mail, lambda m: m.a < e AND a < m.b)) = 0"
+    flagged = " UNION ALL ".join(f"SELECT doc_id, para_idx, mail, '{d}' AS dim, unnest({_spans_sql('t', rf'(?i)\b{w}\b')}) AS w FROM {name}_p" for w, d in words.items())
+    pieces = "string_split(regexp_replace(" + _GUARD.replace("{t}", "t") + r", '([.!?])(\s+)', '\1' || chr(1) || '\2', 'g'), chr(1))"
+    return rf"""{name}_0 AS (SELECT doc_id, {_PARTS.replace('{n}', _NORMAL.replace('{t}', "coalesce(text, '')"))} AS ts FROM {source}),
+{name}_1 AS (SELECT doc_id, CAST(unnest(range(len(ts))) AS INT) AS para_idx, unnest(ts) AS t FROM {name}_0),
+{name}_p AS (SELECT *, {_spans_sql('t', _EMAIL)} AS mail, {pieces} AS pc FROM {name}_1),
+{name}_2 AS (SELECT doc_id, para_idx, t, mail, unnest(list_transform(range(1, len(pc) + 1), lambda i: {{'a': coalesce(list_sum(list_transform(pc[:i - 1], lambda y: length(y))), 0), 'x': replace(pc[i], chr(2), '.')}})) AS z FROM {name}_p),
+{name}_s AS (SELECT doc_id, para_idx, t, mail, CAST(z.a + length(regexp_extract(z.x, '^\s*')) AS INT) AS loc, regexp_replace(z.x, '^\s+|\s+$', '', 'g') AS s FROM {name}_2 WHERE regexp_matches(z.x, '\S')),
+{name}_n AS (SELECT *, len({words_sql('s')}) AS n, {words_sql('s')}[:2] AS head FROM {name}_s),
+{name}_w AS ({flagged}),
+{name}_q AS (SELECT doc_id, para_idx, t, mail, unnest({_spans_sql('t', _PERCENT)}) AS w FROM {name}_p),
+{name}_m AS (SELECT doc_id, para_idx, t, mail, CAST(w.a + length(regexp_extract(w.f, '^[^0-9]')) AS INT) AS a, w.b AS e, regexp_replace(w.f, '^[^0-9]', '') AS f FROM {name}_q),
+{name}_v AS (SELECT *, CAST(loc + length(string_split_regex(s, '{_PASSIVE}')[1]) AS INT) AS a, CAST(loc + length(string_split_regex(s, '{_PASSIVE}')[1]) + length(regexp_extract(s, '{_PASSIVE}', 0)) AS INT) AS e,
+  regexp_extract(s, '{_PASSIVE}', 0) AS f FROM {name}_n WHERE NOT regexp_matches(s, '^#{{1,6}}\s') AND regexp_matches(s, '{_PASSIVE}')
+  AND (NOT regexp_matches(regexp_extract(s, '{_PASSIVE}', 0), '{_BENIGN}') OR regexp_extract(s, '{_PASSIVE}', 3) <> '') AND lower(regexp_extract(s, '{_PASSIVE}', 1)) <> 'is'),
+{name} AS (
+  SELECT doc_id, para_idx, a AS start, e AS "end", 'Word choice' AS type, dim, f AS found, 'advice' AS kind FROM (SELECT *, w.a AS a, w.b AS e, w.f AS f FROM {name}_w) WHERE {free}
+  UNION ALL SELECT doc_id, para_idx, a, e, 'Missing specifics', 'd4', f, 'advice' FROM {name}_m WHERE {free}
+    AND NOT regexp_matches(regexp_extract(t[e + 1:], '^(?:[^.]|\.\S)*'), '(?i)\b(?:according|source|survey|report|study)\b')
+  UNION ALL SELECT doc_id, para_idx, loc, CAST(loc + length(s) AS INT), 'Long sentence', 'd2', n || ' words', 'advice-span' FROM {name}_n WHERE n > 28 AND NOT regexp_matches(s, '^#{{1,6}}\s')
+  UNION ALL SELECT doc_id, para_idx, a, e, 'Passive voice', 'd3', f, 'advice' FROM {name}_v WHERE {free}
+  UNION ALL SELECT doc_id, para_idx, CAST(loc + w.a AS INT), CAST(loc + w.b AS INT), 'Semicolon', 'd2', ';', 'advice'
+    FROM (SELECT doc_id, para_idx, loc, unnest({_spans_sql('s', ';')}) AS w FROM {name}_n WHERE NOT regexp_matches(s, '^#{{1,6}}\s'))
+  UNION ALL SELECT doc_id, para_idx, 0, CAST(length(t) AS INT), 'Long paragraph', 'd2', count(*) || ' sentences', 'advice-span' FROM {name}_n WHERE NOT regexp_matches(t, '^\s*#') GROUP BY doc_id, para_idx, t HAVING count(*) > 6
+  UNION ALL SELECT doc_id, para_idx, 0, CAST(length(t) AS INT), 'Repetitive rhythm', 'd2', count(*) || ' sentences start with "' || lower(head[1] || ' ' || head[2]) || '"', 'advice-span'
+    FROM {name}_n WHERE len(head) = 2 AND NOT regexp_matches(t, '^\s*#') GROUP BY doc_id, para_idx, t, lower(head[1] || ' ' || head[2]) HAVING count(*) >= 3
+  UNION ALL SELECT doc_id, NULL, NULL, NULL, 'Repetitive rhythm', 'd2', n || ' occurrences', 'document'
+    FROM (SELECT doc_id, len(regexp_extract_all(text, '(?:^|[.!?]\s+)(?:Also|However|So),?\s')) AS n FROM {source}) WHERE n >= 3)"""
+
+
+def _density_sql(n: str) -> str:
+    return f"least(4.0::DOUBLE, floor(CASE WHEN n_words > 0 THEN {n} * 1000.0::DOUBLE / n_words ELSE 0 END / 9 * 4 * 2 + 0.5::DOUBLE) / 2)"
+
+
+_SIGNS = [
+    r"\b(?:[Ii]|[Mm]y|[Mm]e|[Mm]ine|[Ww]e|[Oo]ur|[Uu]s)\b",
+    r"\b(?:(?:19|20)\d{2}|(?:January|February|March|April|May|June|July|August|September|October|November|December) \d{1,2}|Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday)\b",
+    r"(?:^|[^\w.])\d+(?:[.,]\d+)+\b|(?:^|[^\w.])\d*[1-46-9]\b|[$€£]\d",
+    r"\b(?:I|we) (?:think|believe|prefer|doubt|hope|like|hate|love|regret|disagree)\b|\b(?:Mr|Mrs|Ms|Dr)\. [A-Z]|[a-z,] [A-Z][a-z]+ [A-Z][a-z]+",
+]
+
+
+def _scores_sql(source: str, words: dict[str, str], name: str = "scored") -> str:
+    """CTE ``name`` (and some before it): doc_id, n_words, d1 to d5, total, verdict, weighted, of ``source(doc_id, text)``."""
+    signs = " - ".join(f"CAST(regexp_matches(coalesce(text, ''), '{p}') AS INT)" for p in _SIGNS)
+    counts = ", ".join(f"count(*) FILTER (dim = '{d}') AS n_{d}" for d in ("d1", "d2", "d3", "d4"))
+    dims = ", ".join(f"{_density_sql(f'coalesce(n_{d}, 0)')} AS {d}" for d in ("d1", "d2", "d3", "d4"))
+    return f"""{_found_sql(source, words, f'{name}_found')}, {name}_c AS (SELECT doc_id, {counts} FROM {name}_found GROUP BY doc_id),
+{name}_t AS (SELECT doc_id, CAST(len({words_sql("coalesce(text, '')")}) AS INT) AS n_words, CAST(4 - {signs} AS DOUBLE) AS d5 FROM {source}),
+{name}_d AS (SELECT doc_id, n_words, {dims}, d5 FROM {name}_t LEFT JOIN {name}_c USING (doc_id)),
+{name}_e AS (SELECT *, floor((d1 + d2 + d3 + d4 + d5) * 10 + 0.5::DOUBLE) / 10 AS total,
+  floor((d1 * 0.75::DOUBLE + d2 * 1.25::DOUBLE + d3 + d4 * 1.25::DOUBLE + d5 * 0.75::DOUBLE) * 10 + 0.5::DOUBLE) / 10 AS weighted_total FROM {name}_d),
+{name} AS (SELECT *, CASE WHEN total >= 15 THEN 'heavy' WHEN total >= 10 THEN 'moderate' WHEN total >= 6 THEN 'light' WHEN total > 0 THEN 'low' ELSE 'none' END AS verdict FROM {name}_e)"""
+
+
+_OWN = {"of": "d1", "is": "d3"}
+_BANDS = "CASE WHEN n_words < 150 THEN 'insufficient_text' WHEN weighted_total <= 4 THEN 'human-written' WHEN weighted_total <= 8.5 THEN 'mild' WHEN weighted_total <= 13.5 THEN 'substantial' ELSE 'heavy' END"
+_TEXTS = f"{_outputs_sql()}, b AS (SELECT doc_id, seed, array_to_string(ins, chr(10)) AS text FROM done), a AS (SELECT doc_id, array_to_string(outs, chr(10)) AS text FROM done)"
+
+
+def _phrases(names: list[str]) -> str:
+    return r"\b(?:" + "|".join(n.replace("'", "''") for n in names) + r")\b"
+
+
+def _stdev_sql(a: str) -> str:
+    return f"CASE WHEN len({a}) > 1 THEN sqrt(list_sum(list_transform({a}, lambda x: (x - list_avg({a})) * (x - list_avg({a})))) / len({a})) ELSE 0 END"
+
+
+def _per(count: str, unit: int = 1000) -> str:
+    return f"CASE WHEN n > 0 THEN {count} * {unit}.0::DOUBLE / n ELSE 0 END"
+
+
+def _count(pattern: str, of: str = "t") -> str:
+    return f"len(regexp_extract_all({of}, '{pattern}'))"
+
+
+_NUMERAL = r"(?:$|[.,](?:$|[^0-9]))"
+_BULLET = r"^\s*(?:[-*+]|[0-9]+[.)])\s"
+_CLAIM = "(?i)" + _phrases(metrics.AUTHORITY)
+_MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+#: Metrics of every document, unrounded.
+_METRICS = rf"""{readability_sql('documents')}, e0 AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+e1 AS (SELECT *, len(regexp_extract_all(t, '{_TOKEN}')) AS n, {sentences_sql('t')} AS sents, {_PARTS.replace('{n}', _NORMAL.replace('{t}', 't'))} AS p, string_split(t, chr(10)) AS rows,
+  string_split_regex(t, '[''’]') AS around, string_split(t, ' ') AS spaced, regexp_extract_all(lower(t), '{_TOKEN}') AS low FROM e0),
+e2 AS (SELECT *, list_transform(sents, lambda x: len(regexp_extract_all(x, '{_TOKEN}'))) AS l, list_transform(p, lambda y: len({sentences_sql('y')})) AS per_p,
+  list_transform(list_filter(string_split_regex(t, '(?m)^#{{1,6}}\s+.*$'), lambda x: regexp_matches(x, '\S')), lambda x: len(regexp_extract_all(x, '{_TOKEN}'))) AS sec,
+  list_filter(rows, lambda x: regexp_matches(x, '{_BULLET}')) AS bullets, regexp_extract_all(t, '[\w.,]+') AS runs, string_split_regex(t, '{_CLAIM}') AS claims,
+  list_transform(list_filter(list_transform(sents, lambda x: {words_sql('lower(x)')}[:3]), lambda w: len(w) = 3), lambda w: array_to_string(w, ' ')) AS heads FROM e1),
+e3 AS (SELECT *, list_sum(l) / len(l) AS mean, sqrt(list_sum(list_transform(l, lambda x: (x - list_avg(l)) * (x - list_avg(l)))) / len(l)) AS dev,
+  list_distinct(regexp_extract_all(lower(p[-1]), '[a-z]{{5,}}')) AS own, regexp_extract_all(lower(array_to_string(p[:len(p) - 1], ' ')), '[a-z]{{5,}}') AS earlier FROM e2),
+mt AS (SELECT doc_id, CAST(n AS INT) AS words, CAST(len(sents) AS INT) AS sentences, CAST(len(p) AS INT) AS paragraphs,
+  CAST(coalesce(mean, 0) AS DOUBLE) AS sent_len_mean, coalesce(dev, 0) AS sent_len_stdev, CASE WHEN mean > 0 THEN dev / mean ELSE 0 END AS sent_len_cv,
+  CAST(coalesce(list_min(l), 0) AS INT) AS sent_len_min, CAST(coalesce(list_max(l), 0) AS INT) AS sent_len_max,
+  CASE WHEN len(l) > 0 THEN len(list_filter(l, lambda x: x < 8)) / len(l) ELSE 0 END AS short_sent_rate,
+  CASE WHEN mean > 0 AND len(l) > 1 THEN list_sum(list_transform(range(1, len(l)), lambda i: abs(l[i + 1] - l[i]))) / (len(l) - 1) / mean ELSE 0 END AS burstiness,
+  sents[list_position(l, list_min(l))] AS shortest, sents[list_position(l, list_max(l))] AS longest,
+  {_stdev_sql('per_p')} AS para_len_stdev, CASE WHEN list_sum(sec) > 0 THEN ({_stdev_sql('sec')}) * len(sec) / list_sum(sec) ELSE 0 END AS section_len_cv, CAST(len(sec) AS INT) AS sections,
+  {_per(_count('(?i)' + _phrases(metrics.STOCK)))} AS stock_density,
+  CASE WHEN len(p) > 0 THEN len(list_filter(p, lambda x: list_contains([{', '.join(map(_quoted, metrics.TRANSITIONS))}], lower(regexp_extract(x, '^[^A-Za-z]*([A-Za-z]+)', 1))))) / len(p) ELSE 0 END AS transition_open_rate,
+  {_per(_count(r'(?i)\b[a-z]+, [a-z]+,? and [a-z]+\b'))} AS tricolon_density, {_per(_count('—'))} AS em_dash_rate, {_per(_count(r'—[^—.!?\n]+—'))} AS paired_em_dash_rate,
+  {_per(_count('(?i)' + _phrases(metrics.HEDGES)), 100)} AS hedge_density,
+  {_per(_count('(?i)' + _phrases(['i', 'me', 'my', 'mine', 'we', 'us', 'our', 'ours'])))} AS first_person_rate, {_per(_count('(?i)' + _phrases(['you', 'your', 'yours'])))} AS second_person_rate,
+  CAST({_count(r"(?i)\bnot (?:just|only|merely)\s[^.!?;]{1,80}?[,;]?\s(?:but|it''s|it is)\b")} AS INT) AS not_just_count,
+  CASE WHEN len(sents) > 0 THEN len(list_filter(sents, lambda x: regexp_matches(x, '^(?:While|Although|Though|Not only|Whereas)\b|, yet ,?'))) / len(sents) ELSE 0 END AS balanced_clause_rate,
+  coalesce(len(p) > 1 AND regexp_matches(p[-1], '(?i)^{_phrases(metrics.SUMMARY_OPENERS)}') AND len(list_intersect(own, earlier)) > 0.6::DOUBLE * len(own), false) AS closing_restatement,
+  CASE WHEN len(bullets) > 0 THEN len(list_filter(bullets, lambda x: regexp_matches(x, '^\s*(?:[-*+]|[0-9]+[.)])\s+\*\*(?:[^*]+\*\*\s*:|[^*]+:\*\*)'))) / len(bullets) ELSE 0 END AS bold_lead_bullet_rate,
+  CAST(r.grade AS DOUBLE) AS flesch_kincaid,
+  CASE WHEN len(heads) > 0 THEN (len(heads) - len(list_filter(map_values(list_histogram(heads)), lambda x: x = 1))) / len(heads) ELSE 0 END AS opener_repetition_rate,
+  {_per("len(list_filter(range(1, len(around)), lambda i: regexp_matches(around[i], '(?i)[a-z]$') AND regexp_matches(around[i + 1], '(?i)^(?:s|t|re|ve|ll|d|m)(?:[^a-z]|$)')))")} AS contraction_rate,
+  {_per(f"len(list_filter(runs, lambda x: regexp_matches(x, '^[0-9]+{_NUMERAL}')))")} AS numeral_density,
+  {_per(f"len(list_filter(runs, lambda x: regexp_matches(x, '^[0-9]*[05]{_NUMERAL}')))")} AS round_numeral_density,
+  {_per(_count(rf'\b(?:(?:19|20)[0-9]{{2}}|[0-9]{{1,2}}[/-][0-9]{{1,2}}[/-][0-9]{{2,4}}|(?:{_MONTHS}) [0-9]{{1,2}})\b'))} AS date_density,
+  {_per("len(list_filter(range(1, len(spaced)), lambda i: regexp_matches(spaced[i], '[a-z0-9,;:)]$') AND regexp_matches(spaced[i + 1], '^[A-Z]')))")} AS capitalized_density,
+  CASE WHEN n = 0 THEN 0 WHEN n <= 100 THEN len(list_distinct(low)) / n ELSE list_sum(list_transform(range(1, n - 98), lambda i: len(list_distinct(low[i:i + 99])))) / 100 / (n - 99) END AS mattr,
+  CAST(len(list_filter(range(2, len(claims) + 1), lambda i: NOT regexp_matches(array_to_string(regexp_extract_all(array_to_string(claims[i:], ' '), '\S+')[:15], ' '), '\[\d+\]|\((?:19|20)\d\d\)|\b(?:19|20)\d\d\b|\b[A-Z][a-z]+'))) AS INT) AS authority_claims
+  FROM e3 JOIN (SELECT doc_id, grade FROM r) AS r USING (doc_id))"""
+
+
+def _fired(rules: list[tuple[str, str]], by: str) -> str:
+    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in rules) + f"], lambda x: x IS NOT NULL), '{by}')"
+
+
+_RHYTHM = [
+    ("low variation", "sent_len_cv < 0.45::DOUBLE"), ("low oscillation", "burstiness < 0.35::DOUBLE"), ("transitions", "transition_open_rate > 0.35::DOUBLE"), ("tricolons", "tricolon_density > 4"),
+    ("closing restatement", "closing_restatement"), ("equal sections", "section_len_cv < 0.25::DOUBLE AND sections >= 3"),
+]
+_GUARDS = [
+    ("G-5", "words < 400"), ("G-3", "section_len_cv < 0.15::DOUBLE AND sections >= 3"), ("G-6", "hype > 0 AND hype / (hype + filler) > 0.5::DOUBLE"),
+    ("G-2", "words > 0 AND greatest(academic, legal) * 1000.0::DOUBLE / words >= 40"), ("G-7", "coalesce(nearest <= 0.8::DOUBLE, false)"),
+]
+
+ORACLE_SQL |= {
+    "audit_scores": f"WITH {_scores_sql('documents', _OWN)} SELECT doc_id, n_words, d1, d2, d3, d4, d5, total, verdict, weighted_total, {_BANDS} AS band FROM scored",
+    "review_work_list": f"""WITH {_found_sql('documents', _OWN)}
+SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, para_idx, found ORDER BY start) - 1 AS INT) AS nth,
+  CAST(row_number() OVER (PARTITION BY doc_id ORDER BY para_idx NULLS LAST, start NULLS LAST, type, found) AS INT) AS position, count(*) OVER (PARTITION BY doc_id) AS n FROM found""",
+    "flags_by_dimension": f"""WITH {_found_sql('documents', _OWN)}
+SELECT source, dim, count(*) AS n, count(DISTINCT doc_id) AS docs, CAST(grouping(source) AS INT) AS all_groups, CAST(grouping(dim) AS INT) AS all_dims FROM found JOIN documents USING (doc_id) GROUP BY CUBE (source, dim)""",
+    "flag_rule_usage": rf"""WITH m AS (SELECT {_MASKED} AS m FROM documents), w AS (SELECT unnest(['of', 'is', 'zzyzx']) AS find),
+c AS (SELECT find, len(regexp_extract_all(m, '(?i)\b' || find || '\b')) AS n FROM m, w)
+SELECT find, CAST(sum(n) AS BIGINT) AS hits, count(*) FILTER (n > 0) AS docs FROM c GROUP BY find""",
+    "document_statistics": f"""WITH {_TEXTS}, {readability_sql('b')}, {readability_sql('a', name='q')},
+f AS ({ORACLE_SQL["flag_types"].replace("FROM documents", "FROM a")})
+SELECT r.doc_id, r.grade AS grade_before, q.grade AS grade_after, {_SEED_COUNTS}[r.seed + 1] AS change_count,
+  word_choice + long_sentence + passive_voice + semicolon + long_paragraph + repetitive_rhythm AS flag_count, r.words - q.words AS words_saved FROM r JOIN q USING (doc_id) JOIN f USING (doc_id)""",
+    "score_before_after": f"""WITH {_TEXTS}, {_scores_sql('b', _OWN | {'utilize': 'd1'}, 'x')}, {_scores_sql('a', _OWN | {'utilize': 'd1'}, 'y')}
+SELECT x.doc_id, {', '.join(f'{s}.{k} AS {k}_{n}' for s, n in (('x', 'before'), ('y', 'after')) for k in ('d1', 'd2', 'd3', 'd4', 'd5', 'total', 'verdict'))} FROM x JOIN y USING (doc_id)""",
+    "recompute": f"""WITH d AS (SELECT doc_id, {_PARTS.replace('{n}', _NORMAL.replace('{t}', "coalesce(text, '')"))} AS ts FROM documents),
+o AS (SELECT doc_id, array_to_string(list_prepend(ts[1][:instr(ts[1], ' of ') - 1] || ' by ' || ts[1][instr(ts[1], ' of ') + 4:], ts[2:]), chr(10)) AS text FROM d WHERE instr(ts[1], ' of ') > 0),
+{_scores_sql('o', _OWN)} SELECT doc_id, CAST(1 AS BIGINT) AS n_edits, n_words, d1, d2, d3, d4, d5, total, verdict FROM scored""",
+    "document_metrics": f"WITH {_METRICS} SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in ('sent_len_mean', 'sent_len_stdev', 'sent_len_cv', 'short_sent_rate', 'burstiness', 'para_len_stdev', 'section_len_cv', 'stock_density', 'transition_open_rate', 'tricolon_density', 'em_dash_rate', 'paired_em_dash_rate', 'hedge_density', 'first_person_rate', 'second_person_rate', 'balanced_clause_rate', 'bold_lead_bullet_rate', 'flesch_kincaid', 'opener_repetition_rate', 'contraction_rate', 'numeral_density', 'round_numeral_density', 'date_density', 'capitalized_density', 'mattr'))}) FROM mt",
+    "rhythm_rules": f"WITH {_METRICS}, f AS (SELECT doc_id, {_fired(_RHYTHM, ', ')} AS d2_rules FROM mt) SELECT doc_id, d2_rules, CAST(least(4, CASE WHEN d2_rules = '' THEN 0 ELSE len(string_split(d2_rules, ', ')) END) AS INT) AS d2 FROM f",
+    "guards": rf"""WITH {_METRICS}, sd AS ({ORACLE_SQL["style_distance"]}), near AS (SELECT doc_id, min(delta) AS nearest FROM sd GROUP BY doc_id),
+x AS (SELECT doc_id, len(regexp_extract_all({_MASKED}, '(?i)\bof\b')) AS hype, len(regexp_extract_all({_MASKED}, '(?i)\bthe\b')) AS filler,
+  coalesce(len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: w = 'of')), 0) AS academic, coalesce(len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: w = 'herein')), 0) AS legal FROM documents),
+g AS (SELECT doc_id, words, {_fired(_GUARDS, ',')} AS guards FROM mt JOIN x USING (doc_id) LEFT JOIN near USING (doc_id))
+SELECT doc_id, guards, CASE WHEN words < 150 THEN 'low' ELSE ['low', 'moderate', 'high'][greatest(0, least(2, 1 - CAST(words < 400 AS INT) - CAST(guards <> '' AS INT) + CAST(words > 1500 AS INT))) + 1] END AS confidence FROM g""",
+    "paragraph_diffs": rf"""WITH {_outputs_sql()}, k(seed, n_changes, added, deleted) AS (VALUES (0, 2, 1, 2), (1, 2, 1, 2), (2, 1, 1, 1), (3, 1, 1, 1)),
+x AS (SELECT doc_id, unnest(range(len(parts))) AS i, unnest(parts) AS p, unnest(outs[:len(parts)]) AS o FROM done),
+y AS (SELECT *, regexp_extract_all(p, '\S+') AS a, regexp_extract_all(o, '\S+') AS b, greatest(len(regexp_extract_all(p, '\s+|\S+')), len(regexp_extract_all(o, '\s+|\S+'))) > 800 AS long FROM x WHERE p <> o),
+z AS (SELECT *, list_filter(range(1, len(a) + 1), lambda j: a[j] IS DISTINCT FROM b[j]) AS c FROM y),
+w AS (SELECT *, CAST(len(list_filter(c, lambda j: NOT list_contains(c, j - 1))) AS INT) AS n FROM z)
+SELECT doc_id, CAST(len(parts) AS INT) AS para_idx, n_changes, added, deleted FROM done JOIN k USING (seed)
+UNION ALL SELECT doc_id, CAST(i AS INT), CASE WHEN NOT long THEN n END, CASE WHEN long THEN 0 ELSE n END, CASE WHEN long THEN 0 ELSE n END FROM w""",
+}
