@@ -4,8 +4,9 @@ Terms within a band of inverse document frequency are kept, sorted and made dist
 randomised subsets of the lexicon are the fingerprint. Document frequencies are counted for each term (by its
 64-bit hash) over all documents. The band is relative to the number of documents, so that the lexicon has
 1 / MIN_SHARE times the distinct terms of a mean document at most, however large the corpus or its vocabulary;
-it goes to the tasks as two literal arrays, hashes by slot and where the slots begin. Subsets come in LEVELS levels of 8: those of a level are disjoint eighths of the lexicon, thinned to
-half at each further level, so that texts of any length have subsets with a few of their terms.
+it is stored as a table and goes to the tasks as the value of a scalar subquery, hashes by slot, so that neither the
+plan nor the driver's program holds it. Subsets come in LEVELS levels of 8: those of a level are disjoint eighths of
+the lexicon, thinned to half at each further level, so that texts of any length have subsets with a few of their terms.
 
 Defined cases: a null text is the empty text; a text without terms in the band has a fingerprint of zeros,
 which is like another such fingerprint (1.0) and unlike any other (0.0); equal texts have equal
@@ -17,17 +18,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS
+from .common import SPACE_CLASS, stored
 
 #: The band: terms in MIN_DOCS documents and in MIN_SHARE of them at least, and in MAX_SHARE of them (or MIN_DOCS) at
 #: most.
 MIN_DOCS, MIN_SHARE, MAX_SHARE = 2, 0.0005, 0.08
 #: Bits of a term's hash from which on they draw its subset. Bytes of text of a range of doc_ids.
 DRAW_BITS, RANGE_BYTES = 18, 16 << 20
+#: Terms of the band in one slot, about.
+SLOT_TERMS = 4
 GROUPS, LEVELS = 8, 8
 
 
@@ -42,33 +44,37 @@ def term_hashes(text: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
 
 
-def band(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Sorted hashes of the terms within the band. Counts cover all documents."""
+def band(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``term``, the hashes of the terms within the band, as a stored table. Counts cover all documents."""
     frequency = docs.select(F.explode(term_hashes(F.coalesce(text, F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     total = docs.count()
     kept = frequency.filter((F.col("n") >= max(MIN_DOCS, MIN_SHARE * total)) & (F.col("n") <= max(MIN_DOCS, MAX_SHARE * total)))
-    return np.sort(np.array([r.term for r in kept.select("term").collect()], np.int64))  # bounded, see above
+    return stored(kept.select("term"), "band")
 
 
-def long_array(values: np.ndarray) -> Column:
-    """A literal array<long>, made of one string so that the plan stays small; Spark folds it once."""
-    if not len(values):
-        return F.array().cast("array<long>")
-    return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<long>")
+def by_slot(terms: DataFrame) -> tuple[Column, int]:
+    """The hashes by their last bits, an array<array<long>> in one value, and the number of slots, a power of two.
+
+    One task gathers them, which the bound of the band allows.
+    """
+    slots = 1 << (terms.count() // SLOT_TERMS).bit_length()
+    held = terms.groupBy(F.col("term").bitwiseAND(slots - 1).alias("id")).agg(F.collect_list("term").alias("terms"))
+    filled = terms.sparkSession.range(slots).join(held, "id", "left")
+    ordered = F.sort_array(F.collect_list(F.struct("id", F.coalesce("terms", F.array().cast("array<long>")).alias("terms"))))
+    return filled.agg(F.transform(ordered, lambda s: s["terms"]).alias("slots")).scalar(), slots
 
 
-def fingerprint(text: Column, lexicon: np.ndarray) -> Column:
-    """array<int> of 64 values, by level and group: of a subset's terms in the text a hash from 1 to 65,535,
-    or 0 if there is none."""
-    slots = 1 << max(4, len(lexicon).bit_length())
-    slot = lexicon & (slots - 1)
-    hashes = long_array(lexicon[np.argsort(slot, kind="stable")])
-    begin = long_array(np.concatenate([[0], np.cumsum(np.bincount(slot, minlength=slots))]))
+def with_fingerprint(docs: DataFrame, text: Column, name: str, lexicon: tuple[Column, int]) -> DataFrame:
+    """``docs`` with an array<int> of 64 values, by level and group: of a subset's terms in the text a hash from 1 to
+    65,535, or 0 if there is none.
+
+    The lexicon's column is used once, beside plain columns, so that Spark puts the two projections together and no
+    row carries it; ``docs`` should end in a scan, a shuffle or a window rather than in computed columns.
+    """
+    held, slots = lexicon
 
-    def in_band(t: Column) -> Column:
-        at = t.bitwiseAND(slots - 1).cast("int")
-        first, end = F.get(begin, at), F.get(begin, at + 1)
-        return (end > first) & F.array_contains(F.slice(hashes, (first + 1).cast("int"), (end - first).cast("int")), t)
+    def in_band(held: Column, t: Column) -> Column:
+        return F.array_contains(F.get(held, t.bitwiseAND(slots - 1).cast("int")), t)
 
     def subset(terms: Column, group: int) -> Column:
         own = F.filter(terms, lambda t: F.shiftright(t, DRAW_BITS).bitwiseAND(GROUPS - 1) == group)
@@ -84,7 +90,8 @@ def fingerprint(text: Column, lexicon: np.ndarray) -> Column:
 
         return values
 
-    return let(F.filter(term_hashes(text), in_band), level(0))
+    known = let(F.col("lexicon"), lambda held: F.filter(term_hashes(text), lambda t: in_band(held, t)))
+    return docs.select("*", held.alias("lexicon")).select(*docs.columns, let(known, level(0)).alias(name))
 
 
 def as_text(values: Column) -> Column:
@@ -136,17 +143,17 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def compare_with_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of ``docs(doc_id, text)`` and of edited texts, whose last third comes from the next document."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    lexicon = band(own)
-    both = with_next(own.withColumn("fp", fingerprint(F.col("text"), lexicon)), ["text", "fp"])
-    n = F.length("text")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    lexicon = by_slot(band(own))
+    both = with_next(with_fingerprint(own, F.coalesce("text", F.lit("")), "fp", lexicon), ["text", "fp"])
+    text, n = F.coalesce("text", F.lit("")), F.coalesce(F.length("text"), F.lit(0))
     third = F.floor(n / 3).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third))
-    rows = both.withColumn("edited", edited).withColumn("edited_fp", fingerprint(F.col("edited"), lexicon))
+    edited = F.concat(F.substring(text, F.lit(1), n - third), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), third))
+    rows = with_fingerprint(both, edited, "edited_fp", lexicon)
     return rows.select(
         "doc_id",
         n.cast("long").alias("n_chars"),
-        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        F.sha2(edited.cast("binary"), 256).alias("edited_sha256"),
         as_text(F.col("fp")).alias("fingerprint"),
         as_text(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
