@@ -24,11 +24,17 @@ SEEDS = [
     ("Basically, they don't leverage it.", "They do not use it.", {"Removed filler opener": 1, "Contraction expanded": 1, "Simpler word": 1}),
     ("Pages 3–5 count — all of them.", "Pages 3 to 5 count, all of them.", {"Dash cleanup": 2}),
     ("Nothing to do here.", "Nothing to do here.", {}),
+    ("They cheer 🎉 and will harness the wind, and they should leverage it.", "They cheer and will use the wind, and they should use it.", {"Emoji removal": 1, "Hype and AI wording": 1, "Simpler word": 1}),
+    ("Our steady leverage and the small harness stay.", "Our steady leverage and the small harness stay.", {}),
+    ("Run `utilize — x` or see https://example.org/utilize and mail a.utilize@example.org today.", "Run `utilize — x` or see https://example.org/utilize and mail a.utilize@example.org today.", {}),
+    ("Leverage rose. Leverage the data. Server utilization fell.", "Leverage rose. Use the data. Server use fell.", {"Simpler word": 2}),
+    ("WE DON'T UTILIZE IT.", "WE DO NOT USE IT.", {"Contraction expanded": 1, "Simpler word": 1}),
 ]
 #: The rules behind those changes: seed, list, phrase.
 SEED_RULES = [
     (0, "simpleSwaps", "utilize"), (0, "fillerPhrases", "in order to"), (1, "hypeSwaps", "seamless"), (1, "midSentenceDeletes", "needless to say"),
     (2, "sentenceStartDeletes", "Basically,"), (2, "contractions", "don't"), (2, "simpleSwaps", "leverage"),
+    (5, "hypeSwaps", "harness"), (5, "simpleSwaps", "leverage"), (8, "simpleSwaps", "leverage"), (8, "simpleSwaps", "utilization"), (9, "contractions", "don't"), (9, "simpleSwaps", "utilize"),
 ]
 #: Last paragraphs for the queries on splits: text, and where it is split: kind, tier, end of the first sentence.
 SPLIT_SEEDS = [
@@ -373,7 +379,9 @@ _TIDIED = r"{p}"
 for _pattern, _by in [(" {2,}", " "), (" +([.,;:!?])", r"\1"), (r",\s*([.,;:!?])", r"\1"), (" {2,}", " "), (" ([.,;:!?])", r"\1"), (r",\s*,", ","), (" {2,}", " ")]:
     _TIDIED = f"regexp_replace({_TIDIED}, '{_pattern}', '{_by}', 'g')"
 _PARTS = "CASE WHEN {n} = '' THEN [] ELSE string_split({n}, chr(10)) END"
-_MASKED = r"regexp_replace(coalesce(text, ''), '\b[\w.+-]+@[\w-]+\.[\w.]+\b', chr(3) || '0' || chr(3), 'g')"
+#: What no rule may touch: code, addresses of pages and of mail.
+_PROTECTED = r"`[^`\n]+`|\bhttps?://[^\s)>\]]+|\b[\w.+-]+@[\w-]+\.[\w.]+\b"
+_MASKED = rf"regexp_replace(coalesce(text, ''), '{_PROTECTED}', chr(3) || '0' || chr(3), 'g')"
 _PASSIVE = r"(?i)\b(am|is|are|was|were|been|being|be)\s+(\w+(?:ed|wn|en))\b(\s+by\b)?"
 _BENIGN = r"(?i)\b(is|are|was|were)\s+(based|located|named|called|designed|used|expected|required|needed|allowed|limited)\b"
 _TOKEN = "[A-Za-z][A-Za-z''-]*"
@@ -496,7 +504,6 @@ SELECT source, type, n, docs FROM fine UNION ALL SELECT NULL, type, CAST(sum(n)
 
 # Flags of review, with offsets. Places of matches come from what lies between them.
 _PERCENT = r"(?:^|[^\w.])\d+(?:\.\d+)?(?:%| percent\b)"
-_EMAIL = r"\b[\w.+-]+@[\w-]+\.[\w.]+\b"
 
 
 def _spans_sql(text: str, pattern: str) -> str:
@@ -509,18 +516,18 @@ def _spans_sql(text: str, pattern: str) -> str:
 def _found_sql(source: str, words: dict[str, str], name: str = "found") -> str:
     """CTE ``name`` (and some before it): review flags of the texts of ``source(doc_id, text)``; ``words`` are flag
     words with their dimensions."""
-    free = "len(list_filter(mail, lambda m: m.a < e AND a < m.b)) = 0"
-    flagged = " UNION ALL ".join(f"SELECT doc_id, para_idx, mail, '{d}' AS dim, unnest({_spans_sql('t', rf'(?i)\b{w}\b')}) AS w FROM {name}_p" for w, d in words.items())
+    free = "len(list_filter(safe, lambda m: m.a < e AND a < m.b)) = 0"
+    flagged = " UNION ALL ".join(f"SELECT doc_id, para_idx, safe, '{d}' AS dim, unnest({_spans_sql('t', rf'(?i)\b{w}\b')}) AS w FROM {name}_p" for w, d in words.items())
     pieces = "string_split(regexp_replace(" + _GUARD.replace("{t}", "t") + r", '([.!?])(\s+)', '\1' || chr(1) || '\2', 'g'), chr(1))"
     return rf"""{name}_0 AS (SELECT doc_id, {_PARTS.replace('{n}', _NORMAL.replace('{t}', "coalesce(text, '')"))} AS ts FROM {source}),
 {name}_1 AS (SELECT doc_id, CAST(unnest(range(len(ts))) AS INT) AS para_idx, unnest(ts) AS t FROM {name}_0),
-{name}_p AS (SELECT *, {_spans_sql('t', _EMAIL)} AS mail, {pieces} AS pc FROM {name}_1),
-{name}_2 AS (SELECT doc_id, para_idx, t, mail, unnest(list_transform(range(1, len(pc) + 1), lambda i: {{'a': coalesce(list_sum(list_transform(pc[:i - 1], lambda y: length(y))), 0), 'x': replace(pc[i], chr(2), '.')}})) AS z FROM {name}_p),
-{name}_s AS (SELECT doc_id, para_idx, t, mail, CAST(z.a + length(regexp_extract(z.x, '^\s*')) AS INT) AS loc, regexp_replace(z.x, '^\s+|\s+$', '', 'g') AS s FROM {name}_2 WHERE regexp_matches(z.x, '\S')),
+{name}_p AS (SELECT *, {_spans_sql('t', _PROTECTED)} AS safe, {pieces} AS pc FROM {name}_1),
+{name}_2 AS (SELECT doc_id, para_idx, t, safe, unnest(list_transform(range(1, len(pc) + 1), lambda i: {{'a': coalesce(list_sum(list_transform(pc[:i - 1], lambda y: length(y))), 0), 'x': replace(pc[i], chr(2), '.')}})) AS z FROM {name}_p),
+{name}_s AS (SELECT doc_id, para_idx, t, safe, CAST(z.a + length(regexp_extract(z.x, '^\s*')) AS INT) AS loc, regexp_replace(z.x, '^\s+|\s+$', '', 'g') AS s FROM {name}_2 WHERE regexp_matches(z.x, '\S')),
 {name}_n AS (SELECT *, len({words_sql('s')}) AS n, {words_sql('s')}[:2] AS head FROM {name}_s),
 {name}_w AS ({flagged}),
-{name}_q AS (SELECT doc_id, para_idx, t, mail, unnest({_spans_sql('t', _PERCENT)}) AS w FROM {name}_p),
-{name}_m AS (SELECT doc_id, para_idx, t, mail, CAST(w.a + length(regexp_extract(w.f, '^[^0-9]')) AS INT) AS a, w.b AS e, regexp_replace(w.f, '^[^0-9]', '') AS f FROM {name}_q),
+{name}_q AS (SELECT doc_id, para_idx, t, safe, unnest({_spans_sql('t', _PERCENT)}) AS w FROM {name}_p),
+{name}_m AS (SELECT doc_id, para_idx, t, safe, CAST(w.a + length(regexp_extract(w.f, '^[^0-9]')) AS INT) AS a, w.b AS e, regexp_replace(w.f, '^[^0-9]', '') AS f FROM {name}_q),
 {name}_v AS (SELECT *, CAST(loc + length(string_split_regex(s, '{_PASSIVE}')[1]) AS INT) AS a, CAST(loc + length(string_split_regex(s, '{_PASSIVE}')[1]) + length(regexp_extract(s, '{_PASSIVE}', 0)) AS INT) AS e,
   regexp_extract(s, '{_PASSIVE}', 0) AS f FROM {name}_n WHERE NOT regexp_matches(s, '^#{{1,6}}\s') AND regexp_matches(s, '{_PASSIVE}')
   AND (NOT regexp_matches(regexp_extract(s, '{_PASSIVE}', 0), '{_BENIGN}') OR regexp_extract(s, '{_PASSIVE}', 3) <> '') AND lower(regexp_extract(s, '{_PASSIVE}', 1)) <> 'is'),
@@ -666,7 +673,7 @@ x AS (SELECT doc_id, len(regexp_extract_all({_MASKED}, '(?i)\bof\b')) AS hype, l
   coalesce(len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: w = 'of')), 0) AS academic, coalesce(len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: w = 'herein')), 0) AS legal FROM documents),
 g AS (SELECT doc_id, words, {_fired(_GUARDS, ',')} AS guards FROM mt JOIN x USING (doc_id) LEFT JOIN near USING (doc_id))
 SELECT doc_id, guards, CASE WHEN words < 150 THEN 'low' ELSE ['low', 'moderate', 'high'][greatest(0, least(2, 1 - CAST(words < 400 AS INT) - CAST(guards <> '' AS INT) + CAST(words > 1500 AS INT))) + 1] END AS confidence FROM g""",
-    "paragraph_diffs": rf"""WITH {_outputs_sql()}, k(seed, n_changes, added, deleted) AS (VALUES (0, 2, 1, 2), (1, 2, 1, 2), (2, 1, 1, 1), (3, 1, 1, 1)),
+    "paragraph_diffs": rf"""WITH {_outputs_sql()}, k(seed, n_changes, added, deleted) AS (VALUES (0, 2, 1, 2), (1, 2, 1, 2), (2, 1, 1, 1), (3, 1, 1, 1), (5, 3, 2, 3), (8, 2, 2, 2), (9, 1, 1, 1)),
 x AS (SELECT doc_id, unnest(range(len(parts))) AS i, unnest(parts) AS p, unnest(outs[:len(parts)]) AS o FROM done),
 y AS (SELECT *, regexp_extract_all(p, '\S+') AS a, regexp_extract_all(o, '\S+') AS b, greatest(len(regexp_extract_all(p, '\s+|\S+')), len(regexp_extract_all(o, '\s+|\S+'))) > 800 AS long FROM x WHERE p <> o),
 z AS (SELECT *, list_filter(range(1, len(a) + 1), lambda j: a[j] IS DISTINCT FROM b[j]) AS c FROM y),
