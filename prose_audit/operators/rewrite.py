@@ -23,14 +23,16 @@ CATEGORIES = {"fillerPhrases": "Filler phrase", "hypeSwaps": "Hype and AI wordin
 OPENER, FILLER, DASH, EMOJIS = "Removed filler opener", "Removed filler", "Dash cleanup", "Emoji removal"
 
 # Words that show whether a word that is both noun and verb stands as a verb.
-VERB_SIGNS = (
-    "to will would shall should can could may might must cannot let lets help helps allow allows enable enables and or then not never always also "
-    "we they you i he she it one who that which"
-).split()
+VERB_SIGNS = set(
+    (
+        "to will would shall should can could may might must cannot let lets help helps allow allows enable enables and or then not never always also "
+        "we they you i he she it one who that which"
+    ).split()
+)
 DETERMINERS = set(
     "a an the this that these those no any some our its their his her my your each every another both all more less much many few".split()
 )
-OBJECT_SIGNS = "a an the this that these those its our their his her my your all both".split()
+OBJECT_SIGNS = set("a an the this that these those its our their his her my your all both".split())
 ADJECTIVE_ENDINGS = ("al", "ial", "ic", "ical", "ive", "ous", "ful", "less", "able", "ible", "ary", "ent", "ant", "ing", "ed")
 MODIFIERS = set(
     "good bad new old great small large high low strong weak robust solid light heavy fast slow full real main key core test unit eval build release "
@@ -89,23 +91,29 @@ class Vault:
 
 
 class VerbGuard:
-    """Whether a word stands as a verb, from the words around it. In doubt it doesn't."""
+    """Whether a word stands as a verb, from the words around it. In doubt it doesn't.
+
+    A sign right before it decides; at the start of a sentence an object must follow; elsewhere nothing before it may
+    make it a noun: a determiner among three words, or a modifier next to it.
+    """
 
-    SIGN = re.compile(rf"\b(?:{'|'.join(VERB_SIGNS)}){WS}+\Z", AI)
+    LEFT, RIGHT = 60, 30
+    NEXT_BEFORE, NEXT_AFTER = re.compile(rf"(\w+){WS}+\Z", AI), re.compile(rf"{WS}+(\w+)", AI)
     START = re.compile(rf"(?:\A|[.!?;:]{WS}+|[\n\r]{WS}*|[\"'(\[]{WS}*)\Z")
-    OBJECT = re.compile(rf"{WS}+(?:{'|'.join(OBJECT_SIGNS)})\b", AI)
+    WORDS = re.compile(r"[\w'-]+", A)
 
     def __call__(self, text: str, start: int, end: int) -> bool:
-        before = text[max(0, start - 60) : start]
-        if self.SIGN.search(before):
-            return True
-        if self.START.search(before):
-            return bool(self.OBJECT.match(text[end : end + 30]))
-        tokens = re.sub(rf"[^\w\s'-]", " ", before, flags=A).split()
-        if any(t.lower() in DETERMINERS for t in tokens[-3:]):
-            return False
-        last = tokens[-1].lower() if tokens else ""
-        return not (last in MODIFIERS or len(last) > 3 and last.endswith(ADJECTIVE_ENDINGS))
+        left = text[max(0, start - self.LEFT) : start]
+        before, after = self.NEXT_BEFORE.search(left), self.NEXT_AFTER.match(text, end, end + self.RIGHT)
+        signed = before is not None and before[1].lower() in VERB_SIGNS
+        if self.START.search(left):
+            return signed or after is not None and after[1].lower() in OBJECT_SIGNS
+        words = [w.lower() for w in self.WORDS.findall(left)[-3:]]
+        return signed or not (DETERMINERS.intersection(words) or self._modifies(words[-1] if words else ""))
+
+    @staticmethod
+    def _modifies(word: str) -> bool:
+        return word in MODIFIERS or len(word) > 3 and word.endswith(ADJECTIVE_ENDINGS)
 
 
 class Rewriter:

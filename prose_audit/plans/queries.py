@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import corpus, diff, flags, metrics, review, rewrite, scoring, splits
+from ..operators import corpus, diff, flags, metrics, review, rewrite, scoring, spans, splits
 from ..sources import documents as sources
 from ..sources.rules import Rules, default_rules
 
@@ -324,12 +324,48 @@ def letter_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.detect_language(docs, corpus.language_profiles(good))
 
 
+def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the sentences of every paragraph begin and end."""
+    docs = table(spark, sf_dir, "documents")
+    paragraphs = docs.select("doc_id", F.posexplode(X.paragraphs(F.col("text"), SEP)).alias("para_idx", "output"))
+    rows = paragraphs.select("doc_id", "para_idx", F.explode(spans.sentence_spans(F.col("output"))).alias("s"))
+    return rows.select("doc_id", "para_idx", "s.start", "s.end", F.md5(F.col("s.text").cast("binary")).alias("sentence_md5"))
+
+
+def protected_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What no rule may touch in every seeded document: where, of which kind, and what it is."""
+    rows = seeded(spark, sf_dir).select("doc_id", "text", F.explode(spans.protected_ranges(F.col("text"))).alias("r"))
+    return rows.select("doc_id", "r.start", "r.end", "r.kind", F.substring("text", F.col("r.start") + 1, F.col("r.end") - F.col("r.start")).alias("found"))
+
+
+def match_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every document as words are looked up in it: composed, with plain spaces and quotes."""
+    norm = sources.normalize_for_match(F.col("text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", norm.alias("m"))
+    return rows.select("doc_id", F.md5(F.col("m.norm").cast("binary")).alias("norm_md5"), F.size("m.offsets").alias("n_offsets"))
+
+
+def irregularities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that no labelled good document has, and compounds and lists written both ways."""
+    docs = table(spark, sf_dir, "documents")
+    good = docs.join(table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    words = good.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("word"))
+    return metrics.irregularities(docs, words)
+
+
+def visible_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags by type that are left when the dimension of rhythm is hidden."""
+    _, found = _review(spark, sf_dir)
+    return review.visible(found, ["d2"]).groupBy("type", "dim").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         rewrite_categories, readability_documents, readability_by_group, rewrite_outputs, rewrite_stats, rule_usage, flag_types, flags_by_source, density_scores, audit_scores,
         review_work_list, replay_edits, sentence_metrics, document_metrics, rhythm_rules, section_windows, class_rates, class_thresholds, hardest_documents, gates, plain_text,
         flags_by_dimension, flag_rule_usage, document_statistics, score_before_after, recompute, rule_counts, stock_hits, guards, paragraph_diffs, split_candidates, split_report, style_distance, letter_language,
+        sentence_spans, protected_spans, match_texts, irregularities, visible_flags,
     )
 }
 
@@ -680,4 +716,18 @@ z AS (SELECT *, list_filter(range(1, len(a) + 1), lambda j: a[j] IS DISTINCT FRO
 w AS (SELECT *, CAST(len(list_filter(c, lambda j: NOT list_contains(c, j - 1))) AS INT) AS n FROM z)
 SELECT doc_id, CAST(len(parts) AS INT) AS para_idx, n_changes, added, deleted FROM done JOIN k USING (seed)
 UNION ALL SELECT doc_id, CAST(i AS INT), CASE WHEN NOT long THEN n END, CASE WHEN long THEN 0 ELSE n END, CASE WHEN long THEN 0 ELSE n END FROM w""",
+    "sentence_spans": f"""WITH {_found_sql('documents', _OWN)}
+SELECT doc_id, para_idx, loc AS start, CAST(loc + length(s) AS INT) AS "end", md5(s) AS sentence_md5 FROM found_s""",
+    "protected_spans": f"""WITH d AS (SELECT doc_id, coalesce(text, '') || chr(10) || {_SEED_TEXTS}[doc_id % {_N} + 1] AS t FROM documents),
+k AS (SELECT doc_id, unnest({_spans_sql('t', _PROTECTED)}) AS w FROM d)
+SELECT doc_id, w.a AS start, w.b AS "end", CASE WHEN w.f[1] = '`' THEN 'inline' WHEN starts_with(w.f, 'http') THEN 'url' ELSE 'email' END AS kind, w.f AS found FROM k""",
+    "match_texts": r"""WITH n AS (SELECT doc_id, translate(regexp_replace(nfc_normalize(coalesce(text, '')), '\s+', ' ', 'g'), '‘’‚‛“”„‟', repeat(chr(39), 4) || repeat(chr(34), 4)) AS norm FROM documents)
+SELECT doc_id, md5(norm) AS norm_md5, CAST(length(norm) AS INT) AS n_offsets FROM n""",
+    "irregularities": rf"""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+(?:-[a-z]+)*')) AS word FROM documents),
+known AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM ({_GOOD})),
+u AS (SELECT doc_id, count(*) AS unknown FROM w WHERE NOT contains(word, '-') AND word NOT IN (SELECT word FROM known) GROUP BY doc_id),
+j AS (SELECT doc_id, replace(word, '-', '') AS plain FROM w GROUP BY ALL HAVING count(DISTINCT contains(word, '-')) > 1), h AS (SELECT doc_id, count(*) AS hyphenation FROM j GROUP BY doc_id)
+SELECT doc_id, coalesce(unknown, 0) AS unknown, coalesce(hyphenation, 0) AS hyphenation,
+  coalesce(regexp_matches(text, '\w+, \w+, and \w+') AND regexp_matches(text, '\w+, \w+ and \w+'), false) AS serial_comma FROM documents LEFT JOIN u USING (doc_id) LEFT JOIN h USING (doc_id)""",
+    "visible_flags": f"""WITH {_found_sql('documents', _OWN)} SELECT type, dim, count(*) AS n, count(DISTINCT doc_id) AS docs FROM found WHERE dim <> 'd2' GROUP BY type, dim""",
 }
