@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, imatch, language_id, media, mixing, simhash, token_files, url_filter, warc
+from . import bpe, html_extract, imatch, language_id, media, merkle, mixing, simhash, token_files, url_filter, warc
 
 #: Files of public vocabularies; only their paths are kept here.
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -77,6 +77,11 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_texts(table(spark, sf_dir, "pages"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle proofs of all documents, and whether documents tampered with still lead to the root."""
+    return merkle.check_rows(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_media_jpeg": op2_media_jpeg,
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_mixing": op9_mixing,
     "op10_html_text": op10_html_text,
+    "op13_merkle": op13_merkle,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.MIX_SQL}
+ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.MIX_SQL, "op13_merkle": merkle.CHECK_SQL}
