@@ -11,7 +11,7 @@ from urllib.parse import unquote, urlparse
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -67,6 +67,20 @@ def numbered_rows(docs: DataFrame) -> DataFrame:
     return stored(docs.select(number, document), "rows")
 
 
+def placed(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows(tree, ...)`` with ``place`` within the tree, by ``order``, and ``nodes``, the tree's rows.
+
+    Rows are range-sorted and stored; prefix sums over the parts, one row for each tree and part, give the places.
+    """
+    keys = ["tree", *order]
+    spread = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*keys, "tie").sortWithinPartitions(*keys, "tie").drop("tie")
+    kept = stored(spread.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "placed")
+    runs = kept.groupBy("tree", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("tree").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("tree", "part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.sum("n").over(Window.partitionBy("tree")).alias("nodes"))
+    return kept.join(runs, ["tree", "part"]).withColumn("place", F.col("base") + F.col("at") - F.col("first")).drop("part", "at", "first", "base")
+
+
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     """pyarrow's file system for a URI and the path in it; usable in tasks."""
     if uri.startswith("file:") or "://" not in uri:

@@ -22,10 +22,10 @@ from __future__ import annotations
 from hashlib import sha256
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, stored
+from .common import arrow_schema, placed, stored
 
 #: Children of a node; levels of an aligned block.
 FANOUT, HEIGHT = 16, 2
@@ -98,17 +98,6 @@ def leaf(text: Column) -> Column:
     return F.sha2(F.concat(*rest, field(text)).cast("binary"), 256)
 
 
-def placed(rows: DataFrame, order: list[str]) -> DataFrame:
-    """``rows(tree, ...)`` with ``place`` within the tree, by ``order``, and ``nodes``, the tree's rows."""
-    keys = ["tree", *order]
-    spread = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*keys, "tie").sortWithinPartitions(*keys, "tie").drop("tie")
-    kept = stored(spread.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "merkle-leaves")
-    runs = kept.groupBy("tree", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    before = Window.partitionBy("tree").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select("tree", "part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.sum("n").over(Window.partitionBy("tree")).alias("nodes"))
-    return kept.join(runs, ["tree", "part"]).withColumn("place", F.col("base") + F.col("at") - F.col("first")).drop("part", "at", "first", "base")
-
-
 def in_blocks(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("block", F.floor(F.col("place") / BLOCK))
 
