@@ -30,7 +30,7 @@ from .common import arrow_schema, placed, stored
 #: Rows of a block or anchors of a group at most, and of their values (but 64 rows at least).
 MOST_ROWS, MOST_VALUES = 4096, 1 << 18
 #: Dimensions that are read before candidates are looked at again, in turn; the last is repeated.
-STEPS = (8, 8, 16, 32)
+STEPS = (16, 8)
 #: Stands for a null vec_id.
 NO_ID = (1 << 63) - 1
 PACKED = "block long, ids binary, rows binary, labels binary, values binary, wide boolean, dims int"

@@ -77,7 +77,7 @@ def test_scan_prunes():
         return high >= N.largest(low, 5)
 
     found, exact = scan.survivors(block.values[:, 0], np.arange(1, 2000), keep)
-    assert left[-1] < left[0] / 10 and set(np.flatnonzero(scores >= best)[1:]) <= set(found) and (exact == scores[found]).all()
+    assert left[-1] < left[0] / 4 and set(np.flatnonzero(scores >= best)[1:]) <= set(found) and (exact == scores[found]).all()
 
 
 def test_sql():
