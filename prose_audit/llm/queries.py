@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, imatch, language_id, media, merkle, mixing, negatives, simhash, token_files, url_filter, warc
+from . import bpe, html_extract, imatch, language_id, licenses, media, merkle, mixing, negatives, simhash, token_files, url_filter, warc
 
 #: Files of public vocabularies; only their paths are kept here.
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -77,6 +77,11 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_texts(table(spark, sf_dir, "pages"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices in all documents."""
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("found")
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every 50th embedding, among all; every 7th has the next label instead of its own."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
@@ -100,8 +105,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_mixing": op9_mixing,
     "op10_html_text": op10_html_text,
+    "op11_license_scan": op11_license_scan,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_merkle": op13_merkle,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.MIX_SQL, "op12_hard_negatives": negatives.MINE_SQL, "op13_merkle": merkle.CHECK_SQL}
+ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.MIX_SQL, "op11_license_scan": licenses.SCAN_SQL, "op12_hard_negatives": negatives.MINE_SQL, "op13_merkle": merkle.CHECK_SQL}
