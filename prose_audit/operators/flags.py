@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..functions.patterns import BENIGN, CONNECTIVE, HEADING, HEADING_LINE, PASSIVE, WS, java, literal
+from ..functions.patterns import BENIGN, CONNECTIVE, HEADING, HEADING_LINE, PASSIVE, WS, java
+from ..functions.phrases import DisjointSpans, PhraseIndex
 from ..sources.rules import Rules
 from .rewrite import Vault, change_count, output_text, snippet
-from .spans import find_protected, find_sentences, overlaps
+from .spans import find_protected, find_sentences
 
 # Kinds of flags, what they say and advise.
 WORD_CHOICE = "Word choice"
@@ -59,28 +60,20 @@ def dim_for_flag_word(reason: str, dim: str | None = None) -> str:
     return "d1"
 
 
-def _flag_patterns(rules: Rules) -> list[tuple[str, re.Pattern, tuple]]:
-    return [(r[0].lower(), re.compile(literal(r[0]), re.A | re.I), r) for r in rules.flags if r[0]]
-
-
 def masked_text(text: Column, rules: Rules) -> Column:
     """struct<masked, kept, words>: the text with protected spans as numbers, the spans, the flag words in it."""
 
     @F.pandas_udf(MASKED)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        vault, patterns = Vault(rules.protected), _flag_patterns(rules)
+        vault, index = Vault(rules.protected), PhraseIndex([r[0] for r in rules.flags])
         for batch in batches:
             rows: dict[str, list] = {"masked": [], "kept": [], "words": []}
             for text in batch:
                 own, kept = vault.take(text or "")
-                low = own.lower().replace("’", "'")
                 found = []
-                for key, pattern, rule in patterns:
-                    if key.replace("’", "'") not in low:
-                        continue
-                    for m in pattern.finditer(own):
-                        excerpt = snippet(own, m.start(), len(m[0]))
-                        found.append({"type": WORD_CHOICE, "excerpt": excerpt, "found": m[0], "reason": rule[1], "suggestion": rule[2]})
+                for i, start, end in index.by_phrase(own):
+                    excerpt = snippet(own, start, end - start)
+                    found.append({"type": WORD_CHOICE, "excerpt": excerpt, "found": own[start:end], "reason": rules.flags[i][1], "suggestion": rules.flags[i][2]})
                 rows["masked"].append(own)
                 rows["kept"].append(kept)
                 rows["words"].append(found)
@@ -229,25 +222,23 @@ class Reviewer:
     sentence or paragraph claims none."""
 
     def __init__(self, rules: Rules) -> None:
-        self.rules, self.words = rules, _flag_patterns(rules)
+        self.rules, self.words = rules, PhraseIndex([r[0] for r in rules.flags])
         self.passive, self.benign = re.compile(PASSIVE, re.A | re.I), re.compile(BENIGN, re.A | re.I)
         self.specifics = [(re.compile(p, re.A | re.I), reason) for p, reason in SPECIFIC_PATTERNS]
 
     def review(self, text: str) -> list[tuple]:
-        settings, out, claimed = self.rules.settings, [], find_protected(text, self.rules.protected)
+        settings, out = self.rules.settings, []
+        claimed = DisjointSpans([(a, b) for a, b, _ in find_protected(text, self.rules.protected)])
         sentences = find_sentences(text)
 
         def span(kind: tuple | str, dim: str, a: int, b: int, reason: str, advice: str, how: str, by: str | None = None, found: str | None = None) -> None:
-            if how != "advice-span":
-                if overlaps(claimed, a, b):
-                    return
-                claimed.append((a, b, how))
+            if how != "advice-span" and not claimed.add(a, b):
+                return
             out.append((a, b, kind, dim, text[a:b] if found is None else found, reason, advice, how, by, snippet(text, a, b - a) if how != "advice-span" else text[a:b][:160] + "…" * (b - a > 160)))
 
-        for key, pattern, (_, reason, advice, dim, alternatives) in self.words:
-            if key in text.lower().replace("’", "'"):
-                for m in pattern.finditer(text):
-                    span(WORD_CHOICE, dim_for_flag_word(reason, dim), *m.span(), reason, advice, "swap" if alternatives else "advice", (alternatives or [None])[0])
+        for i, a, b in self.words.by_phrase(text):
+            _, reason, advice, dim, alternatives = self.rules.flags[i]
+            span(WORD_CHOICE, dim_for_flag_word(reason, dim), a, b, reason, advice, "swap" if alternatives else "advice", (alternatives or [None])[0])
         for pattern, reason in self.specifics:
             for m in pattern.finditer(text):
                 span(SPECIFICS, "d4", *m.span(), reason, "Name the source, the people or the number", "advice")

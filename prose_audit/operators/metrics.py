@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.patterns import AFTER_WORD, BEFORE_WORD, WS
+from ..functions.phrases import PhraseIndex
 
 TOKEN = "[A-Za-z][A-Za-z'-]*"
 #: Word lists of ours, as defaults; every one is a parameter.
@@ -226,21 +227,38 @@ def irregularities(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 def stock_hits(text: Column, phrases: list[str] = STOCK) -> Column:
     """array<struct<phrase, count, offsets>> of the phrases that a text has, in the order of the list."""
-    patterns = [(p, re.compile(rf"\b{re.escape(p)}\b", re.I | re.A)) for p in phrases]
 
     @F.pandas_udf("array<struct<phrase:string,count:int,offsets:array<int>>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = PhraseIndex(phrases, curly=False)
         for batch in batches:
             out = []
             for t in batch:
-                low = (t or "").lower()
-                found = [(p, [m.start() for m in pattern.finditer(t)]) for p, pattern in patterns if p.lower() in low]
-                out.append([{"phrase": p, "count": len(o), "offsets": o} for p, o in found if o])
+                offsets: dict[int, list[int]] = {}
+                for i, start, _ in index.by_phrase(t or ""):
+                    offsets.setdefault(i, []).append(start)
+                out.append([{"phrase": phrases[i], "count": len(o), "offsets": o} for i, o in offsets.items()])
             yield pd.Series(out)
 
     return run(text)
 
 
+def phrase_hits(docs: DataFrame, phrases: list[str], text: str = "text") -> DataFrame:
+    """doc_id, phrase, start, end of every place where one of the phrases, MOST_PHRASES at most, stands as words of
+    its own. Each text is read once; nothing is shuffled."""
+
+    @F.pandas_udf("array<struct<number:int,start:int,end:int>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = PhraseIndex(phrases)
+        for batch in batches:
+            yield pd.Series([[{"number": i, "start": a, "end": b} for i, a, b in index.hits(t or "")] for t in batch])
+
+    rows = docs.select("doc_id", text, F.explode(run(F.col(text))).alias("h"))
+    named = rows.select("doc_id", F.col("h.number").alias("number"), "h.start", "h.end")
+    lexicon = docs.sparkSession.createDataFrame([(i, p) for i, p in enumerate(phrases)], "number int, phrase string")
+    return named.join(lexicon, "number").select("doc_id", "phrase", "start", "end")
+
+
 def rule_counts(docs: DataFrame, phrases: list[str], text: str = "text") -> DataFrame:
     """doc_id, phrase, n: how often each phrase stands in each document, those that do. The phrases are an array in
     the plan, so documents and rules meet without a join."""

@@ -6,6 +6,7 @@ helper in Python, in Arrow batches; rules whose first word doesn't occur in the
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -138,6 +139,14 @@ class Rewriter:
             ordered = sorted((r for r in rules.swaps.get(name, []) if r[0]), key=lambda r: -len(r[0]))
             self.swaps += [(category, self._first(find), re.compile(literal(find), AI), to, verb) for find, to, verb in ordered]
 
+        self.by_first: dict[str, list[int]] = {}
+        for i, (_, first, *_) in enumerate(self.swaps):
+            self.by_first.setdefault(first, []).append(i)
+
+    def _swaps_in(self, text: str) -> list[int]:
+        """The swaps, in order, whose first word the text has: found by its words, not by trying all swaps."""
+        return sorted(i for run in self._runs(text) for i in self.by_first.get(run, ()))
+
     @staticmethod
     def _first(phrase: str) -> str:
         """The phrase's first run of word characters: a text without it among its own can't hold the phrase."""
@@ -164,14 +173,14 @@ class Rewriter:
             if first in runs:
                 text = self._pass(text, pattern, log, lambda m: (FILLER, m[0].strip(), "(removed)", ", " if m[1] and m[2] else " "))
         text = re.sub(rf",{WS}*,", ",", re.sub(" ([.,;:!?])", r"\1", re.sub(" {2,}", " ", text)))
-        runs = self._runs(text)
-        for category, first, pattern, to, verb in self.swaps:
-            if first not in runs:
-                continue
+        todo, at = self._swaps_in(text), -1
+        while todo:
+            at = heapq.heappop(todo)
+            category, _, pattern, to, verb = self.swaps[at]
             n = len(log)
             text = self._pass(text, pattern, log, lambda m: None if verb and not self.is_verb(m.string, m.start(), m.end()) else (category, m[0], match_case(m[0], to), match_case(m[0], to)))
             if len(log) > n:
-                runs = self._runs(text)
+                todo = [i for i in self._swaps_in(text) if i > at]
         text = re.sub(" +\n", "\n", re.sub(" {2,}", " ", text))
         return self.vault.give_back(text, kept), [(c, b, a, self.vault.give_back(x, kept)) for c, b, a, x in log]
 

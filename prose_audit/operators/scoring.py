@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.patterns import java
+from ..functions.phrases import DisjointSpans
 from ..sources.rules import Rules
 from .flags import WORD_CHOICE, dimension_counts, document_flags
 from .rewrite import output_text
@@ -195,13 +197,33 @@ def validate_scores(scores: DataFrame) -> DataFrame:
     return scores.withColumn("failure", wrong).filter("failure is not null")
 
 
-def resolve_findings(findings: DataFrame) -> DataFrame:
-    """Findings without overlaps: the more severe stays, then the longer, then the first. In the row of a
-    document, by a fold over its sorted findings."""
-    order = F.struct((-F.col("severity")).alias("s"), (F.col("start") - F.col("end")).alias("l"), F.col("start").alias("a"), F.col("end").alias("b"), F.col("id").alias("id"), F.col("severity").alias("severity"))
-    grouped = findings.groupBy("doc_id").agg(F.array_sort(F.collect_list(order)).alias("f"))
-    kept = F.aggregate("f", F.slice("f", 1, 0), lambda out, x: F.when(F.exists(out, lambda y: (y["a"] < x["b"]) & (x["a"] < y["b"])), out).otherwise(F.concat(out, F.array(x))))
-    return grouped.select("doc_id", F.explode(kept).alias("x")).select("doc_id", F.col("x.id").alias("id"), F.col("x.a").alias("start"), F.col("x.b").alias("end"), F.col("x.severity").alias("severity"))
+def resolve_findings(findings: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``findings(*by, id, start, end, severity)`` without overlaps: the more severe stays, then the longer, then the
+    first (by start, end, id). A null severity is 0.
+
+    Findings are sorted by place once; a running maximum of their ends cuts them into islands that touch no other, so
+    only what overlaps is gathered. In an island the findings, most severe first, go into a sorted set of disjoint
+    spans, each by one binary search.
+    """
+    order = Window.partitionBy(*by).orderBy("start", "end", "id")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    own = findings.select(*by, "id", "start", "end", F.coalesce("severity", F.lit(0)).alias("severity"))
+    cut = own.withColumn("opens", F.coalesce(F.col("start") >= reach, F.lit(True)).cast("int"))
+    islands = cut.withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rank = F.struct((-F.col("severity")).alias("s"), (F.col("start") - F.col("end")).alias("l"), F.col("start").alias("a"), F.col("end").alias("b"), F.col("id").alias("id"), F.col("severity").alias("severity"))
+    grouped = islands.groupBy(*by, "island").agg(F.array_sort(F.collect_list(rank)).alias("f"))
+
+    @F.pandas_udf("array<int>")
+    def kept(starts: pd.Series, ends: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(starts, ends):
+            spans = DisjointSpans()
+            out.append([i for i, (x, y) in enumerate(zip(a, b)) if spans.add(int(x), int(y))])
+        return pd.Series(out)
+
+    places = kept(F.transform("f", lambda x: x["a"].cast("long")), F.transform("f", lambda x: x["b"].cast("long")))
+    rows = grouped.select(*by, "f", F.explode(places).alias("i")).select(*by, F.get("f", F.col("i")).alias("x"))
+    return rows.select(*by, F.col("x.id").alias("id"), F.col("x.a").alias("start"), F.col("x.b").alias("end"), F.col("x.severity").alias("severity"))
 
 
 def cap_highlights(findings: DataFrame, docs: DataFrame, share: float = 0.2) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.patterns import ABBREVIATIONS, GUARD, PROTECTED, PROTECTED_HINT, WS
+from ..functions.phrases import DisjointSpans
 
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType())])
 SENTENCE = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())])
@@ -30,11 +31,12 @@ _EDGES = re.compile(rf"\A{WS}*|{WS}*\Z")
 def find_protected(text: str, terms: list[str]) -> list[Span]:
     """Code, URLs, e-mail addresses and terms; an earlier kind keeps what a later one would overlap."""
     found: list[Span] = []
+    claimed = DisjointSpans()
     patterns = list(_PATTERNS) if _HINT.search(text) else []
     patterns += [("term", re.compile(re.escape(t))) for t in sorted(filter(None, terms), key=len, reverse=True) if t in text]
     for kind, pattern in patterns:
         for m in pattern.finditer(text):
-            if not overlaps(found, m.start(), m.end()):
+            if claimed.add(m.start(), m.end()):
                 found.append((m.start(), m.end(), kind))
     return sorted(found)
 

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import corpus, diff, flags, metrics, review, rewrite, scoring, spans, splits
+from ..functions.phrases import MOST_PHRASES
+from ..operators import corpus, diff, flags, metrics, review, rewrite, scoring, sections, spans, splits
 from ..sources import documents as sources
 from ..sources.rules import Rules, default_rules
 
@@ -46,6 +47,8 @@ SPLIT_SEEDS = [
     ("Although the tests passed, the release waits.", None),
     ("We ran `a; b` once, which took an hour.", None),
 ]
+#: How severe flags are.
+SEVERITIES = {"Missing specifics": 4, "Passive voice": 3, "Long sentence": 3, "Word choice": 2, "Repetitive rhythm": 2, "Semicolon": 1, "Long paragraph": 1}
 #: Flag words that do occur in the documents.
 OWN_FLAGS = [("of", "Marketing hype", "Cut", None, None), ("is", "Vague connective", "Cut", None, None)]
 
@@ -359,6 +362,47 @@ def visible_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.visible(found, ["d2"]).groupBy("type", "dim").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
+def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place in the documents that has three words in a row of an item of the benchmark."""
+    words = F.split("text", " ")
+    runs = F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.slice(words, i, F.lit(3)))
+    plain = F.filter(runs, lambda r: F.forall(r, lambda w: w.rlike(r"\A[A-Za-z]+\z")))
+    phrases = F.transform(plain, lambda r: F.lower(F.array_join(r, " ")))
+    first = F.split("phrase", " ")
+    items = table(spark, sf_dir, "benchmark").filter(F.size(words) > 2).select(F.explode(phrases).alias("phrase")).distinct()
+    items = items.filter((F.get(first, F.lit(0)) != F.get(first, F.lit(1))) & (F.get(first, F.lit(0)) != F.get(first, F.lit(2))))
+    lexicon = sorted(r.phrase for r in items.limit(MOST_PHRASES + 1).collect())  # more are refused by the index
+    return metrics.phrase_hits(table(spark, sf_dir, "documents"), lexicon)
+
+
+def _own_rules() -> Rules:
+    rules = default_rules()
+    rules.flags = OWN_FLAGS
+    return rules
+
+
+def flags_in_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentence of every review flag."""
+    return sections.flags_in_sentences(table(spark, sf_dir, "documents"), _own_rules(), sep=SEP)
+
+
+def section_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the sections of long documents, and which are far off their document's mean."""
+    out = sections.section_scores(table(spark, sf_dir, "documents"), _own_rules(), sep=SEP)
+    return out.withColumn("doc_mean", F.round("doc_mean", 6))
+
+
+def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review flags that don't overlap, and which of them fit into a fifth of the text."""
+    docs, found = _review(spark, sf_dir)
+    severity = F.coalesce(*[F.when(F.col("type") == k, v) for k, v in SEVERITIES.items()])
+    key = F.concat_ws("|", "para_idx", "type", "found", "start")
+    rows = found.filter("start is not null").select("doc_id", "para_idx", key.alias("id"), "start", "end", severity.alias("severity"))
+    kept = scoring.resolve_findings(rows, ("doc_id", "para_idx"))
+    shown = scoring.cap_highlights(kept, docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n_chars")))
+    return shown.select("doc_id", "para_idx", "id", "start", "end", "severity", "shown")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -366,6 +410,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         review_work_list, replay_edits, sentence_metrics, document_metrics, rhythm_rules, section_windows, class_rates, class_thresholds, hardest_documents, gates, plain_text,
         flags_by_dimension, flag_rule_usage, document_statistics, score_before_after, recompute, rule_counts, stock_hits, guards, paragraph_diffs, split_candidates, split_report, style_distance, letter_language,
         sentence_spans, protected_spans, match_texts, irregularities, visible_flags,
+        phrase_hits, flags_in_sentences, section_scores, highlights,
     )
 }
 
@@ -731,3 +776,37 @@ SELECT doc_id, coalesce(unknown, 0) AS unknown, coalesce(hyphenation, 0) AS hyph
   coalesce(regexp_matches(text, '\w+, \w+, and \w+') AND regexp_matches(text, '\w+, \w+ and \w+'), false) AS serial_comma FROM documents LEFT JOIN u USING (doc_id) LEFT JOIN h USING (doc_id)""",
     "visible_flags": f"""WITH {_found_sql('documents', _OWN)} SELECT type, dim, count(*) AS n, count(DISTINCT doc_id) AS docs FROM found WHERE dim <> 'd2' GROUP BY type, dim""",
 }
+
+# Flags in sentences and sections: the last sentence that begins at or before them.
+_PLACES = f"""{_found_sql('own', _OWN)}, sents AS (
+  SELECT *, para_idx * 1000000000::BIGINT + loc AS pos, CAST(row_number() OVER o - 1 AS INT) AS sentence, regexp_matches(s, '^#{{1,6}}\\s') AS head,
+    sum(CAST(regexp_matches(s, '^#{{1,6}}\\s') AS INT)) OVER o AS by_head, sum(CAST(regexp_matches(s, '^#{{1,6}}\\s') AS INT)) OVER (PARTITION BY doc_id) AS heads, sum(n) OVER o - n AS before
+  FROM found_n WINDOW o AS (PARTITION BY doc_id ORDER BY para_idx, loc ROWS UNBOUNDED PRECEDING)),
+secs AS (SELECT *, CAST(CASE WHEN heads > 0 THEN by_head ELSE floor(before / 400) END AS INT) AS section FROM sents),
+met AS (SELECT f.*, p.sentence, p.section, p.para_idx = f.para_idx AND f."end" <= p.loc + length(p.s) AS inside
+  FROM (SELECT *, para_idx * 1000000000::BIGINT + start AS pos FROM found WHERE start IS NOT NULL) f ASOF LEFT JOIN secs p ON f.doc_id = p.doc_id AND f.pos >= p.pos)"""
+_SEVERITY = "CASE type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in SEVERITIES.items()) + " END"
+
+ORACLE_SQL |= {
+    "phrase_hits": r"""WITH w AS (SELECT string_split(text, ' ') AS w FROM benchmark),
+runs AS (SELECT DISTINCT lower(array_to_string(r, ' ')) AS phrase FROM (SELECT unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) AS r FROM w) WHERE len(list_filter(r, lambda x: NOT regexp_full_match(x, '[A-Za-z]+'))) = 0),
+lexicon AS (SELECT phrase, string_split(phrase, ' ')[1] AS a, string_split(phrase, ' ')[2] AS b, string_split(phrase, ' ')[3] AS c FROM runs),
+pieces AS (SELECT doc_id, unnest(p) AS p, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[A-Za-z0-9_]+|[^A-Za-z0-9_]+') AS p FROM documents)),
+placed AS (SELECT *, CAST(sum(length(p)) OVER o - length(p) AS INT) AS loc, lead(p, 1) OVER o AS g1, lead(p, 2) OVER o AS b, lead(p, 3) OVER o AS g2, lead(p, 4) OVER o AS c
+  FROM pieces WINDOW o AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT doc_id, phrase, loc AS start, CAST(loc + length(phrase) AS INT) AS "end" FROM placed p JOIN lexicon l ON p.p = l.a AND p.b = l.b AND p.c = l.c WHERE g1 = ' ' AND g2 = ' ' AND l.a <> l.b AND l.a <> l.c""",
+    "flags_in_sentences": f"""WITH own AS (SELECT * FROM documents), {_PLACES}
+SELECT doc_id, para_idx, start, "end", type, found, sentence, coalesce(inside, false) AS inside FROM met""",
+    "section_scores": f"""WITH own AS (SELECT * FROM documents WHERE len({words_sql("coalesce(text, '')")}) > 1200), {_PLACES},
+per AS (SELECT doc_id, section, CAST(sum(n) AS BIGINT) AS n_words, count(*) AS n_sentences, 4.0::DOUBLE {" ".join(f"- max(CAST(regexp_matches(s, '{p}') AS INT))" for p in _SIGNS)} AS d5 FROM secs GROUP BY doc_id, section),
+counted AS (SELECT doc_id, section, count(*) AS n_flags, {", ".join(f"count(*) FILTER (dim = '{d}') AS n_{d}" for d in ("d1", "d2", "d3", "d4"))} FROM met GROUP BY doc_id, section),
+dims AS (SELECT doc_id, section, n_words, n_sentences, coalesce(n_flags, 0) AS n_flags, {", ".join(f"{_density_sql(f'coalesce(n_{d}, 0)')} AS {d}" for d in ("d1", "d2", "d3", "d4"))}, d5 FROM per LEFT JOIN counted USING (doc_id, section)),
+scored AS (SELECT *, floor((d1 + d2 + d3 + d4 + d5) * 10 + 0.5::DOUBLE) / 10 AS total FROM dims), mean AS (SELECT *, avg(total) OVER (PARTITION BY doc_id) AS m FROM scored)
+SELECT * EXCLUDE (m), round(m, 6) AS doc_mean, abs(total - m) > 4 AS deviates FROM mean""",
+    "highlights": f"""WITH {_found_sql('documents', _OWN)},
+rows AS (SELECT doc_id, para_idx, concat_ws('|', para_idx, type, found, start) AS id, start AS a, "end" AS b, {_SEVERITY} AS severity FROM found WHERE start IS NOT NULL),
+kept AS (SELECT doc_id, para_idx, unnest(list_reduce(list([{{'a': a, 'b': b, 'id': id, 'severity': severity}}] ORDER BY severity DESC, b - a DESC, a, b, id),
+  lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.a < x[1].b AND x[1].a < y.b)) = 0 THEN acc || x ELSE acc END)) AS k FROM rows GROUP BY doc_id, para_idx),
+used AS (SELECT doc_id, para_idx, k.id, k.a AS start, k.b AS "end", k.severity, sum(k.b - k.a) OVER (PARTITION BY doc_id ORDER BY k.severity DESC, k.a, k.id ROWS UNBOUNDED PRECEDING) AS used FROM kept)
+SELECT doc_id, para_idx, id, start, "end", severity, used <= 0.2::DOUBLE * length(coalesce(text, '')) AS shown FROM used JOIN documents USING (doc_id)""",
+}
