@@ -61,6 +61,40 @@ def thresholds(scores: DataFrame, labels: DataFrame, shares: list[float], *, exa
     return rows.select("class", F.explode(F.arrays_zip(named.alias("share"), F.col("v").alias("threshold"))).alias("z")).select("class", "z.*")
 
 
+#: Size of a quantile sketch, and the error of a rank that it keeps to but for one case in many.
+SKETCH_SIZE, RANK_ERROR = 400, 0.02
+
+
+def score_sketches(scores: DataFrame, *by: str) -> DataFrame:
+    """``by`` (class and day, say), sketch, docs: a quantile sketch (KLL) of the totals of each group, some kilobytes
+    whatever its size, to be stored and merged later. Null totals are left out."""
+    return scores.filter("total is not null").groupBy(*by).agg(F.kll_sketch_agg_double("total", F.lit(SKETCH_SIZE)).alias("sketch"), F.count("*").alias("docs"))
+
+
+def merged_sketches(sketches: DataFrame, *by: str) -> DataFrame:
+    """The sketches of coarser groups, from stored ones."""
+    return sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch", F.lit(SKETCH_SIZE)).alias("sketch"), F.sum("docs").alias("docs"))
+
+
+def sketch_thresholds(sketches: DataFrame, shares: list[float]) -> DataFrame:
+    """The sketches' columns but the sketch, with share and threshold: percentiles whose rank is RANK_ERROR off at most."""
+    named = F.array(*map(F.lit, shares))
+    values = F.kll_sketch_get_quantile_double("sketch", named)
+    keep = [c for c in sketches.columns if c != "sketch"]
+    return sketches.select(*keep, F.explode(F.arrays_zip(named.alias("share"), values.alias("threshold"))).alias("z")).select(*keep, "z.*")
+
+
+def rank_errors(thresholds: DataFrame, scores: DataFrame, by: str) -> DataFrame:
+    """``thresholds`` with ``rank_error``: how far the share of the group's totals at the threshold is off the one asked for.
+
+    Thresholds are as many as groups and shares; they are gathered by group first."""
+    asked = thresholds.groupBy(by).agg(F.collect_list(F.struct("share", "threshold")).alias("asked"))
+    met = scores.filter("total is not null").join(asked, by).select(by, "total", F.explode("asked").alias("a"))
+    ranks = met.groupBy(by, "a").agg(F.avg((F.col("total") < F.col("a.threshold")).cast("double")).alias("below"), F.avg((F.col("total") <= F.col("a.threshold")).cast("double")).alias("within"))
+    error = F.greatest(F.lit(0.0), F.col("below") - F.col("a.share"), F.col("a.share") - F.col("within"))
+    return thresholds.join(ranks.select(by, F.col("a.share").alias("share"), error.alias("rank_error")), [by, "share"])
+
+
 def word_rates(docs: DataFrame, key: str, words: list[str]) -> DataFrame:
     """key, word, rate: occurrences per word of the text. Only the words looked for are shuffled, summed in tasks;
     keyed by text and word, so that no frequent word is one group."""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.phrases import MOST_PHRASES
-from ..operators import corpus, diff, flags, metrics, review, rewrite, scoring, sections, spans, splits
+from ..operators import corpus, diff, flags, metrics, phrase_mining, review, rewrite, scoring, sections, spans, splits
 from ..sources import documents as sources
 from ..sources.rules import Rules, default_rules
 
@@ -403,6 +403,24 @@ def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.select("doc_id", "para_idx", "id", "start", "end", "severity", "shown")
 
 
+def mined_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of three words in a hundredth of the documents that aren't labelled good, over-used there."""
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id", F.lit(True).alias("good")).distinct()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(good, "doc_id", "left")
+    out = phrase_mining.mine_phrases(docs, F.col("good"))
+    return out.select("phrase", "docs", F.round("rate", 6).alias("rate"), "good_docs", F.round("good_rate", 6).alias("good_rate"))
+
+
+def sketch_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of the readability score by class, from sketches by class and source, and whether their ranks are right."""
+    docs = corpus.readability(table(spark, sf_dir, "documents")).select("doc_id", "source", F.col("score").alias("total"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("class"))
+    scores = docs.join(labels, "doc_id")
+    of_class = corpus.merged_sketches(corpus.score_sketches(scores, "class", "source"), "class")
+    out = corpus.rank_errors(corpus.sketch_thresholds(of_class, [0.05, 0.5, 0.95]), scores, "class")
+    return out.select("class", "docs", "share", (F.col("rank_error") <= corpus.RANK_ERROR).alias("within"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -410,7 +428,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         review_work_list, replay_edits, sentence_metrics, document_metrics, rhythm_rules, section_windows, class_rates, class_thresholds, hardest_documents, gates, plain_text,
         flags_by_dimension, flag_rule_usage, document_statistics, score_before_after, recompute, rule_counts, stock_hits, guards, paragraph_diffs, split_candidates, split_report, style_distance, letter_language,
         sentence_spans, protected_spans, match_texts, irregularities, visible_flags,
-        phrase_hits, flags_in_sentences, section_scores, highlights,
+        phrase_hits, flags_in_sentences, section_scores, highlights, mined_phrases, sketch_thresholds,
     )
 }
 
@@ -810,3 +828,15 @@ kept AS (SELECT doc_id, para_idx, unnest(list_reduce(list([{{'a': a, 'b': b, 'id
 used AS (SELECT doc_id, para_idx, k.id, k.a AS start, k.b AS "end", k.severity, sum(k.b - k.a) OVER (PARTITION BY doc_id ORDER BY k.severity DESC, k.a, k.id ROWS UNBOUNDED PRECEDING) AS used FROM kept)
 SELECT doc_id, para_idx, id, start, "end", severity, used <= 0.2::DOUBLE * length(coalesce(text, '')) AS shown FROM used JOIN documents USING (doc_id)""",
 }
+
+ORACLE_SQL |= {
+    "mined_phrases": """WITH good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+d AS (SELECT doc_id, doc_id IN (SELECT doc_id FROM good) AS good, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+(?:''[a-z]+)*') AS w FROM documents),
+n AS (SELECT count(*) FILTER (NOT good) AS studied, count(*) FILTER (good) AS good FROM d),
+s AS (SELECT DISTINCT doc_id, good, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS phrase FROM d),
+c AS (SELECT phrase, count(*) FILTER (NOT s.good) AS docs, count(*) FILTER (s.good) AS good_docs FROM s GROUP BY phrase),
+r AS (SELECT *, docs / studied AS rate, good_docs / greatest(1, good) AS good_rate FROM c, n)
+SELECT phrase, docs, round(rate, 6) AS rate, good_docs, round(good_rate, 6) AS good_rate FROM r WHERE docs >= greatest(2, 0.01::DOUBLE * studied) AND rate >= 2 * good_rate""",
+    "sketch_thresholds": f"""WITH {readability_sql('documents')}
+SELECT CAST(quality AS VARCHAR) AS class, count(*) AS docs, unnest([0.05::DOUBLE, 0.5, 0.95]) AS share, true AS within FROM r JOIN labels USING (doc_id) GROUP BY quality""",
+}
