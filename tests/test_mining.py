@@ -39,7 +39,7 @@ def test_against_a_plain_count(spark):
     for n, share in ((3, 0.02), (2, 0.05), (3, 0.0)):
         got = M.mine_phrases(df, F.col("good"), n=n, least_share=share).collect()
         assert {r.phrase: (r.docs, r.good_docs) for r in got} == plain(rows, n, max(2, share * sum(not r[2] for r in rows)), 2.0)
-    assert {"at its core", "power of it"} <= {r.phrase for r in M.mine_phrases(df, F.col("good"), least_share=0.05).collect()}
+    assert {"at its core"} == {r.phrase for r in M.mine_phrases(df, F.col("good"), least_share=0.05).collect()}
     assert M.mine_phrases(df.limit(0), F.col("good")).collect() == []
 
 
