@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.phrases import MOST_PHRASES
-from ..operators import corpus, diff, flags, metrics, phrase_mining, review, rewrite, scoring, sections, spans, splits
+from ..functions import sql as sql_functions
+from ..operators import corpus, diff, flags, incremental, metrics, phrase_mining, review, rewrite, scoring, sections, spans, splits
 from ..sources import documents as sources
+from ..sources import sinks
 from ..sources.rules import Rules, default_rules
 
 SEP = "\n"
@@ -58,9 +60,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def seeded(spark: SparkSession, sf_dir: str, texts: list[str] | None = None) -> DataFrame:
+    return with_seeds(table(spark, sf_dir, "documents"), texts)
+
+
+def with_seeds(docs: DataFrame, texts: list[str] | None = None) -> DataFrame:
+    """Documents with a last paragraph each."""
     texts = texts or [s for s, _, _ in SEEDS]
     last = F.element_at(F.array(*map(F.lit, texts)), (F.pmod("doc_id", F.lit(len(texts))) + 1).cast("int"))
-    return table(spark, sf_dir, "documents").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(SEP), last))
+    return docs.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(SEP), last))
 
 
 def readability_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -421,6 +428,65 @@ def sketch_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("class", "docs", "share", (F.col("rank_error") <= corpus.RANK_ERROR).alias("within"))
 
 
+def incremental_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents after an edit in some of them and the dismissal of the semicolons of others: stored sums, patched."""
+    rules = _own_rules()
+    docs = table(spark, sf_dir, "documents")
+    paragraphs = docs.select("doc_id", F.posexplode(X.paragraphs(F.col("text"), SEP)).alias("para_idx", "output"))
+    folder = sinks.shared_folder(spark, "review")
+    incremental.paragraph_state(paragraphs, rules).write.parquet(f"{folder}/state")
+    state = spark.read.parquet(f"{folder}/state")
+    incremental.document_sums(state).write.parquet(f"{folder}/sums")
+    edit = (F.col("para_idx") == 0) & F.contains("output", F.lit(" of ")) & (F.pmod("doc_id", F.lit(4)) == 1)
+    edited = paragraphs.withColumn("output", F.when(edit, F.regexp_replace("output", "(?s)\\A(.*?) of ", "$1 by ")).otherwise(F.col("output")))
+    marked = edited.filter((F.pmod("doc_id", F.lit(4)) == 2) & F.contains("output", F.lit(";")))
+    found = flags.review_flags(marked, rules).filter("type = 'Semicolon'").select(*incremental.FLAG_KEY)
+    sums, _ = incremental.patched_sums(spark.read.parquet(f"{folder}/sums"), state, edited, rules, found)
+    return incremental.scored(sums)
+
+
+def rewrite_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rewrite as a stream over the table's folder, begun a second time from its checkpoint: digests and changes."""
+    schema = table(spark, sf_dir, "documents").schema
+    folder = sinks.shared_folder(spark, "stream")
+    for _ in range(2):
+        stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]")  # a pattern may be a file or a folder
+        done = rewrite.rewrite_documents(with_seeds(stream), default_rules(), sep=SEP)
+        out = done.select("doc_id", F.md5(rewrite.output_text(SEP).cast("binary")).alias("output_md5"), rewrite.change_count().alias("n_changes"))
+        sinks.stream_to_folder(out, f"{folder}/output", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/output").drop("batch")
+
+
+def partitioned_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readability in folders by source; one source written anew with its scores one higher, then read back."""
+    scores = corpus.readability(table(spark, sf_dir, "documents").filter("source is not null")).select("doc_id", "source", "score")
+    folder = sinks.shared_folder(spark, "results")
+    sinks.write_partitioned(scores, folder, ["source"], ["doc_id"])
+    first = scores.agg(F.min("source")).first()[0]
+    sinks.write_partitioned(scores.filter(F.col("source") == first).withColumn("score", F.col("score") + 1), folder, ["source"], ["doc_id"])
+    back = sinks.read_partitioned(spark, folder, scores)
+    return back.groupBy("source").agg(F.count("*").alias("docs"), F.round(F.avg("score"), 4).alias("avg_score"), F.min("doc_id").alias("first_doc"))
+
+
+def sql_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags and sentences by table functions, in SQL."""
+    sql_functions.register(spark, _own_rules())
+    docs = table(spark, sf_dir, "documents").select("doc_id", X.paragraphs(F.col("text"), SEP).alias("paragraphs"))
+    return spark.sql(
+        """SELECT p.doc_id, p.para_idx, f.type, f.dim, count(*) AS n, min(f.start) AS first, max(f.`end`) AS last
+        FROM (SELECT doc_id, posexplode(paragraphs) AS (para_idx, paragraph) FROM {docs}) AS p, LATERAL prose_flags(p.paragraph) AS f
+        GROUP BY ALL""",
+        docs=docs,
+    )
+
+
+def split_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the last, seeded paragraph of every document is split, by the table function."""
+    sql_functions.register(spark, default_rules())
+    docs = seeded(spark, sf_dir, [s for s, _ in SPLIT_SEEDS]).select("doc_id", F.element_at(X.paragraphs(F.col("text"), SEP), -1).alias("paragraph"))
+    return spark.sql("SELECT d.doc_id, s.kind, s.tier, s.start, s.`left`, s.`right` FROM {docs} AS d, LATERAL prose_splits(d.paragraph) AS s", docs=docs)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -429,6 +495,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         flags_by_dimension, flag_rule_usage, document_statistics, score_before_after, recompute, rule_counts, stock_hits, guards, paragraph_diffs, split_candidates, split_report, style_distance, letter_language,
         sentence_spans, protected_spans, match_texts, irregularities, visible_flags,
         phrase_hits, flags_in_sentences, section_scores, highlights, mined_phrases, sketch_thresholds,
+        incremental_scores, rewrite_stream, partitioned_results, sql_flags, split_seeds,
     )
 }
 
@@ -840,3 +907,22 @@ SELECT phrase, docs, round(rate, 6) AS rate, good_docs, round(good_rate, 6) AS g
     "sketch_thresholds": f"""WITH {readability_sql('documents')}
 SELECT CAST(quality AS VARCHAR) AS class, count(*) AS docs, unnest([0.05::DOUBLE, 0.5, 0.95]) AS share, true AS within FROM r JOIN labels USING (doc_id) GROUP BY quality""",
 }
+
+_EDITED = f"""d AS (SELECT doc_id, {_PARTS.replace('{n}', _NORMAL.replace('{t}', "coalesce(text, '')"))} AS ts FROM documents),
+edited AS (SELECT doc_id, array_to_string(list_transform(ts, lambda t, i: CASE WHEN i = 1 AND doc_id % 4 = 1 AND contains(t, ' of ') THEN left(t, strpos(t, ' of ') - 1) || ' by ' || substr(t, strpos(t, ' of ') + 4) ELSE t END), chr(10)) AS text FROM d WHERE len(ts) > 0)"""
+_SPLIT_ENDS = "(VALUES " + ", ".join(f"({i}, '{kind}', {tier}, {start}, {_quoted(text[:start])}, {_quoted(text)})" for i, (text, split) in enumerate(SPLIT_SEEDS) if split for kind, tier, start in (split,)) + ") AS k(seed, kind, tier, start, l, t)"
+
+ORACLE_SQL |= {
+    "incremental_scores": f"""WITH {_EDITED}, {_scores_sql('edited', _OWN)},
+left_over AS (SELECT doc_id, {", ".join(f"count(*) FILTER (dim = '{d}') AS n_{d}" for d in ("d1", "d2", "d3", "d4"))} FROM scored_found WHERE start IS NOT NULL AND NOT (type = 'Semicolon' AND doc_id % 4 = 2) GROUP BY doc_id),
+dims AS (SELECT doc_id, n_words, {", ".join(f"{_density_sql(f'coalesce(n_{d}, 0)')} AS {d}" for d in ("d1", "d2", "d3", "d4"))}, d5 FROM (SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, d5 FROM scored_t) LEFT JOIN left_over USING (doc_id)),
+summed AS (SELECT *, floor((d1 + d2 + d3 + d4 + d5) * 10 + 0.5::DOUBLE) / 10 AS total FROM dims)
+SELECT *, CASE WHEN total >= 15 THEN 'heavy' WHEN total >= 10 THEN 'moderate' WHEN total >= 6 THEN 'light' WHEN total > 0 THEN 'low' ELSE 'none' END AS verdict FROM summed""",
+    "rewrite_stream": f"SELECT doc_id, output_md5, n_changes FROM ({ORACLE_SQL['rewrite_outputs']})",
+    "partitioned_results": f"""WITH {readability_sql("(SELECT * FROM documents WHERE source IS NOT NULL)")}
+SELECT source, count(*) AS docs, round(avg(score + CASE WHEN source = (SELECT min(source) FROM documents) THEN 1 ELSE 0 END), 4) AS avg_score, min(doc_id) AS first_doc FROM r GROUP BY source""",
+    "sql_flags": f"""WITH {_found_sql('documents', _OWN)}
+SELECT doc_id, para_idx, type, dim, count(*) AS n, min(start) AS first, max("end") AS last FROM found WHERE start IS NOT NULL GROUP BY ALL""",
+    "split_seeds": f"""SELECT doc_id, kind, CAST(tier AS INT) AS tier, CAST(start AS INT) AS start, l AS left,
+  substr(t, start + 1 + length(regexp_extract(substr(t, start + 1), '^(?:;|, and|,) '))) AS right FROM documents JOIN {_SPLIT_ENDS} ON doc_id % {len(SPLIT_SEEDS)} = seed""",
+}
