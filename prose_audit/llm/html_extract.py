@@ -1,8 +1,11 @@
 """Main text of web pages: blocks by markup, boilerplate by suffix arrays over the pages of a host.
 
-A tolerant tokenizer turns a page into blocks, each in a zone: article, main part, or neither. Blocks in
-menus, headers, footers, sidebars, notices, adverts, forms, comments and the like are left out by their
-markup. The blocks of the best zone of a page remain.
+A tolerant tokenizer turns a page into elements and blocks of text. Menus, footers, asides, scripts and what is hidden
+go by their tags. Words of classes and ids (sidebar, comments, cookie) and forms are signs only: an element with a sign
+stays if it has a name for content as well, or if it holds most of the page's text and no other element for content does;
+readers' comments don't.
+Names that speak about a part (``has-comments``, ``no-ads``, ``share-enabled``) are no signs. The blocks of the best zone
+of a page remain: articles, else the main part, else all; the main part comes before articles of a third of its text.
 
 The token streams of a host's pages, with a mark at each end of a block, are concatenated and their suffixes
 sorted (prefix doubling), with the lengths of common prefixes of neighbours. Where they are RUN tokens or
@@ -11,10 +14,10 @@ such runs cover goes, inside of blocks too, and unique runs stay. Where markup n
 are enough; from an article only what most pages of the host have goes. Pages with equal blocks count as one
 page, so copies of a page don't make its text boilerplate.
 
-Pages of a host with over SHARE_BYTES (or a 1,000,000th of all bytes) lie in several suffix arrays, drawn by a
-hash of the blocks. A run that is on enough pages of the host is so in one of them at least; what one of them
-finds is then counted on all pages of the host, so the result is that of one array over the whole host. Within
-a task, copies of a page are sent once.
+Each page is parsed once; its blocks are stored, and each kind of page (host and blocks) is cleaned once. Kinds of
+hosts over SHARE_BYTES of text (or a 1,000,000th of all) lie in several suffix arrays, drawn by their hash. A run that is on
+enough pages of the host is so in one of them at least; such candidates are then counted in all shares of the host, so
+the result is that of one array over the whole host. A task holds one share.
 
 Defined cases: a null html is the empty page, with empty text; a null url, or one without a host, belongs to
 the empty host; repeated rows get equal texts; unclosed elements end with the page; very long pages are parsed
@@ -36,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, map_arrow, map_batches, stored
+from .common import arrow_schema, map_batches, stored
 from .url_filter import split_url
 
 #: Tokens of a run; common prefixes are measured up to DEPTH tokens.
@@ -44,8 +47,8 @@ RUN, DEPTH = 8, 8
 #: Distinct pages that make a run boilerplate, at least and as a share of the host's: for pages without an
 #: article, and for an article's own text.
 FEW, MOST = (3, 0.02), (10, 0.6)
-#: Html bytes of one suffix array; at most so many hosts have several; kinds of pages that a task remembers.
-SHARE_BYTES, HEAVY_HOSTS, SEEN = 4 << 20, 1_000_000, 200_000
+#: Bytes of text of one suffix array; at most so many hosts have several; kinds of pages that a task remembers.
+SHARE_BYTES, HEAVY_HOSTS, SEEN = 3 << 20, 1_000_000, 200_000
 #: The token between blocks, which no word can be.
 MARK = "\n"
 
@@ -53,23 +56,29 @@ OTHER, MAIN, ARTICLE, HEADING_ONLY, DROPPED = 0, 1, 2, 3, 4
 
 # Element names of HTML by what they mean here.
 RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
-LEFT_OUT = {"nav", "header", "footer", "aside", "form", "noscript", "template", "svg", "math", "object", "button", "select", "head", "dialog", "menu", "canvas", "audio", "video"}
+LEFT_OUT = {"nav", "footer", "aside", "noscript", "template", "svg", "math", "object", "button", "select", "head", "dialog", "menu", "canvas", "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "input", "ins", "kbd", "label", "mark", "q", "s",
     "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br",
 }
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-#: Words of class, id and role by which an element goes; the soft ones not beside a word for content.
+#: Words of class, id and role that are signs; the soft ones not beside a word for content; those for readers' comments.
 HARD_WORDS = set(
     "ad ads advert advertisement adverts advertising adsense adslot sponsor sponsored promo promotion comment comments disqus replies respond "
     "cookie cookies consent gdpr notice notices footer nav navbar navigation menu breadcrumb breadcrumbs related recommended share sharing social "
     "newsletter subscribe signup login contentinfo complementary pagination pager skip".split()
 )
 SOFT_WORDS = set("sidebar header masthead banner widget widgets alert overlay modal popup search form dialog toolbar hidden".split())
-CONTENT_WORDS = set("article content entry story post main body text with has no".split())
+CONTENT_WORDS = set("article content entry story post main body text".split())
+COMMENT_WORDS = set("comment comments disqus replies respond".split())
+#: Beside one of these a word is no sign: the name speaks about the part, or reads like a heading.
+ABOUT_WORDS = set("has have no not with without is js enabled disabled open closed on off allowed count of about for to in and the".split())
 ARTICLE_WORDS = {"articlebody", "article-body", "article-content", "post-content", "post-body", "entry-content", "story-body", "article", "post", "entry"}
 MAIN_WORDS = {"main", "content", "main-content", "page-content"}
+#: An element for content counts against a sign from this share of the page's text on; the main part's own text outweighs
+#: articles of this many times less.
+OTHER_SHARE, TEASER = 0.1, 3
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|([^<]+)|<", re.S
@@ -79,122 +88,189 @@ WORDS = re.compile(r"[a-z0-9]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def zone_of(tag: str, attributes: str, around: int) -> int:
-    """The zone of an element in an element of zone ``around``."""
-    if around == DROPPED:
-        return DROPPED
-    if tag in LEFT_OUT:
-        return HEADING_ONLY if tag == "header" and around in (MAIN, ARTICLE) else DROPPED
-    zone = ARTICLE if tag == "article" else max(around, MAIN) if tag == "main" else around
-    if not attributes or around == HEADING_ONLY:
-        return zone
-    found = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
-    if tag not in ("html", "body", "main", "article"):
-        if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
-            return DROPPED
-        named = " ".join(found.get(k, "") for k in ("class", "id", "role"))
-        words = set(WORDS.findall(CAMEL.sub(" ", named).lower())) if named.strip() else set()
-        if words & HARD_WORDS:
-            return DROPPED
-        if words & SOFT_WORDS:
-            if not words & CONTENT_WORDS:
-                return DROPPED
-            if "header" in words and around in (MAIN, ARTICLE):
-                return HEADING_ONLY
-    names = set(" ".join(found.get(k, "") for k in ("class", "id", "role", "itemprop")).lower().split())
-    if names & ARTICLE_WORDS:
-        return ARTICLE
-    return max(zone, MAIN) if names & MAIN_WORDS else zone
-
-
-def blocks(page: str) -> list[tuple[int, str]]:
-    """Zone and text of every block of a page, in order, without those left out by markup and, outside of
-    articles, those that are links for the most part."""
-    out: list[tuple[int, str]] = []
-    open_: list[tuple[str, int]] = []
-    names: Counter[str] = Counter()  # of open elements
-    zone, heading, linked = OTHER, False, 0
-    parts: list[str] = []
-    link_chars = chars = 0
-
-    def flush() -> None:
-        nonlocal parts, link_chars, chars
-        if parts:
-            text = " ".join(entities.unescape("".join(parts)).split())
-            if text and zone != DROPPED and (zone != HEADING_ONLY or heading):
-                if zone in (ARTICLE, HEADING_ONLY) or 2 * link_chars < chars:
-                    out.append((ARTICLE if zone == HEADING_ONLY else zone, text))
-            parts, link_chars, chars = [], 0, 0
-
-    at, end = 0, len(page)
-    while at < end:
-        token = TOKEN.match(page, at)
-        at = token.end()
-        text = token[7]
-        if text is not None or token[0] == "<":
-            if zone != DROPPED:
-                text = text or "<"
-                parts.append(text)
-                chars += len(text)
-                link_chars += len(text) * linked
-            continue
-        name = token[2] or token[5]
-        if name is None:
-            continue
-        name = name.lower()
-        attributes = token[3] if token[2] else token[6]
-        if not (token[1] or token[4]):
-            if name in RAW:
-                close = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = close.end() if close else end
+class Element:
+    """What an element's tag and names say, and its place in the page."""
+
+    __slots__ = ("parent", "end", "gone", "sign", "comment", "named", "header", "zone", "chars")
+
+    def __init__(self, parent: int, tag: str, attributes: str) -> None:
+        self.parent, self.end, self.chars = parent, 0, 0
+        self.gone, self.header, self.named = tag in LEFT_OUT, tag == "header", False
+        self.sign, self.comment = tag == "form", False
+        self.zone = ARTICLE if tag == "article" else MAIN if tag == "main" else OTHER
+        if not attributes:
+            return
+        found = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
+        names = " ".join(found.get(k, "") for k in ("class", "id", "role")).split()
+        plain = {n.lower() for n in names} | set(found.get("itemprop", "").lower().split())
+        if plain & ARTICLE_WORDS:
+            self.zone, self.named = ARTICLE, True
+        elif plain & MAIN_WORDS:
+            self.zone, self.named = max(self.zone, MAIN), True
+        if tag in ("html", "body", "main"):
+            return
+        self.gone = self.gone or "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")) is not None
+        parts = [set(WORDS.findall(CAMEL.sub(" ", n).lower())) for n in names]
+        told = set().union(*[p for p in parts if not p & ABOUT_WORDS]) if parts else set()
+        self.comment = bool(told & COMMENT_WORDS)
+        if tag == "article":
+            self.sign = self.comment
+        elif told & HARD_WORDS:
+            self.sign = True
+        elif told & SOFT_WORDS:
+            if not told & CONTENT_WORDS:
+                self.sign = True
+            elif "header" in told:
+                self.header = True
+
+
+class Page:
+    """Elements of a page in the order of their beginnings, and its blocks: element, text, whether it is a heading, and
+    its characters outside and inside of links."""
+
+    def __init__(self, page: str) -> None:
+        self.elements = [Element(0, "html", "")]
+        self.blocks: list[tuple[int, str, bool, int, int]] = []
+        self._parse(page)
+        for i in range(len(self.elements) - 1, 0, -1):
+            own = self.elements[i]
+            above = self.elements[own.parent]
+            above.chars += own.chars
+            above.end = max(above.end, own.end, i)
+        for i, e in enumerate(self.elements):
+            e.end = max(e.end, i)
+
+    def _parse(self, page: str) -> None:
+        elements, found = self.elements, self.blocks
+        open_: list[tuple[str, int]] = []
+        names: Counter[str] = Counter()  # of open elements
+        own, hidden, heading, linked = 0, False, False, 0
+        parts: list[str] = []
+        link_chars = chars = 0
+
+        def flush() -> None:
+            nonlocal parts, link_chars, chars
+            if parts:
+                text = " ".join(entities.unescape("".join(parts)).split())
+                if text and not hidden:
+                    found.append((own, text, heading, chars - link_chars, link_chars))
+                    elements[own].chars += chars - link_chars
+                parts, link_chars, chars = [], 0, 0
+
+        at, end = 0, len(page)
+        while at < end:
+            token = TOKEN.match(page, at)
+            at = token.end()
+            text = token[7]
+            if text is not None or token[0] == "<":
+                if not hidden:
+                    text = text or "<"
+                    parts.append(text)
+                    chars += len(text)
+                    link_chars += len(text) * linked
                 continue
-            if name == "a":
-                linked = 1
-            if name in VOID:
-                if name in INLINE:
-                    if name == "br":
-                        parts.append(" ")
-                else:
-                    flush()
-                continue
-            own = zone_of(name, attributes.strip(), zone)
-            if name in INLINE:
-                if own != zone:
-                    flush()
-                    open_.append((name, zone))
-                    names[name] += 1
-                    zone = own
+            name = token[2] or token[5]
+            if name is None:
                 continue
-            flush()
-            heading = name in HEADINGS
-            if name == "p" and open_ and open_[-1][0] == "p":
-                zone = open_.pop()[1]
-                names["p"] -= 1
-                own = zone_of(name, attributes.strip(), zone)
-            if not attributes.rstrip().endswith("/") or name not in ("path", "g"):
-                open_.append((name, zone))
-                names[name] += 1
-                zone = own
-        else:
-            if name == "a":
-                linked = 0
-            if name not in INLINE:
-                flush()
-                heading = False
-            if names[name]:
+            name = name.lower()
+            attributes = (token[3] if token[2] else token[6]).strip()
+            if not (token[1] or token[4]):
+                if name in RAW:
+                    close = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
+                    at = close.end() if close else end
+                    continue
+                if name == "a":
+                    linked = 1
+                if name in VOID:
+                    if name in INLINE:
+                        if name == "br":
+                            parts.append(" ")
+                    else:
+                        flush()
+                    continue
                 if name in INLINE:
+                    if attributes:
+                        new = Element(own, name, attributes)
+                        if new.gone or new.sign or new.zone or new.header:
+                            flush()
+                            open_.append((name, own))
+                            names[name] += 1
+                            elements.append(new)
+                            own, hidden = len(elements) - 1, hidden or new.gone
+                    continue
+                flush()
+                heading = name in HEADINGS
+                if name == "p" and open_ and open_[-1][0] == "p":
+                    own = open_.pop()[1]
+                    hidden = elements[own].gone
+                    names["p"] -= 1
+                if not attributes.endswith("/") or name not in ("path", "g"):
+                    open_.append((name, own))
+                    names[name] += 1
+                    new = Element(own, name, attributes)
+                    new.gone = new.gone or hidden
+                    elements.append(new)
+                    own, hidden = len(elements) - 1, new.gone
+            else:
+                if name == "a":
+                    linked = 0
+                if name not in INLINE:
                     flush()
-                closed = ""
-                while closed != name:
-                    closed, zone = open_.pop()
-                    names[closed] -= 1
-    flush()
-    return out
+                    heading = False
+                if names[name]:
+                    if name in INLINE:
+                        flush()
+                    closed = ""
+                    while closed != name:
+                        closed, own = open_.pop()
+                        names[closed] -= 1
+                    hidden = elements[own].gone
+        flush()
+
+    def _needed(self, i: int) -> bool:
+        """Whether an element has most of the page's text, and no other element for content has much of it; readers'
+        comments are never needed, however long."""
+        own, whole = self.elements[i], self.elements[0].chars
+        if own.comment or 2 * own.chars <= whole:
+            return False
+        return not any(e.zone and not e.gone and not e.sign and (j > own.end or e.end < i) and e.chars >= max(1, OTHER_SHARE * whole) for j, e in enumerate(self.elements))
+
+    def zones(self) -> list[tuple[int, str]]:
+        """Zone and text of every block, in order, without those left out and, outside of articles, those that are links
+        for the most part."""
+        zone = [OTHER] * len(self.elements)
+        for i, e in enumerate(self.elements):
+            around = zone[e.parent]
+            if around == DROPPED or e.gone:
+                zone[i] = DROPPED
+            elif e.sign and (e.comment or not e.named) and not self._needed(i):
+                zone[i] = DROPPED
+            elif e.header and not e.named and around == OTHER:
+                zone[i] = OTHER if self._needed(i) else DROPPED
+            elif around == HEADING_ONLY or e.header and not e.named:
+                zone[i] = HEADING_ONLY
+            else:
+                zone[i] = max(around, e.zone)
+        out = []
+        for i, text, heading, plain, linked in self.blocks:
+            own = zone[i]
+            if own != DROPPED and (own != HEADING_ONLY or heading) and (own in (ARTICLE, HEADING_ONLY) or linked < plain):
+                out.append((ARTICLE if own == HEADING_ONLY else own, text))
+        return out
+
+
+def blocks(page: str) -> list[tuple[int, str]]:
+    """Zone and text of every block of a page that its markup leaves in."""
+    return Page(page).zones()
 
 
 def best_zone(found: list[tuple[int, str]]) -> int:
-    """The zone that holds a page's main text."""
-    return max((z for z, _ in found), default=OTHER)
+    """The zone that holds a page's main text: by what is marked, unless the articles are but teasers in the main part."""
+    best = max((z for z, _ in found), default=OTHER)
+    if best == ARTICLE:
+        size = [sum(len(t) for z, t in found if z == zone) for zone in (MAIN, ARTICLE)]
+        return MAIN if size[0] > TEASER * size[1] else ARTICLE
+    return best
 
 
 def main_blocks(page: str) -> tuple[int, list[str]]:
@@ -244,9 +320,9 @@ def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, shared
 
 
-def run_pages(streams: list[list[str]], least: int = 1) -> tuple[list[str], list[int]]:
-    """The runs of RUN tokens of some pages' streams, and on how many of the pages each stands, where those are
-    ``least`` or more."""
+def repeats(streams: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of RUN tokens of some pages' streams by a suffix array: for each place where one begins, the place and the
+    run; of each run on how many of the pages it stands, and its first place. A page ends with a token of its own."""
     numbers: dict[str, int] = {}
     tokens = np.array([numbers.setdefault(w, len(numbers)) for words in streams for w in [*words, None]], np.int64)
     page = np.repeat(np.arange(len(streams)), [len(words) + 1 for words in streams])
@@ -256,131 +332,201 @@ def run_pages(streams: list[list[str]], least: int = 1) -> tuple[list[str], list
     run = np.cumsum(shared < RUN)
     fits = order + RUN <= ends[page[order]]
     order, run = order[fits], run[fits]
+    known, first, run = np.unique(run, return_index=True, return_inverse=True)
     kinds = np.unique(run * np.int64(len(streams)) + page[order]) // len(streams)
-    of, counts = np.unique(kinds, return_counts=True)
-    first = order[np.unique(run, return_index=True)[1]]
+    return order, run, np.bincount(kinds, minlength=len(known)), order[first]
+
+
+def run_pages(streams: list[list[str]], least: int = 1) -> tuple[list[str], list[int]]:
+    """The runs of some pages' streams as texts, and on how many of the pages each stands, where those are ``least`` or more."""
+    _, _, counts, first = repeats(streams)
     enough = counts >= least
     words = [w for own in streams for w in [*own, ""]]
     return [" ".join(words[i : i + RUN]) for i in first[enough].tolist()], counts[enough].tolist()
 
 
-def unique_text(texts: list[str], boilerplate: set[int]) -> str:
-    """Blocks without the tokens that runs of ``boilerplate`` cover; empty blocks go."""
-    words = stream(texts)
-    covered = np.zeros(len(words) + 1, np.int64)
-    for i in range(len(words) - RUN + 1):
-        if xxhash.xxh64_intdigest(" ".join(words[i : i + RUN])) in boilerplate:
-            covered[i] += 1
-            covered[i + RUN] -= 1
-    stays = (np.cumsum(covered[:-1]) == 0).tolist()
-    kept = [w if w == MARK or own else "" for w, own in zip(words, stays)]
+def uncovered(words: list[str], covered: np.ndarray) -> str:
+    """The blocks of a stream without the tokens covered; empty blocks go."""
+    kept = [w if w == MARK or not gone else "" for w, gone in zip(words, covered.tolist())]
     return "\n".join(x for x in (" ".join(filter(None, block.split(" "))) for block in " ".join(kept).split(MARK)) if x)
 
 
-def boilerplate_runs(pages: DataFrame) -> DataFrame:
-    """``pages(host, html)`` → host, few, most: hashes of the runs on enough distinct pages of the host, for pages
-    without and with an article. Hosts without such runs have no row.
+def thresholds(pages: int) -> tuple[int, int]:
+    """Distinct pages of a host that make a run boilerplate, outside of articles and in them."""
+    few, most = (max(least, math.ceil(share * pages - 1e-9)) for least, share in (FEW, MOST))
+    return few, most
+
+
+def clean_host(kinds: list[tuple[int, list[str]]]) -> list[str]:
+    """The texts of all distinct pages of a host, each a zone and blocks, without the runs that enough of them have."""
+    few, most = thresholds(len(kinds))
+    if len(kinds) < few:
+        return [MARK.join(texts) for _, texts in kinds]
+    streams = [stream(texts) for _, texts in kinds]
+    places, run, counts, _ = repeats(streams)
+    total = sum(len(words) + 1 for words in streams)
+    covers = []
+    for least in (few, most):
+        starts = places[counts[run] >= least]
+        edges = np.bincount(starts, minlength=total + 1) - np.bincount(starts + RUN, minlength=total + 1)
+        covers.append(np.cumsum(edges)[:-1] > 0)
+    out, at = [], 0
+    for (zone, texts), words in zip(kinds, streams):
+        own = covers[zone == ARTICLE][at : at + len(words)]
+        out.append(uncovered(words, own) if own.any() else MARK.join(texts))
+        at += len(words) + 1
+    return out
 
-    A run counts for a host if 2 % of its distinct pages have it, so a host's runs are at most 50 times the tokens
-    of its mean page (or 1/3 of all tokens of a small host).
-    """
-    spark = pages.sparkSession
-    sizes = pages.groupBy("host").agg(F.sum(F.octet_length("html").cast("long")).alias("bytes"))
-    total = sizes.agg(F.sum("bytes")).first()[0] or 0
-    share_bytes = max(SHARE_BYTES, total / HEAVY_HOSTS)
-    # hosts over a 1,000,000th of all bytes are fewer than 1,000,000
-    heavy = sizes.filter(F.col("bytes") > share_bytes).select("host", F.ceil(F.col("bytes") / share_bytes).cast("int").alias("shares"))
-    parsed_schema = arrow_schema(spark, "host string, kind long, blocks binary")
+
+def hashed_runs(words: list[str]) -> np.ndarray:
+    """The hashes of a stream's runs, by place."""
+    return np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + RUN])) for i in range(len(words) - RUN + 1)], np.uint64).view(np.int64)
+
+
+def unique_text(texts: list[str], boilerplate: np.ndarray) -> str:
+    """Blocks without the tokens that the runs of ``boilerplate`` (hashes) cover."""
+    words = stream(texts)
+    starts = np.flatnonzero(np.isin(hashed_runs(words), boilerplate))
+    if not len(starts):
+        return MARK.join(texts)
+    edges = np.bincount(starts, minlength=len(words) + 1) - np.bincount(starts + RUN, minlength=len(words) + 1)
+    return uncovered(words, np.cumsum(edges)[:-1] > 0)
+
+
+def parsed_pages(pages: DataFrame) -> DataFrame:
+    """``pages(page_id, url, host, html)`` → page_id, url, host, kind, size, blocks: the hash of a page's zone and blocks,
+    and where a task meets that kind of page first, the bytes of its texts and the blocks, packed. Stored."""
+    schema = "page_id long, url string, host string, kind long, size long, blocks binary"
+    out_schema = arrow_schema(pages.sparkSession, schema)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[str, int]] = set()
         for batch in batches:
-            out: dict[str, list] = {"host": [], "kind": [], "blocks": []}
-            for host, html in zip(*(c.to_pylist() for c in batch.columns)):
-                data = MARK.join(main_blocks(html)[1]).encode()
+            page_id, url, host, html = batch.columns
+            kinds, sizes, packed = [], [], []
+            for own, page in zip(host.to_pylist(), html):
+                zone, texts = main_blocks(page.as_py())
+                data = MARK.join([str(zone), *texts]).encode()
                 kind = xxhash.xxh64_intdigest(data) - (1 << 63)
-                if not data or (host, kind) in seen:
-                    continue
-                if len(seen) >= SEEN:
-                    seen.clear()
-                seen.add((host, kind))
-                out["host"].append(host)
-                out["kind"].append(kind)
-                out["blocks"].append(zlib.compress(data, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in parsed_schema], schema=parsed_schema)
-
-    parsed = map_batches(pages.select("host", "html"), parse, "host string, kind long, blocks binary", rows=500)
-    dealt = parsed.join(F.broadcast(heavy), "host", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
+                new = bool(texts) and (own, kind) not in seen
+                if new:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add((own, kind))
+                kinds.append(kind)
+                sizes.append(len(data) if new else None)
+                packed.append(zlib.compress(data, 1) if new else None)
+            columns = [page_id, url, host, pa.array(kinds, pa.int64()), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, out_schema)], schema=out_schema)
+
+    return stored(map_batches(pages.select("page_id", "url", "host", "html"), parse, schema, rows=500), "html-pages")
+
+
+def unpack(packed: bytes) -> tuple[int, list[str]]:
+    zone, *texts = zlib.decompress(packed).decode().split(MARK)
+    return int(zone), texts
+
+
+def cleaned_kinds(parsed: DataFrame) -> DataFrame:
+    """``parsed`` (see ``parsed_pages``) → host, kind, text: the main text of every kind of page.
+
+    A host's candidates are on 2 % of the pages of a share, so they are at most 50 times the tokens of a share's mean
+    page, for each share that finds its own.
+    """
+    spark = parsed.sparkSession
+    kinds = parsed.filter("blocks is not null").select("host", "kind", "size", "blocks")
+    sizes = kinds.groupBy("host").agg(F.sum("size").alias("bytes"))
+    total = sizes.agg(F.sum("bytes")).first()[0] or 0
+    share_bytes = max(SHARE_BYTES, total / HEAVY_HOSTS)
+    # hosts over a 1,000,000th of all bytes are fewer than 1,000,000
+    heavy = stored(sizes.filter(F.col("bytes") > share_bytes).select("host", F.ceil(F.col("bytes") / share_bytes).cast("int").alias("shares")), "html-hosts")
+    dealt = kinds.join(F.broadcast(heavy), "host", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
     dealt = dealt.withColumn("share", F.pmod("kind", "shares").cast("int")).select("host", "share", "kind", "shares", "blocks")
-    rows = dealt.repartition("host", "share").sortWithinPartitions("host", "share", "kind")
-    schema = "host string, run long, n long, shares int"
+    schema = "host string, kind long, text string, run long, n long"
     out_schema = arrow_schema(spark, schema)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, shares, last, held = None, 1, None, []
+    def rows(host: str, kinds: list, texts: list, runs: list, counts: list) -> pa.RecordBatch:
+        n = max(len(kinds), len(runs))
+        full = lambda x: x or [None] * n
+        columns = [[host] * n, full(kinds), full(texts), full(runs), full(counts)]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out_schema)], schema=out_schema)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts of hosts with one share, candidate runs of the others; a row without a run holds the share's pages."""
+        group, shares = None, 1
+        held: dict[int, tuple[int, list[str]]] = {}
 
         def done() -> pa.RecordBatch:
+            if shares == 1:
+                return rows(group[0], list(held), clean_host(list(held.values())), [], [])
             # what is on fewer than this share of the pages of each array is so of the host's
-            texts, counts = run_pages(held, max(FEW[0] if shares == 1 else 1, math.ceil(FEW[1] * len(held) - 1e-9)))
+            texts, counts = run_pages([stream(t) for _, t in held.values()], math.ceil(FEW[1] * len(held) - 1e-9))
             hashes = np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64).view(np.int64)
-            columns = [pa.array([group[0]] * (len(texts) + 1), pa.string()), pa.array([None, *hashes.tolist()], pa.int64()), pa.array([len(held), *counts], pa.int64()), pa.array([shares] * (len(texts) + 1), pa.int32())]
-            return pa.RecordBatch.from_arrays(columns, schema=out_schema)
+            return rows(group[0], [], [], [None, *hashes.tolist()], [len(held), *counts])
 
         for batch in batches:
-            for host, share, kind, of, packed in zip(*(c.to_pylist() for c in batch.columns)):
-                if group is not None and (host, share) != group:
+            for host, share, kind, of, packed in zip(*(batch.column(i) for i in range(5))):
+                at = (host.as_py(), share.as_py())
+                if group is not None and at != group:
                     yield done()
-                    held, last = [], None
-                group, shares = (host, share), of
-                if kind != last:
-                    held.append(stream(zlib.decompress(packed).decode().split(MARK)))
-                last = kind
+                    held = {}
+                group, shares, kind = at, of.as_py(), kind.as_py()
+                if kind not in held:
+                    held[kind] = unpack(packed.as_py())
         if held:
             yield done()
 
-    # a row without a run holds the number of distinct pages
-    counted = stored(map_batches(rows, count, schema, rows=500), "html-runs")
-    of_host = counted.filter("run is null").groupBy("host").agg(F.sum("n").alias("pages"))
-    several = counted.filter("run is not null and shares > 1").groupBy("host").agg(F.collect_set("run").alias("runs"))
-    once = counted.filter("run is not null and shares = 1").select("host", "run", "n")
-    counts = once.union(_pages_of_runs(pages.join(several, "host")))
+    first = stored(map_batches(dealt.repartition("host", "share").sortWithinPartitions("host", "share", "kind"), work, schema, rows=500), "html-texts")
+    once = first.filter("kind is not null").select("host", "kind", "text")
+    if heavy.isEmpty():
+        return once
+    large = dealt.filter("shares > 1").drop("shares")
+    candidates = first.filter("run is not null").select("host", "run").distinct()
+    counts = _in_shares(large, candidates, heavy, _count_runs, "host string, run long, n long").groupBy("host", "run").agg(F.sum("n").alias("n"))
+    pages = first.filter("kind is null and run is null").groupBy("host").agg(F.sum("n").alias("pages"))
     few, most = (F.greatest(F.lit(least), F.ceil(F.lit(share) * F.col("pages") - 1e-9)) for least, share in (FEW, MOST))
-    common = counts.join(of_host, "host").filter(F.col("n") >= few)
-    return common.groupBy("host").agg(F.collect_list("run").alias("few"), F.collect_list(F.when(F.col("n") >= most, F.col("run"))).alias("most"))
-
-
-def _pages_of_runs(pages: DataFrame) -> DataFrame:
-    """``pages(host, html, runs)`` → host, run, n: on how many distinct pages of the host each of ``runs`` stands."""
-
-    def step(c: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"host": [], "run": [], "kind": []}
-        for host, html, runs in zip(c["host"], c["html"], c["runs"]):
-            texts = main_blocks(html)[1]
-            words, wanted = stream(texts), set(runs)
-            here = {xxhash.xxh64_intdigest(" ".join(words[i : i + RUN])) for i in range(len(words) - RUN + 1)}
-            found = wanted & {h - (1 << 64) if h >> 63 else h for h in here}
-            kind = xxhash.xxh64_intdigest(MARK.join(texts)) - (1 << 63)
-            out["host"] += [host] * len(found)
-            out["run"] += found
-            out["kind"] += [kind] * len(found)
-        return out
+    common = stored(counts.join(pages, "host").filter(F.col("n") >= few).select("host", "run", (F.col("n") >= most).alias("most")), "html-runs")
+    return once.unionByName(_in_shares(large, common, heavy, _clean_kinds, "host string, kind long, text string"))
+
+
+def _in_shares(large: DataFrame, runs: DataFrame, heavy: DataFrame, step, schema: str) -> DataFrame:
+    """``step`` of each share of ``large`` with the runs of its host."""
+    out = arrow_schema(large.sparkSession, schema)
+    dealt = runs.join(heavy, "host").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    return large.groupBy("host", "share").cogroup(dealt.groupBy("host", "share")).applyInArrow(lambda kinds, own: step(kinds, own).cast(out), schema)
+
+
+def _distinct(kinds: pa.Table) -> dict[int, tuple[int, list[str]]]:
+    held: dict[int, tuple[int, list[str]]] = {}
+    for kind, packed in zip(kinds["kind"].to_pylist(), kinds["blocks"]):
+        if kind not in held:
+            held[kind] = unpack(packed.as_py())
+    return held
+
+
+def _count_runs(kinds: pa.Table, runs: pa.Table) -> pa.Table:
+    """On how many pages of the share each of the runs stands."""
+    wanted, counts = runs["run"].to_numpy(), Counter()
+    for _, texts in _distinct(kinds).values():
+        here = np.unique(hashed_runs(stream(texts)))
+        counts.update(here[np.isin(here, wanted)].tolist())
+    host = kinds["host"][0].as_py() if kinds.num_rows else None
+    return pa.table({"host": pa.array([host] * len(counts), pa.string()), "run": pa.array(list(counts), pa.int64()), "n": pa.array(list(counts.values()), pa.int64())})
+
 
-    found = map_arrow(pages.select("host", "html", "runs"), step, "host string, run long, kind long", rows=500)
-    return found.distinct().groupBy("host", "run").agg(F.count("*").alias("n"))
+def _clean_kinds(kinds: pa.Table, runs: pa.Table) -> pa.Table:
+    few = runs["run"].to_numpy()
+    most = few[runs["most"].to_numpy(zero_copy_only=False).astype(bool)]
+    held = _distinct(kinds)
+    texts = [unique_text(own, most if zone == ARTICLE else few) for zone, own in held.values()]
+    host = kinds["host"][0].as_py() if kinds.num_rows else None
+    return pa.table({"host": pa.array([host] * len(held), pa.string()), "kind": pa.array(list(held), pa.int64()), "text": pa.array(texts, pa.string())})
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """``pages(page_id, url, html)`` → page_id, url, text, n_chars."""
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), F.coalesce(split_url()[0], F.lit("")).alias("host"))
-    both = own.join(boilerplate_runs(own), "host", "left").select("page_id", "url", "html", "few", "most")
-    mask = (1 << 64) - 1
-
-    def clean(c: dict[str, list]) -> dict[str, list]:
-        texts = []
-        for html, few, most in zip(c["html"], c["few"], c["most"]):
-            zone, own = main_blocks(html)
-            runs = most if zone == ARTICLE else few
-            texts.append(unique_text(own, {r & mask for r in runs}) if runs else MARK.join(own))
-        return {"page_id": c["page_id"], "url": c["url"], "text": texts, "n_chars": [len(t) for t in texts]}
-
-    return map_arrow(both, clean, "page_id long, url string, text string, n_chars long", rows=500)
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(split_url()[0], F.lit("")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    parsed = parsed_pages(own)
+    texts = stored(cleaned_kinds(parsed), "html-cleaned")
+    rows = parsed.select("page_id", "url", "host", "kind").join(texts, ["host", "kind"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -140,3 +140,29 @@ def test_odd_rows(spark, monkeypatch):
     assert he.main_texts(df.limit(0)).count() == 0
     monkeypatch.setattr(he, "SHARE_BYTES", 20)
     assert he.main_texts(df).count() == len(pages)
+
+
+LONG = "The council met on Tuesday and heard twelve speakers before it voted. " * 5
+
+
+def test_class_words_lose_no_article():
+    body = "<p>Body</p>"
+    assert text_of(f'<div class="entry-content has-comments">{body}</div>') == "Body"
+    assert text_of(f'<article><div class="post-content share-enabled">{body}</div></article>') == "Body"
+    assert text_of(f'<div id="main" class="no-ads">{body}</div>') == "Body"
+    assert text_of(f'<form id="aspnetForm"><article><h1>Title</h1>{body}<label>Mail</label></article></form>').startswith("Title\nBody")
+    assert text_of(f'<article><p>One.</p><div class="notice-of-results">{body}</div></article>') == "One.\nBody"
+    assert text_of(f'<main><p>{LONG}</p><article class="teaser"><p>Read on</p></article></main>') == LONG.strip()
+    assert text_of(f'<div class="wrapper ads"><article><p>{LONG}</p></article><div class="ads">Buy</div></div>') == LONG.strip()
+    assert text_of(f'<div class="widget"><p>{LONG}</p></div><div class="cookie">Cookies</div>') == LONG.strip()
+    assert text_of(f'<header><article><p>{LONG}</p></article></header><nav>Home</nav>') == LONG.strip()
+    assert text_of(f'<article class="post comments-open"><p>{LONG}</p></article>') == LONG.strip()
+
+
+def test_class_words_that_stand_for_what_they_say():
+    page = f'<article><h1>Title</h1><p>Short text.</p></article><section id="comments"><article class="comment"><p>{LONG}</p></article></section>'
+    assert text_of(page) == "Title\nShort text."
+    assert text_of(f'<article><p>Short text.</p><div class="comment-list"><p>{LONG}</p></div></article><div class="related">More</div>').startswith("Short text.")
+    assert text_of('<article><p>Text.</p><form class="search"><label>Mail</label><p>Enter it</p></form><div class="cookie-notice">We use cookies</div></article>') == "Text."
+    assert text_of("<article><p>Text.</p><span class='share'>Share</span> it</article>") == "Text.\nit"
+    assert text_of(f'<main><p>Some text of the page.</p><article class="comment"><p>{LONG}</p></article></main>') == "Some text of the page."
