@@ -29,14 +29,14 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, map_batches, stored
@@ -49,6 +49,7 @@ RUN, DEPTH = 8, 8
 FEW, MOST = (3, 0.02), (10, 0.6)
 #: Bytes of text of one suffix array; at most so many hosts have several; kinds of pages that a task remembers.
 SHARE_BYTES, HEAVY_HOSTS, SEEN = 3 << 20, 1_000_000, 200_000
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: The token between blocks, which no word can be.
 MARK = "\n"
 
@@ -379,8 +380,16 @@ def clean_host(kinds: list[tuple[int, list[str]]]) -> list[str]:
 
 
 def hashed_runs(words: list[str]) -> np.ndarray:
-    """The hashes of a stream's runs, by place."""
-    return np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + RUN])) for i in range(len(words) - RUN + 1)], np.uint64).view(np.int64)
+    """The hashes of a stream's runs, by place: sums of the hashes of their words, each by a power of an odd number."""
+    known: dict[str, int] = {}
+    own = np.array([known[w] if w in known else known.setdefault(w, xxhash.xxh64_intdigest(w)) for w in words], np.uint64)
+    n = len(own) - RUN + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    total = np.zeros(n, np.uint64)
+    for k in range(RUN):
+        total = total * FACTOR + own[k : k + n]
+    return (total ^ (total >> np.uint64(31))).view(np.int64)
 
 
 def unique_text(texts: list[str], boilerplate: np.ndarray) -> str:
@@ -401,6 +410,7 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[str, int]] = set()
+        pack = zstandard.ZstdCompressor(level=6).compress
         for batch in batches:
             page_id, url, host, html = batch.columns
             kinds, sizes, packed = [], [], []
@@ -415,7 +425,7 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
                     seen.add((own, kind))
                 kinds.append(kind)
                 sizes.append(len(data) if new else None)
-                packed.append(zlib.compress(data, 1) if new else None)
+                packed.append(pack(data) if new else None)
             columns = [page_id, url, host, pa.array(kinds, pa.int64()), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, out_schema)], schema=out_schema)
 
@@ -423,110 +433,119 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
 
 
 def unpack(packed: bytes) -> tuple[int, list[str]]:
-    zone, *texts = zlib.decompress(packed).decode().split(MARK)
+    zone, *texts = zstandard.decompress(packed).decode().split(MARK)
     return int(zone), texts
 
 
-def cleaned_kinds(parsed: DataFrame) -> DataFrame:
-    """``parsed`` (see ``parsed_pages``) → host, kind, text: the main text of every kind of page.
+#: Main texts of the pages that carry their blocks; ``copied``: once for each kind that other pages are copies of.
+CLEANED = "page_id long, url string, host string, kind long, copied boolean, text string"
 
-    A host's candidates are on 2 % of the pages of a share, so they are at most 50 times the tokens of a share's mean
-    page, for each share that finds its own.
-    """
-    spark = parsed.sparkSession
-    kinds = parsed.filter("blocks is not null").select("host", "kind", "size", "blocks")
-    sizes = kinds.groupBy("host").agg(F.sum("size").alias("bytes"))
-    total = sizes.agg(F.sum("bytes")).first()[0] or 0
-    share_bytes = max(SHARE_BYTES, total / HEAVY_HOSTS)
-    # hosts over a 1,000,000th of all bytes are fewer than 1,000,000
-    heavy = stored(sizes.filter(F.col("bytes") > share_bytes).select("host", F.ceil(F.col("bytes") / share_bytes).cast("int").alias("shares")), "html-hosts")
-    dealt = kinds.join(F.broadcast(heavy), "host", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
-    dealt = dealt.withColumn("share", F.pmod("kind", "shares").cast("int")).select("host", "share", "kind", "shares", "blocks")
-    schema = "host string, kind long, text string, run long, n long"
-    out_schema = arrow_schema(spark, schema)
-
-    def rows(host: str, kinds: list, texts: list, runs: list, counts: list) -> pa.RecordBatch:
-        n = max(len(kinds), len(runs))
-        full = lambda x: x or [None] * n
-        columns = [[host] * n, full(kinds), full(texts), full(runs), full(counts)]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out_schema)], schema=out_schema)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts of hosts with one share, candidate runs of the others; a row without a run holds the share's pages."""
-        group, shares = None, 1
-        held: dict[int, tuple[int, list[str]]] = {}
-
-        def done() -> pa.RecordBatch:
-            if shares == 1:
-                return rows(group[0], list(held), clean_host(list(held.values())), [], [])
-            # what is on fewer than this share of the pages of each array is so of the host's
-            texts, counts = run_pages([stream(t) for _, t in held.values()], math.ceil(FEW[1] * len(held) - 1e-9))
-            hashes = np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64).view(np.int64)
-            return rows(group[0], [], [], [None, *hashes.tolist()], [len(held), *counts])
 
-        for batch in batches:
-            for host, share, kind, of, packed in zip(*(batch.column(i) for i in range(5))):
-                at = (host.as_py(), share.as_py())
-                if group is not None and at != group:
-                    yield done()
-                    held = {}
-                group, shares, kind = at, of.as_py(), kind.as_py()
-                if kind not in held:
-                    held[kind] = unpack(packed.as_py())
-        if held:
-            yield done()
-
-    first = stored(map_batches(dealt.repartition("host", "share").sortWithinPartitions("host", "share", "kind"), work, schema, rows=500), "html-texts")
-    once = first.filter("kind is not null").select("host", "kind", "text")
-    if heavy.isEmpty():
-        return once
-    large = dealt.filter("shares > 1").drop("shares")
-    candidates = first.filter("run is not null").select("host", "run").distinct()
-    counts = _in_shares(large, candidates, heavy, _count_runs, "host string, run long, n long").groupBy("host", "run").agg(F.sum("n").alias("n"))
-    pages = first.filter("kind is null and run is null").groupBy("host").agg(F.sum("n").alias("pages"))
-    few, most = (F.greatest(F.lit(least), F.ceil(F.lit(share) * F.col("pages") - 1e-9)) for least, share in (FEW, MOST))
-    common = stored(counts.join(pages, "host").filter(F.col("n") >= few).select("host", "run", (F.col("n") >= most).alias("most")), "html-runs")
-    return once.unionByName(_in_shares(large, common, heavy, _clean_kinds, "host string, kind long, text string"))
+class Share:
+    """The rows of one share of a host: its kinds of pages, the pages that carry them, the kinds that have copies."""
+
+    def __init__(self, table: pa.Table) -> None:
+        self.host = table["host"][0].as_py() if table.num_rows else None
+        self.kinds: dict[int, tuple[int, list[str]]] = {}
+        self.pages: list[tuple] = []
+        self.copied: set[int] = set()
+        for page_id, url, kind, packed in zip(*(table[c] for c in ("page_id", "url", "kind", "blocks"))):
+            kind, data = kind.as_py(), packed.as_py()
+            if data is None:
+                self.copied.add(kind)
+                continue
+            self.pages.append((page_id.as_py(), url.as_py(), kind))
+            if kind not in self.kinds:
+                self.kinds[kind] = unpack(data)
+
+    def cleaned(self, texts: list[str]) -> pa.Table:
+        """Rows of CLEANED, given the texts of the kinds."""
+        of, out, todo = dict(zip(self.kinds, texts)), [], set(self.copied)
+        for page_id, url, kind in self.pages:
+            out.append({"page_id": page_id, "url": url, "host": self.host, "kind": kind, "copied": kind in todo, "text": of[kind]})
+            todo.discard(kind)
+        return pa.Table.from_pylist(out, schema=CLEANED_ARROW)
 
 
-def _in_shares(large: DataFrame, runs: DataFrame, heavy: DataFrame, step, schema: str) -> DataFrame:
-    """``step`` of each share of ``large`` with the runs of its host."""
-    out = arrow_schema(large.sparkSession, schema)
-    dealt = runs.join(heavy, "host").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
-    return large.groupBy("host", "share").cogroup(dealt.groupBy("host", "share")).applyInArrow(lambda kinds, own: step(kinds, own).cast(out), schema)
+CLEANED_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("kind", pa.int64()), ("copied", pa.bool_()), ("text", pa.string())])
+RUN_ARROW = pa.schema([("host", pa.string()), ("run", pa.int64()), ("n", pa.int64())])
 
 
-def _distinct(kinds: pa.Table) -> dict[int, tuple[int, list[str]]]:
-    held: dict[int, tuple[int, list[str]]] = {}
-    for kind, packed in zip(kinds["kind"].to_pylist(), kinds["blocks"]):
-        if kind not in held:
-            held[kind] = unpack(packed.as_py())
-    return held
+def _clean_host(table: pa.Table) -> pa.Table:
+    """A host with one share."""
+    share = Share(table)
+    return share.cleaned(clean_host(list(share.kinds.values())))
 
 
-def _count_runs(kinds: pa.Table, runs: pa.Table) -> pa.Table:
-    """On how many pages of the share each of the runs stands."""
-    wanted, counts = runs["run"].to_numpy(), Counter()
-    for _, texts in _distinct(kinds).values():
+def _candidates(table: pa.Table) -> pa.Table:
+    """The runs of a share that the host's pages may have often enough: what is on fewer than this share of the pages of
+    each suffix array is so of the host's."""
+    share = Share(table)
+    if not share.kinds:
+        return RUN_ARROW.empty_table()
+    streams = [stream(texts) for _, texts in share.kinds.values()]
+    _, _, counts, first = repeats(streams)
+    words = [w for own in streams for w in [*own, ""]]
+    first = first[counts >= math.ceil(FEW[1] * len(streams) - 1e-9)]
+    hashes = np.unique(hashed_runs(words)[first])
+    return pa.table([pa.array([share.host] * len(hashes), pa.string()), pa.array(hashes), pa.nulls(len(hashes), pa.int64())], schema=RUN_ARROW)
+
+
+def _count_runs(table: pa.Table, runs: pa.Table) -> pa.Table:
+    """On how many pages of the share each of the runs stands; the row without a run has all its pages."""
+    share, wanted, counts = Share(table), runs["run"].to_numpy(), Counter()
+    for _, texts in share.kinds.values():
         here = np.unique(hashed_runs(stream(texts)))
         counts.update(here[np.isin(here, wanted)].tolist())
-    host = kinds["host"][0].as_py() if kinds.num_rows else None
-    return pa.table({"host": pa.array([host] * len(counts), pa.string()), "run": pa.array(list(counts), pa.int64()), "n": pa.array(list(counts.values()), pa.int64())})
+    rows = [(None, len(share.kinds)), *counts.items()]
+    return pa.table([pa.array([share.host] * len(rows), pa.string()), pa.array([r for r, _ in rows], pa.int64()), pa.array([n for _, n in rows], pa.int64())], schema=RUN_ARROW)
 
 
-def _clean_kinds(kinds: pa.Table, runs: pa.Table) -> pa.Table:
-    few = runs["run"].to_numpy()
+def _clean_share(table: pa.Table, runs: pa.Table) -> pa.Table:
+    """A share of a host with several, given the runs that enough of the host's pages have."""
+    share, few = Share(table), runs["run"].to_numpy()
     most = few[runs["most"].to_numpy(zero_copy_only=False).astype(bool)]
-    held = _distinct(kinds)
-    texts = [unique_text(own, most if zone == ARTICLE else few) for zone, own in held.values()]
-    host = kinds["host"][0].as_py() if kinds.num_rows else None
-    return pa.table({"host": pa.array([host] * len(held), pa.string()), "kind": pa.array(list(held), pa.int64()), "text": pa.array(texts, pa.string())})
+    return share.cleaned([unique_text(texts, most if zone == ARTICLE else few) for zone, texts in share.kinds.values()])
+
+
+def cleaned_pages(parsed: DataFrame) -> DataFrame:
+    """``parsed`` (see ``parsed_pages``) → rows of CLEANED, for the pages that carry their blocks.
+
+    The shares of hosts are shuffled once, for all steps on them. A host's candidates are on 2 % of the pages
+    of a share, so they are at most 50 times the tokens of a share's mean page, for each share that finds its own.
+    """
+    own = parsed.filter("blocks is not null").select("host", "kind", "page_id", "url", "size", "blocks")
+    sizes = own.groupBy("host").agg(F.sum("size").alias("bytes"))
+    total = sizes.agg(F.sum("bytes")).first()[0] or 0
+    share_bytes = max(SHARE_BYTES, total / HEAVY_HOSTS)
+    # hosts over a 1,000,000th of all bytes are fewer than 1,000,000
+    heavy = stored(sizes.filter(F.col("bytes") > share_bytes).select("host", F.ceil(F.col("bytes") / share_bytes).cast("int").alias("shares")), "html-hosts")
+    copied = parsed.groupBy("host", "kind").agg(F.count("*").alias("n"), F.count("blocks").alias("own")).filter("n > own and own > 0")
+    rows = own.drop("size").unionByName(copied.select("host", "kind"), allowMissingColumns=True)
+    dealt = rows.join(F.broadcast(heavy), "host", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
+    dealt = dealt.withColumn("share", F.pmod("kind", "shares").cast("int")).select("host", "share", "kind", "page_id", "url", "shares", "blocks")
+    small, large = (dealt.filter(c).drop("shares").groupBy("host", "share") for c in ("shares = 1", "shares > 1"))
+    once = small.applyInArrow(_clean_host, CLEANED)
+    if heavy.isEmpty():
+        return once
+
+    def of_shares(runs: DataFrame):
+        return runs.join(F.broadcast(heavy), "host").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares").groupBy("host", "share")
+
+    found = "host string, run long, n long"
+    candidates = large.applyInArrow(_candidates, found).select("host", "run").distinct()
+    counts = large.cogroup(of_shares(candidates)).applyInArrow(_count_runs, found).groupBy("host", "run").agg(F.sum("n").alias("n"))
+    pages = F.max(F.when(F.col("run").isNull(), F.col("n"))).over(Window.partitionBy("host"))
+    few, most = (F.greatest(F.lit(least), F.ceil(F.lit(share) * F.col("pages") - 1e-9)) for least, share in (FEW, MOST))
+    common = counts.withColumn("pages", pages).filter(F.col("run").isNotNull() & (F.col("n") >= few)).select("host", "run", (F.col("n") >= most).alias("most"))
+    return once.unionByName(large.cogroup(of_shares(common)).applyInArrow(_clean_share, CLEANED))
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """``pages(page_id, url, html)`` → page_id, url, text, n_chars."""
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(split_url()[0], F.lit("")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     parsed = parsed_pages(own)
-    texts = stored(cleaned_kinds(parsed), "html-cleaned")
-    rows = parsed.select("page_id", "url", "host", "kind").join(texts, ["host", "kind"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    texts = cleaned_pages(parsed)
+    copies = parsed.filter("blocks is null").select("page_id", "url", "host", "kind").join(texts.filter("copied").select("host", "kind", "text"), ["host", "kind"], "left")
+    rows = texts.select("page_id", "url", "text").unionByName(copies.select("page_id", "url", F.coalesce("text", F.lit("")).alias("text")))
     return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
