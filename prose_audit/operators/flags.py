@@ -178,9 +178,9 @@ def flag_rows(flagged: DataFrame, *keep: str) -> DataFrame:
 
 
 def flags_by_type(flagged: DataFrame, by: str) -> DataFrame:
-    """Flags per type and value of ``by``, and in all (null)."""
-    fine = flag_rows(flagged, by).groupBy(by, "type").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
-    return fine.groupBy("type").agg(F.lit(None).cast("string").alias(by), F.sum("n").alias("n"), F.sum("docs").alias("docs")).select(by, "type", "n", "docs").union(fine)
+    """Flags per type and value of ``by``, and in all (null); ``docs`` are distinct documents in both."""
+    own = flag_rows(flagged, by).groupBy(by, "type", "doc_id").agg(F.count("*").alias("n"))
+    return own.groupingSets([[by, "type"], ["type"]], by, "type").agg(F.sum("n").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
 def flags_by_dimension(flags: DataFrame, docs: DataFrame, by: str) -> DataFrame:

@@ -273,9 +273,10 @@ def document_stats(rewritten: DataFrame, *, sep: str = "\n\n") -> DataFrame:
 
 
 def changes_by_category(rewritten: DataFrame, by: str) -> DataFrame:
-    """Changes of each category per value of ``by``, and in all (null): counted once per value, then rolled up."""
-    fine = change_rows(rewritten, by).groupBy(by, "category").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
-    return fine.groupBy("category").agg(F.lit(None).cast("string").alias(by), F.sum("n").alias("n"), F.sum("docs").alias("docs")).select(by, "category", "n", "docs").union(fine)
+    """Changes of each category per value of ``by``, and in all (null); ``docs`` are distinct documents in both. Changes
+    are counted per document before they are summed up."""
+    own = change_rows(rewritten, by).groupBy(by, "category", "doc_id").agg(F.count("*").alias("n"))
+    return own.groupingSets([[by, "category"], ["category"]], by, "category").agg(F.sum("n").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
 def rule_usage(rewritten: DataFrame, rules_table: DataFrame) -> DataFrame:

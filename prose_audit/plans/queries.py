@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.phrases import MOST_PHRASES
 from ..functions import sql as sql_functions
-from ..operators import corpus, diff, flags, incremental, metrics, phrase_mining, review, rewrite, scoring, sections, spans, splits
+from ..operators import corpus, diff, flags, incremental, metrics, nearest, phrase_mining, review, rewrite, scoring, sections, spans, splits
 from ..sources import documents as sources
 from ..sources import sinks
 from ..sources.rules import Rules, default_rules
@@ -487,6 +487,21 @@ def split_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT d.doc_id, s.kind, s.tier, s.start, s.`left`, s.`right` FROM {docs} AS d, LATERAL prose_splits(d.paragraph) AS s", docs=docs)
 
 
+def nearest_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three sources whose labelled good documents every document's style is nearest to."""
+    docs = table(spark, sf_dir, "documents")
+    good = docs.join(table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    out = nearest.nearest_authors(docs, good.select(F.col("source").alias("author_id"), "text"), 3)
+    return out.select("doc_id", "author_id", F.round("delta", 6).alias("delta"), "rank")
+
+
+def whole_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word-level changes of every paragraph that the rewrite touches, however long."""
+    done = rewrite.rewrite_documents(seeded(spark, sf_dir), default_rules(), sep=SEP)
+    out = diff.diff_paragraphs(rewrite.paragraph_rows(done), None)
+    return out.select("doc_id", "para_idx", "n_changes", F.size(F.filter("ops", lambda o: o["op"] == "add")).alias("added"), F.size(F.filter("ops", lambda o: o["op"] == "del")).alias("deleted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -495,7 +510,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         flags_by_dimension, flag_rule_usage, document_statistics, score_before_after, recompute, rule_counts, stock_hits, guards, paragraph_diffs, split_candidates, split_report, style_distance, letter_language,
         sentence_spans, protected_spans, match_texts, irregularities, visible_flags,
         phrase_hits, flags_in_sentences, section_scores, highlights, mined_phrases, sketch_thresholds,
-        incremental_scores, rewrite_stream, partitioned_results, sql_flags, split_seeds,
+        incremental_scores, rewrite_stream, partitioned_results, sql_flags, split_seeds, nearest_authors, whole_diffs,
     )
 }
 
@@ -926,3 +941,10 @@ SELECT doc_id, para_idx, type, dim, count(*) AS n, min(start) AS first, max("end
     "split_seeds": f"""SELECT doc_id, kind, CAST(tier AS INT) AS tier, CAST(start AS INT) AS start, l AS left,
   substr(t, start + 1 + length(regexp_extract(substr(t, start + 1), '^(?:;|, and|,) '))) AS right FROM documents JOIN {_SPLIT_ENDS} ON doc_id % {len(SPLIT_SEEDS)} = seed""",
 }
+
+_BY_SOURCE = ORACLE_SQL["style_distance"].replace("lang", "source")
+ORACLE_SQL |= {
+    "nearest_authors": f"""WITH near AS ({_BY_SOURCE}), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY delta, author_id) AS INT) AS rank FROM near)
+SELECT doc_id, author_id, delta, rank FROM ranked WHERE rank <= 3""",
+    "whole_diffs": ORACLE_SQL["paragraph_diffs"].replace("CASE WHEN NOT long THEN n END, CASE WHEN long THEN 0 ELSE n END, CASE WHEN long THEN 0 ELSE n END", "n, n, n"),
+}
