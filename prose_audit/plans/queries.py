@@ -6,6 +6,7 @@ document gets a last paragraph from a fixed list, by its doc_id. Paragraphs ther
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -502,6 +503,63 @@ def whole_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "para_idx", "n_changes", F.size(F.filter("ops", lambda o: o["op"] == "add")).alias("added"), F.size(F.filter("ops", lambda o: o["op"] == "del")).alias("deleted"))
 
 
+def rule_seeds() -> list[str]:
+    """A sentence for every rule of the default set that changes text, made from the rule."""
+    rules = default_rules()
+    out = [f"{phrase} they agree." for phrase in rules.deletes["sentenceStartDeletes"]]
+    out += [f"They {phrase} agree." for phrase in rules.deletes["midSentenceDeletes"]]
+    return out + [f"They will {find} it." if verb else f"They said {find} there." for swaps in rules.swaps.values() for find, _, verb in swaps]
+
+
+def rewrite_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last paragraph of every document after the rewrite; each holds one rule, and all rules come up in turn."""
+    done = rewrite.rewrite_documents(with_seeds(table(spark, sf_dir, "documents"), rule_seeds()), default_rules(), sep=SEP)
+    last = F.element_at("paragraphs", -1)
+    return done.select("doc_id", last["original"].alias("seed"), last["output"].alias("output"), (F.size(last["changes"]) > 0).alias("changed"))
+
+
+def joined_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents put together again from rows of paragraphs: their digests."""
+    docs = table(spark, sf_dir, "documents")
+    paragraphs = docs.select("doc_id", F.posexplode(X.paragraphs(F.col("text"), SEP)).alias("para_idx", "output"))
+    return rewrite.join_paragraphs(paragraphs, SEP).select("doc_id", F.md5(F.col("output").cast("binary")).alias("output_md5"))
+
+
+def class_separation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the readability of the quality classes lies apart."""
+    scores = corpus.readability(table(spark, sf_dir, "documents")).select("doc_id", F.col("score").alias("total"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("class"))
+    return corpus.class_separation(corpus.class_rates(scores, labels, 60.0)).withColumn("separation", F.round("separation", 6))
+
+
+def projected_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores from the flags that are still open when the flag words at even places have been dealt with."""
+    _, found = _review(spark, sf_dir)
+    placed = found.filter("start is not null")
+    handled = placed.filter("type = 'Word choice' and start % 2 = 0").select("doc_id", "para_idx", "type", "found", "start")
+    return scoring.projected_score(placed, handled)
+
+
+def invalid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of which every seventh is made wrong, and what the check says about them."""
+    docs, found = _review(spark, sf_dir)
+    scores = scoring.score_documents(docs, found)
+    kind = F.pmod("doc_id", F.lit(14))
+    spoiled = scores.withColumn("total", F.when(kind == 0, F.col("total") + 21).otherwise(F.col("total"))).withColumn("verdict", F.when(kind == 7, "human").otherwise(F.col("verdict")))
+    return scoring.validate_scores(spoiled).select("doc_id", "total", "verdict", "failure")
+
+
+def reverted_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two edits in each first paragraph, the first one taken back in every other document."""
+    docs = table(spark, sf_dir, "documents")
+    paragraphs = docs.select("doc_id", F.posexplode(X.paragraphs(F.col("text"), SEP)).alias("para_idx", "output"))
+    todo = F.explode(F.array(*[F.struct(F.lit(seq).alias("seq"), F.lit(a).alias("from"), F.lit(b).alias("to"), F.lit(0).alias("nth")) for seq, a, b in ((1, "e", "E1"), (2, "a", "A2"))]))
+    edits = docs.select("doc_id", F.lit(0).alias("para_idx"), todo.alias("e")).select("doc_id", "para_idx", "e.*")
+    kept = review.revert_edits(edits, edits.filter("seq = 1 and pmod(doc_id, 2) = 0"))
+    out = review.replay_edits(paragraphs, kept).filter("para_idx = 0")
+    return out.select("doc_id", F.md5(F.col("output").cast("binary")).alias("output_md5"), "n_edits", F.size("missing").alias("n_missing"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -511,6 +569,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         sentence_spans, protected_spans, match_texts, irregularities, visible_flags,
         phrase_hits, flags_in_sentences, section_scores, highlights, mined_phrases, sketch_thresholds,
         incremental_scores, rewrite_stream, partitioned_results, sql_flags, split_seeds, nearest_authors, whole_diffs,
+        rewrite_rules, joined_paragraphs, class_separation, projected_scores, invalid_scores, reverted_edits,
     )
 }
 
@@ -948,3 +1007,41 @@ ORACLE_SQL |= {
 SELECT doc_id, author_id, delta, rank FROM ranked WHERE rank <= 3""",
     "whole_diffs": ORACLE_SQL["paragraph_diffs"].replace("CASE WHEN NOT long THEN n END, CASE WHEN long THEN 0 ELSE n END, CASE WHEN long THEN 0 ELSE n END", "n, n, n"),
 }
+
+
+def _rules_sql(seed: str) -> str:
+    """The rewrite of a sentence of ``rule_seeds`` as nested replacements, rule by rule."""
+    rules = default_rules()
+    literal = lambda p: re.sub(r"([^A-Za-z0-9_ '])", r"\\\1", p).replace("'", "[''’]")
+    out = seed
+    for phrase in rules.deletes["sentenceStartDeletes"]:
+        out = f"regexp_replace({out}, '^{literal(phrase)} they', 'They')"
+    for phrase in rules.deletes["midSentenceDeletes"]:
+        out = f"regexp_replace({out}, '(?i)\\b{literal(phrase)}\\b', '', 'g')"
+    out = f"regexp_replace({out}, ' {{2,}}', ' ', 'g')"
+    for swaps in rules.swaps.values():
+        for find, to, _ in sorted(swaps, key=lambda r: -len(r[0])):
+            out = f"regexp_replace({out}, '(?i)\\b{literal(find)}\\b', {_quoted(to)}, 'g')"
+    return f"regexp_replace({out}, ' {{2,}}', ' ', 'g')"
+
+
+_SEEDED_RULES = "[" + ", ".join(map(_quoted, rule_seeds())) + f"][doc_id % {len(rule_seeds())} + 1]"
+
+ORACLE_SQL |= {
+    "rewrite_rules": f"""WITH s AS (SELECT doc_id, {_SEEDED_RULES} AS seed FROM documents), o AS (SELECT DISTINCT seed, {_rules_sql('seed')} AS output FROM (SELECT DISTINCT seed FROM s))
+SELECT doc_id, seed, output, seed <> output AS changed FROM s JOIN o USING (seed)""",
+    "joined_paragraphs": f"""WITH d AS (SELECT doc_id, {_PARTS.replace('{n}', _NORMAL.replace('{t}', "coalesce(text, '')"))} AS ts FROM documents)
+SELECT doc_id, md5(array_to_string(ts, chr(10))) AS output_md5 FROM d WHERE len(ts) > 0""",
+    "class_separation": f"""WITH {readability_sql('documents')}, c AS (SELECT CAST(quality AS VARCHAR) AS class, avg(score) AS mean, stddev_pop(score) AS dev, min(score) AS least, max(score) AS greatest FROM r JOIN labels USING (doc_id) GROUP BY quality)
+SELECT a.class AS class_a, b.class AS class_b, round((a.mean - b.mean) / sqrt((a.dev * a.dev + b.dev * b.dev) / 2), 6) AS separation, a.least <= b.greatest AND b.least <= a.greatest AS overlap FROM c a JOIN c b ON a.class < b.class""",
+    "projected_scores": f"""WITH {_found_sql('documents', _OWN)}, f AS (SELECT doc_id, dim, type = 'Word choice' AND start % 2 = 0 AS done FROM found WHERE start IS NOT NULL),
+d AS (SELECT doc_id, {", ".join(f"CASE WHEN count(*) FILTER (dim = '{k}') > 0 THEN floor(count(*) FILTER (dim = '{k}' AND NOT done) / count(*) FILTER (dim = '{k}') * 8 + 0.5::DOUBLE) / 2 ELSE 0 END AS {k}" for k in ("d1", "d2", "d3", "d4"))} FROM f GROUP BY doc_id)
+SELECT *, d1 + d2 + d3 + d4 + 4 AS total, CASE WHEN d1 + d2 + d3 + d4 + 4 >= 15 THEN 'heavy' WHEN d1 + d2 + d3 + d4 + 4 >= 10 THEN 'moderate' WHEN d1 + d2 + d3 + d4 + 4 >= 6 THEN 'light' ELSE 'low' END AS verdict FROM d""",
+    "invalid_scores": f"""WITH {_scores_sql('documents', _OWN)}
+SELECT doc_id, total + CASE WHEN doc_id % 14 = 0 THEN 21 ELSE 0 END AS total, CASE WHEN doc_id % 14 = 7 THEN 'human' ELSE verdict END AS verdict,
+  CASE WHEN doc_id % 14 = 0 THEN 'total out of range' ELSE 'unknown verdict' END AS failure FROM scored WHERE doc_id % 7 = 0""",
+    "reverted_edits": f"""WITH d AS (SELECT doc_id, {_PARTS.replace('{n}', _NORMAL.replace('{t}', "coalesce(text, '')"))}[1] AS t FROM documents), p AS (SELECT * FROM d WHERE t IS NOT NULL),
+e AS (SELECT *, CASE WHEN doc_id % 2 = 1 AND contains(t, 'e') THEN left(t, strpos(t, 'e') - 1) || 'E1' || substr(t, strpos(t, 'e') + 1) ELSE t END AS u FROM p)
+SELECT doc_id, md5(CASE WHEN contains(u, 'a') THEN left(u, strpos(u, 'a') - 1) || 'A2' || substr(u, strpos(u, 'a') + 1) ELSE u END) AS output_md5, CASE WHEN doc_id % 2 = 1 THEN 2 ELSE 1 END AS n_edits,
+  CAST(doc_id % 2 = 1 AND NOT contains(t, 'e') AS INT) + CAST(NOT contains(u, 'a') AS INT) AS n_missing FROM e""",
+}
