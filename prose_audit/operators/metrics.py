@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.patterns import AFTER_WORD, BEFORE_WORD, WS
 from ..functions.phrases import PhraseIndex
+from ..sources.sinks import shared_folder
 
 TOKEN = "[A-Za-z][A-Za-z'-]*"
 #: Word lists of ours, as defaults; every one is a parameter.
@@ -216,7 +217,10 @@ def irregularities(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
     """doc_id, unknown (distinct words not in ``dictionary(word)``), hyphenation (compounds written both ways),
     serial_comma (whether lists have it both ways)."""
     words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+(?:-[a-z]+)*"), F.lit(0)))).alias("word"))
-    known = dictionary.select(F.lower("word").alias("word")).distinct()
+    # a stored table, not an aggregate, so that the join can split the rows of a word that every document has
+    path = shared_folder(docs.sparkSession, "dictionary")
+    dictionary.select(F.lower("word").alias("word")).distinct().write.parquet(path)
+    known = docs.sparkSession.read.schema("word string").parquet(path)
     unknown = words.filter(~F.col("word").contains("-")).join(known, "word", "left_anti").groupBy("doc_id").agg(F.count("*").alias("unknown"))
     joined = words.withColumn("plain", F.translate("word", "-", "")).groupBy("doc_id", "plain").agg(F.count_distinct(F.contains("word", F.lit("-"))).alias("ways"))
     mixed = joined.filter("ways > 1").groupBy("doc_id").agg(F.count("*").alias("hyphenation"))

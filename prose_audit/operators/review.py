@@ -65,10 +65,10 @@ def replay_edits(paragraphs: DataFrame, edits: DataFrame) -> DataFrame:
             yield pd.DataFrame({"text": [g[0] for g in got], "missing": [g[1] for g in got]})
 
     joined = paragraphs.select("doc_id", "para_idx", "output").join(own, ["doc_id", "para_idx"], "left")
-    touched = joined.filter("edits is not null").withColumn("r", run("output", "edits"))
-    changed = touched.select("doc_id", "para_idx", F.col("r.text").alias("output"), F.size("edits").alias("n_edits"), F.col("r.missing").alias("missing"))
-    same = joined.filter("edits is null").select("doc_id", "para_idx", "output", F.lit(0).alias("n_edits"), F.array().cast("array<int>").alias("missing"))
-    return changed.unionByName(same)
+    # only texts with edits go to the helper
+    done = joined.withColumn("r", run(F.when(F.col("edits").isNotNull(), F.col("output")), F.col("edits")))
+    has = F.col("edits").isNotNull()
+    return done.select("doc_id", "para_idx", F.when(has, F.col("r.text")).otherwise(F.col("output")).alias("output"), F.when(has, F.size("edits")).otherwise(0).alias("n_edits"), F.col("r.missing").alias("missing"))
 
 
 def revert_edits(edits: DataFrame, reverted: DataFrame) -> DataFrame:

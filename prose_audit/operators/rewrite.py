@@ -1,7 +1,7 @@
 """Rewriting by a style: every rule as a pass over the text, with a log of every change.
 
 The passes depend on each other (what one rule writes the next one reads), so a paragraph is rewritten by a
-helper in Python, in Arrow batches; rules whose first word doesn't occur in the text are skipped. Documents are split, rewritten and logged within their row, so nothing is shuffled.
+helper in Python, in Arrow batches; swaps are found by the words of the text, not tried one by one. Documents are split, rewritten and logged within their row, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -98,7 +98,8 @@ class VerbGuard:
     make it a noun: a determiner among three words, or a modifier next to it.
     """
 
-    LEFT, RIGHT = 60, 30
+    # fixed values: how far the guard looks, how many words before, and what a sentence begins after
+    LEFT, RIGHT, WORDS_BEFORE = 60, 30, 3
     NEXT_BEFORE, NEXT_AFTER = re.compile(rf"(\w+){WS}+\Z", AI), re.compile(rf"{WS}+(\w+)", AI)
     START = re.compile(rf"(?:\A|[.!?;:]{WS}+|[\n\r]{WS}*|[\"'(\[]{WS}*)\Z")
     WORDS = re.compile(r"[\w'-]+", A)
@@ -109,7 +110,7 @@ class VerbGuard:
         signed = before is not None and before[1].lower() in VERB_SIGNS
         if self.START.search(left):
             return signed or after is not None and after[1].lower() in OBJECT_SIGNS
-        words = [w.lower() for w in self.WORDS.findall(left)[-3:]]
+        words = [w.lower() for w in self.WORDS.findall(left)[-self.WORDS_BEFORE :]]
         return signed or not (DETERMINERS.intersection(words) or self._modifies(words[-1] if words else ""))
 
     @staticmethod
