@@ -560,6 +560,53 @@ def reverted_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.md5(F.col("output").cast("binary")).alias("output_md5"), "n_edits", F.size("missing").alias("n_missing"))
 
 
+def rewrite_toggles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seeded last paragraphs as the rewrite leaves them with one of its switches off."""
+    out = seeded(spark, sf_dir)
+    for switch in ("expandContractions", "removeEmojis", "fixDashes"):
+        rules = default_rules()
+        rules.settings |= {switch: False}
+        done = rewrite.rewrite_documents(out, rules, sep=SEP)
+        out = done.withColumn(switch, F.element_at("paragraphs", -1)["output"]).drop("paragraphs")
+    return out.select("doc_id", F.col("expandContractions").alias("contractions_stay"), F.col("removeEmojis").alias("emojis_stay"), F.col("fixDashes").alias("dashes_stay"))
+
+
+def second_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of a second rewrite of every seeded document: there are none."""
+    once = rewrite.rewrite_documents(seeded(spark, sf_dir), default_rules(), sep=SEP).select("doc_id", rewrite.output_text(SEP).alias("text"))
+    return rewrite.rewrite_documents(once, default_rules(), sep=SEP).select("doc_id", rewrite.change_count().alias("n_changes"))
+
+
+def heading_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings that open with the same word, three lines of every document being made headings."""
+    words = F.split(F.lower(F.coalesce("text", F.lit(""))), " ")
+    third = F.when(F.pmod("doc_id", F.lit(2)) == 1, "Same").otherwise("Other")
+    head = F.concat(F.lit("# Same one\n## same two\n# "), third, F.lit(" three\n"), F.lit("# "), F.coalesce(F.get(words, F.lit(0)), F.lit("")), F.lit(" x\n"))
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.concat(head, F.coalesce("text", F.lit(""))))
+    rows = docs.select("doc_id", F.explode(flags.document_flags(F.col("text"))).alias("f")).filter("f.excerpt like '%headings start%'")
+    return rows.select("doc_id", "f.found", "f.excerpt")
+
+
+def manual_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First paragraphs written anew by hand in some documents, which takes their edits away; an empty one is refused."""
+    docs = table(spark, sf_dir, "documents")
+    paragraphs = docs.select("doc_id", F.posexplode(X.paragraphs(F.col("text"), SEP)).alias("para_idx", "output"))
+    edits = docs.select("doc_id", F.lit(0).alias("para_idx"), F.lit(1).alias("seq"), F.lit("e").alias("from"), F.lit("E1").alias("to"), F.lit(0).alias("nth"))
+    by_hand = docs.filter("doc_id % 5 < 2").select("doc_id", F.lit(0).alias("para_idx"), F.when(F.col("doc_id") % 5 == 0, "New\n \n\ntext").otherwise("  ").alias("text"))
+    base, kept = review.manual_edits(paragraphs, edits, by_hand)
+    return review.replay_edits(base, kept).filter("para_idx = 0").select("doc_id", F.md5(F.col("output").cast("binary")).alias("output_md5"), "n_edits")
+
+
+def flag_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words on offer instead of flag words, in the casing of the text."""
+    rules = default_rules()
+    rules.flags = [("of", "Marketing hype", "Cut", None, ["from", ""])]
+    docs = table(spark, sf_dir, "documents")
+    paragraphs = docs.select("doc_id", F.posexplode(X.paragraphs(F.col("text"), SEP)).alias("para_idx", "output"))
+    out = splits.suggest_options(flags.review_flags(paragraphs, rules), paragraphs, rules)
+    return out.filter("scope = 'phrase'").select("doc_id", "para_idx", "start", "end", "label", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -570,6 +617,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         phrase_hits, flags_in_sentences, section_scores, highlights, mined_phrases, sketch_thresholds,
         incremental_scores, rewrite_stream, partitioned_results, sql_flags, split_seeds, nearest_authors, whole_diffs,
         rewrite_rules, joined_paragraphs, class_separation, projected_scores, invalid_scores, reverted_edits,
+        rewrite_toggles, second_rewrite, heading_flags, manual_edits, flag_options,
     )
 }
 
@@ -1045,3 +1093,25 @@ e AS (SELECT *, CASE WHEN doc_id % 2 = 1 AND contains(t, 'e') THEN left(t, strpo
 SELECT doc_id, md5(CASE WHEN contains(u, 'a') THEN left(u, strpos(u, 'a') - 1) || 'A2' || substr(u, strpos(u, 'a') + 1) ELSE u END) AS output_md5, CASE WHEN doc_id % 2 = 1 THEN 2 ELSE 1 END AS n_edits,
   CAST(doc_id % 2 = 1 AND NOT contains(t, 'e') AS INT) + CAST(NOT contains(u, 'a') AS INT) AS n_missing FROM e""",
 }
+
+#: What a switch that is off leaves of the seeds: seed, text.
+_STAYS = {
+    "contractions": {2: "They don't use it.", 9: "WE DON'T USE IT."},
+    "emojis": {5: "They cheer 🎉 and will use the wind, and they should use it."},
+    "dashes": {3: "Pages 3–5 count — all of them."},
+}
+_TOGGLED = {k: "[" + ", ".join(_quoted(own.get(i, out)) for i, (_, out, _) in enumerate(SEEDS)) + f"][doc_id % {_N} + 1] AS {k}_stay" for k, own in _STAYS.items()}
+
+ORACLE_SQL |= {
+    "rewrite_toggles": f"SELECT doc_id, {', '.join(_TOGGLED.values())} FROM documents",
+    "second_rewrite": "SELECT doc_id, 0 AS n_changes FROM documents",
+    "heading_flags": r"""WITH t AS (SELECT doc_id, '# Same one' || chr(10) || '## same two' || chr(10) || '# ' || CASE WHEN doc_id % 2 = 1 THEN 'Same' ELSE 'Other' END || ' three' || chr(10)
+  || '# ' || coalesce(string_split(lower(text), ' ')[1], '') || ' x' || chr(10) || coalesce(text, '') AS t FROM documents),
+l AS (SELECT doc_id, lower(regexp_extract(regexp_replace(unnest(regexp_extract_all(t, '(?m)^#{1,6}\s+.*$')), '^#+\s+', ''), '[A-Za-z0-9''’-]+')) AS w FROM t)
+SELECT doc_id, w AS found, count(*) || ' headings start with "' || w || '"' AS excerpt FROM l WHERE w <> '' GROUP BY doc_id, w HAVING count(*) >= 3""",
+    "manual_edits": f"""WITH d AS (SELECT doc_id, {_PARTS.replace('{n}', _NORMAL.replace('{t}', "coalesce(text, '')"))}[1] AS t FROM documents)
+SELECT doc_id, md5(CASE WHEN doc_id % 5 = 0 THEN 'New' || chr(10) || 'text' WHEN contains(t, 'e') THEN left(t, strpos(t, 'e') - 1) || 'E1' || substr(t, strpos(t, 'e') + 1) ELSE t END) AS output_md5, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 1 END AS n_edits
+FROM d WHERE t IS NOT NULL""",
+    "flag_options": f"""WITH {_found_sql('documents', {'of': 'd1'})}, a AS (SELECT unnest(['from', '']) AS a)
+SELECT doc_id, para_idx, start, "end", CASE WHEN a = '' THEN 'delete it' ELSE a END AS label, CASE WHEN a = '' THEN '' WHEN left(found, 1) = 'O' THEN 'From' ELSE a END AS text FROM found, a WHERE type = 'Word choice'""",
+}
