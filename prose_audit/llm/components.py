@@ -1,8 +1,8 @@
 """Connected components of a table of links, by alternating star steps.
 
-Every step is a group-by with a minimum (combined before the shuffle) and an equi-join, so a node with a
-third of all links is spread by adaptive skew handling and never gathered as a list. Each round is cut
-with checkpoint() in the shared folder.
+Every step is a group-by with a minimum (combined before the shuffle) and an equi-join of the links with these minima.
+A node's links are never gathered as a list, but they go through one task: the join takes over the partitioning
+of the group-by, so adaptive skew handling doesn't split them. Each round is cut with checkpoint() in the shared folder.
 """
 
 from __future__ import annotations
