@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from functools import lru_cache
 from heapq import heappop, heappush
+from operator import getitem
 
 import numpy as np
 import pyarrow as pa
@@ -62,41 +64,37 @@ class Merger:
         if whole is not None:
             return [whole]
         # a part begins at each position with an id that is no None, and ends where the next one begins
-        ids = [self.single[b] for b in piece]
+        ids = list(map(self.single.__getitem__, piece))
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        pair = [None] * (n + 1)
+        pair = list(map(getitem, map(self.two.__getitem__, piece), piece[1:]))
         words, buckets, summary, mask = self.words, self.buckets, 0, (1 << WORD_BITS) - 1
-        two = self.two
-        new = [(two[a][b], i) for i, (a, b) in enumerate(zip(piece, piece[1:]))]
-        while True:
-            for rank, i in new:
-                pair[i] = rank
-                if rank is None:
-                    continue
-                bucket = buckets.get(rank)
-                if bucket:
-                    heappush(bucket, i)
-                    continue
-                buckets[rank] = [i]
-                word = rank >> WORD_BITS
-                words[word] |= 1 << (rank & mask)
-                summary |= 1 << word
-            if not summary:
-                return [x for x in ids if x is not None]
+        for i, rank in enumerate(pair):
+            if rank is not None:
+                if rank in buckets:
+                    buckets[rank].append(i)  # positions ascend, so the bucket stays a heap
+                else:
+                    buckets[rank] = [i]
+                    word = rank >> WORD_BITS
+                    words[word] |= 1 << (rank & mask)
+                    summary |= 1 << word
+        pair.append(None)
+        pair.append(None)
+        while summary:
             # find-first-set in the summary, then in the word
             word = (summary & -summary).bit_length() - 1
             bits = words[word]
             first = bits & -bits
             rank = word << WORD_BITS | first.bit_length() - 1
             bucket = buckets[rank]
-            i = heappop(bucket)
-            if not bucket:
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
                 del buckets[rank]
                 words[word] = bits = bits ^ first
                 if not bits:
                     summary ^= 1 << word
-            new = []
             if pair[i] != rank:
                 continue  # stale
             gone = after[i]
@@ -104,14 +102,31 @@ class Merger:
             ids[i], ids[gone] = rank, None
             pair[gone] = None
             after[i] = end
+            left = before[i]
             if end < n:
                 before[end] = i
-                new.append((get(piece[i : after[end]]), i))
+                pair[i] = own = get(piece[i : after[end]])
+                if own is not None:
+                    if own in buckets:
+                        heappush(buckets[own], i)
+                    else:
+                        buckets[own] = [i]
+                        word = own >> WORD_BITS
+                        words[word] |= 1 << (own & mask)
+                        summary |= 1 << word
             else:
                 pair[i] = None
-            left = before[i]
             if left >= 0:
-                new.append((get(piece[left:end]), left))
+                pair[left] = own = get(piece[left:end])
+                if own is not None:
+                    if own in buckets:
+                        heappush(buckets[own], left)
+                    else:
+                        buckets[own] = [left]
+                        word = own >> WORD_BITS
+                        words[word] |= 1 << (own & mask)
+                        summary |= 1 << word
+        return [x for x in ids if x is not None]
 
 
 class Codec:
@@ -150,7 +165,9 @@ class Codec:
             if ids is None:
                 if not part or part[0].isspace() or part[-1].isspace():
                     return self._pieces(text)
-                ids = self._pieces(" " + part)
+                pieces = self.split(" " + part)
+                # one pre-token is remembered here alone
+                ids = self._merged(pieces[0]) if len(pieces) == 1 else self._pieces(" " + part)
                 self._remember(spaced, part, ids)
             out.append(ids)
         return b"".join(out)
@@ -166,6 +183,10 @@ class Codec:
             memo[part] = ids
             self.held += ENTRY_BYTES + 2 * len(part) + len(ids)
 
+    def _merged(self, part: str) -> bytes:
+        ids = self.merger.merge(part.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _pieces(self, text: str) -> bytes:
         parts = self.split(text)
         memo = self.memo
@@ -176,8 +197,10 @@ class Codec:
         out = []
         for part in parts:
             ids = memo.get(part)
+            if ids is None and part[0] == " ":
+                ids = self.spaced.get(part[1:])
             if ids is None:
-                ids = np.array(self.merger.merge(part.encode()), "<u4").tobytes()
+                ids = self._merged(part)
                 self._remember(memo, part, ids)
             out.append(ids)
         return b"".join(out)
