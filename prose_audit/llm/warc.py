@@ -85,9 +85,10 @@ def write_warc(pages: DataFrame, *, min_revisit_bytes: int = 0, folder: str | No
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     text = F.coalesce("html", F.lit(""))
     own = own.withColumn("digest", F.sha1(text.cast("binary"))).withColumn("big", F.octet_length(text) >= min_revisit_bytes)
-    # one row per payload, combined before the shuffle; the join keeps that partitioning, so a payload's pages meet in one task
-    least = own.filter("big").groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"))
-    joined = own.join(least, "digest", "left")
+    # one row per repeated payload, combined before the shuffle; stored, so that the join splits the pages of a hot payload
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
+    least = own.filter("big").groupBy("digest").agg(first.alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    joined = own.join(stored(least, "payloads"), "digest", "left")
     revisit = F.coalesce(F.col("big") & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id")), F.lit(False))
     rows = joined.select("page_id", "url", "html", revisit.alias("revisit"), F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
     out = arrow_schema(spark, "path string, n_pages long")
