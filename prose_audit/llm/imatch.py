@@ -10,7 +10,8 @@ the lexicon, thinned to half at each further level, so that texts of any length
 
 Defined cases: a null text is the empty text; a text without terms in the band has a fingerprint of zeros,
 which is like another such fingerprint (1.0) and unlike any other (0.0); equal texts have equal
-fingerprints; null doc_ids come last in descending order, equal ones by text; an empty table gives no rows.
+fingerprints; null doc_ids come last in descending order, null or equal ones by the hash of their texts; very long texts
+are read whole; an empty table gives no rows.
 Other columns of the input are dropped.
 """
 
@@ -26,8 +27,11 @@ from .common import SPACE_CLASS, stored
 #: The band: terms in MIN_DOCS documents and in MIN_SHARE of them at least, and in MAX_SHARE of them (or MIN_DOCS) at
 #: most.
 MIN_DOCS, MIN_SHARE, MAX_SHARE = 2, 0.0005, 0.08
-#: Bits of a term's hash from which on they draw its subset. Bytes of text of a range of doc_ids.
-DRAW_BITS, RANGE_BYTES = 18, 16 << 20
+#: Bits of a term's hash from which on they draw its subset.
+DRAW_BITS = 18
+#: Bytes of text of a range of doc_ids, about, as long as there are MAX_RANGES at most (larger ones are sorted with spill);
+#: ends of ranges that are searched at once; bits of a text's hash that deal rows with null ids.
+RANGE_BYTES, MAX_RANGES, END_RUN, NULL_BITS = 16 << 20, 1 << 16, 256, 16
 #: Terms of the band in one slot, about.
 SLOT_TERMS = 4
 GROUPS, LEVELS = 8, 8
@@ -107,38 +111,61 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(seen > 0, same / seen).otherwise(F.lit(1.0))
 
 
+def range_ends(docs: DataFrame, n: int) -> Column:
+    """The largest doc_id of each of ``n`` ranges, an array<array<long>> of runs of END_RUN in one value.
+
+    Spark samples and sorts the ids into ranges; the plan holds no value of them. One task gathers the ends, MAX_RANGES
+    at most.
+    """
+    spread = docs.select("doc_id").filter("doc_id is not null").repartitionByRange(n, "doc_id")
+    ends = stored(spread.select("doc_id", F.spark_partition_id().alias("part")).groupBy("part").agg(F.max("doc_id").alias("end")), "ranges")
+    runs = F.sequence(F.lit(0), F.floor((F.size("ends") - 1) / END_RUN).cast("int"))
+    in_runs = F.transform(runs, lambda k: F.slice("ends", k * END_RUN + 1, END_RUN))
+    gathered = ends.agg(F.sort_array(F.collect_set("end")).alias("ends"))
+    return gathered.select(F.when(F.size("ends") > 0, in_runs).otherwise(F.array().cast("array<array<long>>"))).scalar()
+
+
+def with_range(docs: DataFrame, n: int) -> DataFrame:
+    """``docs`` with ``tie``, a hash of the text, and ``range``: how many ends are below the doc_id, or for a null one a
+    negative number by ``tie``."""
+    tie = F.xxhash64(F.coalesce("text", F.lit("")))
+    below = lambda run: F.get(run, 0) < F.col("doc_id")
+
+    def place(runs: Column) -> Column:
+        last = F.size(F.filter(F.get(runs, F.size(runs) - 1), lambda end: end < F.col("doc_id")))
+        return F.when(F.size(runs) > 0, (F.size(runs) - 1) * END_RUN + last).otherwise(0)
+
+    ranged = let(F.filter(F.col("ends"), below), place)
+    nulls = -1 - (1 << NULL_BITS - 1) - F.shiftright("tie", 64 - NULL_BITS).cast("int")
+    dealt = docs.select("*", tie.alias("tie"), range_ends(docs, n).alias("ends"))
+    return dealt.select(*docs.columns, "tie", F.when(F.col("doc_id").isNull(), nulls).otherwise(ranged).alias("range"))
+
+
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``docs`` with next_<column> of the next document by descending doc_id; after the last comes the first.
 
     Documents are dealt into ranges of doc_id; the first rows of a range are also sent, as sentinels, to the
-    range that comes before, so that a window within ranges sees every neighbour. The driver handles one
-    value per range.
+    range that comes before, so that a window within ranges sees every neighbour. The table of first rows has a row for
+    each range, MAX_RANGES + 2**NULL_BITS at most, so it is broadcast.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    n = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
-    bounds = sorted(set(docs.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n)))
-    if bounds:
-        edges = F.array(*[F.lit(int(b)) for b in bounds])
-        ranged = F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(F.filter(edges, lambda e: e < F.col("doc_id"))))
-    else:
-        ranged = F.lit(-1)
-    dealt = docs.withColumn("range", ranged.cast("int"))
-    firsts = dealt.select("range", "doc_id").groupBy("range").agg(F.max("doc_id").alias("first")).orderBy(F.desc("range")).collect()
-    if not firsts:
-        return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
-    before = {r.range: firsts[k - 1].range for k, r in enumerate(firsts)}  # the first range's is the last one
-    at = [r.range for r in firsts]
-    target = F.element_at(F.map_from_arrays(F.array(*map(F.lit, at)), F.array(*[F.lit(before[x]) for x in at])), F.col("range"))
-    first = F.element_at(F.map_from_arrays(F.array(*map(F.lit, at)), F.array(*[F.lit(r.first).cast("long") for r in firsts])), F.col("range"))
+    n = min(max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES)), MAX_RANGES)
+    key = F.struct(F.bitwise_not("doc_id").alias("down"), "tie")
+    dealt = with_range(docs, n)
+    firsts = stored(dealt.groupBy("range").agg(F.min(key).alias("first")), "firsts")
+    down = Window.orderBy(F.desc("range"))
+    before = F.coalesce(F.lag("range").over(down), F.min("range").over(Window.partitionBy()))  # the first range's is the last one
+    firsts = firsts.select("range", "first", before.alias("before"))
     own = F.struct(F.col("range").alias("range"), F.lit(0).alias("sentinel"))
-    other = F.struct(target.alias("range"), F.lit(1).alias("sentinel"))
-    to = F.explode(F.when(F.col("doc_id").eqNullSafe(first), F.array(own, other)).otherwise(F.array(own)))
-    rows = dealt.withColumn("to", to).withColumn("range", F.col("to.range")).withColumn("sentinel", F.col("to.sentinel")).repartition(n // 2, "range")
-    window = Window.partitionBy("range").orderBy("sentinel", F.col("doc_id").desc_nulls_last(), "text")
+    other = F.struct(F.col("before").alias("range"), F.lit(1).alias("sentinel"))
+    to = F.explode(F.when(key.eqNullSafe(F.col("first")), F.array(own, other)).otherwise(F.array(own)))
+    joined = dealt.join(F.broadcast(firsts), "range").select(*docs.columns, "tie", to.alias("to"))
+    rows = joined.select(*docs.columns, "tie", "to.range", "to.sentinel").repartition(max(n // 2, 1), "range")
+    window = Window.partitionBy("range").orderBy("sentinel", F.col("doc_id").desc_nulls_last(), "tie", "text")
     for c in columns:
         rows = rows.withColumn(f"next_{c}", F.lead(c).over(window))
-    return rows.filter("sentinel = 0").drop("range", "to", "sentinel")
+    return rows.filter("sentinel = 0").drop("range", "sentinel", "tie")
 
 
 def compare_with_edits(docs: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ def check_edits(spark, rows):
     got = [tuple(r) for r in out.collect()]
     frequency = Counter(s for _, t in rows for s in {x & (1 << 18) - 1 for x in brute_terms(t)})
     kept = {s for s, n in frequency.items() if 2 <= n <= max(2, 0.08 * len(rows))}
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), signed(xxh((r[1] or "").encode(), 42))))
     want = []
     for (doc_id, text), (_, other) in zip(order, order[1:] + order[:1]):
         text, other = text or "", other or ""
@@ -78,7 +78,35 @@ def test_imatch_equals_brute_force(spark):
     rng = random.Random(5)
     words = ["".join(rng.choices("abcdeé", k=rng.randrange(1, 5))) for _ in range(300)]
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(100 + i, " ".join(rng.choices(words, k=rng.randrange(1, 80)))) for i in range(90)]
-    check_edits(spark, rows + [(None, "alpha beta the cat"), (103, rows[12][1]), (103, rows[12][1]), (-5, "alpha 😀 cat")])
+    check_edits(spark, rows + [(None, "alpha beta the cat"), (103, rows[12][1]), (103, rows[12][1]), (-5, "alpha 😀 cat"), (None, None), (None, "beta gamma delta"), (None, "the cat alpha")])
+
+
+def test_neighbours_equal_a_global_window(spark, monkeypatch):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(imatch, "END_RUN", 4)
+    rng = random.Random(12)
+    rows = [(rng.choice([None, rng.randrange(-(2**63), 2**63), rng.randrange(900)]), rng.choice([None, "", f"t{i}", f"t{i} " * 9])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).withColumn("tie_text", F.coalesce("text", F.lit("")))
+    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("tie_text"), "text"]
+    first = F.first("tie_text").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    want = df.select("doc_id", "tie_text", F.coalesce(F.lead("tie_text").over(Window.orderBy(*order)), first)).collect()
+    got = imatch.with_next(df, ["tie_text"]).select("doc_id", "tie_text", "next_tie_text").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, want)))
+    for size in (2**63 - 1, -(2**63)):  # one id only, at either end
+        one = spark.createDataFrame([(size, "a")], "doc_id long, text string")
+        assert [r.next_text for r in imatch.with_next(one, ["text"]).collect()] == ["a"]
+
+
+def test_the_plan_of_neighbours_holds_no_ids(spark, monkeypatch):
+    sizes = []
+    for n in (40, 400):
+        df = spark.range(n).selectExpr("id * 7919 doc_id", "repeat('w ', 50) text")
+        monkeypatch.setattr(imatch, "RANGE_BYTES", 100)
+        plan = imatch.with_next(df, ["text"])._jdf.queryExecution().optimizedPlan().toString()
+        sizes.append(len(plan))
+    assert sizes[1] - sizes[0] < 50
 
 
 def test_imatch_few_rows(spark):
