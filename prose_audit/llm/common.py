@@ -17,6 +17,9 @@ from pyspark.sql.types import StructType
 
 #: Rows in one Arrow batch that goes to a Python worker: texts can be long, so a batch stays small.
 ARROW_ROWS = 1000
+#: Bytes from which on no more rows are added to a batch. Spark's own batches end at
+#: spark.sql.execution.arrow.maxBytesPerBatch, so long texts are never gathered beyond the larger of the two.
+ARROW_BYTES = 16 << 20
 
 #: What separates words in every word count here: ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -103,20 +106,25 @@ def write_file(uri: str, chunks: Iterator[bytes] | list[bytes], attempt: str) ->
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, rows: int = ARROW_ROWS) -> DataFrame:
-    """``mapInArrow`` whose batches have ``rows`` rows or a few more, whatever the session's batch size."""
+    """``mapInArrow`` whose batches have about ``rows`` rows, whatever the session's batch size: batches of Spark are cut,
+    and joined as long as they stay within ``rows`` and ARROW_BYTES."""
+
+    def whole(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.concat_batches(held)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        n = 0
+        n = size = 0
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
-                held.append(batch.slice(at, rows))
-                n += held[-1].num_rows
-                if n >= rows:
-                    yield held[0] if len(held) == 1 else pa.concat_batches(held)
-                    held, n = [], 0
+                piece = batch.slice(at, rows)
+                if held and (n + piece.num_rows > rows or size + piece.nbytes > ARROW_BYTES):
+                    yield whole(held)
+                    held, n, size = [], 0, 0
+                held.append(piece)
+                n, size = n + piece.num_rows, size + piece.nbytes
         if held:
-            yield held[0] if len(held) == 1 else pa.concat_batches(held)
+            yield whole(held)
 
     return df.mapInArrow(lambda batches: run(cut(batches)), schema)
 
