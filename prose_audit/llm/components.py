@@ -1,8 +1,8 @@
 """Connected components of a table of links, by alternating star steps.
 
 Every step is a group-by with a minimum (combined before the shuffle) and an equi-join of the links with these minima.
-A node's links are never gathered as a list, but they go through one task: the join takes over the partitioning
-of the group-by, so adaptive skew handling doesn't split them. Each round is cut with checkpoint() in the shared folder.
+The minima are stored first: a join with a scan doesn't take over the partitioning of the group-by, so adaptive skew
+handling splits the links of the centre of a large star. Each round is cut with checkpoint() in the shared folder.
 """
 
 from __future__ import annotations
@@ -10,20 +10,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_root
+from .common import shared_root, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links each neighbour above a node to the smallest node around it."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "stars")
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Links the smaller neighbours of a node, and the node, to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = stored(down.groupBy("u").agg(F.min("v").alias("m")), "stars")
     linked = down.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return linked.union(least.select("u", F.col("m").alias("v")))
 
