@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, map_arrow, map_batches, numbered_rows, stored
@@ -222,7 +222,7 @@ def simhash_components(docs: DataFrame, words: int = 5, budget: int = 2) -> Data
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected_components(hamming_links(distinct.select("fp"), budget))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    named = rooted.join(stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components"), "root").select("fp", "component_id")
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return fps.join(named, "fp").select("doc_id", text.alias("fingerprint"), "component_id")
 
@@ -275,18 +275,29 @@ def parity_sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def shared_postings(distinct: DataFrame) -> DataFrame:
+def leads(similarity: float) -> Column:
+    """Whether a set of ``size`` whose first shared shingle is at ``pos`` has enough left for a set as large as itself.
+
+    Of two similar sets the smaller one leads at the first shingle that they share, since the larger one only asks for
+    more. So rows of a shingle that don't lead need not meet each other.
+    """
+    return F.col("size") - F.col("pos") >= F.ceil(2 * F.col("size") * F.lit(similarity / (1 + similarity)) - 1e-6)
+
+
+def shared_postings(distinct: DataFrame, similarity: float) -> DataFrame:
     """``distinct(node, size, prefix, cold, sketch)`` → token, node, size, pos, sketch and n, the rows of the token: of
-    the prefixes what two nodes have at least.
+    the prefixes what two nodes have at least and one of them leads with. Shingles of common boilerplate, which come
+    late in every set that has own ones, drop out here.
 
     The HOT_SHINGLES, whose counts are broadcast, aren't moved for that. A shingle that isn't one of them is
     rarer than each of those, in the sample at least, so its rows are counted in a window.
     """
-    rows = distinct.select("node", "cold", F.posexplode("prefix").alias("pos", "token"))
-    rare = rows.filter("pos < cold").select("token", "node", "pos", F.count("*").over(Window.partitionBy("token")).alias("n")).filter("n > 1")
-    hot = rows.filter("pos >= cold").select("token", "node", "pos")
-    counts = hot.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
-    both = rare.union(hot.join(F.broadcast(counts), "token").select("token", "node", "pos", "n"))
+    rows = distinct.select("node", "size", "cold", F.posexplode("prefix").alias("pos", "token")).withColumn("leads", leads(similarity))
+    of_token = Window.partitionBy("token")
+    rare = rows.filter("pos < cold").select("token", "node", "pos", F.count("*").over(of_token).alias("n"), F.max("leads").over(of_token).alias("led"))
+    hot = rows.filter("pos >= cold").select("token", "node", "pos", "leads")
+    counts = hot.groupBy("token").agg(F.count("*").alias("n"), F.max("leads").alias("led")).filter("n > 1 and led")
+    both = rare.filter("n > 1 and led").drop("led").union(hot.join(F.broadcast(counts), "token").select("token", "node", "pos", "n"))
     return both.join(distinct.select("node", "size", "sketch"), "node").select("token", "node", "size", "pos", "sketch", "n")
 
 
@@ -384,18 +395,37 @@ def _blocks(rows: DataFrame, salt: int) -> DataFrame:
     return rows.select("token", x.alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side"), *[c for c in rows.columns if c != "token"])
 
 
-def _block_pairs(rows: DataFrame) -> DataFrame:
+def _block_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     """``rows(token, node, root, n, ...)`` once for each pair (x, y) of blocks of its token that its block, ``side``,
-    is in. Rows of the token's largest group meet those of the others only, so that they are repeated but as many
-    times as the others have blocks. Tokens of one group are left out."""
-    per_root = rows.groupBy("token", "root").agg(F.count("*").alias("m"))
-    big = per_root.groupBy("token").agg(F.max_by("root", F.struct("m", "root")).alias("big"), F.max("m").alias("of_big"), F.count("*").alias("roots"))
-    own = rows.join(big.filter("roots > 1").drop("roots"), "token")
-    small, large = (F.ceil(x / BLOCK_ROWS).cast("int") for x in (F.col("n") - F.col("of_big"), F.col("of_big")))
-    hashed = F.xxhash64("node", F.lit(99))
-    side = F.when(F.col("n") <= BLOCK_ROWS, 0).when(F.col("root") == F.col("big"), small + F.pmod(hashed, large)).otherwise(F.pmod(hashed, small)).cast("int")
-    last = F.when(F.col("n") <= BLOCK_ROWS, 0).when(F.col("root") == F.col("big"), small - 1).otherwise(small + large - 1).cast("int")
-    placed = own.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    is in. Blocks hold one kind of rows: of the token's largest group or of others, leading or not. Only kinds that can
+    be linked meet: not two of the largest group, nor two that don't lead. Tokens of one group are left out."""
+    lead = leads(similarity)
+    per_root = rows.groupBy("token", "root").agg(F.count("*").alias("m"), F.count_if(lead).alias("leading"))
+    by_size = F.struct("m", "root")
+    largest = per_root.groupBy("token").agg(
+        F.max_by("root", by_size).alias("big"),
+        F.max("m").alias("of_big"),
+        F.max_by("leading", by_size).alias("big_leading"),
+        F.sum("leading").alias("leading"),
+        F.count("*").alias("roots"),
+    )
+    # stored, so that the join splits the rows of a frequent token
+    own = rows.join(stored(largest.filter("roots > 1 and leading > 0").drop("roots"), "dedup-largest"), "token")
+    counted = [F.col("n") - F.col("of_big") - (F.col("leading") - F.col("big_leading")), F.col("leading") - F.col("big_leading"), F.col("big_leading"), F.col("of_big") - F.col("big_leading")]
+    others, leading, big_leading, big = (F.ceil(x / BLOCK_ROWS).cast("int") for x in counted)
+    zero, single, in_big = F.lit(0), F.col("n") <= BLOCK_ROWS, F.col("root") == F.col("big")
+
+    def by_kind(*values: Column) -> Column:
+        return F.when(~in_big & ~lead, values[0]).when(~in_big, values[1]).when(lead, values[2]).otherwise(values[3])
+
+    # in this order of the kinds, the blocks that a kind meets are next to each other
+    start = by_kind(zero, others, others + leading, others + leading + big_leading)
+    width = F.greatest(by_kind(others, leading, big_leading, big), F.lit(1))
+    first = by_kind(others, zero, zero, others)
+    upto = by_kind(others + leading + big_leading, others + leading + big_leading + big, others + leading, others + leading)
+    meets = F.when(single, F.array(zero)).when(upto > first, F.sequence(first, upto - 1))
+    side = F.when(single, 0).otherwise(start + F.pmod(F.xxhash64("node", F.lit(99)), width)).cast("int")
+    placed = own.withColumn("side", side).withColumn("other", F.explode(meets))
     pair = [F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y")]
     return placed.select("token", *pair, "side", *[c for c in rows.columns if c != "token"])
 
@@ -467,7 +497,7 @@ def similar_roots(shared: DataFrame, texts: Callable[[DataFrame], DataFrame], wo
     links, roots, rooted = None, None, shared.withColumn("root", F.col("node"))
     for k in range(ROUNDS + 1):
         thin = k < ROUNDS
-        found = stored(candidate_pairs(_blocks(rooted, k) if thin else _block_pairs(rooted), similarity, thin), "dedup-candidates")
+        found = stored(candidate_pairs(_blocks(rooted, k) if thin else _block_pairs(rooted, similarity), similarity, thin), "dedup-candidates")
         pairs = found.filter("token is null").select("u", "v").distinct()
         few = texts(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
         checked = stored(similar_links(few, pairs, words, similarity), "dedup-links")
@@ -541,7 +571,7 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
 
     marked = stored(map_arrow(base, step, schema), "dedup-marks")
     distinct = marked.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "prefix", "cold", "sketch")])
-    shared = stored(shared_postings(distinct), "dedup-postings")
+    shared = stored(shared_postings(distinct, similarity), "dedup-postings")
 
     def texts(nodes: DataFrame) -> DataFrame:
         rows = marked.select("node", "row").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))

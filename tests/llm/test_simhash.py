@@ -195,6 +195,56 @@ def test_blocks_of_a_frequent_shingle(spark, monkeypatch):
     assert check_kept(spark, variants(3, 150, 100, 1, 5)) > 1
 
 
+def template_pages(seed, n, own):
+    rng = random.Random(seed)
+    shared = [f"menu{i}" for i in range(84)]
+    return [" ".join([f"own{rng.randrange(10**7)}" for _ in range(own)] + shared) for _ in range(n)]
+
+
+def test_pages_of_one_template_are_not_compared(spark, monkeypatch):
+    texts = template_pages(1, 3000, 16)
+    postings, real = [], simhash.shared_postings
+    monkeypatch.setattr(simhash, "shared_postings", lambda *args: postings.append(real(*args)) or postings[-1])
+    assert simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)).count() == 3000
+    assert postings[0].count() == 0
+
+
+def test_templates_with_copies(spark, monkeypatch):
+    """Rows of a token that lead and that don't, in the largest group and in others, in blocks of their own."""
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(simhash, "THIN_PAIRS", 1)
+    monkeypatch.setattr(simhash, "ROUNDS", 1)
+    texts = template_pages(2, 60, 16) + template_pages(3, 60, 3) + template_pages(4, 40, 9) + template_pages(5, 30, 1)
+    texts += [" ".join(t.split()[k % 5 :]) for k, t in enumerate(texts[:40])] + variants(9, 60, 60, 1, 4)
+    assert 1 < check_kept(spark, texts) < len(texts)
+
+
+def test_hot_stars_are_split(spark):
+    """The join of a star's links with the stored minima is a plain shuffle on both sides, which adaptive execution splits."""
+    from pyspark.sql import functions as F
+
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        star = spark.range(1, 60_001, numPartitions=6).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"))
+        for step in (components._large_star(star), components._small_star(star.select(F.col("v").alias("u"), F.col("u").alias("v")).union(star.selectExpr("100000 u", "v")))):
+            plan = step.distinct()
+            plan.collect()
+            assert "skew=true" in plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_spanning_keeps_what_links_join():
     rng = np.random.default_rng(5)
     i, j = rng.integers(0, 80, 120), rng.integers(0, 80, 120)
