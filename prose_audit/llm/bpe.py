@@ -7,7 +7,8 @@ a pre-token of a whole document takes near-linear time.
 
 Defined cases: a null text is the empty text, which has no ids and decodes to no bytes; repeated rows
 are encoded alike; other columns of the input pass through untouched unless their names clash with the
-result's, which then win; an empty table gives no rows; a worker's memory doesn't grow with long texts.
+result's, which then win; an empty table gives no rows; a long text is encoded whole, in memory in proportion to the
+longest one, also where it is a single pre-token.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from array import array
 from functools import lru_cache
 from heapq import heappop, heappush
 from operator import getitem
@@ -31,6 +33,10 @@ from .common import arrow_schema, map_batches
 #: Bytes, about, in which a worker remembers ids of pre-tokens and of words with the space before them; a full
 #: memory starts anew. What is longer than LONGEST characters is merged each time.
 MEMO_BYTES, ENTRY_BYTES, LONGEST = 256 << 20, 200, 200
+#: A pre-token of more bytes is merged in arrays of 32-bit integers instead of lists: slower, with less memory.
+LONG_PIECE = 1 << 14
+#: Bytes of ids that are decoded at once.
+DECODED = 1 << 20
 
 
 @lru_cache(maxsize=2)
@@ -44,6 +50,34 @@ def load_ranks(path: str) -> dict[bytes, int]:
 WORD_BITS = 8
 
 
+class Bucket:
+    """Positions of one rank in a long pre-token. They wait in an array, which is sorted when the rank's turn comes; those
+    that come after that go to a heap."""
+
+    __slots__ = ("waiting", "late", "sorted")
+
+    def __init__(self, positions: bytes = b"") -> None:
+        self.waiting, self.late, self.sorted = array("i", positions), [], False
+
+    def push(self, i: int) -> None:
+        if self.sorted:
+            heappush(self.late, i)
+        else:
+            self.waiting.append(i)
+
+    def pop(self) -> int:
+        """The smallest position."""
+        if not self.sorted:
+            self.waiting = array("i", np.sort(np.frombuffer(self.waiting, np.int32))[::-1].tobytes())
+            self.sorted = True
+        if self.late and (not self.waiting or self.late[0] < self.waiting[-1]):
+            return heappop(self.late)
+        return self.waiting.pop()
+
+    def __bool__(self) -> bool:
+        return bool(self.waiting or self.late)
+
+
 class Merger:
     """Merges pre-tokens by the ranks of one vocabulary.
 
@@ -128,6 +162,65 @@ class Merger:
                         summary |= 1 << word
         return [x for x in ids if x is not None]
 
+    def merge_long(self, piece: bytes) -> bytes:
+        """Ids of one pre-token as bytes, merged as ``merge`` does with arrays in place of lists; -1 is no id, no rank."""
+        get, n = self.ranks.get, len(piece)
+        whole = get(piece)
+        if whole is not None:
+            return struct.pack("<I", whole)
+        at = np.frombuffer(piece, np.uint8)
+        ids = array("i", np.array([-1 if x is None else x for x in self.single], np.int32)[at].tobytes())
+        two = np.array([[-1 if x is None else x for x in row] for row in self.two], np.int32)
+        ranks = two[at[:-1], at[1:]]
+        pair = array("i", np.append(ranks, [-1, -1]).astype(np.int32).tobytes())
+        after = array("i", np.arange(1, n + 1, dtype=np.int32).tobytes())
+        before = array("i", np.arange(-1, n - 1, dtype=np.int32).tobytes())
+        words, buckets, summary, mask = self.words, {}, 0, (1 << WORD_BITS) - 1
+
+        def put(rank: int, bucket: Bucket) -> None:
+            nonlocal summary
+            buckets[rank] = bucket
+            words[rank >> WORD_BITS] |= 1 << (rank & mask)
+            summary |= 1 << (rank >> WORD_BITS)
+
+        order = np.argsort(ranks, kind="stable").astype(np.int32)
+        found, starts = np.unique(ranks[order], return_index=True)
+        for rank, own in zip(found.tolist(), np.split(order, starts[1:])):
+            if rank >= 0:
+                put(rank, Bucket(own.tobytes()))
+        del order, ranks, own
+        while summary:
+            word = (summary & -summary).bit_length() - 1
+            bits = words[word]
+            first = bits & -bits
+            rank = word << WORD_BITS | first.bit_length() - 1
+            bucket = buckets[rank]
+            i = bucket.pop()
+            if not bucket:
+                del buckets[rank]
+                words[word] = bits ^ first
+                if not words[word]:
+                    summary ^= 1 << word
+            if pair[i] != rank:
+                continue  # stale
+            gone = after[i]
+            end = after[gone]
+            ids[i], ids[gone], pair[gone], after[i] = rank, -1, -1, end
+            pair[i] = -1
+            changed = [(before[i], end)]
+            if end < n:
+                before[end] = i
+                changed.append((i, after[end]))
+            for start, stop in changed:
+                if start >= 0:
+                    own = pair[start] = get(piece[start:stop], -1)
+                    if own in buckets:
+                        buckets[own].push(start)
+                    elif own >= 0:
+                        put(own, Bucket(struct.pack("<i", start)))
+        out = np.frombuffer(ids, np.int32)
+        return out[out >= 0].astype("<u4").tobytes()
+
 
 class Codec:
     """Encodes and decodes texts with one rank file and one splitting pattern."""
@@ -184,7 +277,10 @@ class Codec:
             self.held += ENTRY_BYTES + 2 * len(part) + len(ids)
 
     def _merged(self, part: str) -> bytes:
-        ids = self.merger.merge(part.encode())
+        piece = part.encode()
+        if len(piece) > LONG_PIECE:
+            return self.merger.merge_long(piece)
+        ids = self.merger.merge(piece)
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _pieces(self, text: str) -> bytes:
@@ -206,7 +302,8 @@ class Codec:
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        parts = (np.frombuffer(ids[k : k + DECODED], "<u4").tolist() for k in range(0, len(ids), DECODED))
+        return b"".join([b"".join(map(self.pieces.__getitem__, part)) for part in parts])
 
 
 @lru_cache(maxsize=2)

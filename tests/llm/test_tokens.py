@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -35,6 +36,35 @@ def test_merges_equal_tiktoken(oracle):
         assert own.decode(got) == text.encode()
 
 
+def test_long_pretokens_are_merged_in_arrays(oracle, monkeypatch):
+    monkeypatch.setattr(bpe, "LONG_PIECE", 1)
+    monkeypatch.setattr(bpe, "DECODED", 8)
+    own, rng = bpe.Codec(RANKS, P.PATTERN), random.Random(5)
+    for alphabet in ("a", "ab", "thequickbrown", "àé字a", "etaoin-=_"):
+        for size in (1, 2, 3, 17, 300, 4000):
+            text = "".join(rng.choices(alphabet, k=size))
+            got = own.encode(text)
+            assert np.frombuffer(got, "<u4").tolist() == oracle.encode_ordinary(text)
+            assert own.decode(got) == text.encode()
+    # a bucket gives its smallest position, whether it came before the bucket's turn or after
+    bucket = bpe.Bucket(np.array([9, 4, 7], np.int32).tobytes())
+    bucket.push(6)
+    assert bucket.pop() == 4
+    bucket.push(5)
+    bucket.push(8)
+    assert [bucket.pop() for _ in range(5)] == [5, 6, 7, 8, 9] and not bucket
+
+
+def test_memory_of_one_long_pretoken():
+    merger, piece = bpe.Codec(RANKS, P.PATTERN).merger, bytes(random.Random(2).choices(b"thequickbrown", k=200_000))
+    tracemalloc.start()
+    got = merger.merge_long(piece)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 * len(piece)
+    assert np.frombuffer(got, "<u4").tolist() == merger.merge(piece)
+
+
 def test_merges_equal_a_plain_loop():
     rng = random.Random(1)
     ranks = {bytes([b]): b for b in b"abc"}
@@ -53,6 +83,7 @@ def test_merges_equal_a_plain_loop():
             _, i = min(near)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         assert merger.merge(piece) == [ranks[x] for x in parts]
+        assert np.frombuffer(merger.merge_long(piece), "<u4").tolist() == [ranks[x] for x in parts]
         assert not merger.buckets and not any(merger.words)
 
 
