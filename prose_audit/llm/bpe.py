@@ -30,9 +30,10 @@ from pyspark.sql.types import StructType
 
 from .common import arrow_schema, map_batches
 
-#: Bytes, about, in which a worker remembers ids of pre-tokens and of words with the space before them; a full
-#: memory starts anew. What is longer than LONGEST characters is merged each time.
-MEMO_BYTES, ENTRY_BYTES, LONGEST = 256 << 20, 200, 200
+#: Bytes, about, in which a worker remembers ids of pre-tokens and of words with the space before them. Half of them
+#: are for what is new or came up again since the other half was full, which goes when this one is. What is longer
+#: than LONGEST characters is merged each time.
+MEMO_BYTES, ENTRY_BYTES, LONGEST = 64 << 20, 160, 200
 #: A pre-token of more bytes is merged in arrays of 32-bit integers instead of lists: slower, with less memory.
 LONG_PIECE = 1 << 14
 #: Bytes of ids that are decoded at once.
@@ -231,6 +232,8 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.memo: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}  # by what follows a space, the ids of both
+        self.memo_before: dict[str, bytes] = {}
+        self.spaced_before: dict[str, bytes] = {}
         self.held = 0
         self.pieces = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for piece, rank in self.ranks.items():
@@ -251,30 +254,29 @@ class Codec:
             pass
         if not first or first[-1].isspace():
             return self._pieces(text)
-        self._make_room()
         out = [self._pieces(first)]
         for part in rest:
             ids = spaced.get(part)
             if ids is None:
                 if not part or part[0].isspace() or part[-1].isspace():
                     return self._pieces(text)
-                pieces = self.split(" " + part)
-                # one pre-token is remembered here alone
-                ids = self._merged(pieces[0]) if len(pieces) == 1 else self._pieces(" " + part)
-                self._remember(spaced, part, ids)
+                ids = self.spaced_before.get(part)
+                if ids is None:
+                    pieces = self.split(" " + part)
+                    # one pre-token is remembered here alone
+                    ids = self._merged(pieces[0]) if len(pieces) == 1 else self._pieces(" " + part)
+                self._remember(self.spaced, part, ids)
+                spaced = self.spaced
             out.append(ids)
         return b"".join(out)
 
-    def _make_room(self) -> None:
-        if self.held > MEMO_BYTES:
-            self.memo.clear()
-            self.spaced.clear()
-            self.held = 0
-
     def _remember(self, memo: dict[str, bytes], part: str, ids: bytes) -> None:
         if len(part) <= LONGEST:
             memo[part] = ids
             self.held += ENTRY_BYTES + 2 * len(part) + len(ids)
+            if self.held > MEMO_BYTES // 2:
+                self.memo_before, self.spaced_before = self.memo, self.spaced
+                self.memo, self.spaced, self.held = {}, {}, 0
 
     def _merged(self, part: str) -> bytes:
         piece = part.encode()
@@ -296,8 +298,11 @@ class Codec:
             if ids is None and part[0] == " ":
                 ids = self.spaced.get(part[1:])
             if ids is None:
-                ids = self._merged(part)
-                self._remember(memo, part, ids)
+                ids = self.memo_before.get(part)
+                if ids is None:
+                    ids = self._merged(part)
+                self._remember(self.memo, part, ids)
+                memo = self.memo
             out.append(ids)
         return b"".join(out)
 

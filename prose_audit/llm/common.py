@@ -126,7 +126,11 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
         if held:
             yield whole(held)
 
-    return df.mapInArrow(lambda batches: run(cut(batches)), schema)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(cut(batches))
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
+
+    return df.mapInArrow(task, schema)
 
 
 def map_arrow(df: DataFrame, step: Callable[[dict[str, list]], dict[str, list]], schema: str, rows: int = ARROW_ROWS) -> DataFrame:

@@ -12,18 +12,26 @@ from pyspark.sql import functions as F
 
 from .common import shared_root, stored
 
+#: Links in one file, about: tables of few links are not written in a file for each shuffle partition. Without Hadoop's native
+#: library Spark starts processes for every file that it writes.
+FILE_LINKS = 100_000
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _in_files(rows: DataFrame, parts: int | None) -> DataFrame:
+    return rows.coalesce(parts) if parts else rows
+
+
+def _large_star(edges: DataFrame, parts: int | None = None) -> DataFrame:
     """Links each neighbour above a node to the smallest node around it."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "stars")
+    least = stored(_in_files(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), parts), "stars")
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, parts: int | None = None) -> DataFrame:
     """Links the smaller neighbours of a node, and the node, to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = stored(down.groupBy("u").agg(F.min("v").alias("m")), "stars")
+    least = stored(_in_files(down.groupBy("u").agg(F.min("v").alias("m")), parts), "stars")
     linked = down.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return linked.union(least.select("u", F.col("m").alias("v")))
 
@@ -35,12 +43,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     no links give no rows.
     """
     shared_root(edges.sparkSession)
+    least = edges.sparkSession.sparkContext.defaultParallelism
     edges = edges.select("u", "v").filter("u != v").distinct().checkpoint()
-    before = None
+    before, n = None, edges.count()
     for _ in range(max_rounds):
-        edges = _small_star(_large_star(edges)).distinct().checkpoint()
+        # a round has no more links than the one before and one for each node
+        parts = max(least, -(-n // FILE_LINKS))
+        edges = _in_files(_small_star(_large_star(edges, parts), parts).distinct(), parts).checkpoint()
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
-        before = state
+        before, n = state, state[0]
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

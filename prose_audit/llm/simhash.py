@@ -445,7 +445,21 @@ def candidate_pairs(placed: DataFrame, similarity: float, thin: bool) -> DataFra
             token, x, y, node, root, side, size, pos, n = (c[order] for c in held[:9])
             group, sketch, size, pos = group[order], np.stack([c[order].view(np.uint64) for c in held[9:]], 1), size.astype(np.int64), pos.astype(np.int64)
             found: list[tuple[np.ndarray, np.ndarray]] = []
-            held_pairs = 0
+            rows_of = np.bincount(group)
+            pairs_of = np.zeros(len(rows_of), np.int64)
+            # groups of rows apart for each token
+            of = np.unique(np.stack([group, root]), axis=1, return_inverse=True)[1].reshape(-1) if thin else root
+
+            def forest(found: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+                """The pairs of blocks that aren't dense, and of those that are a forest only."""
+                i, j = (np.concatenate(c) for c in zip(*found))
+                much = (pairs_of > THIN_PAIRS * rows_of)[group[i]]
+                a, b = i[much], j[much]
+                weight = np.bitwise_count(sketch[a] ^ sketch[b]).sum(1, dtype=np.int64) / np.maximum(1, (size[a] + size[b]) * spread)
+                few = spanning(a, b, weight, of)
+                return [(i[~much], j[~much]), (a[few], b[few])]
+
+            held_pairs, most = 0, CHUNK_PAIRS
             for i, j in sketch_pairs(group, sketch, size, similarity):
                 # if this is the first token that the sets share, so many are left to share at most
                 after = np.minimum(size[i] - pos[i], size[j] - pos[j])
@@ -453,23 +467,20 @@ def candidate_pairs(placed: DataFrame, similarity: float, thin: bool) -> DataFra
                 ok = (root[i] != root[j]) & (after >= least) & ((side[i] != side[j]) | (x[i] == y[i]) | thin)
                 found.append((i[ok], j[ok]))
                 held_pairs += int(ok.sum())
-                if not thin and held_pairs > CHUNK_PAIRS:
+                if thin:
+                    pairs_of += np.bincount(group[i[ok]], minlength=len(rows_of))
+                if held_pairs > most and thin:
+                    # a forest of a forest and more pairs joins what all of them join; it is no larger than the rows
+                    found = forest(found)
+                    held_pairs = sum(len(i) for i, _ in found)
+                    most = held_pairs + CHUNK_PAIRS
+                elif held_pairs > most:
                     yield _links(node, found, out)
                     found, held_pairs = [], 0
             more = np.zeros(0, np.int64)
             if thin:
-                more = token[n > BLOCK_ROWS]
-                if found:
-                    i, j = (np.concatenate(c) for c in zip(*found))
-                    rows_of, pairs_of = np.bincount(group), np.bincount(group[i], minlength=int(group.max()) + 1)
-                    dense = pairs_of > THIN_PAIRS * rows_of
-                    more = np.concatenate([more, token[dense[group]]])
-                    much = dense[group[i]]
-                    a, b = i[much], j[much]
-                    weight = np.bitwise_count(sketch[a] ^ sketch[b]).sum(1, dtype=np.int64) / np.maximum(1, (size[a] + size[b]) * spread)
-                    # groups of rows apart for each token
-                    few = spanning(a, b, weight, np.unique(np.stack([group, root]), axis=1, return_inverse=True)[1].reshape(-1))
-                    found = [(i[~much], j[~much]), (a[few], b[few])]
+                more = token[(n > BLOCK_ROWS) | (pairs_of > THIN_PAIRS * rows_of)[group]]
+                found = forest(found) if found else found
             if found:
                 yield _links(node, found, out)
             more = np.unique(more)

@@ -1,8 +1,10 @@
+import glob
 import random
 import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from prose_audit.llm import components, simhash
@@ -250,3 +252,42 @@ def test_spanning_keeps_what_links_join():
     i, j = rng.integers(0, 80, 120), rng.integers(0, 80, 120)
     few = simhash.spanning(i, j, rng.random(120), np.arange(80))
     assert (simhash.local_roots(80, i, j) == simhash.local_roots(80, i[few], j[few])).all() and len(few) < 80
+
+
+def test_dense_blocks_are_thinned_within_bounds(spark, monkeypatch):
+    """Ten tokens of 700 rows that are all alike: 2.4 million pairs, of which about CHUNK_PAIRS are held at once."""
+    monkeypatch.setattr(simhash, "CHUNK_PAIRS", 50_000)
+    monkeypatch.setattr(simhash, "map_batches", lambda df, run, *args, **more: run)
+    placed = spark.createDataFrame([], "token long, x int, y int, node long, root long, side int, size int, pos int, n long, sketch array<long>")
+    run = simhash.candidate_pairs(placed, 0.8, True)
+    n = 7000
+    token, node = np.repeat(np.arange(10), 700), np.arange(n)
+    zero, size = np.zeros(n, np.int32), np.full(n, 200, np.int32)
+    sketch = [np.random.default_rng(6).integers(0, 1 << 4, n) for _ in range(simhash.SKETCH_WORDS)]
+    names = ["token", "x", "y", "node", "root", "side", "size", "pos", "n", *[f"s{k}" for k in range(simhash.SKETCH_WORDS)]]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in (token, zero, zero, node, node, zero, size, zero, np.full(n, 700), *sketch)], names=names)
+    held, real = [], simhash.spanning
+    monkeypatch.setattr(simhash, "spanning", lambda i, *args: held.append(len(i)) or real(i, *args))
+    links = pa.Table.from_batches(list(run(iter([batch])))).to_pydict()
+    assert max(held) < 200_000
+    i, j = (np.array([x for x in links[c] if x is not None]) for c in "uv")
+    assert len(i) == n - 10 and (simhash.local_roots(n, i, j) == token * 700).all()
+    assert sorted(x for x in links["token"] if x is not None) == list(range(10))
+
+
+def test_few_links_are_in_few_files(spark):
+    """Rounds of components over few links write no file for each shuffle partition."""
+    root = spark.conf.get("spark.checkpoint.dir")
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    seen = set(glob.glob(f"{root}/stars-*"))
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        links = spark.range(1000).selectExpr("id u", "id + 1000 v")
+        assert components.connected_components(links).count() == 2000
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    new = set(glob.glob(f"{root}/stars-*")) - seen
+    assert new and all(len(glob.glob(f"{x}/part-*")) <= spark.sparkContext.defaultParallelism for x in new)

@@ -162,3 +162,17 @@ def test_ranges_of_a_store_equal_the_mapped_file(tmp_path, monkeypatch):
 
     monkeypatch.setattr(token_files, "file_system", lambda uri: (Store(), str(path)))
     assert token_files.Integers("x://ids", "<u2").range(10, 20).tolist() == list(range(10, 20))
+
+
+def test_memory_of_words_is_bounded(monkeypatch):
+    """Also where no text has a space: what is remembered stays within MEMO_BYTES, and ids are those without a memory."""
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 1 << 20)
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdeéf", k=rng.randrange(2, 9))) for _ in range(20_000)]
+    texts = [sep.join(words[k : k + 100]) for k in range(0, len(words), 100) for sep in ("\n", " ")]
+    texts += texts[:40]
+    one = bpe.Codec(RANKS, P.PATTERN)
+    got = [one.encode(t) for t in texts]
+    entries = sum(len(d) for name, d in vars(one).items() if name.startswith(("memo", "spaced")))
+    assert 0 < entries <= (1 << 20) // bpe.ENTRY_BYTES
+    assert got == [b"".join(one._merged(p) for p in one.split(t)) for t in texts]
