@@ -33,7 +33,7 @@ from .common import arrow_schema, map_batches
 #: Bytes, about, in which a worker remembers ids of pre-tokens and of words with the space before them. Half of them
 #: are for what is new or came up again since the other half was full, which goes when this one is. What is longer
 #: than LONGEST characters is merged each time.
-MEMO_BYTES, ENTRY_BYTES, LONGEST = 64 << 20, 160, 200
+MEMO_BYTES, ENTRY_BYTES, LONGEST = 128 << 20, 160, 200
 #: A pre-token of more bytes is merged in arrays of 32-bit integers instead of lists: slower, with less memory.
 LONG_PIECE = 1 << 14
 #: Bytes of ids that are decoded at once.
