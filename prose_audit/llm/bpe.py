@@ -3,7 +3,8 @@
 Each pre-token is merged by a queue with one bucket per merge rank. A bucket holds linked-list
 positions; a bitmap over the ranks, in words with a summary of the words above them, gives the next rank
 by find-first-set. Entries that a later merge made stale are skipped when they come up, so even
-a pre-token of a whole document takes near-linear time.
+a pre-token of a whole document takes near-linear time. The new pre-tokens of many texts share one queue: what
+comes up is a whole bucket, of which each pre-token merges its leftmost position, all of them at once.
 
 Defined cases: a null text is the empty text, which has no ids and decodes to no bytes; repeated rows
 are encoded alike; other columns of the input pass through untouched unless their names clash with the
@@ -17,6 +18,7 @@ import base64
 import hashlib
 import struct
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
 from operator import getitem
@@ -38,6 +40,10 @@ MEMO_BYTES, ENTRY_BYTES, LONGEST = 128 << 20, 160, 200
 LONG_PIECE = 1 << 14
 #: Bytes of ids that are decoded at once.
 DECODED = 1 << 20
+#: Characters of texts, about, whose new pre-tokens share one queue; a longer text's are merged one by one.
+GATHERED = 2 << 20
+#: Fewer pre-tokens than this are merged one by one; buckets of fewer positions position by position.
+SHARED_PIECES, SHARED_POSITIONS = 64, 48
 
 
 @lru_cache(maxsize=2)
@@ -79,6 +85,16 @@ class Bucket:
         return bool(self.waiting or self.late)
 
 
+def by_rank(ranks: np.ndarray, positions: np.ndarray) -> list[tuple[int, list[int]]]:
+    """The positions of each rank that isn't -1."""
+    positions, ranks = positions[ranks >= 0], ranks[ranks >= 0]
+    order = np.argsort(ranks, kind="stable")
+    ranks, own = ranks[order], positions[order].tolist()
+    starts = np.flatnonzero(np.append(True, ranks[1:] != ranks[:-1])[: len(ranks)])
+    ends = [*starts[1:].tolist(), len(own)]
+    return [(rank, own[a:b]) for rank, a, b in zip(ranks[starts].tolist(), starts.tolist(), ends)]
+
+
 class Merger:
     """Merges pre-tokens by the ranks of one vocabulary.
 
@@ -91,6 +107,24 @@ class Merger:
         self.buckets: dict[int, list[int]] = {}
         self.single = [ranks.get(bytes([b])) for b in range(256)]
         self.two = [[ranks.get(bytes([a, b])) for b in range(256)] for a in range(256)]
+        self.tables: tuple[np.ndarray, ...] | None = None
+
+    def _pairs(self) -> tuple[np.ndarray, ...]:
+        """For pre-tokens that share a queue: the part of each byte (its id; past the ids if it has none), the rank of two bytes
+        (-1: none), and by ``left * size + right``, ascending, the ranks of all pairs of parts, after which a guard comes."""
+        if self.tables is None:
+            past, found = len(self.words) << WORD_BITS, {}
+            part = {**{bytes([b]): past + b for b in range(256)}, **self.ranks}
+            for piece, rank in self.ranks.items():
+                for k in range(1, len(piece)):
+                    left, right = part.get(piece[:k]), part.get(piece[k:])
+                    if left is not None and right is not None:
+                        found[left * (past + 257) + right] = rank
+            keys = np.array(sorted(found), np.int64)
+            values = np.array([found[k] for k in keys.tolist()] + [-1], np.int32)
+            two = np.array([[-1 if x is None else x for x in row] for row in self.two], np.int32)
+            self.tables = np.array([part[bytes([b])] for b in range(256)], np.int32), two, np.append(keys, np.iinfo(np.int64).max), values
+        return self.tables
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token. Every merge joins the pair of smallest rank, the leftmost of equals."""
@@ -163,6 +197,89 @@ class Merger:
                         summary |= 1 << word
         return [x for x in ids if x is not None]
 
+    def merge_all(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pre-tokens that are no tokens as a whole, as bytes: each merged as ``merge`` does, in one queue for all."""
+        get, (part, two, keys, values) = self.ranks.get, self._pairs()
+        past, size = len(self.words) << WORD_BITS, (len(self.words) << WORD_BITS) + 257
+        border = past + 256  # a part of its own around each pre-token, which no pair has
+        text = b"\0" + b"\0".join(pieces) + b"\0"
+        n, at = len(text), np.frombuffer(text, np.uint8)
+        edges = np.concatenate([[0], np.cumsum(np.array([len(p) + 1 for p in pieces], np.int64))])
+        parts = part[at]
+        parts[edges] = border
+        ranks = np.append(two[at[:-1], at[1:]], np.int32(-1))
+        ranks[edges] = ranks[edges[1:] - 1] = -1
+        owners = np.repeat(np.arange(len(edges), dtype=np.int32), np.diff(edges, append=n))
+        ids, pair, owner = (array("i", x.astype(np.int32).tobytes()) for x in (parts, ranks, owners))
+        after = array("i", np.arange(1, n + 1, dtype=np.int32).tobytes())
+        before = array("i", np.arange(-1, n - 1, dtype=np.int32).tobytes())
+        ids_, pair_, owner_, after_, before_ = (np.frombuffer(x, np.int32) for x in (ids, pair, owner, after, before))
+        words, buckets, summary, mask = self.words, self.buckets, 0, (1 << WORD_BITS) - 1
+        for rank, some in by_rank(ranks, np.arange(n, dtype=np.int32)):
+            buckets[rank] = some
+            word = rank >> WORD_BITS
+            words[word] |= 1 << (rank & mask)
+            summary |= 1 << word
+        while summary:
+            # find-first-set in the summary, then in the word
+            word = (summary & -summary).bit_length() - 1
+            bits = words[word]
+            first = bits & -bits
+            rank = word << WORD_BITS | first.bit_length() - 1
+            bucket = buckets.pop(rank)
+            words[word] = bits = bits ^ first
+            if not bits:
+                summary ^= 1 << word
+            # new pairs, and positions that wait for another one of their pre-token
+            changed: list[tuple[int, list[int]]] = []
+            if len(bucket) < SHARED_POSITIONS:
+                last = -1
+                for i in sorted(bucket):
+                    if pair[i] != rank:
+                        continue  # stale
+                    if owner[i] == last:
+                        changed.append((rank, [i]))
+                        continue
+                    last, gone, left = owner[i], after[i], before[i]
+                    end = after[gone]
+                    ids[i], ids[gone], pair[gone], after[i], before[end] = rank, -1, -1, end, i
+                    pair[i] = own = -1 if ids[end] == border else get(text[i : after[end]], -1)
+                    if own >= 0:
+                        changed.append((own, [i]))
+                    if ids[left] != border:
+                        pair[left] = own = get(text[left:end], -1)
+                        if own >= 0:
+                            changed.append((own, [left]))
+            else:
+                i = np.array(bucket, np.int32)
+                i = i[pair_[i] == rank]
+                i.sort()
+                own = owner_[i]
+                leftmost = np.append(True, own[1:] != own[:-1])[: len(i)]
+                if not leftmost.all():
+                    changed.append((rank, i[~leftmost].tolist()))
+                    i = i[leftmost]
+                gone, left = after_[i], before_[i]
+                end = after_[gone]
+                ids_[i], ids_[gone], pair_[gone], after_[i], before_[end] = rank, -1, -1, end, i
+                wanted = np.concatenate([ids_[left].astype(np.int64) * size + rank, np.int64(rank * size) + ids_[end]])
+                place = np.searchsorted(keys, wanted)
+                new = np.where(keys[place] == wanted, values[place], -1)
+                left = np.concatenate([left, i])
+                pair_[left] = new
+                changed += by_rank(new, left)
+            for own, some in changed:
+                if own in buckets:
+                    buckets[own] += some
+                else:
+                    buckets[own] = some
+                    word = own >> WORD_BITS
+                    words[word] |= 1 << (own & mask)
+                    summary |= 1 << word
+        is_id = (ids_ >= 0) & (ids_ < past)
+        out, ends = ids_[is_id].astype("<u4").tobytes(), (4 * np.cumsum(is_id)[edges]).tolist()
+        return [out[a:b] for a, b in zip(ends, ends[1:])]
+
     def merge_long(self, piece: bytes) -> bytes:
         """Ids of one pre-token as bytes, merged as ``merge`` does with arrays in place of lists; -1 is no id, no rank."""
         get, n = self.ranks.get, len(piece)
@@ -235,10 +352,70 @@ class Codec:
         self.memo_before: dict[str, bytes] = {}
         self.spaced_before: dict[str, bytes] = {}
         self.held = 0
+        self.fresh: dict[str, bytes] = {}  # ids of the texts' new pre-tokens while these are encoded
         self.pieces = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for piece, rank in self.ranks.items():
             self.pieces[rank] = piece
 
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """``encode`` of each text; pre-tokens that aren't remembered are first merged together."""
+        at = 0
+        while at < len(texts):
+            own, chars = [], 0
+            while at < len(texts) and (not own or chars + len(texts[at]) <= GATHERED):
+                own.append(texts[at])
+                chars += len(texts[at])
+                at += 1
+            if chars <= GATHERED:
+                self._learn(own)
+            yield from map(self.encode, own)
+            self.fresh = {}
+
+    def _learn(self, texts: list[str]) -> None:
+        """Remembers what the texts have after their spaces, and merges their other new pre-tokens."""
+        if self.held > MEMO_BYTES // 2 - MEMO_BYTES // 16:
+            self._turn()  # not amid these texts
+        spaced, before, old = self.spaced, self.spaced_before, (self.memo, self.memo_before)
+        parts: set[str] = set()
+        pieces: set[str] = set()
+        for text in texts:
+            first, *rest = text.split(" ")
+            new = set(rest).difference(spaced)
+            if not first or first[-1].isspace() or any(not p or p[0].isspace() or p[-1].isspace() for p in new):
+                pieces.update(self.split(text))
+            else:
+                pieces.update(self.split(first))
+                parts |= new
+        cut: dict[str, list[str]] = {}
+        for part in parts:
+            ids = before.get(part)
+            if ids is not None:
+                self._remember(spaced, part, ids)
+            elif len(part) <= LONGEST:
+                cut[part] = self.split(" " + part)
+        pieces.update(*cut.values())
+        self.fresh, new = {}, []
+        for piece in pieces.difference(*old):
+            if len(piece) <= LONGEST and not (piece[0] == " " and (piece[1:] in spaced or piece[1:] in before)):
+                data = piece.encode()
+                ids = self.ranks.get(data)
+                if ids is None:
+                    new.append((piece, data))
+                else:
+                    self.fresh[piece] = struct.pack("<I", ids)
+        if len(new) < SHARED_PIECES:
+            return
+        self.fresh.update(zip([p for p, _ in new], self.merger.merge_all([data for _, data in new])))
+        for part, (head, *rest) in cut.items():
+            # a pre-token with its space is remembered by what follows that, as the part of another text
+            own = head[1:]
+            ids = self.spaced.get(own)
+            if ids is None:
+                ids = before.get(own)
+                self._remember(self.spaced, own, ids := self._merged(head) if ids is None else ids)
+            if rest:
+                self._remember(self.spaced, part, ids + self._joined(rest))
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers.
 
@@ -275,10 +452,16 @@ class Codec:
             memo[part] = ids
             self.held += ENTRY_BYTES + 2 * len(part) + len(ids)
             if self.held > MEMO_BYTES // 2:
-                self.memo_before, self.spaced_before = self.memo, self.spaced
-                self.memo, self.spaced, self.held = {}, {}, 0
+                self._turn()
+
+    def _turn(self) -> None:
+        self.memo_before, self.spaced_before = self.memo, self.spaced
+        self.memo, self.spaced, self.held = {}, {}, 0
 
     def _merged(self, part: str) -> bytes:
+        ids = self.fresh.get(part)
+        if ids is not None:
+            return ids
         piece = part.encode()
         if len(piece) > LONG_PIECE:
             return self.merger.merge_long(piece)
@@ -286,7 +469,9 @@ class Codec:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _pieces(self, text: str) -> bytes:
-        parts = self.split(text)
+        return self._joined(self.split(text))
+
+    def _joined(self, parts: list[str]) -> bytes:
         memo = self.memo
         try:
             return b"".join([memo[part] for part in parts])
@@ -335,8 +520,7 @@ def encode_texts(df: DataFrame, path: str, pattern: str, *, text_col: str = "tex
         own = codec(path, pattern)
         for batch in batches:
             out: dict[str, list] = {c: [] for c in new}
-            for text in batch.column(at).to_pylist():
-                got = own.encode(text or "")
+            for got in own.encode_all([text or "" for text in batch.column(at).to_pylist()]):
                 if ids:
                     out["token_ids"].append(np.frombuffer(got, "<i4"))
                 out["n_tokens"].append(len(got) // 4)

@@ -176,3 +176,40 @@ def test_memory_of_words_is_bounded(monkeypatch):
     entries = sum(len(d) for name, d in vars(one).items() if name.startswith(("memo", "spaced")))
     assert 0 < entries <= (1 << 20) // bpe.ENTRY_BYTES
     assert got == [b"".join(one._merged(p) for p in one.split(t)) for t in texts]
+
+
+def test_shared_queue_equals_one_for_each(monkeypatch):
+    rng = random.Random(11)
+    for trial in range(12):
+        ranks = {bytes([b]): b for b in (b"abc" if trial % 2 else b"ab")}  # c may be no token
+        for size in (2, 3, 4, 5):
+            for _ in range(25):
+                ranks.setdefault(bytes(rng.choices(b"abc", k=size)), 1000 - len(ranks) * rng.choice((1, 7)) % 997)
+        ranks = {k: i for i, k in enumerate(sorted(ranks, key=lambda k: (len(k) > 1, ranks[k], k)))}
+        merger = bpe.Merger(ranks)
+        pieces = [bytes(rng.choices(b"abc", k=rng.randrange(1, 40))) for _ in range(400)] + [b"a" * k for k in range(1, 60)] + [b"c"]
+        pieces = [p for p in pieces if p not in ranks]
+        for positions in (0, 20, 10**9):  # all buckets as arrays, some, none
+            monkeypatch.setattr(bpe, "SHARED_POSITIONS", positions)
+            got = merger.merge_all(pieces)
+            assert [np.frombuffer(x, "<u4").tolist() for x in got] == [merger.merge(p) for p in pieces]
+            assert not merger.buckets and not any(merger.words)
+
+
+def test_new_pretokens_of_texts_share_a_queue(oracle, monkeypatch):
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdeéfst", k=rng.randrange(2, 14))) + rng.choice(("", "", ",", ".\n", "'s", "2")) for _ in range(3000)]
+    texts = [" ".join(words[k : k + 100]) for k in range(0, 3000, 100)] + ["\n".join(words[:500]), "  ".join(words[500:900]), " \x1c" + " \x1c".join(words[:50])]
+    want = [oracle.encode_ordinary(t) for t in texts]
+    one = bpe.Codec(RANKS, P.PATTERN)
+    monkeypatch.setattr(one.merger, "merge", None)  # no pre-token has a queue of its own
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in one.encode_all(texts)] == want
+        assert not one.fresh
+    odd = [t or "" for t in TEXTS]
+    for gathered, memo in ((1, 1 << 20), (2000, 1 << 20), (10**9, 1 << 14), (2000, 1 << 14)):  # with memories that are filled many times too
+        monkeypatch.setattr(bpe, "GATHERED", gathered)
+        monkeypatch.setattr(bpe, "MEMO_BYTES", memo)
+        one = bpe.Codec(RANKS, P.PATTERN)
+        for _ in range(2):
+            assert [np.frombuffer(x, "<u4").tolist() for x in one.encode_all(texts + odd)] == want + [oracle.encode_ordinary(t) for t in odd]
