@@ -29,8 +29,9 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -321,21 +322,35 @@ def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, shared
 
 
-def repeats(streams: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def numbered(streams: list[list[str]]) -> tuple[np.ndarray, list[str]]:
+    """The words of some pages' streams as numbers, with one of its own at the end of each page, and what has which number."""
+    numbers: defaultdict[str, int] = defaultdict(count().__next__)
+    tokens = np.concatenate([np.fromiter(map(numbers.__getitem__, chain(words, (MARK,))), np.int64, len(words) + 1) for words in streams])
+    ends = np.cumsum([len(words) + 1 for words in streams]) - 1
+    tokens[ends] = len(numbers) + np.arange(len(ends))  # no run goes over the end of a page
+    return tokens, list(numbers)
+
+
+def repeats(streams: list[list[str]], tokens: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The runs of RUN tokens of some pages' streams by a suffix array: for each place where one begins, the place and the
     run; of each run on how many of the pages it stands, and its first place. A page ends with a token of its own."""
-    numbers: dict[str, int] = {}
-    tokens = np.array([numbers.setdefault(w, len(numbers)) for words in streams for w in [*words, None]], np.int64)
-    page = np.repeat(np.arange(len(streams)), [len(words) + 1 for words in streams])
-    ends = np.flatnonzero(np.concatenate([page[1:] != page[:-1], [True]]))
-    tokens[ends] = len(numbers) + np.arange(len(ends))  # no run goes over the end of a page
+    if tokens is None:
+        tokens = numbered(streams)[0]
+    lengths = np.array([len(words) + 1 for words in streams])
+    page, ends = np.repeat(np.arange(len(streams)), lengths), np.cumsum(lengths) - 1
     order, shared = suffix_array(tokens)
     run = np.cumsum(shared < RUN)
     fits = order + RUN <= ends[page[order]]
     order, run = order[fits], run[fits]
-    known, first, run = np.unique(run, return_index=True, return_inverse=True)
-    kinds = np.unique(run * np.int64(len(streams)) + page[order]) // len(streams)
-    return order, run, np.bincount(kinds, minlength=len(known)), order[first]
+    # runs ascend, and most of them stand at one place
+    new = np.append(True, run[1:] != run[:-1])[: len(run)]
+    run, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    places = np.diff(first, append=len(run))
+    many = places[run] > 1
+    kinds = np.sort(run[many] * np.int64(len(streams)) + page[order[many]])
+    kinds = kinds[np.append(True, kinds[1:] != kinds[:-1])[: len(kinds)]] // len(streams)
+    pages = np.where(places > 1, np.bincount(kinds, minlength=len(first)), 1)
+    return order, run, pages, order[first]
 
 
 def run_pages(streams: list[list[str]], least: int = 1) -> tuple[list[str], list[int]]:
@@ -379,10 +394,16 @@ def clean_host(kinds: list[tuple[int, list[str]]]) -> list[str]:
     return out
 
 
-def hashed_runs(words: list[str]) -> np.ndarray:
-    """The hashes of a stream's runs, by place: sums of the hashes of their words, each by a power of an odd number."""
-    known: dict[str, int] = {}
-    own = np.array([known[w] if w in known else known.setdefault(w, xxhash.xxh64_intdigest(w)) for w in words], np.uint64)
+class Hashes(dict):
+    """Hashes of words, each computed once."""
+
+    def __missing__(self, word: str) -> int:
+        own = self[word] = xxhash.xxh64_intdigest(word)
+        return own
+
+
+def run_sums(own: np.ndarray) -> np.ndarray:
+    """Hashes of runs by place from hashes of words: sums of these, each by a power of an odd number."""
     n = len(own) - RUN + 1
     if n <= 0:
         return np.zeros(0, np.int64)
@@ -392,10 +413,25 @@ def hashed_runs(words: list[str]) -> np.ndarray:
     return (total ^ (total >> np.uint64(31))).view(np.int64)
 
 
-def unique_text(texts: list[str], boilerplate: np.ndarray) -> str:
-    """Blocks without the tokens that the runs of ``boilerplate`` (hashes) cover."""
+def hashed_runs(words: list[str], hashes: Hashes | None = None) -> np.ndarray:
+    """The hashes of a stream's runs, by place; streams of one share have their words' ``hashes`` in common."""
+    known = Hashes() if hashes is None else hashes
+    return run_sums(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+
+
+def among(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    """Which of the values are in the other, ascending array."""
+    if not len(ascending):
+        return np.zeros(len(values), bool)
+    return ascending[np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)] == values
+
+
+def unique_text(texts: list[str], boilerplate: np.ndarray, hashes: Hashes | None = None) -> str:
+    """Blocks without the tokens that the runs of ``boilerplate`` (their hashes, ascending) cover."""
+    if not len(boilerplate):
+        return MARK.join(texts)
     words = stream(texts)
-    starts = np.flatnonzero(np.isin(hashed_runs(words), boilerplate))
+    starts = np.flatnonzero(among(hashed_runs(words, hashes), boilerplate))
     if not len(starts):
         return MARK.join(texts)
     edges = np.bincount(starts, minlength=len(words) + 1) - np.bincount(starts + RUN, minlength=len(words) + 1)
@@ -484,28 +520,31 @@ def _candidates(table: pa.Table) -> pa.Table:
     if not share.kinds:
         return RUN_ARROW.empty_table()
     streams = [stream(texts) for _, texts in share.kinds.values()]
-    _, _, counts, first = repeats(streams)
-    words = [w for own in streams for w in [*own, ""]]
+    tokens, words = numbered(streams)
+    _, _, counts, first = repeats(streams, tokens)
     first = first[counts >= math.ceil(FEW[1] * len(streams) - 1e-9)]
-    hashes = np.unique(hashed_runs(words)[first])
+    own = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    hashes = np.unique(run_sums(own[np.minimum(tokens, len(own) - 1)])[first])  # no run has the end of a page
     return pa.table([pa.array([share.host] * len(hashes), pa.string()), pa.array(hashes), pa.nulls(len(hashes), pa.int64())], schema=RUN_ARROW)
 
 
 def _count_runs(table: pa.Table, runs: pa.Table) -> pa.Table:
     """On how many pages of the share each of the runs stands; the row without a run has all its pages."""
-    share, wanted, counts = Share(table), runs["run"].to_numpy(), Counter()
-    for _, texts in share.kinds.values():
-        here = np.unique(hashed_runs(stream(texts)))
-        counts.update(here[np.isin(here, wanted)].tolist())
+    share, wanted, counts, hashes = Share(table), np.sort(runs["run"].to_numpy()), Counter(), Hashes()
+    if len(wanted):
+        for _, texts in share.kinds.values():
+            here = hashed_runs(stream(texts), hashes)
+            counts.update(set(here[among(here, wanted)].tolist()))
     rows = [(None, len(share.kinds)), *counts.items()]
     return pa.table([pa.array([share.host] * len(rows), pa.string()), pa.array([r for r, _ in rows], pa.int64()), pa.array([n for _, n in rows], pa.int64())], schema=RUN_ARROW)
 
 
 def _clean_share(table: pa.Table, runs: pa.Table) -> pa.Table:
     """A share of a host with several, given the runs that enough of the host's pages have."""
-    share, few = Share(table), runs["run"].to_numpy()
-    most = few[runs["most"].to_numpy(zero_copy_only=False).astype(bool)]
-    return share.cleaned([unique_text(texts, most if zone == ARTICLE else few) for zone, texts in share.kinds.values()])
+    share, few, hashes = Share(table), runs["run"].to_numpy(), Hashes()
+    most = np.sort(few[runs["most"].to_numpy(zero_copy_only=False).astype(bool)])
+    few = np.sort(few)
+    return share.cleaned([unique_text(texts, most if zone == ARTICLE else few, hashes) for zone, texts in share.kinds.values()])
 
 
 def cleaned_pages(parsed: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import zstandard
 
 from prose_audit.llm import html_extract as he
 
@@ -166,3 +168,25 @@ def test_class_words_that_stand_for_what_they_say():
     assert text_of('<article><p>Text.</p><form class="search"><label>Mail</label><p>Enter it</p></form><div class="cookie-notice">We use cookies</div></article>') == "Text."
     assert text_of("<article><p>Text.</p><span class='share'>Share</span> it</article>") == "Text.\nit"
     assert text_of(f'<main><p>Some text of the page.</p><article class="comment"><p>{LONG}</p></article></main>') == "Some text of the page."
+
+
+def test_words_of_a_share_are_hashed_once(monkeypatch):
+    rng = random.Random(4)
+    texts = [[" ".join(rng.choices(["the", "of", "and", "to", "in", "a", f"w{k}"], k=60)), "one two three four five six seven eight nine"] for k in range(30)]
+    pack = zstandard.ZstdCompressor().compress
+    rows = [{"host": "h", "kind": k, "page_id": k, "url": "u", "blocks": pack("\n".join(["0", *own]).encode())} for k, own in enumerate(texts)]
+    share = pa.Table.from_pylist(rows, schema=pa.schema([("host", pa.string()), ("kind", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("blocks", pa.binary())]))
+    hashed, plain = [], he.xxhash.xxh64_intdigest
+    monkeypatch.setattr(he.xxhash, "xxh64_intdigest", lambda w: hashed.append(w) or plain(w))
+    candidates = he._candidates(share)
+    counts = he._count_runs(share, candidates)
+    assert max(Counter(hashed).values()) == 2  # once by each of the two steps
+    streams = [he.stream(own) for own in texts]
+    want = Counter(w for own in streams for w in {" ".join(own[i : i + he.RUN]) for i in range(len(own) - he.RUN + 1)})
+    got = {r["run"]: r["n"] for r in counts.to_pylist()}
+    assert got.pop(None) == len(texts) and sorted(got.values()) == sorted(want.values())
+    common = pa.table({"run": [r for r, n in got.items() if n == len(texts)]}).append_column("most", pa.array([True] * 4))
+    hashed.clear()
+    cleaned = he._clean_share(share, common)
+    assert max(Counter(hashed).values()) == 1
+    assert cleaned["text"].to_pylist() == [own[0] for own in texts]
