@@ -6,7 +6,8 @@ blocks that know their least and largest distance to each pivot. A document goes
 first; what it finds there bounds its k-th neighbour, and only blocks that can beat it get the document as well. A block
 meets its documents in chunks of CHUNK rows, so neither a frequent block nor a large corpus is one group.
 
-Defined cases: distances are over the words whose rate varies; equal distances are ordered by author; a document without
+Defined cases: distances are over the words whose rate varies; equal distances are ordered by author, and with ``digits``
+distances that are equal when rounded; a document without
 words has rates of 0; a null or empty author text counts as a sample without words; repeated doc_ids are documents of their
 own; without authors there are no rows; with fewer than k, all come out.
 """
@@ -53,9 +54,16 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([np.abs(a - row).mean(axis=1) for row in b], axis=1) if len(b) else np.zeros((len(a), 0))
 
 
-def nearest_vectors(docs: DataFrame, authors: DataFrame, k: int, width: int) -> DataFrame:
-    """``docs(row, v)``, rows different, and ``authors(author_id, v)`` → row, author_id, delta, rank: the ``k`` nearest."""
+def rounded(d: np.ndarray, digits: int | None) -> np.ndarray:
+    """Halves go up, as SQL rounds what isn't negative."""
+    return d if digits is None else np.floor(d * 10.0**digits + 0.5) / 10.0**digits
+
+
+def nearest_vectors(docs: DataFrame, authors: DataFrame, k: int, width: int, digits: int | None = None) -> DataFrame:
+    """``docs(row, v)``, rows different, and ``authors(author_id, v)`` → row, author_id, delta, rank: the ``k`` nearest.
+    With ``digits`` distances are rounded before they are ranked."""
     spark = docs.sparkSession
+    slack = 1e-9 if digits is None else 1e-9 + 10.0**-digits  # what rounds to the k-th distance may be further off than it
     pivots = np.array([r.v for r in authors.orderBy(F.xxhash64("author_id"), "author_id").limit(PIVOTS).collect()], float).reshape(-1, width)
 
     def to_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +111,7 @@ def nearest_vectors(docs: DataFrame, authors: DataFrame, k: int, width: int) ->
                 for i, own in enumerate(d):
                     low = np.maximum(np.maximum(near - own, own - far), 0).max(axis=1)
                     start = int(np.lexsort((np.abs((near + far) / 2 - own).sum(axis=1), low))[0])
-                    found = [start] if first else np.flatnonzero(low <= reach[i] + 1e-9).tolist()
+                    found = [start] if first else np.flatnonzero(low <= reach[i] + slack).tolist()
                     found = [x for x in found if first or x != start]
                     rows += [i] * len(found)
                     to += found
@@ -117,7 +125,7 @@ def nearest_vectors(docs: DataFrame, authors: DataFrame, k: int, width: int) ->
             names = block["authors"][0].as_py()
             vectors = np.frombuffer(block["vectors"][0].as_py()).reshape(-1, width)
             for row, own in zip(asked["row"].to_pylist(), matrix(asked["v"].combine_chunks(), width)):
-                d = np.abs(vectors - own).mean(axis=1)
+                d = rounded(np.abs(vectors - own).mean(axis=1), digits)
                 for i in sorted(np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]), key=lambda i: (d[i], names[i]))[:k]:
                     out["row"].append(row)
                     out["author_id"].append(names[i])
@@ -139,11 +147,11 @@ def nearest_vectors(docs: DataFrame, authors: DataFrame, k: int, width: int) ->
     return found.unionByName(more).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def nearest_authors(docs: DataFrame, baselines: DataFrame, k: int = 3, words: list[str] = FUNCTION_WORDS, n: int = 150) -> DataFrame:
+def nearest_authors(docs: DataFrame, baselines: DataFrame, k: int = 3, words: list[str] = FUNCTION_WORDS, n: int = 150, digits: int | None = None) -> DataFrame:
     """Burrows's Delta of every document from its ``k`` nearest authors: doc_id, author_id, delta, rank.
 
     Rates, deviations and authors' vectors are those of ``corpus.style_distance``; ``docs(doc_id, text)``,
-    ``baselines(author_id, text)``.
+    ``baselines(author_id, text)``. With ``digits`` deltas are rounded before they are ranked.
     """
     own = _stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "numbered")
     chosen = most_frequent(own, words, n)
@@ -157,5 +165,5 @@ def nearest_authors(docs: DataFrame, baselines: DataFrame, k: int = 3, words: li
     of_sample = style_vectors(samples.select("sample", "text"), "sample", scales).join(samples.select("sample", "author_id"), "sample")
     authors = of_sample.groupBy("author_id").agg(F.array(*[F.avg(F.get("v", F.lit(i))) for i in range(len(scales))]).alias("v"))
     vectors = _stored(style_vectors(own.select("row", "text"), "row", scales), "vectors")
-    found = nearest_vectors(vectors, _stored(authors, "authors"), k, len(scales))
+    found = nearest_vectors(vectors, _stored(authors, "authors"), k, len(scales), digits)
     return found.join(own.select("row", "doc_id"), "row").select("doc_id", "author_id", "delta", "rank")

@@ -492,7 +492,7 @@ def nearest_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three sources whose labelled good documents every document's style is nearest to."""
     docs = table(spark, sf_dir, "documents")
     good = docs.join(table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
-    out = nearest.nearest_authors(docs, good.select(F.col("source").alias("author_id"), "text"), 3)
+    out = nearest.nearest_authors(docs, good.select(F.col("source").alias("author_id"), "text"), 3, digits=6)
     return out.select("doc_id", "author_id", F.round("delta", 6).alias("delta"), "rank")
 
 

@@ -29,6 +29,21 @@ def test_against_all_distances(spark, monkeypatch):
     assert nearest.nearest_vectors(d.limit(0), a, 2, 4).collect() == []
 
 
+def test_rounded_distances_are_ranked(spark, monkeypatch):
+    """Distances that are equal when rounded are ordered by author, also of blocks that are a little further off."""
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(nearest, "BLOCK", 4)
+    authors = [(f"a{99 - k:02}", [0.1 + 0.0004 * k]) for k in range(60)] + [(f"b{k:02}", [float(x)]) for k, x in enumerate(rng.random(40))]
+    docs = [(k, [float(x)]) for k, x in enumerate([0.0, *rng.random(60)])]
+    a, d = spark.createDataFrame(authors, "author_id string, v array<double>"), spark.createDataFrame(docs, VECTORS)
+    got = {}
+    for r in nearest.nearest_vectors(d, a, 3, 1, digits=2).collect():
+        got.setdefault(r.row, []).append((r["rank"], r.delta, r.author_id))
+    for row, (own,) in docs:
+        want = sorted((float(np.floor(abs(x - own) * 100 + 0.5) / 100), n) for n, (x,) in authors)[:3]
+        assert [x[1:] for x in sorted(got[row])] == want
+
+
 def test_few_blocks_are_asked(spark, monkeypatch):
     """No pairs of all documents and authors: most blocks are ruled out by their bounds."""
     rng = np.random.default_rng(2)
