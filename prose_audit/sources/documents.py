@@ -9,12 +9,14 @@ import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import unescape
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..functions.batches import pieces
 from ..functions.patterns import WS
 
 ACCEPTED = ("docx", "md", "markdown", "txt")
@@ -136,11 +138,18 @@ def to_plain_text(blocks: Column, *, shout: bool = False) -> Column:
 
 def normalize_for_match(text: Column) -> Column:
     """struct<norm, offsets>: NFC, white space runs as one space, straight quotes; with the offset in the original of
-    every character."""
+    every character.
+
+    In a composed text every character but white space stays one, so offsets are those of what is kept; other texts are
+    composed piece by piece."""
     quotes = str.maketrans("‘’‚‛“”„‟", "''''\"\"\"\"")
     space = re.compile(f"{WS}+")
+    blanks = np.array([c for c in range(0x10000) if space.match(chr(c))], np.uint32)
 
     def one(t: str) -> dict:
+        if unicodedata.is_normalized("NFC", t):
+            blank = np.isin(np.frombuffer(t.encode("utf-32-le"), np.uint32), blanks)
+            return {"norm": space.sub(" ", t).translate(quotes), "offsets": np.flatnonzero(~(blank & np.r_[False, blank[:-1]])).astype(np.int32)}
         norm, offsets, i = [], [], 0
         while i < len(t):
             m = space.match(t, i)
@@ -156,11 +165,11 @@ def normalize_for_match(text: Column) -> Column:
                 norm.append(c)
                 offsets.append(i)
             i = j
-        return {"norm": "".join(norm), "offsets": offsets}
+        return {"norm": "".join(norm), "offsets": np.array(offsets, np.int32)}
 
     @F.pandas_udf(T.StructType([T.StructField("norm", T.StringType()), T.StructField("offsets", T.ArrayType(T.IntegerType()))]))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in pieces(batches):
             yield pd.DataFrame([one(t or "") for t in batch], columns=["norm", "offsets"])
 
     return run(text)

@@ -2,12 +2,16 @@ import io
 import random
 import re
 import statistics
+import unicodedata
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from prose_audit.functions import batches
 from prose_audit.functions import text as X
+from prose_audit.functions.patterns import WS
 from prose_audit.operators import corpus as C
 from prose_audit.operators import diff as D
 from prose_audit.operators import metrics as M
@@ -203,6 +207,25 @@ def test_files(spark, tmp_path):
     assert [r.length_guard for r in DOC.short_text_gate(rows(spark, ["w " * 100, "w " * 200, "w " * 500])).orderBy("doc_id").collect()] == ["insufficient", "short", None]
 
 
+def test_offsets_of_composed_texts(spark):
+    """Composed and other texts have the offsets of the plain search, in pieces of few characters."""
+    texts = ["  a \u3000\tb\n", "“é” x\u00a0\u2003 y", "a\u0301 b\u0323\u0307", "\u2000\u2001 z", "𝒳 \ufeff‘q’", "x \u0301y", "", " ", "plain"] * 3
+    got = rows(spark, texts).coalesce(1).select("doc_id", DOC.normalize_for_match(F.col("text")).alias("n")).orderBy("doc_id").collect()
+    for t, r in zip(texts, got):
+        parts = [m for m in re.finditer(f"{WS}+|(?!{WS}).[\u0300-\u036f]*", t, re.S)]
+        plain = [(m.start(), c) for m in parts for c in (" " if re.match(WS, m[0]) else unicodedata.normalize("NFC", m[0]))]
+        assert r.n.offsets == [i for i, _ in plain]
+        assert r.n.norm == "".join(c for _, c in plain).translate(str.maketrans("‘’“”", "''\"\""))
+
+
+def test_pieces_are_bounded(monkeypatch):
+    """A batch goes to a helper in pieces, so no more than some texts' results are held at once."""
+    monkeypatch.setattr(batches, "CHARS", 10)
+    texts = ["aaaa", "bbbb", None, "cccc", "d" * 30, "e", ["f" * 6, None, "g" * 6], ["h"]]
+    assert [p.tolist() for p in batches.pieces(iter([pd.Series(texts), pd.Series(["x"])]))] == [["aaaa", "bbbb", None], ["cccc"], ["d" * 30], ["e"], [["f" * 6, None, "g" * 6]], [["h"]], ["x"]]
+    assert [len(p) for p in batches.pieces(iter([pd.Series([], dtype=object)]))] == [0]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"We utilize {i} tools — in order to win.\n\nThe landscape was written; so it is.") for i in range(20)], "doc_id long, text string")
     docs.write.parquet(str(tmp_path / "in"))
