@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.batches import pieces
 
 #: Function words that a style is told by; a parameter of ``style_distance``.
 FUNCTION_WORDS = (
@@ -135,27 +140,104 @@ def style_distance(docs: DataFrame, baselines: DataFrame, words: list[str] = FUN
     return pairs.select("doc_id", "author_id", (F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / F.size("v")).alias("delta"))
 
 
-def grams(text: Column, n: int = 3) -> Column:
-    """array<string> of letter sequences, words padded with underscores."""
-    padded = F.concat(F.lit("_"), F.regexp_replace(F.lower(text), r"[^\p{L}]+", "_"), F.lit("_"))
-    return X.let(F.regexp_replace(padded, "_+", "_"), lambda p: F.when(F.length(p) >= n, F.transform(F.sequence(F.lit(1), F.length(p) - n + 1), lambda i: F.substring(p, i, F.lit(n)))).otherwise(F.array().cast("array<string>")))
+def letters(text: Column) -> Column:
+    """The text's words in lower case, padded with underscores: what letter sequences are cut from."""
+    return F.concat(F.lit("_"), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+", "_"), F.lit("_")), F.lit("_"))
+
+
+def gram_counts(padded: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different sequences of ``n`` letters, in order, and how often each comes up. Up to three are packed into a number,
+    21 bits a letter."""
+    if len(padded) < n or padded == "__":
+        return np.array([], np.int64 if n <= 3 else f"U{n}"), np.array([], np.int64)
+    if n > 3:
+        return np.unique(np.array([padded[i : i + n] for i in range(len(padded) - n + 1)]), return_counts=True)
+    codes = np.frombuffer(padded.encode("utf-32-le"), np.uint32).astype(np.int64)
+    keys = np.zeros(len(codes) - n + 1, np.int64)
+    for k in range(n):
+        keys = keys << 21 | codes[k : len(codes) - n + 1 + k]
+    return np.unique(keys, return_counts=True)
+
+
+def gram_texts(keys: np.ndarray, n: int) -> list[str]:
+    return ["".join(chr(int(x) >> 21 * k & 0x1FFFFF) for k in range(n - 1, -1, -1)) for x in keys] if n <= 3 else keys.tolist()
+
+
+def gram_keys(texts: list[str], n: int) -> np.ndarray:
+    """Sequences as ``gram_counts`` has them."""
+    return np.array([sum(ord(c) << 21 * (n - 1 - k) for k, c in enumerate(t)) for t in texts], np.int64) if n <= 3 else np.array(texts, f"U{n}")
+
+
+def all_grams(texts: DataFrame, key: str, n: int) -> DataFrame:
+    """key, gram, count of ``texts(key, p)``, see ``letters``; counted by text, and summed for pieces of batches before they
+    are shuffled."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            at = 0
+            for own in pieces(iter([b["p"]])):
+                for value, some in own.groupby(b[key].iloc[at : at + len(own)].to_numpy()):
+                    found = [gram_counts(p, n) for p in some]
+                    keys, where = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+                    number = np.bincount(where, np.concatenate([c for _, c in found]), len(keys)).astype(np.int64)
+                    yield pd.DataFrame({key: value, "gram": gram_texts(keys, n), "count": number})
+                at += len(own)
+
+    kind = texts.schema[key].dataType.simpleString()
+    return texts.select(key, "p").mapInPandas(count, f"{key} {kind}, gram string, count long").groupBy(key, "gram").agg(F.sum("count").alias("count"))
 
 
 def language_profiles(docs: DataFrame, *, top: int = 300, n: int = 3) -> DataFrame:
     """lang, gram, rank: the most frequent letter sequences of each language of ``docs(lang, text)``."""
-    counts = docs.filter("lang is not null").select("lang", F.explode(grams(F.coalesce("text", F.lit("")), n)).alias("gram")).groupBy("lang", "gram").count()
+    counts = all_grams(docs.filter("lang is not null").select("lang", letters(F.col("text")).alias("p")), "lang", n)
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "gram"))).filter(F.col("rank") <= top).select("lang", "gram", "rank")
 
 
+def nearest_ranking(padded: Column, profiles: list[tuple[str, str, int]], top: int, n: int) -> Column:
+    """The language of ``profiles(lang, gram, rank)`` whose ranking is nearest to that of a text (see ``letters``), in its row."""
+    langs = sorted({lang for lang, _, _ in profiles})
+    table = np.unique(gram_keys([g for _, g, _ in profiles], n))
+    ranks = np.zeros((len(table), len(langs)), np.int64)  # 0: not in the profile
+    for at, (lang, _, rank) in zip(np.searchsorted(table, gram_keys([g for _, g, _ in profiles], n)), profiles):
+        ranks[at, langs.index(lang)] = rank
+
+    def one(p: str) -> str | None:
+        keys, number = gram_counts(p, n)
+        own = keys[np.argsort(-number, kind="stable")[:top]]
+        if not len(own) or not len(table):
+            return None
+        at = np.minimum(np.searchsorted(table, own), len(table) - 1)
+        met = table[at] == own
+        rows = ranks[at[met]]
+        gain = np.where(rows > 0, np.abs(np.flatnonzero(met)[:, None] + 1 - rows) - top, 0).sum(axis=0)
+        found = np.flatnonzero((rows > 0).any(axis=0))
+        return langs[found[gain[found].argmin()]] if len(found) else None
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in pieces(batches):
+            yield pd.Series([one(p) for p in batch], dtype=object)
+
+    return run(padded)
+
+
 def detect_language(docs: DataFrame, profiles: DataFrame, *, top: int = 300, n: int = 3) -> DataFrame:
     """doc_id, lang_pred: the language whose ranking is nearest to the document's own, by the sum of rank
-    differences; null for a document without letters. Profiles have ``top`` rows a language and are broadcast."""
-    counts = docs.select("doc_id", F.explode(grams(F.coalesce("text", F.lit("")), n)).alias("gram")).groupBy("doc_id", "gram").count()
+    differences; null for a document without letters or doc_id. Profiles have ``top`` rows a language and go to all tasks.
+
+    Texts are ranked in their row, however long. The texts of a repeated doc_id are one document; of those alone
+    the sequences are shuffled."""
+    known = [(r.lang, r.gram, r["rank"]) for r in profiles.collect()]
+    again = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("texts")).filter("texts > 1").select("doc_id")
+    own = docs.select("doc_id", letters(F.col("text")).alias("p"))
+    here = own.select("doc_id", F.when(F.col("doc_id").isNotNull(), nearest_ranking(F.col("p"), known, top, n)).alias("lang_pred"))
+    if again.isEmpty():
+        return here
     order = Window.partitionBy("doc_id").orderBy(F.desc("count"), "gram")
-    ranked = counts.withColumn("own_rank", F.row_number().over(order)).filter(F.col("own_rank") <= top)
+    ranked = all_grams(own.join(again, "doc_id", "left_semi"), "doc_id", n).withColumn("own_rank", F.row_number().over(order)).filter(F.col("own_rank") <= top)
     met = ranked.join(F.broadcast(profiles), "gram").groupBy("doc_id", "lang").agg(F.sum(F.abs(F.col("own_rank") - F.col("rank")) - top).alias("gain"))
-    best = met.groupBy("doc_id").agg(F.min_by("lang", F.struct("gain", "lang")).alias("lang_pred"))
-    return docs.select("doc_id").join(best, "doc_id", "left")
+    pooled = again.join(met.groupBy("doc_id").agg(F.min_by("lang", F.struct("gain", "lang")).alias("of_all")), "doc_id", "left").withColumn("again", F.lit(True))
+    return here.join(pooled, "doc_id", "left").select("doc_id", F.when(F.col("again"), F.col("of_all")).otherwise(F.col("lang_pred")).alias("lang_pred"))
 
 
 def top_per_group(rows: DataFrame, group: str, value: str, tie: str, k: int) -> DataFrame:

@@ -218,6 +218,40 @@ def test_offsets_of_composed_texts(spark):
         assert r.n.norm == "".join(c for _, c in plain).translate(str.maketrans("‘’“”", "''\"\""))
 
 
+def test_letter_language_as_plain_ranks(spark):
+    """The plain ranking, for long, repeated, pooled, letterless and rare texts; rows aren't spread out by sequence."""
+    rng = random.Random(6)
+    words = {"x": ["der", "die", "Straße", "über"], "y": ["the", "of", "ship"], "z": ["𝒳𝒴", "𝒳o", "été"]}
+    text = lambda k, n: " ".join(rng.choices(words[k], k=n))
+    docs = [(i, "xyz"[i % 3], text("xyz"[i % 3], 40)) for i in range(30)]
+    docs += [(30, None, text("x", 60_000)), (31, None, None), (32, None, "12 - 3"), (33, None, "qqq"), (33, None, text("y", 9)), (33, None, text("y", 9)), (34, None, ""), (34, None, text("z", 9)), (None, None, "the ship")]
+    frame = spark.createDataFrame(docs, "doc_id long, lang string, text string")
+
+    def ranks(texts, top=20):
+        n = {}
+        for t in texts:
+            p = re.sub("_+", "_", "_" + re.sub(r"[\W\d_]+", "_", (t or "").lower()) + "_")
+            for i in range(len(p) - 2):
+                n[p[i : i + 3]] = n.get(p[i : i + 3], 0) + 1
+        return {g: i + 1 for i, g in enumerate(sorted(n, key=lambda g: (-n[g], g))[:top])}
+
+    profiles = {k: ranks([t for _, own, t in docs if own == k]) for k in "xyz"}
+    out = C.detect_language(frame, C.language_profiles(frame, top=20), top=20)
+    assert {(r.lang, r.gram): r["rank"] for r in C.language_profiles(frame, top=20).collect()} == {(k, g): i for k in profiles for g, i in profiles[k].items()}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan  # of the repeated doc_id
+    once = C.detect_language(frame.filter("doc_id < 33"), C.language_profiles(frame, top=20), top=20)
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan and "Join" not in plan
+    assert {r.doc_id: r.lang_pred for r in once.collect()} == {r.doc_id: r.lang_pred for r in out.collect() if r.doc_id is not None and r.doc_id < 33}
+    want = []
+    for doc_id, *_ in docs:
+        own = ranks([t for d, _, t in docs if d == doc_id])
+        gains = [(sum(abs(own[g] - i) - 20 for g, i in profiles[k].items() if g in own), k) for k in "xyz" if own.keys() & profiles[k].keys()]
+        want.append((doc_id, min(gains)[1] if gains and doc_id is not None else None))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+
+
 def test_pieces_are_bounded(monkeypatch):
     """A batch goes to a helper in pieces, so no more than some texts' results are held at once."""
     monkeypatch.setattr(batches, "CHARS", 10)
