@@ -31,10 +31,7 @@ MOST_BLOCKS = 100_000
 PACKED = "block long, authors array<string>, vectors binary, near array<double>, far array<double>"
 
 
-def _stored(df: DataFrame, what: str) -> DataFrame:
-    path = sinks.shared_folder(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+_stored = sinks.stored
 
 
 def style_vectors(texts: DataFrame, key: str, scales: dict[str, float]) -> DataFrame:

@@ -423,7 +423,7 @@ def sketch_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of the readability score by class, from sketches by class and source, and whether their ranks are right."""
     docs = corpus.readability(table(spark, sf_dir, "documents")).select("doc_id", "source", F.col("score").alias("total"))
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("class"))
-    scores = docs.join(labels, "doc_id")
+    scores = sinks.stored(docs.join(labels, "doc_id"), "scores")  # read twice, and filtered by what is costly to tell
     of_class = corpus.merged_sketches(corpus.score_sketches(scores, "class", "source"), "class")
     out = corpus.rank_errors(corpus.sketch_thresholds(of_class, [0.05, 0.5, 0.95]), scores, "class")
     return out.select("class", "docs", "share", (F.col("rank_error") <= corpus.RANK_ERROR).alias("within"))

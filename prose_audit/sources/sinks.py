@@ -22,6 +22,13 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written to a shared folder, so that it is made once however often it is read."""
+    path = shared_folder(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_partitioned(results: DataFrame, path: str, by: list[str], order: list[str | Column]) -> None:
     """Writes ``results`` into folders by the columns ``by``, files range-sorted by ``order``.
 

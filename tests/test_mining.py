@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from prose_audit.operators import corpus
 from prose_audit.operators import phrase_mining as M
+from prose_audit.plans import queries as Q
 
 SCHEMA = "doc_id long, text string, good boolean"
 
@@ -63,3 +64,9 @@ def test_quantile_sketches(spark):
     assert len(out) == 12 and all(r.rank_error <= corpus.RANK_ERROR for r in out)
     few = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", None)], "class string, total double")
     assert [(r["class"], r.docs) for r in corpus.score_sketches(few, "class").collect()] == [("a", 2)]
+
+
+def test_scores_are_made_once(spark):
+    """Readability is told once: neither the sketches, nor the ranks, nor the filters before them tell it again."""
+    plan = Q.sketch_thresholds(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan
