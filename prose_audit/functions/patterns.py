@@ -11,6 +11,8 @@ import re
 #: White space of the rules' dialect, as the inside of a character class.
 SPACES = "\t\n\x0b\x0c\r    -     　﻿"
 WS = f"[{SPACES}]"
+#: The same one by one.
+BLANKS = "".join(c for c in map(chr, range(0x10000)) if re.match(WS, c))
 NOT_WS = f"[^{SPACES}]"
 #: A word, and the abbreviations that end no sentence.
 WORD = "[A-Za-z0-9'’-]+"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import ABBREVIATIONS, AFTER_WORD, BEFORE_WORD, EMOJI, GUARD, HEADING, SPACES, WORD, WS
+from .patterns import ABBREVIATIONS, AFTER_WORD, BEFORE_WORD, BLANKS, EMOJI, GUARD, HEADING, SPACES, WORD, WS
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -21,7 +21,7 @@ def replace(text: Column, pattern: str, by: str) -> Column:
 
 def strip(text: Column) -> Column:
     """White space of the rules' dialect off both ends."""
-    return replace(text, rf"\A{WS}+|{WS}+\z", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def round1(x: Column) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..functions.batches import pieces
 from ..functions.patterns import BENIGN, CONNECTIVE, HEADING, HEADING_LINE, PASSIVE, WS, java
 from ..functions.phrases import DisjointSpans, PhraseIndex
 from ..sources.rules import Rules
@@ -44,6 +45,14 @@ SPECIFIC_PATTERNS = [
     (r"(?<![\w.])\d+(?:\.\d+)?(?:%| percent\b)(?!(?:(?!\.\s).)*\b(?:according|source|survey|report|study)\b)", "Percentage without a source"),
 ]
 
+#: What a text in lower case has if the pattern at the same place matches in it.
+SPECIFIC_HINTS = [
+    ("research", "studies", "surveys", "data", "report"), ("experts", "analysts", "observers", "critics", "industry leaders"), ("up to ",),
+    ("companies", "organizations", "businesses", "people", "users", "teams", "customers"), ("it is ",), ("%", " percent"),
+]
+#: What a sentence in lower case has if it has a passive.
+PASSIVE_HINT = re.compile(rf"(?:am|is|are|was|were|been|being|be){WS}")
+
 FLAG = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("type", "excerpt", "found", "reason", "suggestion")]
 )
@@ -66,7 +75,7 @@ def masked_text(text: Column, rules: Rules) -> Column:
     @F.pandas_udf(MASKED)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         vault, index = Vault(rules.protected), PhraseIndex([r[0] for r in rules.flags])
-        for batch in batches:
+        for batch in pieces(batches):
             rows: dict[str, list] = {"masked": [], "kept": [], "words": []}
             for text in batch:
                 own, kept = vault.take(text or "")
@@ -219,12 +228,13 @@ REVIEW = T.StructType(
 
 class Reviewer:
     """Flags of one paragraph, by the rules of one set. An earlier flag keeps its range; advice on a whole
-    sentence or paragraph claims none."""
+    sentence or paragraph claims none. Without ``excerpts`` they are null."""
 
-    def __init__(self, rules: Rules) -> None:
-        self.rules, self.words = rules, PhraseIndex([r[0] for r in rules.flags])
+    def __init__(self, rules: Rules, *, excerpts: bool = True) -> None:
+        self.rules, self.words, self.excerpts = rules, PhraseIndex([r[0] for r in rules.flags]), excerpts
         self.passive, self.benign = re.compile(PASSIVE, re.A | re.I), re.compile(BENIGN, re.A | re.I)
-        self.specifics = [(re.compile(p, re.A | re.I), reason) for p, reason in SPECIFIC_PATTERNS]
+        self.specifics = [(re.compile(p, re.A | re.I), reason, hints) for (p, reason), hints in zip(SPECIFIC_PATTERNS, SPECIFIC_HINTS, strict=True)]
+        self.heading, self.word = re.compile(HEADING), re.compile("[A-Za-z0-9'’-]+")
 
     def review(self, text: str) -> list[tuple]:
         settings, out = self.rules.settings, []
@@ -234,33 +244,35 @@ class Reviewer:
         def span(kind: tuple | str, dim: str, a: int, b: int, reason: str, advice: str, how: str, by: str | None = None, found: str | None = None) -> None:
             if how != "advice-span" and not claimed.add(a, b):
                 return
-            out.append((a, b, kind, dim, text[a:b] if found is None else found, reason, advice, how, by, snippet(text, a, b - a) if how != "advice-span" else text[a:b][:160] + "…" * (b - a > 160)))
+            excerpt = None if not self.excerpts else snippet(text, a, b - a) if how != "advice-span" else text[a:b][:160] + "…" * (b - a > 160)
+            out.append((a, b, kind, dim, text[a:b] if found is None else found, reason, advice, how, by, excerpt))
 
         for i, a, b in self.words.by_phrase(text):
             _, reason, advice, dim, alternatives = self.rules.flags[i]
             span(WORD_CHOICE, dim_for_flag_word(reason, dim), a, b, reason, advice, "swap" if alternatives else "advice", (alternatives or [None])[0])
-        for pattern, reason in self.specifics:
-            for m in pattern.finditer(text):
+        low = text.lower()
+        for pattern, reason, hints in self.specifics:
+            for m in pattern.finditer(text) if any(h in low for h in hints) else ():
                 span(SPECIFICS, "d4", *m.span(), reason, "Name the source, the people or the number", "advice")
         heading = text.lstrip().startswith("#")
+        openers: dict[str, int] = {}
         for a, b, s in sentences:
-            if re.match(HEADING, s):
+            words = self.word.findall(s)
+            if not heading and len(words) > 1:
+                key = f"{words[0]} {words[1]}".lower()
+                openers[key] = openers.get(key, 0) + 1
+            if s[0] == "#" and self.heading.match(s):
                 continue
-            n = len(re.findall("[A-Za-z0-9'’-]+", s))
+            n = len(words)
             if n > int(settings.get("maxSentenceWords") or 28):
                 span(LONG_SENTENCE[0], "d2", a, b, *LONG_SENTENCE[1:], "advice-span", None, f"{n} words")
-            if settings.get("flagPassiveVoice") and (m := self.passive.search(s)) and (m[3] or not self.benign.search(m[0])):
+            if settings.get("flagPassiveVoice") and PASSIVE_HINT.search(s.lower()) and (m := self.passive.search(s)) and (m[3] or not self.benign.search(m[0])):
                 span(PASSIVE_VOICE[0], "d3", a + m.start(), a + m.end(), *PASSIVE_VOICE[1:], "advice")
-            if settings.get("flagSemicolons"):
+            if ";" in s and settings.get("flagSemicolons"):
                 for m in re.finditer(";", s):
                     span(SEMICOLON[0], "d2", a + m.start(), a + m.end(), *SEMICOLON[1:], "advice")
         if not heading and len(sentences) > int(settings.get("maxParagraphSentences") or 6):
             span(LONG_PARAGRAPH[0], "d2", 0, len(text), *LONG_PARAGRAPH[1:], "advice-span", None, f"{len(sentences)} sentences")
-        openers: dict[str, int] = {}
-        for *_, s in [] if heading else sentences:
-            first = re.findall("[A-Za-z0-9'’-]+", s)[:2]
-            if len(first) == 2:
-                openers[" ".join(first).lower()] = openers.get(" ".join(first).lower(), 0) + 1
         for key, n in openers.items():
             if n >= 3:
                 span(OPENERS[0], "d2", 0, len(text), *OPENERS[1:], "advice-span", None, f'{n} sentences start with "{key}"')
@@ -274,7 +286,7 @@ def review_paragraph(text: Column, rules: Rules) -> Column:
     @F.pandas_udf(T.ArrayType(REVIEW))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = Reviewer(rules)
-        for batch in batches:
+        for batch in pieces(batches):
             yield pd.Series([[dict(zip(names, f)) for f in own.review(t or "")] for t in batch])
 
     return run(text)
@@ -286,14 +298,39 @@ def dimension_counts(paragraphs: Column, rules: Rules) -> Column:
 
     @F.pandas_udf(T.StructType([T.StructField(d, T.IntegerType()) for d in dims]))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = Reviewer(rules)
-        for batch in batches:
+        own = Reviewer(rules, excerpts=False)
+        for batch in pieces(batches):
             found = [[f[3] for p in ([] if texts is None else texts) for f in own.review(p or "")] for texts in batch]
             yield pd.DataFrame({d: [x.count(d) for x in found] for d in dims}, dtype="int32")
 
     return run(paragraphs)
 
 
+def dimension_counts_of_both(original: Column, output: Column, rules: Rules) -> Column:
+    """struct<before, after> of ``dimension_counts``, of paragraphs (array<string>) and of what became of them; a paragraph
+    that stayed as it is is looked at once."""
+    dims = ("d1", "d2", "d3", "d4")
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        own = Reviewer(rules, excerpts=False)
+
+        def found(text: str | None) -> list[str]:
+            return [f[3] for f in own.review(text or "")]
+
+        for before, after in batches:
+            rows = []
+            for a, b in zip(before, after):
+                pairs = [(x := found(p), x if p == q else found(q)) for p, q in zip([] if a is None else a, [] if b is None else b)]
+                rows.append([sum(pair[side].count(d) for pair in pairs) for side in (0, 1) for d in dims])
+            yield pd.Series(rows)
+
+    def sides(n: Column) -> Column:
+        return F.struct(*[F.struct(*[F.get(n, F.lit(4 * k + i)).alias(d) for i, d in enumerate(dims)]).alias(side) for k, side in enumerate(("before", "after"))])
+
+    return X.let(run(original, output), sides)
+
+
 def review_flags(paragraphs: DataFrame, rules: Rules, *, documents: DataFrame | None = None) -> DataFrame:
     """Flags of ``paragraphs(doc_id, para_idx, output)`` with offsets into the paragraph; with ``documents(doc_id,
     text)`` also those of whole documents, whose para_idx, start and end are null."""

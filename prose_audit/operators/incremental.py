@@ -15,10 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.patterns import java
 from ..sources.rules import Rules
 from .flags import review_paragraph
-from .scoring import DIMENSIONS, PRESENCE, density_score, total, verdict
+from .scoring import DIMENSIONS, PRESENCE, density_score, presence_pattern, total, verdict
 
 KEY = ["doc_id", "para_idx"]
 FLAG_KEY = [*KEY, "type", "found", "start"]
@@ -50,7 +49,7 @@ def paragraph_state(paragraphs: DataFrame, rules: Rules, dismissed: DataFrame |
         return F.size(F.filter("left", lambda f: f["dim"] == dim)).cast("long").alias(dim)
 
     counts = [number(k) for k in ("d1", "d2", "d3", "d4")]
-    signs = [F.col("t").rlike(java(p)).cast("long").alias(f"s{i}") for i, p in enumerate(PRESENCE.values())]
+    signs = [F.col("t").rlike(presence_pattern(k)).cast("long").alias(f"s{i}") for i, k in enumerate(PRESENCE)]
     return rows.select(*KEY, content_hash(F.col("t")).alias("hash"), X.word_count(F.col("t")).cast("long").alias("n_words"), *counts, *signs)
 
 

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..functions.batches import pieces
 from ..functions.patterns import EMOJI, PROTECTED, PROTECTED_HINT, WS, literal
+from ..functions.phrases import lowered
 from ..sources.rules import Rules
 
 # Names of the changes, as the log has them.
@@ -118,8 +120,18 @@ class VerbGuard:
         return word in MODIFIERS or len(word) > 3 and word.endswith(ADJECTIVE_ENDINGS)
 
 
+_SPACES_BEFORE, _SPACE_BEFORE = re.compile(" +([.,;:!?])"), re.compile(" ([.,;:!?])")
+_COMMAS, _COMMA_BEFORE = re.compile(rf",{WS}*,"), re.compile(rf",{WS}*([.,;:!?])")
+_RUN, _LINE_END, _WORDS = re.compile(" {2,}"), re.compile(" +\n"), re.compile("[a-z0-9_]+")
+
+
+def _spaced(text: str) -> bool:
+    """Whether there is a space before punctuation."""
+    return any(x in text for x in (" .", " ,", " ;", " :", " !", " ?"))
+
+
 class Rewriter:
-    """All passes of one rule set, compiled."""
+    """All passes of one rule set, compiled. A pass is made over texts that hold what it looks for."""
 
     DASHES = [
         (re.compile(rf"([0-9]){WS}*[–—]{WS}*([0-9])"), lambda m: (m[0], f"{m[1]} to {m[2]}", f"{m[1]} to {m[2]}")),
@@ -130,8 +142,8 @@ class Rewriter:
     def __init__(self, rules: Rules) -> None:
         self.settings = rules.settings
         self.vault, self.is_verb = Vault(rules.protected), VerbGuard()
-        self.openers = [(p, self._first(p), re.compile(rf"((?:^|[.!?:]{WS}+|\n{WS}*))" + re.escape(p).replace("'", "['’]") + rf"{WS}+([a-zA-Z\0])", re.M)) for p in rules.deletes.get("sentenceStartDeletes", []) if p]
-        self.fillers = [(self._first(p), re.compile(rf"(,{WS}*)?" + literal(p) + rf"({WS}*,)?", AI)) for p in rules.deletes.get("midSentenceDeletes", []) if p]
+        self.openers = [(p, self._first(p), self._plain(p), re.compile(rf"((?:^|[.!?:]{WS}+|\n{WS}*))" + re.escape(p).replace("'", "['’]") + rf"{WS}+([a-zA-Z\0])", re.M)) for p in rules.deletes.get("sentenceStartDeletes", []) if p]
+        self.fillers = [(self._first(p), self._plain(p), re.compile(rf"(,{WS}*)?" + literal(p) + rf"({WS}*,)?", AI)) for p in rules.deletes.get("midSentenceDeletes", []) if p]
         self.swaps = []
         for name, category in CATEGORIES.items():
             if name == "contractions" and not rules.settings.get("expandContractions"):
@@ -140,13 +152,20 @@ class Rewriter:
             ordered = sorted((r for r in rules.swaps.get(name, []) if r[0]), key=lambda r: -len(r[0]))
             self.swaps += [(category, self._first(find), re.compile(literal(find), AI), to, verb) for find, to, verb in ordered]
 
-        self.by_first: dict[str, list[int]] = {}
-        for i, (_, first, *_) in enumerate(self.swaps):
-            self.by_first.setdefault(first, []).append(i)
+        self.by_first: dict[str, list[tuple[int, str]]] = {}
+        finds = [self._plain(r[0]) for name in CATEGORIES if name != "contractions" or rules.settings.get("expandContractions") for r in sorted((r for r in rules.swaps.get(name, []) if r[0]), key=lambda r: -len(r[0]))]
+        for i, (find, (_, first, *_)) in enumerate(zip(finds, self.swaps, strict=True)):
+            self.by_first.setdefault(first, []).append((i, find))
 
     def _swaps_in(self, text: str) -> list[int]:
-        """The swaps, in order, whose first word the text has: found by its words, not by trying all swaps."""
-        return sorted(i for run in self._runs(text) for i in self.by_first.get(run, ()))
+        """The swaps, in order, whose phrase the text has: found by its words, not by trying all swaps."""
+        low = self._plain(text)
+        return sorted(i for run in self._runs(text) for i, find in self.by_first.get(run, ()) if find in low)
+
+    @staticmethod
+    def _plain(text: str) -> str:
+        """Without case and curly apostrophes, as phrases are looked for."""
+        return lowered(text).replace("’", "'")
 
     @staticmethod
     def _first(phrase: str) -> str:
@@ -156,7 +175,7 @@ class Rewriter:
 
     @staticmethod
     def _runs(text: str) -> set[str]:
-        return {"", *re.findall("[a-z0-9_]+", text.lower())}
+        return {"", *_WORDS.findall(text.lower())}
 
     def rewrite(self, text: str) -> tuple[str, list[Change]]:
         """Output and changes of one text."""
@@ -166,14 +185,18 @@ class Rewriter:
             text = self._emojis(text, log)
         if self.settings.get("fixDashes"):
             text = self._dashes(text, log)
-        runs = self._runs(text)
-        for phrase, first, pattern in self.openers:
-            if first in runs:
+        runs, low = self._runs(text), self._plain(text)
+        for phrase, first, plain, pattern in self.openers:
+            if first in runs and plain in low:
                 text = self._pass(text, pattern, log, lambda m: (OPENER, f"{phrase} …", "(removed)", m[1] + m[2].upper()))
-        for first, pattern in self.fillers:
-            if first in runs:
+                low = self._plain(text)
+        for first, phrase, pattern in self.fillers:
+            if first in runs and phrase in low:
                 text = self._pass(text, pattern, log, lambda m: (FILLER, m[0].strip(), "(removed)", ", " if m[1] and m[2] else " "))
-        text = re.sub(rf",{WS}*,", ",", re.sub(" ([.,;:!?])", r"\1", re.sub(" {2,}", " ", text)))
+                low = self._plain(text)
+        text = _RUN.sub(" ", text) if "  " in text else text
+        text = _SPACE_BEFORE.sub(r"\1", text) if _spaced(text) else text
+        text = _COMMAS.sub(",", text) if "," in text else text
         todo, at = self._swaps_in(text), -1
         while todo:
             at = heapq.heappop(todo)
@@ -182,7 +205,8 @@ class Rewriter:
             text = self._pass(text, pattern, log, lambda m: None if verb and not self.is_verb(m.string, m.start(), m.end()) else (category, m[0], match_case(m[0], to), match_case(m[0], to)))
             if len(log) > n:
                 todo = [i for i in self._swaps_in(text) if i > at]
-        text = re.sub(" +\n", "\n", re.sub(" {2,}", " ", text))
+        text = _RUN.sub(" ", text) if "  " in text else text
+        text = _LINE_END.sub("\n", text) if " \n" in text else text
         return self.vault.give_back(text, kept), [(c, b, a, self.vault.give_back(x, kept)) for c, b, a, x in log]
 
     def _pass(self, text: str, pattern: re.Pattern, log: list[Change], change) -> str:
@@ -198,16 +222,17 @@ class Rewriter:
         return pattern.sub(sub, text)
 
     def _emojis(self, text: str, log: list[Change]) -> str:
-        text, n = re.subn(EMOJI, "", text)
+        text, n = (text, 0) if text.isascii() else re.subn(EMOJI, "", text)
         if n:
             log.append((EMOJIS, f"{n} emoji(s)", "(removed)", ""))
-        return re.sub(" +([.,;:!?])", r"\1", re.sub(" {2,}", " ", text))
+        text = _RUN.sub(" ", text) if "  " in text else text
+        return _SPACES_BEFORE.sub(r"\1", text) if _spaced(text) else text
 
     def _dashes(self, text: str, log: list[Change]) -> str:
         if "–" in text or "—" in text or "--" in text:
             for pattern, new in self.DASHES:
                 text = self._pass(text, pattern, log, lambda m: (DASH, *new(m)))
-        return re.sub(rf",{WS}*([.,;:!?])", r"\1", text)
+        return _COMMA_BEFORE.sub(r"\1", text) if "," in text else text
 
 
 def rewrite_paragraphs(paragraphs: Column, rules: Rules) -> Column:
@@ -217,7 +242,7 @@ def rewrite_paragraphs(paragraphs: Column, rules: Rules) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = Rewriter(rules)
         names = CHANGE.fieldNames()
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             for texts in batch:
                 row = []

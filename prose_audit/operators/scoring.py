@@ -10,7 +10,7 @@ from ..functions import text as X
 from ..functions.patterns import java
 from ..functions.phrases import DisjointSpans
 from ..sources.rules import Rules
-from .flags import WORD_CHOICE, dimension_counts, document_flags
+from .flags import WORD_CHOICE, dimension_counts, dimension_counts_of_both, document_flags
 from .rewrite import output_text
 
 # Keys, names and default weights of the dimensions; bands of both models.
@@ -28,6 +28,14 @@ PRESENCE = {
 }
 
 
+#: What a match of the sign begins with, as the inside of a character class: elsewhere Spark needn't try the pattern.
+PRESENCE_FIRST = {"first_person": "IiMmWwOoUu", "date": "12JFMASONDTW", "figure": "0-9$€£", "opinion": "A-Zw"}
+
+
+def presence_pattern(sign: str) -> str:
+    return f"(?=[{PRESENCE_FIRST[sign]}])(?:{java(PRESENCE[sign])})"
+
+
 def dimension_table(spark: SparkSession, weights: dict[str, float] | None = None) -> DataFrame:
     """key, name, weight; five rows."""
     return spark.createDataFrame([(k, n, float((weights or {}).get(k, w))) for k, n, w in DIMENSIONS], "key string, name string, weight double")
@@ -41,10 +49,9 @@ def density_score(n_flags: Column, n_words: Column) -> Column:
 
 def authorial_presence(text: Column) -> Column:
     """struct<score, signals, missing>: 4 less the number of signs found."""
-    hits = [F.when(text.rlike(java(p)), F.lit(k)) for k, p in PRESENCE.items()]
-    gone = [F.when(~text.rlike(java(p)), F.lit(k)) for k, p in PRESENCE.items()]
-    signals = F.filter(F.array(*hits), lambda x: x.isNotNull())
-    return X.let(signals, lambda s: F.struct((4.0 - F.size(s)).alias("score"), s.alias("signals"), F.filter(F.array(*gone), lambda x: x.isNotNull()).alias("missing")))
+    hits = X.let(text, lambda t: F.array(*[F.when(t.rlike(presence_pattern(k)), F.lit(k)) for k in PRESENCE]))
+    signals = F.filter(hits, lambda x: x.isNotNull())
+    return X.let(signals, lambda s: F.struct((4.0 - F.size(s)).alias("score"), s.alias("signals"), F.array_except(F.array(*map(F.lit, PRESENCE)), s).alias("missing")))
 
 
 def total(scores: list[Column], weights: list[float]) -> Column:
@@ -84,7 +91,13 @@ def score_documents(docs: DataFrame, flags: DataFrame, weights: dict[str, float]
 def score_in_row(text: Column, paragraphs: Column, rules: Rules, weights: dict[str, float] | None = None) -> Column:
     """struct<n_words, d1 to d5, total, verdict> of a text and its paragraphs (array<string>): what score_documents
     gives, with no table of flags, join or shuffle."""
-    own = F.struct(X.word_count(text).alias("n"), dimension_counts(paragraphs, rules).alias("c"), F.size(document_flags(text)).alias("whole"), authorial_presence(text)["score"].alias("d5"))
+    return score_of_counts(text, dimension_counts(paragraphs, rules), weights)
+
+
+def score_of_counts(text: Column, counts: Column, weights: dict[str, float] | None = None) -> Column:
+    """The same, from the flags of the text's paragraphs by dimension."""
+    both = F.struct(text.alias("t"), counts.alias("c"))
+    own = X.let(both, lambda b: F.struct(X.word_count(b["t"]).alias("n"), b["c"].alias("c"), F.size(document_flags(b["t"])).alias("whole"), authorial_presence(b["t"])["score"].alias("d5")))
     w = [float((weights or {}).get(k, d)) for k, _, d in DIMENSIONS]
 
     def scored(x: Column) -> Column:
@@ -98,10 +111,12 @@ def score_in_row(text: Column, paragraphs: Column, rules: Rules, weights: dict[s
 def score_before_after(rewritten: DataFrame, rules: Rules, *, sep: str = "\n\n", weights: dict[str, float] | None = None) -> DataFrame:
     """doc_id, before and after: scores of the originals and of what the rewrite made of them."""
 
-    def side(name: str) -> Column:
-        return score_in_row(output_text(sep, name), F.transform("paragraphs", lambda p: p[name]), rules, weights)
+    counted = rewritten.withColumn("__c", dimension_counts_of_both(F.col("paragraphs.original"), F.col("paragraphs.output"), rules))
+
+    def side(name: str, which: str) -> Column:
+        return score_of_counts(output_text(sep, name), F.col("__c")[which], weights)
 
-    return rewritten.select("doc_id", side("original").alias("before"), side("output").alias("after"))
+    return counted.select("doc_id", side("original", "before").alias("before"), side("output", "after").alias("after"))
 
 
 def marketing_share(flags: Column) -> Column:

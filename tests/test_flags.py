@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from prose_audit.functions.patterns import BLANKS
 from prose_audit.operators import flags as FL
 from prose_audit.operators import rewrite as R
 from prose_audit.operators import scoring as SC
@@ -134,3 +135,40 @@ def test_golden(spark):
     for gone in ("—", "utilize", "in order to", "🚀", "cutting-edge"):
         assert gone not in row.o.replace("https://example.com/utilize", "").replace("`utilize`", "")
     assert "https://example.com/utilize" in row.o and "`utilize`" in row.o and "Acme Platform" in row.o
+
+
+def test_unchanged_paragraphs_are_looked_at_once(spark):
+    """Scores of both sides are those of each side alone; a paragraph that stays as it is is reviewed once."""
+    texts = ["We utilize it; it was seen.\n\nMany people say up to 5% of it is used by them.\n\nI think so.", None, "", "Plain.\n\nPlain.", "January 5; we leverage 3.5 of it.\n\nMr. Smith saw 20 percent."]
+    done = R.rewrite_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), RULES)
+    both = {r.doc_id: r for r in SC.score_before_after(done, RULES).collect()}
+    for side, name in (("before", "original"), ("after", "output")):
+        alone = done.select("doc_id", SC.score_in_row(R.output_text("\n\n", name), F.col(f"paragraphs.{name}"), RULES).alias("s")).collect()
+        assert {r.doc_id: r.s for r in alone} == {k: r[side] for k, r in both.items()}
+    plan = SC.score_before_after(done, RULES)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2  # the rewrite, and both sides at once
+
+
+def test_signs_by_their_first_letters(spark):
+    """Trying a sign only where it can begin finds what the pattern finds."""
+    rng = random.Random(8)
+    words = ["I", "we", "Our", "us", "mine", "bus", "2024", "19", "1999", "May 5", "June", "Monday", "3.5", "12", "5", "$5", "x3", "I think", "we hope", "Mr. X", "Dr. y", "Ann Lee", "a, Bo Li", "_I", "é", "."]
+    texts = ["".join(x for _ in range(rng.randrange(4)) for x in (rng.choice(words), rng.choice([" ", ", ", "_", "\n", ". "]))) for _ in range(600)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows.select(*[F.col("t").rlike(SC.presence_pattern(k)) for k in SC.PRESENCE], SC.authorial_presence(F.col("t")).alias("p")).collect()
+    for t, r in zip(texts, got):
+        want = {k: re.search(p, t, re.A) is not None for k, p in SC.PRESENCE.items()}
+        assert list(r[:4]) == list(want.values()), t
+        assert r.p.signals == [k for k in want if want[k]] and r.p.missing == [k for k in want if not want[k]] and r.p.score == 4.0 - len(r.p.signals)
+
+
+def test_reviewer_hints():
+    """A specific claim or a passive that is looked for only after its hint is found all the same."""
+    claims = ["Research SHOWS", "data indicates", "Critics Agree", "industry leaders say", "Up to 5.5%", "up to 7 percent", "Most Customers", "several teams", "It is Widely known", "9% here", "12 percent"]
+    for claim in claims:
+        assert any(f[2] == "Missing specifics" for f in FL.Reviewer(RULES).review(f"So {claim} of it.")), claim
+    for verb in ("am", "IS", "are", "Was", "were", "been", "being", "be"):
+        assert any(f[2] == "Passive voice" for f in FL.Reviewer(RULES).review(f"It {verb}\u00a0Written by us.")), verb
+    for c in BLANKS:
+        assert SP.find_sentences(f"{c}Dr. A saw 3.5.{c}{c}B!{c}") == [(1, 15, "Dr. A saw 3.5."), (17, 19, "B!")]
+    assert [f[-1] for f in FL.Reviewer(RULES, excerpts=False).review("It is;")] == [None]
