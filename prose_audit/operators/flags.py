@@ -279,13 +279,13 @@ class Reviewer:
         return out
 
 
-def review_paragraph(text: Column, rules: Rules) -> Column:
+def review_paragraph(text: Column, rules: Rules, *, excerpts: bool = True) -> Column:
     """array<struct> of a paragraph's flags with start, end, dim, kind and replace."""
     names = REVIEW.fieldNames()
 
     @F.pandas_udf(T.ArrayType(REVIEW))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = Reviewer(rules)
+        own = Reviewer(rules, excerpts=excerpts)
         for batch in pieces(batches):
             yield pd.Series([[dict(zip(names, f)) for f in own.review(t or "")] for t in batch])
 
@@ -331,6 +331,26 @@ def dimension_counts_of_both(original: Column, output: Column, rules: Rules) ->
     return X.let(run(original, output), sides)
 
 
+def paragraph_dimensions(text: Column, rules: Rules) -> Column:
+    """array<string>: the dimension of each of a paragraph's flags."""
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = Reviewer(rules, excerpts=False)
+        for batch in pieces(batches):
+            yield pd.Series([[f[3] for f in own.review(t or "")] for t in batch])
+
+    return run(text)
+
+
+def review_dimensions(paragraphs: DataFrame, rules: Rules, *, documents: DataFrame | None = None) -> DataFrame:
+    """doc_id and dim of all that ``review_flags`` gives, for scores, which need no more of a flag."""
+    rows = paragraphs.select("doc_id", F.explode(paragraph_dimensions(F.col("output"), rules)).alias("dim"))
+    if documents is None:
+        return rows
+    return rows.unionByName(documents.select("doc_id", F.explode(F.transform(document_flags(F.col("text")), lambda f: F.lit("d2"))).alias("dim")))
+
+
 def review_flags(paragraphs: DataFrame, rules: Rules, *, documents: DataFrame | None = None) -> DataFrame:
     """Flags of ``paragraphs(doc_id, para_idx, output)`` with offsets into the paragraph; with ``documents(doc_id,
     text)`` also those of whole documents, whose para_idx, start and end are null."""

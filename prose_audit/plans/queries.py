@@ -151,7 +151,9 @@ def density_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def audit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All dimensions, total, verdict and band of every document."""
-    docs, found = _review(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    paragraphs = docs.select("doc_id", F.explode(X.paragraphs(F.col("text"), SEP)).alias("output"))
+    found = flags.review_dimensions(paragraphs, _own_rules(), documents=docs)
     scores = scoring.weighted_band(scoring.score_documents(docs, found))
     return scores.select("doc_id", "n_words", "d1", "d2", "d3", "d4", "d5", "total", "verdict", "weighted_total", "band")
 

@@ -172,3 +172,14 @@ def test_reviewer_hints():
     for c in BLANKS:
         assert SP.find_sentences(f"{c}Dr. A saw 3.5.{c}{c}B!{c}") == [(1, 15, "Dr. A saw 3.5."), (17, 19, "B!")]
     assert [f[-1] for f in FL.Reviewer(RULES, excerpts=False).review("It is;")] == [None]
+
+
+def test_dimensions_of_flags(spark):
+    """Those of all flags, repeated doc_ids and documents' own flags included, and no more comes out of the helper."""
+    texts = ["It is; it was seen by us.", "Also, a. However, b. So, c.", None, "# A b\n# A c\n# A d", "Many people say so."]
+    docs = spark.createDataFrame([(i % 4, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    paragraphs = docs.select("doc_id", F.lit(0).alias("para_idx"), F.col("text").alias("output"))
+    own = FL.review_dimensions(paragraphs, RULES, documents=docs)
+    want = FL.review_flags(paragraphs, RULES, documents=docs).select("doc_id", "dim")
+    assert sorted(map(tuple, own.collect())) == sorted(map(tuple, want.collect())) and own.count() == 5
+    assert own.columns == ["doc_id", "dim"] and {t for _, t in FL.review_dimensions(paragraphs, RULES).dtypes} == {"bigint", "string"}
