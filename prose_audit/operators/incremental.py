@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources import sinks
 from ..sources.rules import Rules
 from .flags import review_paragraph
 from .scoring import DIMENSIONS, PRESENCE, density_score, presence_pattern, total, verdict
@@ -36,13 +37,11 @@ def paragraph_state(paragraphs: DataFrame, rules: Rules, dismissed: DataFrame |
     text = F.coalesce("output", F.lit(""))
     rows = paragraphs.select(*KEY, text.alias("t"))
     none = F.array().cast("array<struct<type:string,found:string,start:int>>")
-    if dismissed is None:
-        rows = rows.withColumn("gone", none)
-    else:
+    if dismissed is not None:
         gone = dismissed.groupBy(*KEY).agg(F.collect_set(F.struct("type", "found", F.col("start").cast("int").alias("start"))).alias("gone"))
         rows = rows.join(gone, KEY, "left").withColumn("gone", F.coalesce("gone", none))
-    rows = rows.withColumn("flags", review_paragraph(F.col("t"), rules))
-    left = F.filter("flags", lambda f: ~F.array_contains(F.col("gone"), F.struct(f["type"].alias("type"), f["found"].alias("found"), f["start"].alias("start"))))
+    rows = rows.withColumn("flags", review_paragraph(F.col("t"), rules, excerpts=False))
+    left = F.col("flags") if dismissed is None else F.filter("flags", lambda f: ~F.array_contains(F.col("gone"), F.struct(f["type"].alias("type"), f["found"].alias("found"), f["start"].alias("start"))))
     rows = rows.withColumn("left", left)
 
     def number(dim: str) -> Column:
@@ -70,9 +69,11 @@ def changed_paragraphs(state: DataFrame, paragraphs: DataFrame, dismissed: DataF
 
 def patched_sums(sums: DataFrame, state: DataFrame, paragraphs: DataFrame, rules: Rules, dismissed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Sums and rows of the state after a change of paragraphs or dismissals, as ``document_sums`` and
-    ``paragraph_state`` of everything would give them. Only changed paragraphs reach the rules, and only documents with
+    ``paragraph_state`` of everything would give them. Dismissals and what is scored again are stored, as both are read
+    several times. Only changed paragraphs reach the rules, and only documents with
     a change are patched."""
-    fresh = paragraph_state(changed_paragraphs(state, paragraphs, dismissed).select(*KEY, "output"), rules, dismissed)
+    dismissed = None if dismissed is None else sinks.stored(dismissed, "dismissed")
+    fresh = sinks.stored(paragraph_state(changed_paragraphs(state, paragraphs, dismissed).select(*KEY, "output"), rules, dismissed), "fresh")
     gone = state.join(paragraphs.select(*KEY), KEY, "left_anti")
     replaced = state.join(fresh.select(*KEY), KEY, "left_semi")
     minus = replaced.unionByName(gone).select("doc_id", F.lit(-1).alias("paragraphs"), *[(-F.col(c)).alias(c) for c in SUMS])

@@ -102,3 +102,18 @@ def test_sql_functions(spark, rules):
     assert [(r.number, r.sentence) for r in spark.sql("SELECT s.* FROM {docs}, LATERAL prose_sentences(text) AS s", docs=docs).collect()] == [(0, "We utilize alpha; it was taken by us."), (1, "Next one.")]
     assert [r[0] for r in spark.sql("SELECT prose_rewrite(text) FROM {docs} ORDER BY doc_id", docs=docs).collect()] == [text.replace("utilize", "use"), None, ""]
     assert spark.sql("SELECT count(*) FROM {docs}, LATERAL prose_splits(text) AS s WHERE s.kind IS NULL", docs=docs).first()[0] == 0
+
+
+def test_changed_paragraphs_are_reviewed_once(spark, rules):
+    """What is scored again is stored, so neither sums nor the state review it another time."""
+    old = spark.createDataFrame([(d, p, "An alpha; it was seen.") for d in range(3) for p in range(2)], PARAGRAPH)
+    new = old.withColumn("output", F.when(F.col("doc_id") == 1, "A beta;").otherwise(F.col("output")))
+    gone = spark.createDataFrame([(2, 0, "Semicolon", ";", 8)], FLAG)
+    state = sinks.stored(I.paragraph_state(old, rules), "state")
+    sums, after = I.patched_sums(I.document_sums(state), state, new, rules, gone)
+    for df in (sums, after):
+        assert "ArrowEvalPython" not in df._jdf.queryExecution().optimizedPlan().toString()
+    whole = I.paragraph_state(new, rules, gone)
+    assert sorted(map(tuple, after.select(whole.columns).collect())) == sorted(map(tuple, whole.collect()))
+    want = I.document_sums(whole)
+    assert sorted(map(tuple, sums.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
