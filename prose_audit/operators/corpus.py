@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.batches import pieces
+from ..sources import sinks
 
 #: Function words that a style is told by; a parameter of ``style_distance``.
 FUNCTION_WORDS = (
@@ -102,12 +103,15 @@ def rank_errors(thresholds: DataFrame, scores: DataFrame, by: str) -> DataFrame:
 
 def word_rates(docs: DataFrame, key: str, words: list[str]) -> DataFrame:
     """key, word, rate: occurrences per word of the text. Only the words looked for are shuffled, summed in tasks;
-    keyed by text and word, so that no frequent word is one group."""
+    keyed by text and word, so that no frequent word is one group. A text is read once: its size goes along as the row
+    of no word."""
     own = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+(?:'[a-z]+)*"), F.lit(0))
-    rows = docs.select(key, own.alias("w"))
-    sizes = rows.groupBy(key).agg(F.sum(F.size("w")).alias("n"))
-    found = rows.select(key, F.explode(F.filter("w", lambda x: x.isin(words))).alias("word")).groupBy(key, "word").agg(F.count("*").alias("c"))
-    return found.join(sizes, key).select(key, "word", (F.col("c") / F.col("n")).alias("rate"))
+    size = F.array(F.struct(F.lit(None).cast("string").alias("word"), F.size("w").cast("long").alias("n")))
+    found = F.transform(F.filter("w", lambda x: x.isin(words)), lambda x: F.struct(x.alias("word"), F.lit(0).cast("long").alias("n")))
+    rows = docs.filter(F.col(key).isNotNull()).select(key, own.alias("w")).select(key, F.explode(F.concat(size, found)).alias("x")).select(key, "x.*")
+    counts = rows.groupBy(key, "word").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    placed = counts.withColumn("n", F.max("n").over(Window.partitionBy(key))).filter("word is not null")
+    return placed.select(key, "word", (F.col("c") / F.col("n")).alias("rate"))
 
 
 def most_frequent(docs: DataFrame, words: list[str], n: int = 150) -> list[str]:
@@ -123,8 +127,8 @@ def style_distance(docs: DataFrame, baselines: DataFrame, words: list[str] = FUN
     word that a document hasn't counts as 0. Authors' vectors are means over ``baselines(author_id, text)``: n rows
     an author.
     """
-    chosen = most_frequent(docs, words, n)
-    rates = word_rates(docs, "doc_id", chosen)
+    chosen = most_frequent(docs, words, n) or words[:1]
+    rates = sinks.stored(word_rates(docs, "doc_id", chosen), "rates")  # for deviations and for documents
     total = docs.count()
     stats = rates.groupBy("word").agg((F.sum("rate") / total).alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("rate") ** 2) / total - (F.sum("rate") / total) ** 2)).alias("dev")).filter("dev > 0")
     authors = baselines.select("author_id", F.monotonically_increasing_id().alias("sample_id"), "text")
@@ -135,9 +139,11 @@ def style_distance(docs: DataFrame, baselines: DataFrame, words: list[str] = FUN
     grid = samples.select("author_id").join(stats.select("word", "dev"), F.lit(True)).join(mean, ["author_id", "word"], "left").fillna(0.0, ["author_rate"])
     vectors = grid.groupBy("author_id").agg(F.map_from_entries(F.collect_list(F.struct("word", F.struct("author_rate", "dev")))).alias("v"))
     own = rates.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "rate"))).alias("r"))
-    pairs = docs.select("doc_id").distinct().join(own, "doc_id", "left").join(F.broadcast(vectors), F.lit(True))
-    terms = F.transform(F.map_entries("v"), lambda e: F.abs(F.coalesce(F.try_element_at(F.col("r"), e["key"]), F.lit(0.0)) - e["value"]["author_rate"]) / e["value"]["dev"])
-    return pairs.select("doc_id", "author_id", (F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / F.size("v")).alias("delta"))
+    # both in the order of the words, looked up once for each document and each author; a word that doesn't vary is null
+    rows = docs.select("doc_id").distinct().join(own, "doc_id", "left").select("doc_id", F.array(*[F.coalesce(F.try_element_at("r", F.lit(w)), F.lit(0.0)) for w in chosen]).alias("r"))
+    placed = vectors.select("author_id", F.size("v").alias("n"), F.array(*[F.try_element_at("v", F.lit(w)) for w in chosen]).alias("v"))
+    terms = F.zip_with("r", "v", lambda x, e: F.coalesce(F.abs(x - e["author_rate"]) / e["dev"], F.lit(0.0)))
+    return rows.join(F.broadcast(placed), F.lit(True)).select("doc_id", "author_id", (F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / F.col("n")).alias("delta"))
 
 
 def letters(text: Column) -> Column:

@@ -174,11 +174,20 @@ def flag_documents(docs: DataFrame, rules: Rules, *, text: str = "text", para_se
     by_sentence = F.flatten(F.transform(X.sentences(masked), lambda s: sentence_flags(s, rules.settings)))
     by_paragraph = F.flatten(F.transform(F.split(masked, para_sep), lambda p: paragraph_flags(p, rules.settings)))
     flags = F.concat(F.col("__m.words"), by_sentence, by_paragraph, document_flags(masked))
-    kept = F.col("__m.kept")
+    return own.withColumn("flags", _with_kept(flags, F.col("__m.kept"))).drop("__m")
+
+
+def _with_kept(flags: Column, kept: Column) -> Column:
     back = F.transform(
         flags, lambda f: F.struct(f["type"].alias("type"), restored(f["excerpt"], kept).alias("excerpt"), restored(f["found"], kept).alias("found"), f["reason"].alias("reason"), f["suggestion"].alias("suggestion"))
     )
-    return own.withColumn("flags", F.when(F.size(kept) > 0, back).otherwise(flags)).drop("__m")
+    return F.when(F.size(kept) > 0, back).otherwise(flags)
+
+
+def flag_words(docs: DataFrame, rules: Rules, *, text: str = "text") -> DataFrame:
+    """``docs`` with ``flags``: of those that ``flag_documents`` gives the flag words, without a look at sentences and paragraphs."""
+    own = docs.withColumn("__m", masked_text(F.col(text), rules))
+    return own.withColumn("flags", _with_kept(F.col("__m.words"), F.col("__m.kept"))).drop("__m")
 
 
 def flag_rows(flagged: DataFrame, *keep: str) -> DataFrame:

@@ -245,7 +245,7 @@ def guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = default_rules()
     rules.flags = [("of", "Marketing hype", "Cut", None, None), ("the", "Filler", "Cut", None, None)]
-    flagged = flags.flag_documents(docs, rules, para_sep="\n").withColumn("marketing_share", scoring.marketing_share(F.col("flags")))
+    flagged = flags.flag_words(docs, rules).withColumn("marketing_share", scoring.marketing_share(F.col("flags")))
     own = metrics.document_metrics(flagged, sep=SEP, keep=("marketing_share",)).select("doc_id", F.col("words").alias("n_words"), "section_len_cv", "sections", "marketing_share")
     lexicon = spark.createDataFrame([("academic", "of"), ("legal", "herein")], "genre string, word string")
     out = scoring.genre_guard(scoring.guards(own), metrics.genres(docs, lexicon, 40.0))

@@ -183,3 +183,15 @@ def test_dimensions_of_flags(spark):
     want = FL.review_flags(paragraphs, RULES, documents=docs).select("doc_id", "dim")
     assert sorted(map(tuple, own.collect())) == sorted(map(tuple, want.collect())) and own.count() == 5
     assert own.columns == ["doc_id", "dim"] and {t for _, t in FL.review_dimensions(paragraphs, RULES).dtypes} == {"bigint", "string"}
+
+
+def test_flag_words_alone(spark):
+    """They are those of all flags, and sentences aren't looked at."""
+    docs = rows(spark, ["We leverage `x; y` a robust Acme Platform; it was seen.", None, "", "Utilize it. However, a seamless plan."])
+    rules = S.default_rules(["Acme Platform"])
+    rules.flags = [("robust", "Marketing hype", "Cut", None, None), ("plan", "Vague connective", "Cut", None, None)]
+    words = FL.flag_words(docs, rules)
+    want = FL.flag_documents(docs, rules).withColumn("flags", F.filter("flags", lambda f: f["type"] == FL.WORD_CHOICE))
+    assert sorted(map(tuple, words.collect())) == sorted(map(tuple, want.collect()))
+    assert sum(len(r.flags) for r in words.collect()) == 2
+    assert "regexp" not in words._jdf.queryExecution().optimizedPlan().toString()
