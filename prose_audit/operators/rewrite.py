@@ -235,22 +235,27 @@ class Rewriter:
         return _COMMA_BEFORE.sub(r"\1", text) if "," in text else text
 
 
+def rewritten_batches(batches: Iterator[pd.Series], rules: Rules) -> Iterator[pd.Series]:
+    """Batches of lists of paragraphs, rewritten piece by piece: texts, outputs and logs of a whole batch are never held."""
+    own = Rewriter(rules)
+    names = CHANGE.fieldNames()
+    for batch in pieces(batches):
+        out = []
+        for texts in batch:
+            row = []
+            for text in () if texts is None else texts:
+                new, log = own.rewrite(text)
+                row.append({"original": text, "output": new, "changes": [dict(zip(names, c)) for c in log]})
+            out.append(row)
+        yield pd.Series(out)
+
+
 def rewrite_paragraphs(paragraphs: Column, rules: Rules) -> Column:
     """array<string> of paragraphs → array<struct<original, output, changes>>."""
 
     @F.pandas_udf(T.ArrayType(PARAGRAPH))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = Rewriter(rules)
-        names = CHANGE.fieldNames()
-        for batch in pieces(batches):
-            out = []
-            for texts in batch:
-                row = []
-                for text in () if texts is None else texts:
-                    new, log = own.rewrite(text)
-                    row.append({"original": text, "output": new, "changes": [dict(zip(names, c)) for c in log]})
-                out.append(row)
-            yield pd.Series(out)
+        yield from rewritten_batches(batches, rules)
 
     return run(paragraphs)
 

@@ -1,6 +1,8 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from prose_audit.functions import batches
 from prose_audit.functions import text as X
 from prose_audit.operators import rewrite as R
 from prose_audit.sources import rules as S
@@ -119,3 +121,14 @@ def test_rules(spark):
     other.swaps["hypeSwaps"] = [("robust", "sturdy", False), ("brand-new", "new", False)] + [r for r in other.swaps["hypeSwaps"] if r[0] not in ("robust", "delve")]
     diff = {(r.list, r.find): r.status for r in S.compare_rules(table, S.rule_table(spark, other)).collect()}
     assert diff == {("hypeSwaps", "robust"): "changed", ("hypeSwaps", "brand-new"): "added", ("hypeSwaps", "delve"): "removed", ("protectedTerms", "Acme"): "removed", ("protectedTerms", "Acme Plus"): "removed"}
+
+
+def test_batches_are_rewritten_in_pieces(monkeypatch):
+    """A batch of Spark comes back in pieces of few characters, whole and in order."""
+    monkeypatch.setattr(batches, "CHARS", 100)
+    rows = [[f"We utilize {i}.", "We leverage it."] for i in range(40)] + [None, [], ["x" * 500]]
+    out = list(R.rewritten_batches(iter([pd.Series(rows)]), RULES))
+    assert len(out) > 10 and max(sum(len(p["original"]) for row in part for p in row) for part in out[:-1]) <= 100
+    flat = [row for part in out for row in part]
+    assert [[p["original"] for p in row] for row in flat] == [row or [] for row in rows]
+    assert flat[7][0]["output"] == "We use 7." and flat[7][0]["changes"][0]["category"] == "Simpler word"
